@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,30 +42,38 @@ def no_time() -> Column:
     return F.lit(None).cast("timestamp_ntz")
 
 
-def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def named_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given customers with their name in two parts and the nation's name as city."""
     nation = given(spark, sf_dir, "nation").select(
         F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("city")
     )
     return (
         given(spark, sf_dir, "customer")
         .join(nation, "c_nationkey")
-        .select(
-            F.col("c_custkey").alias("customer_id"),
-            F.split_part("c_name", F.lit("#"), F.lit(1)).alias("first_name"),
-            F.split_part("c_name", F.lit("#"), F.lit(2)).alias("last_name"),
-            F.concat(
-                F.lower(F.replace("c_name", F.lit("#"), F.lit("."))), F.lit("@example.com")
-            ).alias("email"),
-            F.lit(None).cast("string").alias("phone"),
-            "city",
-            no_time().alias("created_at"),
-            no_time().alias("updated_at"),
-            "c_acctbal",
-            "c_mktsegment",
+        .withColumns(
+            {
+                "first_name": F.split_part("c_name", F.lit("#"), F.lit(1)),
+                "last_name": F.split_part("c_name", F.lit("#"), F.lit(2)),
+            }
         )
     )
 
 
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    address = F.lower(F.replace("c_name", F.lit("#"), F.lit(".")))
+    return named_customers(spark, sf_dir).select(
+        F.col("c_custkey").alias("customer_id"),
+        "first_name",
+        "last_name",
+        F.concat(address, F.lit("@example.com")).alias("email"),
+        F.lit(None).cast("string").alias("phone"),
+        "city",
+        no_time().alias("created_at"),
+        no_time().alias("updated_at"),
+        "c_acctbal",
+    )
+
+
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return given(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("product_id"),
@@ -98,12 +104,17 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def order_items(spark: SparkSession, sf_dir: str, extra: Sequence[str] = ()) -> DataFrame:
-    """Order items with their id, which needs a position among rows of one order line."""
+def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given lines with `order_item_id`, which needs a position among the rows of one
+    order line."""
     lines = given(spark, sf_dir, "lineitem")
     numbered = with_position_in_group(lines, _LINE, _REST_OF_LINE, "n")
     item_id = F.col("l_orderkey") * 10000 + F.col("l_linenumber") * 100 + F.col("n")
-    return numbered.select(item_id.cast("bigint").alias("order_item_id"), *_measures(), *extra)
+    return numbered.withColumn("order_item_id", item_id.cast("bigint"))
+
+
+def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numbered_lines(spark, sf_dir).select("order_item_id", *_measures())
 
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
