@@ -277,6 +277,7 @@ checked AS (
          coalesce(nullif(h.status, ''), 'Pending') AS status,
          (SELECT COUNT(*) FROM priced p WHERE p.request_seq = h.request_seq) AS item_count,
          (SELECT SUM(subtotal) FROM priced p WHERE p.request_seq = h.request_seq) AS total_amount,
+         (SELECT MAX(subtotal) FROM priced p WHERE p.request_seq = h.request_seq) AS largest,
          h.customer_id IN (SELECT customer_id FROM customers WHERE c_acctbal >= -900)
            AS known_customer
   FROM headers h),
@@ -298,7 +299,10 @@ faults AS (
   UNION ALL
   SELECT request_seq, 5, 0, 'customer_unknown',
          'Customer with ID ' || customer_id || ' does not exist.'
-  FROM checked WHERE NOT known_customer),
+  FROM checked WHERE NOT known_customer
+  UNION ALL
+  SELECT request_seq, 7, 0, 'out_of_range', 'A number is larger than its column allows.'
+  FROM checked WHERE greatest(total_amount, largest) > 99999999.99),
 ordered AS (
   SELECT *, row_number() OVER (PARTITION BY request_seq ORDER BY stage, pos,
            CASE code WHEN 'product_unknown' THEN 0 ELSE 1 END) AS place

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import os
 import sys
+import time
 from pathlib import Path
 
 import pytest
@@ -9,6 +11,10 @@ ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
 sys.path.insert(0, str(ROOT / "tests"))
 
+# Python shows collected timestamps in the machine's zone; the tests name UTC times.
+os.environ["TZ"] = "UTC"
+time.tzset()
+
 from retail_engine.session import local_session  # noqa: E402
 
 
