@@ -9,14 +9,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retail_engine.operators.intake import STATUSES
-from retail_engine.operators.reports import order_totals
 
-_REQUIRED = {
-    "customers": ("customer_id", "first_name", "last_name", "email", "city"),
-    "products": ("product_id", "name", "sku", "category", "price"),
-    "orders": ("order_id", "customer_id", "status", "total_amount"),
+# Declared rules as conditions a row keeps; NULL counts as kept.
+_ALLOWED = ", ".join(f"'{status}'" for status in STATUSES)
+_RULES = {
+    "customers": (
+        "customer_id IS NOT NULL",
+        "first_name IS NOT NULL",
+        "last_name IS NOT NULL",
+        "email IS NOT NULL",
+        "city IS NOT NULL",
+    ),
+    "products": (
+        "product_id IS NOT NULL",
+        "name IS NOT NULL",
+        "sku IS NOT NULL",
+        "category IS NOT NULL",
+        "price IS NOT NULL",
+        "price >= 0",
+    ),
+    "orders": (
+        "order_id IS NOT NULL",
+        "customer_id IS NOT NULL",
+        "status IS NOT NULL",
+        f"status IN ({_ALLOWED})",
+        "total_amount IS NOT NULL",
+        "total_amount >= 0",
+    ),
     "order_items": (
-        "order_item_id", "order_id", "product_id", "quantity", "unit_price", "subtotal",
+        "order_item_id IS NOT NULL",
+        "order_id IS NOT NULL",
+        "product_id IS NOT NULL",
+        "quantity IS NOT NULL",
+        "quantity > 0",
+        "unit_price IS NOT NULL",
+        "unit_price >= 0",
+        "subtotal IS NOT NULL",
+        "subtotal >= 0",
     ),
 }
 _UNIQUE = {
@@ -33,32 +62,14 @@ FOREIGN_KEYS = (
 )
 
 
-def _checks() -> dict[str, dict[str, Column]]:
-    return {
-        "customers": {},
-        "products": {"price >= 0": F.col("price") >= 0},
-        "orders": {
-            "total_amount >= 0": F.col("total_amount") >= 0,
-            "status in domain": F.col("status").isin(*STATUSES),
-        },
-        "order_items": {
-            "quantity > 0": F.col("quantity") > 0,
-            "unit_price >= 0": F.col("unit_price") >= 0,
-            "subtotal >= 0": F.col("subtotal") >= 0,
-        },
-    }
-
-
 def _union(parts: Iterable[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionAll, parts)
 
 
 def _as_rows(one_row: DataFrame, name: str, value: str) -> DataFrame:
     """The columns of a one-row aggregate as (name, value) rows."""
-    entries = F.array(
-        *(F.struct(F.lit(c).alias(name), F.col(f"`{c}`").alias(value)) for c in one_row.columns)
-    )
-    return one_row.select(F.inline(entries))
+    pairs = ", ".join(f'"{c}", `{c}`' for c in one_row.columns)
+    return one_row.selectExpr(f"stack({len(one_row.columns)}, {pairs}) AS ({name}, {value})")
 
 
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
@@ -140,26 +151,25 @@ def orphans(child: DataFrame, parent: DataFrame, column: str) -> DataFrame:
 def constraint_audit(tables: dict[str, DataFrame]) -> DataFrame:
     """Violations per declared rule: one pass per table for NOT NULL and CHECK, one grouping
     per unique column."""
-    checks = _checks()
     parts = []
     for name, table in tables.items():
-        broken = {f"{c} not null": F.col(c).isNull() for c in _REQUIRED[name]}
-        broken |= {rule: ~kept for rule, kept in checks[name].items()}
-        counted = table.agg(*(F.count_if(when).alias(rule) for rule, when in broken.items()))
-        parts.append(_as_rows(counted, "rule", "violations").select(
-            F.lit(name).alias("table_name"), "rule", "violations"
-        ))
+        counted = table.selectExpr(*(f"count_if(NOT ({rule})) AS `{rule}`" for rule in _RULES[name]))
+        parts.append(
+            _as_rows(counted, "rule", "violations").selectExpr(
+                f"'{name}' AS table_name", "rule", "violations"
+            )
+        )
         for column in _UNIQUE[name]:
-            extra = (
-                table.filter(F.col(column).isNotNull())
-                .groupBy(column)
-                .agg((F.count(F.lit(1)) - 1).alias("_extra"))
-                .agg(F.coalesce(F.sum("_extra"), F.lit(0)).alias("violations"))
+            rows_per_value = (
+                table.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+            )
+            parts.append(
+                rows_per_value.selectExpr(
+                    f"'{name}' AS table_name",
+                    f"'{column} UNIQUE' AS rule",
+                    "coalesce(sum(n - 1), 0L) AS violations",
+                )
             )
-            parts.append(extra.select(
-                F.lit(name).alias("table_name"), F.lit(f"{column} unique").alias("rule"),
-                "violations",
-            ))
     return _union(parts)
 
 
@@ -167,18 +177,20 @@ def total_audit(orders: DataFrame, order_items: DataFrame) -> DataFrame:
     """Orders whose total is not the sum of their subtotals, or with a line whose subtotal is
     not quantity times unit price."""
     exact = (F.col("quantity") * F.col("unit_price")).cast("decimal(18,2)")
-    bad_lines = order_items.groupBy("order_id").agg(
-        F.count_if(~F.col("subtotal").eqNullSafe(exact)).alias("bad_lines")
+    per_order = order_items.groupBy("order_id").agg(
+        F.sum("subtotal").alias("_sum"),
+        F.count_if(~F.col("subtotal").eqNullSafe(exact)).alias("_bad"),
     )
-    sums = order_totals(orders, order_items).withColumnRenamed("total_amount", "items_total")
     return (
         orders.select("order_id", "total_amount")
-        .join(sums, "order_id")
-        .join(bad_lines, "order_id", "left")
-        .withColumn("bad_lines", F.coalesce("bad_lines", F.lit(0)))
-        .filter(
-            ~F.col("total_amount").eqNullSafe(F.col("items_total")) | (F.col("bad_lines") > 0)
+        .join(per_order, "order_id", "left")
+        .select(
+            "order_id",
+            "total_amount",
+            F.coalesce("_sum", F.lit(0)).cast("decimal(28,2)").alias("items_total"),
+            F.coalesce("_bad", F.lit(0)).alias("bad_lines"),
         )
+        .filter("NOT total_amount <=> items_total OR bad_lines > 0")
     )
 
 

@@ -9,6 +9,8 @@ request never fails the job.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,6 +72,13 @@ class Rule:
         return F.concat(F.lit(before), shown, F.lit(after))
 
 
+def _marked(requests: DataFrame, rules: list[Rule]) -> tuple[DataFrame, list[Rule]]:
+    """Evaluate each rule once, into a flag column the returned rules then refer to."""
+    flags = {f"_broken_{rule.code}": F.coalesce(rule.broken, F.lit(False)) for rule in rules}
+    marked = [Rule(r.code, F.col(f), r.value) for r, f in zip(rules, flags, strict=True)]
+    return requests.withColumns(flags), marked
+
+
 def judged(requests: DataFrame, rules: list[Rule]) -> DataFrame:
     """Add `reason`, `message` and `reasons`."""
     codes = [F.when(rule.broken, F.lit(rule.code)) for rule in rules]
@@ -98,31 +107,37 @@ def _too_long(lengths: dict[str, int]) -> Column:
 
 
 def _any(rules: list[Rule]) -> Column:
-    broken = F.lit(False)
-    for rule in rules:
-        broken = broken | F.coalesce(rule.broken, F.lit(False))
-    return broken
+    return reduce(or_, (rule.broken for rule in rules))
 
 
-def _with_owner(
-    requests: DataFrame, key: str, valid: Column, existing: DataFrame, existing_key: str
+def _judged_with_owner(
+    requests: DataFrame,
+    own: list[Rule],
+    limits: list[Rule],
+    existing: DataFrame,
+    key: str,
+    taken: str,
 ) -> DataFrame:
-    """Add `_owner`, the request that holds the trimmed `key`: an existing row, else the first
-    valid request of the batch.
+    """Judge by the request's `own` rules, then by whether its trimmed `key` is `taken`, then by
+    the column `limits`.
 
-    Claims are reduced to one row per key before the join, on the map side first, so a key
-    that fills a third of the batch is one claim.
+    A key belongs to an existing row, else to the first request of the batch that breaks no
+    other rule. Claims are reduced to one row per key before the join, on the map side first,
+    so a key that fills a third of the batch is one claim.
     """
-    keyed = requests.withColumn("_key", text.trimmed(key))
+    marked, rules = _marked(requests, [*own, *limits])
+    marked = marked.withColumn("_key", text.trimmed(key))
     claims = (
-        keyed.filter(valid)
+        marked.filter(~_any(rules))
         .select("_key", F.col("request_seq").cast("bigint").alias("_owner"))
-        .unionAll(existing.select(existing_key, F.lit(_ALREADY_THERE)))
+        .unionAll(existing.select(key, F.lit(_ALREADY_THERE)))
         .filter(F.col("_key").isNotNull())
         .groupBy("_key")
         .agg(F.min("_owner").alias("_owner"))
     )
-    return keyed.join(claims, "_key", "left").drop("_key")
+    owned = marked.join(claims, "_key", "left")
+    rules.insert(len(own), Rule(taken, F.col("_owner") < F.col("request_seq"), F.col(key)))
+    return judged(owned, rules).select(*requests.columns, "reason", "message", "reasons")
 
 
 def validate_customers(requests: DataFrame, existing: DataFrame) -> DataFrame:
@@ -135,9 +150,7 @@ def validate_customers(requests: DataFrame, existing: DataFrame) -> DataFrame:
         Rule("city_required", text.missing("city")),
     ]
     limits = [Rule("too_long", _too_long(CUSTOMER_LENGTHS))]
-    owned = _with_owner(requests, "email", ~_any(own + limits), existing, "email")
-    taken = Rule("email_taken", F.col("_owner") < F.col("request_seq"), F.col("email"))
-    return judged(owned, [*own, taken, *limits]).drop("_owner")
+    return _judged_with_owner(requests, own, limits, existing, "email", "email_taken")
 
 
 def clean_customers(customers: DataFrame) -> DataFrame:
@@ -164,9 +177,7 @@ def validate_products(requests: DataFrame, existing: DataFrame) -> DataFrame:
         Rule("too_long", _too_long(PRODUCT_LENGTHS)),
         Rule("out_of_range", number.isNotNull() & number.try_cast(PRICE_TYPE).isNull()),
     ]
-    owned = _with_owner(requests, "sku", ~_any(own + limits), existing, "sku")
-    taken = Rule("sku_taken", F.col("_owner") < F.col("request_seq"), F.col("sku"))
-    return judged(owned, [*own, taken, *limits]).drop("_owner")
+    return _judged_with_owner(requests, own, limits, existing, "sku", "sku_taken")
 
 
 def clean_products(products: DataFrame) -> DataFrame:

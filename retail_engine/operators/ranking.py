@@ -14,7 +14,9 @@ from retail_engine.session import checkpointed
 _INDEX_BITS = 33
 
 # Largest group one task may sort by itself.
-GROUP_LIMIT = 1_000_000
+GROUP_LIMIT = 10_000_000
+# Rows looked at to tell whether there is a larger one.
+_SAMPLED_ROWS = 50_000_000
 
 
 def with_position(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
@@ -44,6 +46,16 @@ def with_position(df: DataFrame, order: Sequence[Column], name: str) -> DataFram
     )
 
 
+def _largest_group(df: DataFrame, group: Sequence[str]) -> float:
+    """Size of the largest group: exact for small tables, else estimated from a sample, in
+    which a group near GROUP_LIMIT still has hundreds of rows."""
+    rows = df.count()
+    fraction = min(1.0, _SAMPLED_ROWS / max(rows, 1))
+    seen = df.select(*group) if fraction == 1.0 else df.select(*group).sample(fraction)
+    sizes = seen.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows"))
+    return (sizes.agg(F.max("_rows")).first()[0] or 0) / fraction
+
+
 def with_position_in_group(
     df: DataFrame,
     group: Sequence[str],
@@ -55,11 +67,9 @@ def with_position_in_group(
 
     A window is enough while the largest group fits one task. Beyond `group_limit` rows the
     groups are cut across tasks: position in the whole table minus the start of the group.
+    Both ways give the same positions, so an estimate may choose between them.
     """
-    largest = (
-        df.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows")).agg(F.max("_rows")).first()[0]
-    )
-    if (largest or 0) <= group_limit:
+    if _largest_group(df, group) <= group_limit:
         window = Window.partitionBy(*group).orderBy(*order)
         return df.withColumn(name, F.row_number().over(window).cast("bigint"))
     placed = with_position(df, [F.asc(c) for c in (*group, *order)], "_place")

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retail_engine.operators import audit, changes, display, intake, ranking, reports, runs, star
+from retail_engine.jobs import intake as intake_jobs
+from retail_engine.operators import audit, changes, display, intake, reports, runs, star
+from retail_engine.session import tune
 from retail_engine.sources import driver_requests as requests
 from retail_engine.sources import driver_tables as tables
 
@@ -22,7 +24,8 @@ _QUERIES: dict[str, Query] = {}
 
 
 def _query(build: Query) -> Query:
-    _QUERIES[build.__name__] = build
+    """Register under the function's name; the session gets its settings first."""
+    _QUERIES[build.__name__] = lambda spark, sf_dir: build(tune(spark), sf_dir)
     return build
 
 
@@ -30,8 +33,9 @@ def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
-def _star(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return star.build(tables.operational(spark, sf_dir))
+def _fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact without item ids, which no report looks at."""
+    return star.fact_sales(tables.order_lines(spark, sf_dir), tables.orders(spark, sf_dir))
 
 
 def _no_zone(df: DataFrame, *columns: str) -> DataFrame:
@@ -65,31 +69,31 @@ def fact_sales(spark, sf_dir):
 
 @_query
 def revenue_summary(spark, sf_dir):
-    return reports.revenue_summary(_star(spark, sf_dir)["fact_sales"])
+    return reports.revenue_summary(_fact(spark, sf_dir))
 
 
 @_query
 def net_revenue(spark, sf_dir):
     """Pending orders are excluded too: the given tables know no cancelled or refunded ones."""
     return reports.net_revenue(
-        _star(spark, sf_dir)["fact_sales"],
-        tables.orders(spark, sf_dir),
-        (*reports.NOT_NET, "Pending"),
+        _fact(spark, sf_dir), tables.orders(spark, sf_dir), (*reports.NOT_NET, "Pending")
     )
 
 
 def _by_product(spark: SparkSession, sf_dir: str) -> DataFrame:
-    built = _star(spark, sf_dir)
-    return reports.sales_by_product(built["fact_sales"], built["dim_product"])
+    return reports.sales_by_product(
+        _fact(spark, sf_dir), star.dim_product(tables.products(spark, sf_dir))
+    )
 
 
 def _by_city(spark: SparkSession, sf_dir: str) -> DataFrame:
-    built = _star(spark, sf_dir)
-    return reports.sales_by_city(built["fact_sales"], built["dim_customer"])
+    return reports.sales_by_city(
+        _fact(spark, sf_dir), star.dim_customer(tables.customers(spark, sf_dir))
+    )
 
 
 def _by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.daily_sales(_star(spark, sf_dir)["fact_sales"])
+    return reports.daily_sales(_fact(spark, sf_dir))
 
 
 @_query
@@ -146,8 +150,11 @@ def products_list(spark, sf_dir):
 
 
 def _orders_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tables.operational(spark, sf_dir)
-    return reports.orders_list(t["orders"], t["customers"], t["order_items"])
+    return reports.orders_list(
+        tables.orders(spark, sf_dir),
+        tables.customers(spark, sf_dir),
+        tables.order_lines(spark, sf_dir),
+    )
 
 
 @_query
@@ -180,9 +187,9 @@ def _judged_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _judged_orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    headers, lines = requests.order_requests(spark, sf_dir)
+    lines = requests.order_request_lines(spark, sf_dir)
     judged = intake.validate_orders(
-        headers,
+        requests.order_headers(spark, sf_dir),
         lines,
         requests.known_customers(spark, sf_dir),
         requests.known_products(spark, sf_dir),
@@ -200,16 +207,6 @@ def clean_customers(spark, sf_dir):
     return intake.clean_customers(intake.accepted(_judged_customers(spark, sf_dir)))
 
 
-@_query
-def new_customer_ids(spark, sf_dir):
-    """Accepted customers with ids that go on from the existing ones."""
-    asked, existing = requests.customer_requests(spark, sf_dir)
-    new = intake.accepted(intake.validate_customers(asked, existing))
-    return ranking.next_ids(
-        new.select("request_seq", "email"), existing, "customer_id", [F.asc("request_seq")]
-    )
-
-
 @_query
 def validate_products(spark, sf_dir):
     asked, existing = requests.product_requests(spark, sf_dir)
@@ -240,15 +237,55 @@ def accepted_order_lines(spark, sf_dir):
     return intake.accepted_lines(judged, lines, requests.known_products(spark, sf_dir))
 
 
+def _created_orders(spark: SparkSession, sf_dir: str) -> intake_jobs.Outcome:
+    """The request batch taken in on top of the given orders."""
+    lines = requests.order_request_lines(spark, sf_dir)
+    existing = {
+        "customers": requests.known_customers(spark, sf_dir),
+        "products": requests.known_products(spark, sf_dir),
+        "orders": tables.orders(spark, sf_dir),
+        "order_items": lines.withColumnRenamed("pos", "order_item_id"),
+    }
+    return intake_jobs.take_orders(
+        requests.order_headers(spark, sf_dir), lines, existing, AS_OF
+    )
+
+
+@_query
+def created_orders(spark, sf_dir):
+    return _no_zone(
+        _created_orders(spark, sf_dir).rows["orders"], "order_date", "created_at", "updated_at"
+    )
+
+
+@_query
+def created_order_items(spark, sf_dir):
+    return _created_orders(spark, sf_dir).rows["order_items"]
+
+
+@_query
+def created_customers(spark, sf_dir):
+    asked, existing = requests.customer_requests(spark, sf_dir)
+    created = intake_jobs.take_customers(asked, existing, AS_OF).rows["customers"]
+    return _no_zone(created, "created_at", "updated_at")
+
+
+@_query
+def created_products(spark, sf_dir):
+    asked, existing = requests.product_requests(spark, sf_dir)
+    created = intake_jobs.take_products(asked, existing, AS_OF).rows["products"]
+    return _no_zone(created, "created_at", "updated_at")
+
+
 @_query
 def duplicate_lines(spark, sf_dir):
-    _, lines = requests.order_requests(spark, sf_dir)
+    lines = requests.order_request_lines(spark, sf_dir)
     return intake.duplicate_lines(lines).select("request_seq", "pos", "product_id", "first_pos")
 
 
 @_query
 def priced_order_lines(spark, sf_dir):
-    _, lines = requests.order_requests(spark, sf_dir)
+    lines = requests.order_request_lines(spark, sf_dir)
     return intake.priced_lines(lines, requests.known_products(spark, sf_dir))
 
 
@@ -315,13 +352,12 @@ def row_counts(spark, sf_dir):
 
 @_query
 def schema_report(spark, sf_dir):
-    return audit.schema_report(_star(spark, sf_dir))
+    return audit.schema_report(star.build(tables.operational(spark, sf_dir)))
 
 
 @_query
 def status_audit(spark, sf_dir):
-    headers, _ = requests.order_requests(spark, sf_dir)
-    return audit.status_audit(headers)
+    return audit.status_audit(requests.order_headers(spark, sf_dir))
 
 
 @_query
@@ -351,8 +387,7 @@ def total_audit(spark, sf_dir):
 
 @_query
 def reconcile_totals(spark, sf_dir):
-    built = _star(spark, sf_dir)
-    return audit.reconcile_totals(tables.order_lines(spark, sf_dir), built["fact_sales"])
+    return audit.reconcile_totals(tables.order_lines(spark, sf_dir), _fact(spark, sf_dir))
 
 
 @_query

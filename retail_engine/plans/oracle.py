@@ -374,21 +374,28 @@ def _fk_audit(customers: str, products: str) -> str:
     )
 
 
+_ALLOWED = "'Pending', 'Processing', 'Completed', 'Cancelled', 'Refunded'"
+
+
+def _quoted(text: str) -> str:
+    return text.replace("'", "''")
+
+
 def _violations(table: str, name: str, rules: dict[str, str], unique: tuple[str, ...]) -> str:
     parts = [
-        f"SELECT '{name}' AS table_name, '{rule}' AS rule, "
+        f"SELECT '{name}' AS table_name, '{_quoted(rule)}' AS rule, "
         f"COUNT(*) FILTER (WHERE {broken}) AS violations FROM {table}"
         for rule, broken in rules.items()
     ]
     parts += [
-        f"SELECT '{name}', '{c} unique', COUNT({c}) - COUNT(DISTINCT {c}) FROM {table}"
+        f"SELECT '{name}', '{c} UNIQUE', COUNT({c}) - COUNT(DISTINCT {c}) FROM {table}"
         for c in unique
     ]
     return " UNION ALL ".join(parts)
 
 
 def _not_null(*columns: str) -> dict[str, str]:
-    return {f"{c} not null": f"{c} IS NULL" for c in columns}
+    return {f"{c} IS NOT NULL": f"{c} IS NULL" for c in columns}
 
 
 _CONSTRAINTS = " UNION ALL ".join(
@@ -414,8 +421,7 @@ _CONSTRAINTS = " UNION ALL ".join(
             {
                 **_not_null("order_id", "customer_id", "status", "total_amount"),
                 "total_amount >= 0": "total_amount < 0",
-                "status in domain": "status NOT IN ('Pending', 'Processing', 'Completed', "
-                "'Cancelled', 'Refunded')",
+                f"status IN ({_ALLOWED})": f"status NOT IN ({_ALLOWED})",
             },
             ("order_id",),
         ),
@@ -538,10 +544,34 @@ UNION ALL SELECT 'cities', COUNT(DISTINCT city) FROM customers""",
        trim(email) AS email, CASE WHEN phone <> '' THEN trim(phone) END AS phone,
        trim(city) AS city
 FROM verdict WHERE reason IS NULL""",
-        "new_customer_ids": _with(_CUSTOMER_REQUESTS)
-        + """SELECT coalesce((SELECT MAX(customer_id) FROM known), 0)
-         + row_number() OVER (ORDER BY request_seq) AS customer_id, request_seq, email
+        "created_customers": _with(_CUSTOMER_REQUESTS)
+        + f"""SELECT coalesce((SELECT MAX(customer_id) FROM known), 0)
+         + row_number() OVER (ORDER BY request_seq) AS customer_id,
+       trim(first_name) AS first_name, trim(last_name) AS last_name, trim(email) AS email,
+       CASE WHEN phone <> '' THEN trim(phone) END AS phone, trim(city) AS city,
+       TIMESTAMP '{AS_OF}' AS created_at, TIMESTAMP '{AS_OF}' AS updated_at
+FROM verdict WHERE reason IS NULL""",
+        "created_products": _with(_PRODUCT_REQUESTS)
+        + f"""SELECT coalesce((SELECT MAX(p_partkey) FROM part WHERE p_brand = 'Brand#1'), 0)
+         + row_number() OVER (ORDER BY request_seq) AS product_id, trim(name) AS name,
+       trim(sku) AS sku, trim(category) AS category, CAST(amount AS DECIMAL(10,2)) AS price,
+       TIMESTAMP '{AS_OF}' AS created_at, TIMESTAMP '{AS_OF}' AS updated_at
 FROM verdict WHERE reason IS NULL""",
+        "created_orders": _with(*_INTAKE)
+        + f"""SELECT (SELECT MAX(order_id) FROM shop_orders)
+         + row_number() OVER (ORDER BY request_seq) AS order_id, customer_id,
+       coalesce(order_date, TIMESTAMP '{AS_OF}') AS order_date, status,
+       CAST(total_amount AS DECIMAL(18,2)) AS total_amount,
+       TIMESTAMP '{AS_OF}' AS created_at, TIMESTAMP '{AS_OF}' AS updated_at
+FROM validated WHERE reason IS NULL""",
+        "created_order_items": _with(*_INTAKE)
+        + """SELECT (SELECT MAX(order_item_id) FROM items)
+         + row_number() OVER (ORDER BY o.order_id, p.pos) AS order_item_id, o.order_id,
+       p.product_id, p.quantity, p.unit_price, p.subtotal
+FROM priced p JOIN (
+  SELECT request_seq, (SELECT MAX(order_id) FROM shop_orders)
+           + row_number() OVER (ORDER BY request_seq) AS order_id
+  FROM validated WHERE reason IS NULL) o ON p.request_seq = o.request_seq""",
         "validate_products": _with(_PRODUCT_REQUESTS)
         + "SELECT * EXCLUDE (amount) FROM verdict",
         "clean_products": _with(_PRODUCT_REQUESTS)

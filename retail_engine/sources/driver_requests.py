@@ -7,196 +7,149 @@ a given table takes part.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retail_engine.sources.driver_tables import (
+    customers,
     given,
     named_customers,
     numbered_lines,
-    customers,
     orders,
     products,
 )
 
-# Event type of the given tables -> table a run landed.
-_LANDED = {
-    "view": "customers",
-    "click": "products",
-    "purchase": "orders",
-    "signup": "order_items",
-}
+_ADDRESS = "concat('user', floor(c_acctbal), '@example.com')"
+_SKU = "concat('S-', p_size, '-', floor(p_retailprice))"
+_SHOWN_PRICE = "CAST(CAST(p_retailprice AS DECIMAL(10,2)) AS STRING)"
 
-
-def _text(*parts: Column | str) -> Column:
-    """Concatenation of columns and literal texts."""
-    return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+# Events as the run log of one run per hour.
+_RUN_ID = "date_format(ts, 'yyyyMMddHH')"
+_TABLE = (
+    "decode(event_type, 'view', 'customers', 'click', 'products', 'purchase', 'orders', "
+    "'signup', 'order_items')"
+)
 
 
 def customer_requests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(requests, existing customers): BUILDING customers exist, all others ask."""
-    email = _text("user", F.floor("c_acctbal"), "@example.com")
-    nation, first = F.col("c_nationkey"), F.col("first_name")
-    asked_email = (
-        F.when(nation == 3, F.replace(email, F.lit("@"), F.lit("")))
-        .when(nation == 13, _text(" ", email))
-        .otherwise(email)
-    )
-    phone = F.when(nation == 5, "").when(nation == 6, _text(" +91 ", F.col("c_custkey"), " "))
     rows = named_customers(spark, sf_dir)
-    existing = F.col("c_mktsegment") == "BUILDING"
-    requests = rows.filter(~existing).select(
-        F.col("c_custkey").alias("request_seq"),
-        F.when(nation == 17, F.repeat(first, F.lit(13))).otherwise(first).alias("first_name"),
-        F.when(nation != 11, F.col("last_name")).alias("last_name"),
-        asked_email.alias("email"),
-        phone.alias("phone"),
-        F.when(nation == 7, "  ").otherwise(_text(" ", F.col("city"))).alias("city"),
+    requests = rows.filter("c_mktsegment <> 'BUILDING'").selectExpr(
+        "c_custkey AS request_seq",
+        "IF(c_nationkey = 17, repeat(first_name, 13), first_name) AS first_name",
+        "IF(c_nationkey = 11, NULL, last_name) AS last_name",
+        f"CASE c_nationkey WHEN 3 THEN replace({_ADDRESS}, '@', '') "
+        f"WHEN 13 THEN concat(' ', {_ADDRESS}) ELSE {_ADDRESS} END AS email",
+        "CASE c_nationkey WHEN 5 THEN '' WHEN 6 THEN concat(' +91 ', c_custkey, ' ') END AS phone",
+        "IF(c_nationkey = 7, '  ', concat(' ', city)) AS city",
     )
-    known = rows.filter(existing).select(
-        F.col("c_custkey").alias("customer_id"), email.alias("email")
+    existing = rows.filter("c_mktsegment = 'BUILDING'").selectExpr(
+        "c_custkey AS customer_id", f"{_ADDRESS} AS email"
     )
-    return requests, known
+    return requests, existing
 
 
 def product_requests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(requests, existing products): Brand#1 is in the catalogue, all others are offered."""
     rows = given(spark, sf_dir, "part")
-    size, price = F.col("p_size"), F.col("p_retailprice").cast("decimal(10,2)").cast("string")
-    sku = _text("S-", size, "-", F.floor("p_retailprice"))
-    asked_price = (
-        F.when(size == 1, F.lit(None).cast("string"))
-        .when(size == 2, _text("-", price))
-        .when(size == 3, "abc")
-        .when(size == 4, _text(price, " INR"))
-        .when(size == 5, "123456789")
-        .otherwise(price)
+    requests = rows.filter("p_brand <> 'Brand#1'").selectExpr(
+        "p_partkey AS request_seq",
+        "IF(p_size = 7, repeat(p_name, 40), p_name) AS name",
+        f"{_SKU} AS sku",
+        "IF(p_size = 6, '', p_type) AS category",
+        f"CASE p_size WHEN 1 THEN NULL WHEN 2 THEN concat('-', {_SHOWN_PRICE}) WHEN 3 THEN 'abc' "
+        f"WHEN 4 THEN concat({_SHOWN_PRICE}, ' INR') WHEN 5 THEN '123456789' "
+        f"ELSE {_SHOWN_PRICE} END AS price",
     )
-    name = F.col("p_name")
-    existing = F.col("p_brand") == "Brand#1"
-    requests = rows.filter(~existing).select(
-        F.col("p_partkey").alias("request_seq"),
-        F.when(size == 7, F.repeat(name, F.lit(40))).otherwise(name).alias("name"),
-        sku.alias("sku"),
-        F.when(size == 6, "").otherwise(F.col("p_type")).alias("category"),
-        asked_price.alias("price"),
+    existing = rows.filter("p_brand = 'Brand#1'").selectExpr(
+        "p_partkey AS product_id", f"{_SKU} AS sku"
     )
-    known = rows.filter(existing).select(F.col("p_partkey").alias("product_id"), sku.alias("sku"))
-    return requests, known
+    return requests, existing
 
 
-def order_requests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(headers, lines): every order is a request, its lines are the items."""
-    priority, status = F.col("o_orderpriority"), F.col("status")
-    date = F.date_format("order_date", "yyyy-MM-dd HH:mm:ss")
-    headers = orders(spark, sf_dir).select(
-        F.col("order_id").alias("request_seq"),
+def order_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order is a request."""
+    return orders(spark, sf_dir).selectExpr(
+        "order_id AS request_seq",
         "customer_id",
-        F.when((priority == "2-HIGH") & (status == "Pending"), "soon")
-        .when((priority == "2-HIGH") & (status == "Completed"), F.lit(None).cast("string"))
-        .otherwise(date)
-        .alias("order_date"),
-        F.when((priority == "5-LOW") & (status == "Processing"), "Shipped")
-        .when(priority == "4-NOT SPECIFIED", "")
-        .otherwise(status)
-        .alias("status"),
-    )
-    quantity, flag = F.col("l_quantity"), F.col("l_returnflag")
-    asked_quantity = (
-        F.when((quantity == 1) & (flag == "R"), "0")
-        .when((quantity == 1) & (flag == "A"), "1.5")
-        .when((quantity == 1) & (flag == "N"), "1abc")
-        .otherwise(quantity.cast("string"))
+        "CASE WHEN o_orderpriority = '2-HIGH' AND status = 'Pending' THEN 'soon' "
+        "WHEN o_orderpriority = '2-HIGH' AND status = 'Completed' THEN NULL "
+        "ELSE date_format(order_date, 'yyyy-MM-dd HH:mm:ss') END AS order_date",
+        "CASE WHEN o_orderpriority = '5-LOW' AND status = 'Processing' THEN 'Shipped' "
+        "WHEN o_orderpriority = '4-NOT SPECIFIED' THEN '' ELSE status END AS status",
     )
-    lines = numbered_lines(spark, sf_dir).select(
-        F.col("l_orderkey").alias("request_seq"),
-        F.col("order_item_id").alias("pos"),
-        F.when((quantity == 2) & (flag == "R"), F.lit(0))
-        .otherwise(F.col("l_partkey"))
-        .cast("bigint")
-        .alias("product_id"),
-        asked_quantity.alias("quantity"),
+
+
+def order_request_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the order requests, in the order of their item id."""
+    return numbered_lines(spark, sf_dir).selectExpr(
+        "l_orderkey AS request_seq",
+        "order_item_id AS pos",
+        "IF(l_quantity = 2 AND l_returnflag = 'R', 0L, l_partkey) AS product_id",
+        "CASE WHEN l_quantity = 1 THEN decode(l_returnflag, 'R', '0', 'A', '1.5', 'N', '1abc') "
+        "ELSE CAST(l_quantity AS STRING) END AS quantity",
     )
-    return headers, lines
 
 
 def known_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers an order request may name: those not deep in debt."""
-    return customers(spark, sf_dir).filter(F.col("c_acctbal") >= -900)
+    return customers(spark, sf_dir).filter("c_acctbal >= -900")
 
 
 def known_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products an order request may name: all but the largest size."""
-    return products(spark, sf_dir).filter(F.col("p_size") < 50)
-
-
-def _run_id() -> Column:
-    """One run per hour of the events."""
-    return F.date_format("ts", "yyyyMMddHH")
-
-
-def _landed_table() -> Column:
-    table = F.lit(None).cast("string")
-    for event, name in _LANDED.items():
-        table = F.when(F.col("event_type") == event, name).otherwise(table)
-    return table
+    return products(spark, sf_dir).filter("p_size < 50")
 
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event but an error is a landed snapshot; a small value leaves a folder marker."""
-    table, day = _landed_table(), F.date_format("ts", "yyyy-MM-dd")
-    path = F.concat_ws("/", F.lit("raw"), table, day, _run_id(), F.col("event_id").cast("string"))
     return (
         given(spark, sf_dir, "events")
-        .filter(F.col("event_type") != "error")
-        .select(
-            table.alias("table_name"),
-            _run_id().alias("run_id"),
-            F.to_date("ts").alias("load_date"),
-            F.col("ts").alias("committed_at"),
-            F.when(F.col("value") < 1, _text(path, "/")).otherwise(path).alias("path"),
-            F.floor("value").alias("row_count"),
+        .filter("event_type <> 'error'")
+        .selectExpr(
+            f"{_TABLE} AS table_name",
+            f"{_RUN_ID} AS run_id",
+            "to_date(ts) AS load_date",
+            "ts AS committed_at",
+            f"concat(concat_ws('/', 'raw', {_TABLE}, date_format(ts, 'yyyy-MM-dd'), {_RUN_ID}, "
+            "event_id), IF(value < 1, '/', '')) AS path",
+            "floor(value) AS row_count",
         )
     )
 
 
 def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run failed when its last event is an error."""
-    last = F.max_by("event_type", F.col("event_id"))
-    runs = (
+    per_run = (
         given(spark, sf_dir, "events")
-        .groupBy(_run_id().alias("run_id"))
+        .groupBy(F.expr(_RUN_ID).alias("run_id"))
         .agg(
-            last.alias("_last"),
+            F.expr("max_by(event_type, event_id) = 'error'").alias("_failed"),
             F.min("ts").alias("started_at"),
             F.max("ts").alias("completed_at"),
-            F.coalesce(
-                F.sum(F.when(F.col("event_type") != "error", F.floor("value"))), F.lit(0)
-            ).alias("landed_rows"),
+            F.expr("coalesce(sum(floor(value)) FILTER (WHERE event_type <> 'error'), 0L)").alias(
+                "landed_rows"
+            ),
         )
     )
-    failed = F.col("_last") == "error"
-    return runs.select(
+    return per_run.selectExpr(
         "run_id",
-        F.when(failed, "failed").otherwise("success").alias("status"),
+        "IF(_failed, 'failed', 'success') AS status",
         "started_at",
         "completed_at",
-        F.when(failed, "land").alias("error_step"),
+        "IF(_failed, 'land', NULL) AS error_step",
         "landed_rows",
     )
 
 
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One log line per event: counts of landed or loaded rows, and noise."""
-    rows = F.floor("value").cast("string")
-    line = (
-        F.when(
-            F.col("event_type") != "error",
-            _text("  Extracted ", F.lpad(rows, 4, " "), " rows from '", _landed_table(), "' -> done"),
-        )
-        .when(F.col("value") < 50, _text("Table 'fact_sales': ", rows, " records loaded."))
-        .otherwise(_text("Connection closed after ", rows, " rows"))
-    )
-    return given(spark, sf_dir, "events").select(
-        _run_id().alias("run_id"), "event_id", line.alias("line")
-    )
+    return given(spark, sf_dir, "events").selectExpr(
+        f"{_RUN_ID} AS run_id",
+        "event_id",
+        "CASE WHEN event_type <> 'error' "
+        f"THEN concat('  Extracted ', lpad(floor(value), 4, ' '), ' rows from \"', {_TABLE}, "
+        "'\" -> done') "
+        "WHEN value < 50 THEN concat('Table \"fact_sales\": ', floor(value), ' records loaded.') "
+        "ELSE concat('Connection closed after ', floor(value), ' rows') END AS line",
+    ).withColumn("line", F.replace("line", F.lit('"'), F.lit("'")))

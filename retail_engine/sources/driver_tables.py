@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from retail_engine.operators.ranking import with_position_in_group
-from retail_engine.session import tune
 
 _SCHEMAS = {
     "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
@@ -23,83 +21,80 @@ _SCHEMAS = {
     "value DOUBLE, props STRING",
 }
 
-# Order status letter of the given tables -> status name.
-_STATUS = {"F": "Completed", "O": "Processing", "P": "Pending"}
-
 _LINE = ("l_orderkey", "l_linenumber")
 _REST_OF_LINE = (
     "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
     "l_returnflag", "l_linestatus", "l_shipdate",
 )
 
+_NO_TIMES = (
+    "CAST(NULL AS TIMESTAMP_NTZ) AS created_at",
+    "CAST(NULL AS TIMESTAMP_NTZ) AS updated_at",
+)
+_MEASURES = (
+    "l_orderkey AS order_id",
+    "l_partkey AS product_id",
+    "CAST(l_quantity AS BIGINT) AS quantity",
+    "try_divide(l_extendedprice, l_quantity) AS unit_price",
+    "CAST(l_extendedprice AS DECIMAL(18,2)) AS subtotal",
+)
+
 
 def given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One given table, read with its schema so that no inference job runs."""
-    return tune(spark).read.schema(_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
-
-
-def no_time() -> Column:
-    return F.lit(None).cast("timestamp_ntz")
+    return spark.read.schema(_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def named_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The given customers with their name in two parts and the nation's name as city."""
-    nation = given(spark, sf_dir, "nation").select(
-        F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("city")
+    nation = given(spark, sf_dir, "nation").selectExpr(
+        "n_nationkey AS c_nationkey", "n_name AS city"
     )
     return (
         given(spark, sf_dir, "customer")
         .join(nation, "c_nationkey")
-        .withColumns(
-            {
-                "first_name": F.split_part("c_name", F.lit("#"), F.lit(1)),
-                "last_name": F.split_part("c_name", F.lit("#"), F.lit(2)),
-            }
+        .selectExpr(
+            "*",
+            "split_part(c_name, '#', 1) AS first_name",
+            "split_part(c_name, '#', 2) AS last_name",
         )
     )
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    address = F.lower(F.replace("c_name", F.lit("#"), F.lit(".")))
-    return named_customers(spark, sf_dir).select(
-        F.col("c_custkey").alias("customer_id"),
+    return named_customers(spark, sf_dir).selectExpr(
+        "c_custkey AS customer_id",
         "first_name",
         "last_name",
-        F.concat(address, F.lit("@example.com")).alias("email"),
-        F.lit(None).cast("string").alias("phone"),
+        "concat(lower(replace(c_name, '#', '.')), '@example.com') AS email",
+        "CAST(NULL AS STRING) AS phone",
         "city",
-        no_time().alias("created_at"),
-        no_time().alias("updated_at"),
+        *_NO_TIMES,
         "c_acctbal",
     )
 
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return given(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("product_id"),
-        F.col("p_name").alias("name"),
-        F.concat(F.lit("P-"), F.col("p_partkey").cast("string")).alias("sku"),
-        F.col("p_type").alias("category"),
-        F.col("p_retailprice").cast("decimal(10,2)").alias("price"),
-        no_time().alias("created_at"),
-        no_time().alias("updated_at"),
+    return given(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS product_id",
+        "p_name AS name",
+        "concat('P-', p_partkey) AS sku",
+        "p_type AS category",
+        "CAST(p_retailprice AS DECIMAL(10,2)) AS price",
+        *_NO_TIMES,
         "p_brand",
         "p_size",
     )
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    status = F.lit(None).cast("string")
-    for letter, name in _STATUS.items():
-        status = F.when(F.col("o_orderstatus") == letter, name).otherwise(status)
-    return given(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("order_id"),
-        F.col("o_custkey").alias("customer_id"),
-        F.col("o_orderdate").alias("order_date"),
-        status.alias("status"),
-        F.col("o_totalprice").cast("decimal(18,2)").alias("total_amount"),
-        no_time().alias("created_at"),
-        no_time().alias("updated_at"),
+    return given(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS order_id",
+        "o_custkey AS customer_id",
+        "o_orderdate AS order_date",
+        "decode(o_orderstatus, 'F', 'Completed', 'O', 'Processing', 'P', 'Pending') AS status",
+        "CAST(o_totalprice AS DECIMAL(18,2)) AS total_amount",
+        *_NO_TIMES,
         "o_orderpriority",
     )
 
@@ -108,30 +103,18 @@ def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The given lines with `order_item_id`, which needs a position among the rows of one
     order line."""
     lines = given(spark, sf_dir, "lineitem")
-    numbered = with_position_in_group(lines, _LINE, _REST_OF_LINE, "n")
-    item_id = F.col("l_orderkey") * 10000 + F.col("l_linenumber") * 100 + F.col("n")
-    return numbered.withColumn("order_item_id", item_id.cast("bigint"))
+    return with_position_in_group(lines, _LINE, _REST_OF_LINE, "n").selectExpr(
+        "*", "l_orderkey * 10000 + l_linenumber * 100 + n AS order_item_id"
+    )
 
 
 def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return numbered_lines(spark, sf_dir).select("order_item_id", *_measures())
+    return numbered_lines(spark, sf_dir).selectExpr("order_item_id", *_MEASURES)
 
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order items for jobs that never look at the item id, which stays a placeholder."""
-    return given(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("order_item_id"), *_measures()
-    )
-
-
-def _measures() -> list[Column]:
-    return [
-        F.col("l_orderkey").alias("order_id"),
-        F.col("l_partkey").alias("product_id"),
-        F.col("l_quantity").cast("bigint").alias("quantity"),
-        F.try_divide("l_extendedprice", "l_quantity").alias("unit_price"),
-        F.col("l_extendedprice").cast("decimal(18,2)").alias("subtotal"),
-    ]
+    return given(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS order_item_id", *_MEASURES)
 
 
 def operational(spark: SparkSession, sf_dir: str, item_ids: bool = False) -> dict[str, DataFrame]:

@@ -3,13 +3,13 @@ from __future__ import annotations
 import json
 from datetime import UTC, date, datetime, timedelta
 from decimal import Decimal
-from pathlib import Path
 
 import pytest
 from pyspark.errors import AnalysisException
 from test_star_and_reports import table
 
-from retail_engine.jobs import warehouse
+from retail_engine.jobs import intake as intake_jobs
+from retail_engine.jobs import submit, warehouse
 from retail_engine.operators import audit, display, reports, runs
 from retail_engine.schemas import MANIFEST, OPERATIONAL, WAREHOUSE
 from retail_engine.sources import jdbc, snapshots
@@ -192,8 +192,8 @@ def test_json_reports(spark, tmp_path):
     assert json.loads(text) == expected
     assert '"totalRevenue":123456789.50' in text
     display.write_json(report, str(tmp_path / "out"))
-    (part,) = Path(tmp_path / "out").glob("part-*.json")
-    assert json.loads(part.read_text()) == expected
+    (line,) = spark.read.text(str(tmp_path / "out")).collect()
+    assert json.loads(line.value) == expected
 
 
 def test_key_ranges_cover_the_table():
@@ -202,3 +202,55 @@ def test_key_ranges_cover_the_table():
         "numPartitions": "16",
     }
     assert jdbc.key_range_options("orders", 5, 5, 2)["upperBound"] == "6"
+
+
+def test_command_line(spark, tmp_path):
+    for name, rows in shop(spark).items():
+        rows.write.parquet(str(tmp_path / "in" / name))
+    root, out = str(tmp_path / "lake"), tmp_path / "out"
+    submit.main(["run", "--root", root, "--run-id", "r1", "--tables", str(tmp_path / "in")])
+    submit.main(["report", "--root", root, "--name", "sales_by_product", "--out", str(out)])
+    (line,) = spark.read.text(str(out)).collect()
+    assert json.loads(line.value) == {
+        "productName": "Kettle", "category": "Home", "totalUnits": 4, "totalRevenue": 10.0,
+    }
+
+
+def test_taking_in_moves_the_next_run(spark, tmp_path):
+    """One more customer, product and order: each table grows by one."""
+    tables, as_of = shop(spark), "2024-05-05 00:00:00"
+    people = spark.createDataFrame(
+        [(1, "New", "One", "new@b.c", None, "Pune"), (2, "Old", "One", "a@b.c", None, "Pune")],
+        "request_seq bigint, first_name string, last_name string, email string, phone string, "
+        "city string",
+    )
+    taken = intake_jobs.take_customers(people, tables["customers"], as_of)
+    assert [(r.request_seq, r.reason) for r in taken.rejected.collect()] == [(2, "email_taken")]
+    tables["customers"] = tables["customers"].unionByName(taken.rows["customers"])
+    goods = spark.createDataFrame(
+        [(1, "Cup", "cup", "Home", "3.10")],
+        "request_seq bigint, name string, sku string, category string, price string",
+    )
+    offered = intake_jobs.take_products(goods, tables["products"], as_of)
+    tables["products"] = tables["products"].unionByName(offered.rows["products"])
+    headers = spark.createDataFrame(
+        [(1, 2, None, None), (2, 2, None, None)],
+        "request_seq bigint, customer_id bigint, order_date string, status string",
+    )
+    lines = spark.createDataFrame(
+        [(1, 0, 2, "2"), (2, 0, 9, "1")],
+        "request_seq bigint, pos bigint, product_id bigint, quantity string",
+    )
+    ordered = intake_jobs.take_orders(headers, lines, tables, as_of)
+    (order,) = ordered.rows["orders"].collect()
+    assert (order.order_id, order.customer_id, order.status, order.total_amount) == (
+        3, 2, "Pending", D("6.20"),
+    )
+    (item,) = ordered.rows["order_items"].collect()
+    assert tuple(item) == (3, 3, 2, 2, D("3.10"), D("6.20"))
+    assert [r.reason for r in ordered.rejected.collect()] == ["product_unknown"]
+    before = warehouse.run(spark, shop(spark).__getitem__, str(tmp_path), "r1", Clock())
+    for name, rows in ordered.rows.items():
+        tables[name] = tables[name].unionByName(rows)
+    after = warehouse.run(spark, tables.__getitem__, str(tmp_path), "r2", Clock())
+    assert {t: after[t] - before[t] for t in after} == dict.fromkeys(after, 1)
