@@ -46,14 +46,18 @@ def with_position(df: DataFrame, order: Sequence[Column], name: str) -> DataFram
     )
 
 
-def _largest_group(df: DataFrame, group: Sequence[str]) -> float:
-    """Size of the largest group: exact for small tables, else estimated from a sample, in
-    which a group near GROUP_LIMIT still has hundreds of rows."""
+def _groups_fit(df: DataFrame, group: Sequence[str], limit: int) -> bool:
+    """Whether no group has more than `limit` rows.
+
+    A table of no more rows needs no closer look. In a larger one a sample tells, in which a
+    group near the limit still has hundreds of rows.
+    """
     rows = df.count()
-    fraction = min(1.0, _SAMPLED_ROWS / max(rows, 1))
-    seen = df.select(*group) if fraction == 1.0 else df.select(*group).sample(fraction)
-    sizes = seen.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows"))
-    return (sizes.agg(F.max("_rows")).first()[0] or 0) / fraction
+    if rows <= limit:
+        return True
+    fraction = min(1.0, _SAMPLED_ROWS / rows)
+    sizes = df.select(*group).sample(fraction).groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.max("n")).first()[0] <= limit * fraction
 
 
 def with_position_in_group(
@@ -69,7 +73,7 @@ def with_position_in_group(
     groups are cut across tasks: position in the whole table minus the start of the group.
     Both ways give the same positions, so an estimate may choose between them.
     """
-    if _largest_group(df, group) <= group_limit:
+    if _groups_fit(df, group, group_limit):
         window = Window.partitionBy(*group).orderBy(*order)
         return df.withColumn(name, F.row_number().over(window).cast("bigint"))
     placed = with_position(df, [F.asc(c) for c in (*group, *order)], "_place")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from retail_engine.jobs import intake as intake_jobs
 from retail_engine.operators import audit, changes, display, intake, reports, runs, star
-from retail_engine.session import tune
+from retail_engine.session import checkpointed, tune
 from retail_engine.sources import driver_requests as requests
 from retail_engine.sources import driver_tables as tables
 
@@ -186,8 +186,13 @@ def _judged_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intake.validate_customers(*requests.customer_requests(spark, sf_dir))
 
 
+def _request_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbering the lines sorts whole rows and several steps read them: done once."""
+    return checkpointed(requests.order_request_lines(spark, sf_dir))
+
+
 def _judged_orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    lines = requests.order_request_lines(spark, sf_dir)
+    lines = _request_lines(spark, sf_dir)
     judged = intake.validate_orders(
         requests.order_headers(spark, sf_dir),
         lines,
@@ -239,7 +244,7 @@ def accepted_order_lines(spark, sf_dir):
 
 def _created_orders(spark: SparkSession, sf_dir: str) -> intake_jobs.Outcome:
     """The request batch taken in on top of the given orders."""
-    lines = requests.order_request_lines(spark, sf_dir)
+    lines = _request_lines(spark, sf_dir)
     existing = {
         "customers": requests.known_customers(spark, sf_dir),
         "products": requests.known_products(spark, sf_dir),
@@ -279,7 +284,7 @@ def created_products(spark, sf_dir):
 
 @_query
 def duplicate_lines(spark, sf_dir):
-    lines = requests.order_request_lines(spark, sf_dir)
+    lines = _request_lines(spark, sf_dir)
     return intake.duplicate_lines(lines).select("request_seq", "pos", "product_id", "first_pos")
 
 
