@@ -30,11 +30,6 @@ def trimmed(text: str) -> Column:
     return F.btrim(F.col(text), F.lit(WHITE_SPACE))
 
 
-def missing(text: str) -> Column:
-    """NULL, empty or white space only."""
-    return F.col(text).isNull() | (trimmed(text) == "")
-
-
 def email_ok(text: str) -> Column:
     """Checked as sent: an address with white space around it is not valid."""
     return F.col(text).rlike(EMAIL)
@@ -48,13 +43,13 @@ def phone_or_null(text: str) -> Column:
 def leading_number(text: str) -> Column:
     """The number a text starts with, exact, or NULL."""
     digits = F.regexp_extract(F.col(text), _LEADING_NUMBER, 1)
-    return F.when(digits != "", digits.try_cast("decimal(38,10)"))
+    return F.nullif(digits, F.lit("")).try_cast("decimal(38,10)")
 
 
 def whole_quantity(text: str) -> Column:
     """A whole number, or NULL for anything else (also 1e2 and 3abc)."""
     digits = F.regexp_extract(F.col(text), _WHOLE, 1)
-    return F.when(digits != "", digits.try_cast("bigint"))
+    return F.nullif(digits, F.lit("")).try_cast("bigint")
 
 
 def parsed_time(text: str) -> Column:

@@ -8,6 +8,7 @@ request never fails the job.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
@@ -53,6 +54,9 @@ MESSAGES = {
     "out_of_range": "A number is larger than its column allows.",
 }
 
+# Columns a judgement adds.
+RULING = ("reason", "message", "reasons")
+
 _ALREADY_THERE = -(1 << 63)
 
 
@@ -92,18 +96,26 @@ def judged(requests: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def accepted(judged_requests: DataFrame) -> DataFrame:
-    return judged_requests.filter(F.col("reason").isNull()).drop("reason", "message", "reasons")
+    return judged_requests.filter(F.col("reason").isNull()).drop(*RULING)
 
 
 def rejected(judged_requests: DataFrame) -> DataFrame:
     return judged_requests.filter(F.col("reason").isNotNull())
 
 
+def _with_trimmed(requests: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """Each text trimmed once, into a column the rules share."""
+    return requests.withColumns({f"_{c}": text.trimmed(c) for c in columns})
+
+
+def _missing(column: str) -> Column:
+    """NULL, empty or white space only."""
+    return F.coalesce(f"_{column}", F.lit("")) == ""
+
+
 def _too_long(lengths: dict[str, int]) -> Column:
-    broken = F.lit(False)
-    for column, limit in lengths.items():
-        broken = broken | F.coalesce(F.length(text.trimmed(column)) > limit, F.lit(False))
-    return broken
+    over = (F.coalesce(F.length(f"_{c}"), F.lit(0)) > limit for c, limit in lengths.items())
+    return reduce(or_, over)
 
 
 def _any(rules: list[Rule]) -> Column:
@@ -126,31 +138,33 @@ def _judged_with_owner(
     so a key that fills a third of the batch is one claim.
     """
     marked, rules = _marked(requests, [*own, *limits])
-    marked = marked.withColumn("_key", text.trimmed(key))
+    # A faulty request claims nothing. As a filter, the rules would be pushed below the columns
+    # they share and evaluate those once per use.
+    claim = F.when(~_any(rules), F.col("request_seq").cast("bigint"))
     claims = (
-        marked.filter(~_any(rules))
-        .select("_key", F.col("request_seq").cast("bigint").alias("_owner"))
+        marked.select(f"_{key}", claim.alias("_owner"))
         .unionAll(existing.select(key, F.lit(_ALREADY_THERE)))
-        .filter(F.col("_key").isNotNull())
-        .groupBy("_key")
+        .groupBy(f"_{key}")
         .agg(F.min("_owner").alias("_owner"))
     )
-    owned = marked.join(claims, "_key", "left")
+    owned = marked.join(claims, f"_{key}", "left")
     rules.insert(len(own), Rule(taken, F.col("_owner") < F.col("request_seq"), F.col(key)))
-    return judged(owned, rules).select(*requests.columns, "reason", "message", "reasons")
+    return judged(owned, rules)
 
 
 def validate_customers(requests: DataFrame, existing: DataFrame) -> DataFrame:
     """`requests`: request_seq, first_name, last_name, email, phone, city."""
     own = [
-        Rule("first_name_required", text.missing("first_name")),
-        Rule("last_name_required", text.missing("last_name")),
-        Rule("email_required", text.missing("email")),
+        Rule("first_name_required", _missing("first_name")),
+        Rule("last_name_required", _missing("last_name")),
+        Rule("email_required", _missing("email")),
         Rule("email_invalid", ~text.email_ok("email")),
-        Rule("city_required", text.missing("city")),
+        Rule("city_required", _missing("city")),
     ]
     limits = [Rule("too_long", _too_long(CUSTOMER_LENGTHS))]
-    return _judged_with_owner(requests, own, limits, existing, "email", "email_taken")
+    trimmed = _with_trimmed(requests, CUSTOMER_LENGTHS)
+    result = _judged_with_owner(trimmed, own, limits, existing, "email", "email_taken")
+    return result.select(*requests.columns, *RULING)
 
 
 def clean_customers(customers: DataFrame) -> DataFrame:
@@ -165,11 +179,11 @@ def clean_customers(customers: DataFrame) -> DataFrame:
 
 def validate_products(requests: DataFrame, existing: DataFrame) -> DataFrame:
     """`requests`: request_seq, name, sku, category, price (text)."""
-    number = text.leading_number("price")
+    number = F.col("_number")
     own = [
-        Rule("name_required", text.missing("name")),
-        Rule("sku_required", text.missing("sku")),
-        Rule("category_required", text.missing("category")),
+        Rule("name_required", _missing("name")),
+        Rule("sku_required", _missing("sku")),
+        Rule("category_required", _missing("category")),
         Rule("price_required", F.col("price").isNull()),
         Rule("price_invalid", number.isNull() | (number < 0)),
     ]
@@ -177,7 +191,11 @@ def validate_products(requests: DataFrame, existing: DataFrame) -> DataFrame:
         Rule("too_long", _too_long(PRODUCT_LENGTHS)),
         Rule("out_of_range", number.isNotNull() & number.try_cast(PRICE_TYPE).isNull()),
     ]
-    return _judged_with_owner(requests, own, limits, existing, "sku", "sku_taken")
+    read = _with_trimmed(requests, PRODUCT_LENGTHS).withColumn(
+        "_number", text.leading_number("price")
+    )
+    result = _judged_with_owner(read, own, limits, existing, "sku", "sku_taken")
+    return result.select(*requests.columns, *RULING)
 
 
 def clean_products(products: DataFrame) -> DataFrame:
@@ -315,9 +333,7 @@ def validate_orders(
         "status",
         F.coalesce("item_count", F.lit(0)).cast("bigint").alias("item_count"),
         "total_amount",
-        "reason",
-        "message",
-        "reasons",
+        *RULING,
     )
 
 
