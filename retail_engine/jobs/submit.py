@@ -17,16 +17,34 @@ from retail_engine.schemas import OPERATIONAL
 from retail_engine.session import tune
 from retail_engine.sources import jdbc, snapshots
 
-REPORTS: dict[str, Callable[[dict[str, DataFrame]], DataFrame]] = {
+Tables = dict[str, DataFrame]
+
+
+def _by_product(star: Tables) -> DataFrame:
+    return reports.sales_by_product(star["fact_sales"], star["dim_product"])
+
+
+def _by_city(star: Tables) -> DataFrame:
+    return reports.sales_by_city(star["fact_sales"], star["dim_customer"])
+
+
+# Reports on the published warehouse.
+REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
     "revenue_summary": lambda star: reports.revenue_summary(star["fact_sales"]),
     "sales_by_product": lambda star: reports.by_revenue(
-        reports.sales_by_product(star["fact_sales"], star["dim_product"]),
-        reports.PRODUCT_TIE_BREAK,
-    ),
-    "sales_by_city": lambda star: reports.by_revenue(
-        reports.sales_by_city(star["fact_sales"], star["dim_customer"]), reports.CITY_TIE_BREAK
+        _by_product(star), reports.PRODUCT_TIE_BREAK
     ),
+    "sales_by_city": lambda star: reports.by_revenue(_by_city(star), reports.CITY_TIE_BREAK),
     "daily_sales": lambda star: reports.by_day(reports.daily_sales(star["fact_sales"])),
+    "top_products": lambda star: reports.top_products(_by_product(star)),
+    "product_ranking": lambda star: reports.product_ranking(_by_product(star)),
+    "city_ranking": lambda star: reports.city_ranking(_by_city(star)),
+}
+# Lists of the newest landed tables.
+LISTS: dict[str, Callable[[Tables], DataFrame]] = {
+    "customers": lambda t: reports.customers_list(t["customers"]),
+    "products": lambda t: reports.products_list(t["products"]),
+    "orders": lambda t: reports.orders_list(t["orders"], t["customers"], t["order_items"]),
 }
 
 
@@ -41,9 +59,9 @@ def _arguments(argv: Sequence[str] | None) -> argparse.Namespace:
     source.add_argument("--jdbc-url")
     run.add_argument("--jdbc-option", action="append", default=[], metavar="KEY=VALUE")
     run.add_argument("--jdbc-partitions", type=int, default=64)
-    report = commands.add_parser("report", help="write one report of the published warehouse")
+    report = commands.add_parser("report", help="write one report or list as JSON lines")
     report.add_argument("--root", required=True)
-    report.add_argument("--name", required=True, choices=sorted(REPORTS))
+    report.add_argument("--name", required=True, choices=sorted({**REPORTS, **LISTS}))
     report.add_argument("--out", required=True)
     return parser.parse_args(argv)
 
@@ -52,8 +70,11 @@ def main(argv: Sequence[str] | None = None) -> None:
     args = _arguments(argv)
     spark = tune(SparkSession.builder.getOrCreate())
     if args.command == "report":
-        star = snapshots.current_star(spark, args.root)
-        display.write_json(REPORTS[args.name](star), args.out)
+        if args.name in REPORTS:
+            rows = REPORTS[args.name](snapshots.current_star(spark, args.root))
+        else:
+            rows = LISTS[args.name](snapshots.latest_tables(spark, args.root))
+        display.write_json(rows, args.out)
         return
 
     def read(table: str) -> DataFrame:

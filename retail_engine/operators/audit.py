@@ -144,7 +144,7 @@ def fk_audit(tables: dict[str, DataFrame]) -> DataFrame:
 def orphans(child: DataFrame, parent: DataFrame, column: str) -> DataFrame:
     """The rows of `child` whose parent is missing."""
     return child.filter(F.col(column).isNotNull()).join(
-        parent.select(column), column, "left_anti"
+        parent.select(column).distinct(), column, "left_anti"
     )
 
 

@@ -18,8 +18,11 @@ def cascade_delete(
 
 
 def restrict_delete(candidates: DataFrame, children: DataFrame, key: str) -> DataFrame:
-    """Candidates that must stay because a child row refers to them."""
-    return candidates.join(children.select(key), key, "left_semi")
+    """Candidates that must stay because a child row refers to them.
+
+    Children shrink to one row per key first: a join cannot split the side it only looks up.
+    """
+    return candidates.join(children.select(key).distinct(), key, "left_semi")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, as_of: str) -> DataFrame:

@@ -37,9 +37,8 @@ def missing_snapshots(
     wanted = runs.select("run_id").distinct().select(
         "run_id", F.explode(F.array(*(F.lit(t) for t in expected))).alias("table_name")
     )
-    return wanted.join(
-        manifest.select("run_id", "table_name"), ["run_id", "table_name"], "left_anti"
-    )
+    landed = manifest.select("run_id", "table_name").distinct()
+    return wanted.join(landed, ["run_id", "table_name"], "left_anti")
 
 
 def latest_complete_run(

@@ -124,7 +124,9 @@ def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         given(spark, sf_dir, "events")
         .groupBy(F.expr(_RUN_ID).alias("run_id"))
         .agg(
-            F.expr("max_by(event_type, event_id) = 'error'").alias("_failed"),
+            F.expr(
+                "max(event_id) <=> max(event_id) FILTER (WHERE event_type = 'error')"
+            ).alias("_failed"),
             F.min("ts").alias("started_at"),
             F.max("ts").alias("completed_at"),
             F.expr("coalesce(sum(floor(value)) FILTER (WHERE event_type <> 'error'), 0L)").alias(

@@ -214,6 +214,10 @@ def test_command_line(spark, tmp_path):
     assert json.loads(line.value) == {
         "productName": "Kettle", "category": "Home", "totalUnits": 4, "totalRevenue": 10.0,
     }
+    listed = tmp_path / "listed"
+    submit.main(["report", "--root", root, "--name", "orders", "--out", str(listed)])
+    lines = [json.loads(r.value) for r in spark.read.text(str(listed)).collect()]
+    assert sorted((r["order_id"], r["item_count"]) for r in lines) == [(1, 1), (2, 1)]
 
 
 def test_taking_in_moves_the_next_run(spark, tmp_path):
