@@ -153,7 +153,8 @@ def constraint_audit(tables: dict[str, DataFrame]) -> DataFrame:
     per unique column."""
     parts = []
     for name, table in tables.items():
-        counted = table.selectExpr(*(f"count_if(NOT ({rule})) AS `{rule}`" for rule in _RULES[name]))
+        broken = (f"count_if(NOT ({rule})) AS `{rule}`" for rule in _RULES[name])
+        counted = table.selectExpr(*broken)
         parts.append(
             _as_rows(counted, "rule", "violations").selectExpr(
                 f"'{name}' AS table_name", "rule", "violations"

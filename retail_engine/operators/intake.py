@@ -271,7 +271,9 @@ def validate_orders(
         "unknown": F.col("unit_price").isNull(),
         "quantity": quantity.isNull() | (quantity <= 0),
     }
-    aggregates = [F.min(F.when(broken, pos)).alias(f"_{kind}_pos") for kind, broken in fault.items()]
+    aggregates = [
+        F.min(F.when(broken, pos)).alias(f"_{kind}_pos") for kind, broken in fault.items()
+    ]
     aggregates += [
         F.min_by("product_id", F.when(fault[kind], pos)).alias(f"_{kind}_id")
         for kind in ("unknown", "quantity")

@@ -7,6 +7,7 @@ BIGINT: an INT total overflows at scale.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -180,13 +181,10 @@ def order_totals(orders: DataFrame, order_items: DataFrame) -> DataFrame:
 
 def entity_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """Rows per operational table, and the number of distinct cities."""
-    counts = [
-        tables[name].agg(F.count(F.lit(1)).alias("count")).select(F.lit(name).alias("entity"), "count")
+    counts = {
+        name: tables[name].agg(F.count(F.lit(1)).alias("count"))
         for name in ("customers", "products", "orders", "order_items")
-    ]
-    cities = tables["customers"].agg(F.countDistinct("city").alias("count"))
-    counts.append(cities.select(F.lit("cities").alias("entity"), "count"))
-    result = counts[0]
-    for part in counts[1:]:
-        result = result.unionAll(part)
-    return result
+    }
+    counts["cities"] = tables["customers"].agg(F.countDistinct("city").alias("count"))
+    named = (count.select(F.lit(name).alias("entity"), "count") for name, count in counts.items())
+    return reduce(DataFrame.unionAll, named)

@@ -398,7 +398,7 @@ def reconcile_totals(spark, sf_dir):
 @_query
 def count_drift(spark, sf_dir):
     after = tables.operational(spark, sf_dir)
-    earlier = after["orders"].filter(F.col("order_date") < F.lit(SNAPSHOT_DAY).cast("timestamp_ntz"))
+    earlier = after["orders"].filter(f"order_date < TIMESTAMP_NTZ '{SNAPSHOT_DAY} 00:00:00'")
     items = after["order_items"].join(earlier.select("order_id"), "order_id", "left_semi")
     before = {**after, "orders": earlier, "order_items": items}
     before["fact_sales"] = star.fact_sales(items, earlier)

@@ -40,5 +40,6 @@ def read_table(
     reader = spark.read.format("jdbc").options(**connection).option("fetchsize", fetch_size)
     reader = reader.option("dbtable", table)
     if bounds[0] is not None:
-        reader = reader.options(**key_range_options(table, int(bounds[0]), int(bounds[1]), partitions))
+        lowest, highest = int(bounds[0]), int(bounds[1])
+        reader = reader.options(**key_range_options(table, lowest, highest, partitions))
     return conform(reader.load(), OPERATIONAL[table])

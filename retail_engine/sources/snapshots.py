@@ -136,7 +136,10 @@ def publish(
 def current_star(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """The warehouse tables published last; a build in progress does not disturb readers."""
     newest = (
-        published(spark, root).orderBy(F.desc("published_at"), F.desc("run_id")).select("path").first()
+        published(spark, root)
+        .orderBy(F.desc("published_at"), F.desc("run_id"))
+        .select("path")
+        .first()
     )
     if newest is None:
         raise MissingSnapshots("no warehouse version has been published")
