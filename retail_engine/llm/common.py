@@ -84,3 +84,8 @@ def with_offsets(counts: DataFrame, key: str, count: str, offset: str) -> DataFr
 def words_of(text) -> F.Column:
     """The words of a whole text as an array; empty for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_BREAK), lambda w: w != "")
+
+
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Hand rows to Python in batches that stay small when they hold long texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retail_engine.llm import sharding
+from retail_engine.llm import minhash, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,8 +29,15 @@ def op1_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_fast_similarity_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    found = minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("key").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_external_shuffle": op1_external_shuffle,
+    "op5_fast_similarity_sketch": op5_fast_similarity_sketch,
 }
 
 ORACLE_SQL: dict[str, str] = {}
