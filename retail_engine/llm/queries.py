@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retail_engine.llm import minhash, sharding
+from retail_engine.llm import minhash, outliers, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,14 @@ def op1_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_covariance_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics of every document and whether the quality rules keep it."""
+    docs = _table(spark, sf_dir, "documents")
+    found = outliers.quality_rules(docs, carry=("doc_id",))
+    names = [*outliers.BASE, "base_failed", "kept"]
+    return found.select(F.col("record.doc_id").alias("doc_id"), *names)
+
+
 def op5_fast_similarity_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     found = minhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -37,6 +45,7 @@ def op5_fast_similarity_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_external_shuffle": op1_external_shuffle,
+    "op2_covariance_outliers": op2_covariance_outliers,
     "op5_fast_similarity_sketch": op5_fast_similarity_sketch,
 }
 
