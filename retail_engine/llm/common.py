@@ -89,3 +89,16 @@ def words_of(text) -> F.Column:
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Hand rows to Python in batches that stay small when they hold long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def seeded_hash(rows: DataFrame, key: str, at: str, seed: int, name: str) -> DataFrame:
+    """Add a hash of seed and key; rows that share a key, or have none, hash `at` as well.
+
+    So the hash does not depend on how the input lies in files, as long as keys differ, and
+    a key of very many rows still spreads evenly.
+    """
+    again = rows.groupBy(F.col(key).alias("_same")).count().where("count > 1")
+    again = stored(again.select("_same", F.lit(True).alias("_again")), "repeated-keys")
+    rows = rows.join(again, rows[key].eqNullSafe(again["_same"]), "left")
+    nth = F.when(F.col("_again") | F.col(key).isNull(), F.col(at)).otherwise(F.lit(-1))
+    return rows.withColumn(name, F.xxhash64(F.lit(seed), key, nth)).drop("_same", "_again")

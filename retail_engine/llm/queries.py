@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retail_engine.llm import minhash, outliers, sharding
+from retail_engine.llm import minhash, mixing, outliers, sharding
+from retail_engine.llm.common import numbered
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,10 +44,21 @@ def op5_fast_similarity_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+def op9_balanced_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that a mix of the sources takes of each document."""
+    docs = _table(spark, sf_dir, "documents")
+    size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    rows = numbered(docs.select(F.col("doc_id").alias("key"), "source", size.alias("size")))
+    taken = (F.col("copies") * F.col("size")).alias("taken")
+    names = ["size", "source_size", "target"]
+    return mixing.mixed(rows).select(F.col("key").alias("doc_id"), *names, taken, "source", "copies")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_external_shuffle": op1_external_shuffle,
     "op2_covariance_outliers": op2_covariance_outliers,
     "op5_fast_similarity_sketch": op5_fast_similarity_sketch,
+    "op9_balanced_mix": op9_balanced_mix,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from retail_engine.llm.common import packed, shared_folder, stored, with_offsets
+from retail_engine.llm.common import packed, seeded_hash, shared_folder, stored, with_offsets
 
 
 def shuffle_shards(
@@ -46,14 +46,8 @@ def shuffle_shards(
     ).first()
     buckets = max(1, -(-total["bytes"] // bucket_bytes))
 
-    repeated = stored(
-        docs.groupBy(F.col(key).alias("_key")).count().where("count > 1").select("_key", F.lit(True).alias("_again")),
-        "repeated-keys",
-    )
-    rows = docs.select(record, F.col(key).alias("_own"), F.monotonically_increasing_id().alias("_at"))
-    rows = rows.join(repeated, rows["_own"].eqNullSafe(repeated["_key"]), "left")
-    rows = rows.withColumn("_nth", F.when(F.col("_again"), F.col("_at")).otherwise(F.lit(-1)))
-    rows = rows.withColumn("_hash", F.xxhash64(F.lit(seed), "_own", "_nth"))
+    rows = docs.select(record, F.col(key).alias("_key"), F.monotonically_increasing_id().alias("_at"))
+    rows = seeded_hash(rows, "_key", "_at", seed, "_hash")
     rows = rows.withColumn("_bucket", F.pmod("_hash", F.lit(buckets)))
 
     counts = rows.groupBy("_bucket").count()
