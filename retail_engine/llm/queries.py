@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retail_engine.llm import minhash, mixing, outliers, sharding
+from retail_engine.llm import minhash, mixing, outliers, sharding, warc
 from retail_engine.llm.common import numbered
 
 
@@ -44,6 +44,11 @@ def op5_fast_similarity_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+def op8_gzip_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as it is read back from the normalised archives."""
+    return warc.archived(_table(spark, sf_dir, "pages")).drop("payload")
+
+
 def op9_balanced_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words that a mix of the sources takes of each document."""
     docs = _table(spark, sf_dir, "documents")
@@ -58,7 +63,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_external_shuffle": op1_external_shuffle,
     "op2_covariance_outliers": op2_covariance_outliers,
     "op5_fast_similarity_sketch": op5_fast_similarity_sketch,
+    "op8_gzip_normaliser": op8_gzip_normaliser,
     "op9_balanced_mix": op9_balanced_mix,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    # DuckDB gives SHA-1 in hex; base32 takes the 160 bits in 32 groups of five.
+    "op8_gzip_normaliser": """
+        WITH body AS (
+            SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages
+        ), bits AS (
+            SELECT DISTINCT hex, list_aggregate(list_transform(range(0, 40), lambda i:
+                lpad(bin(('0x' || substr(hex, i + 1, 1))::INT), 4, '0')), 'string_agg', '') AS b
+            FROM body
+        ), digests AS (
+            SELECT hex, list_aggregate(list_transform(range(0, 32), lambda i:
+                substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1
+                    + substr(b, i * 5 + 1, 1)::INT * 16 + substr(b, i * 5 + 2, 1)::INT * 8
+                    + substr(b, i * 5 + 3, 1)::INT * 4 + substr(b, i * 5 + 4, 1)::INT * 2
+                    + substr(b, i * 5 + 5, 1)::INT, 1)), 'string_agg', '') AS digest
+            FROM bits
+        ), firsts AS (SELECT hex, min(page_id) AS first_id FROM body GROUP BY hex)
+        SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
+            digest AS payload_digest,
+            CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+        FROM body JOIN digests USING (hex) JOIN firsts USING (hex)
+    """,
+}
