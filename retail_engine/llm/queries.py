@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retail_engine.llm import minhash, mixing, outliers, sharding, warc
+from retail_engine.llm import minhash, mixing, outliers, packing, sharding, warc
 from retail_engine.llm.common import numbered
 
 
@@ -44,6 +44,20 @@ def op5_fast_similarity_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+def packed_documents(docs: DataFrame) -> DataFrame:
+    """Pieces of `docs` in windows of the public byte-level vocabulary of 50,257 ids."""
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    found = packing.packed(docs, ranks, public_tokenizers.PATTERN, with_ids=False)
+    return found.withColumnRenamed("key", "doc_id")
+
+
+def op7_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 1,024 tokens."""
+    return packed_documents(_table(spark, sf_dir, "documents"))
+
+
 def op8_gzip_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as it is read back from the normalised archives."""
     return warc.archived(_table(spark, sf_dir, "pages")).drop("payload")
@@ -63,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_external_shuffle": op1_external_shuffle,
     "op2_covariance_outliers": op2_covariance_outliers,
     "op5_fast_similarity_sketch": op5_fast_similarity_sketch,
+    "op7_retrieval_packing": op7_retrieval_packing,
     "op8_gzip_normaliser": op8_gzip_normaliser,
     "op9_balanced_mix": op9_balanced_mix,
 }
