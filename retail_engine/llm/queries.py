@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retail_engine.llm import minhash, mixing, outliers, packing, sharding, warc
+from retail_engine.llm import minhash, mixing, outliers, packing, sharding, surrogates, warc
 from retail_engine.llm.common import numbered
 
 
+#: Key of the surrogates in the queries; a real corpus brings a secret of its own.
+SECRET = "test key"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -73,6 +77,13 @@ def op9_balanced_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(rows).select(F.col("key").alias("doc_id"), *names, taken, "source", "copies")
 
 
+def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced, and the number of its mentions."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = surrogates.replaced(docs, secret=SECRET)
+    return found.select("record.doc_id", "record.text", "n_mentions")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_external_shuffle": op1_external_shuffle,
     "op2_covariance_outliers": op2_covariance_outliers,
@@ -80,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_retrieval_packing": op7_retrieval_packing,
     "op8_gzip_normaliser": op8_gzip_normaliser,
     "op9_balanced_mix": op9_balanced_mix,
+    "op10_surrogates": op10_surrogates,
 }
 
 ORACLE_SQL: dict[str, str] = {
