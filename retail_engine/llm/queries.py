@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retail_engine.llm import minhash, mixing, outliers, packing, sharding, surrogates, warc
+from retail_engine.llm import minhash, mixing, outliers, packing, quality, sharding, surrogates, warc
 from retail_engine.llm.common import numbered
 
 
@@ -48,6 +48,15 @@ def op5_fast_similarity_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+def op6_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document, learnt from the labels that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.fitted(docs, _table(spark, sf_dir, "labels"))
+    rows = quality.scored(docs, model).withColumnRenamed("key", "doc_id")
+    predicted = (F.col("score") >= 0.3).cast("int").alias("predicted")
+    return rows.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", predicted)
+
+
 def packed_documents(docs: DataFrame) -> DataFrame:
     """Pieces of `docs` in windows of the public byte-level vocabulary of 50,257 ids."""
     import public_tokenizers
@@ -88,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_external_shuffle": op1_external_shuffle,
     "op2_covariance_outliers": op2_covariance_outliers,
     "op5_fast_similarity_sketch": op5_fast_similarity_sketch,
+    "op6_factorisation_machine": op6_factorisation_machine,
     "op7_retrieval_packing": op7_retrieval_packing,
     "op8_gzip_normaliser": op8_gzip_normaliser,
     "op9_balanced_mix": op9_balanced_mix,
