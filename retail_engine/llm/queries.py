@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retail_engine.llm import minhash, mixing, outliers, packing, quality, sharding, surrogates, warc
+from retail_engine.llm import minhash, mixing, neighbours, outliers, packing, quality, sharding, surrogates, warc
 from retail_engine.llm.common import numbered
 
 
@@ -42,6 +42,12 @@ def op2_covariance_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("record.doc_id").alias("doc_id"), *names)
 
 
+def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors."""
+    found = neighbours.near_vectors(_table(spark, sf_dir, "embeddings"))
+    return found.withColumnRenamed("key", "vec_id")
+
+
 def op5_fast_similarity_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     found = minhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -96,6 +102,7 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_external_shuffle": op1_external_shuffle,
     "op2_covariance_outliers": op2_covariance_outliers,
+    "op3_nn_descent": op3_nn_descent,
     "op5_fast_similarity_sketch": op5_fast_similarity_sketch,
     "op6_factorisation_machine": op6_factorisation_machine,
     "op7_retrieval_packing": op7_retrieval_packing,
