@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retail_engine.llm import minhash, mixing, neighbours, outliers, packing, quality, sharding, surrogates, warc
+from retail_engine.llm import licenses, minhash, mixing, neighbours, outliers, packing, quality, sharding, surrogates, warc
 from retail_engine.llm.common import numbered
 
 
@@ -48,6 +48,12 @@ def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("key", "vec_id")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every license notice in the documents, with its coverage and span."""
+    found = licenses.notices(_table(spark, sf_dir, "documents"))
+    return found.withColumnRenamed("key", "doc_id")
+
+
 def op5_fast_similarity_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     found = minhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -103,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_external_shuffle": op1_external_shuffle,
     "op2_covariance_outliers": op2_covariance_outliers,
     "op3_nn_descent": op3_nn_descent,
+    "op4_license_scan": op4_license_scan,
     "op5_fast_similarity_sketch": op5_fast_similarity_sketch,
     "op6_factorisation_machine": op6_factorisation_machine,
     "op7_retrieval_packing": op7_retrieval_packing,
