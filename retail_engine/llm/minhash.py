@@ -1,14 +1,16 @@
 """Near-duplicate documents by fast similarity sketching.
 
-A sketch has `BANDS * ROWS` coordinates. In each round every shingle is thrown into a bin by
-that round's hash; a bin keeps the least (round, value) it got, and from round `COORDINATES`
-on round i throws all shingles into bin i - COORDINATES, so every coordinate fills whatever
-the size of the set. Equal coordinates are as likely as the similarity, and more concentrated
-than independent minima.
+In each round every shingle is thrown into one of `COORDINATES` bins by that round's hash; a
+bin keeps the least (round, value) it got, and from round `COORDINATES` on round i throws all
+shingles into bin i - COORDINATES, so every coordinate fills whatever the size of the set.
+Equal coordinates are as likely as the similarity, and more concentrated than independent
+minima.
 
 Bands of four coordinates give the candidates: a pair of similarity 0.75 shares none of the
-25 bands with probability 8e-5. Every candidate pair that can still join two components is
-confirmed on the full shingle sets. Texts of equal words are one class from the start.
+25 bands with probability 8e-5. Two bits of every coordinate then tell pairs that are far
+below the threshold: a pair at 0.75 differs in 192 of 1,024 places, and in more than 242 with
+probability 4e-5. Every candidate that can still join two components is confirmed on the
+full shingle sets. Texts of equal words are one class from the start.
 """
 
 from __future__ import annotations
@@ -29,13 +31,16 @@ WORDS = 5
 PERCENT = 75
 BANDS = 25
 ROWS = 4
-COORDINATES = BANDS * ROWS
+COORDINATES = 1024
+#: Candidates differ in so many of the coordinates' two bits at most.
+MOST_APART = 242
 #: Members of a bucket are first compared with so many pivots of it.
-PIVOTS = 6
+PIVOTS = 4
 
 _PIECE = 50_000  # words hashed at once
 _LONG_WORD = 1024
 _U = np.uint64
+_NONE = np.empty(0, np.int64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -102,33 +107,39 @@ class Shingler:
         """Each coordinate's least (round, value), as round << 48 | value."""
         t, none = COORDINATES, _U(2**64 - 1)
         out = np.full(t, none, _U)
-        step = max(1, 512 // len(hashes))
+        step = max(1, 8 * t // len(hashes))
         for first in range(0, 2 * t, step):
             rounds = np.arange(first, min(first + step, 2 * t), dtype=_U)[:, None]
             x = _mix(hashes[None, :] ^ self.seeds[rounds.ravel().astype(np.int64)][:, None])
             bins = ((x >> _U(32)) * _U(t)) >> _U(32)
             bins = np.where(rounds < t, bins, rounds - _U(t)).ravel().astype(np.int64)
             values = ((rounds << _U(48)) | (x & _U(0xFFFFFFFF))).ravel()
-            order = np.argsort(values)[::-1]
-            least = np.full(t, none, _U)
-            least[bins[order]] = values[order]  # the last written, the least, stays
-            out = np.where(out == none, least, out)
+            np.minimum.at(out, bins, values)
             if not (out == none).any():
                 break
         return out
 
-    def bands(self, hashes: np.ndarray) -> np.ndarray:
-        rows = self.sketch(hashes).reshape(BANDS, ROWS)
+    def candidates(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sketch's band hashes, and two bits of each coordinate packed into longs."""
+        sketch = self.sketch(hashes)
+        pairs = _mix(sketch)[None, :] >> np.array([[0], [1]], _U) & _U(1)
+        bits = np.packbits(pairs.astype(np.uint8)).view(np.int64)
+        rows = sketch[: BANDS * ROWS].reshape(BANDS, ROWS)
         key = np.arange(1, BANDS + 1, dtype=_U)
         for j in range(ROWS):
             key = _mix(key * _U(0x9E3779B97F4A7C15) + rows[:, j])
-        return key.view(np.int64)
+        return key.view(np.int64), bits
 
 
-def _sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Per row: at (its place in the input), key, digest, n_shingles, bands."""
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([_NONE, *arrays])))
+
+
+def _sketches(docs: DataFrame, key: str, text: str, at) -> DataFrame:
+    """Per row: at (its place in the input), key, digest, n_shingles, bands, bits."""
     rows = docs.select(
-        F.monotonically_increasing_id().alias("at"),
+        at.alias("at"),
         F.col(key).alias("key"),
         F.col(text).cast("binary").alias("text"),
     )
@@ -139,28 +150,30 @@ def _sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
             T.StructField("digest", T.BinaryType()),
             T.StructField("n_shingles", T.LongType()),
             T.StructField("bands", T.ArrayType(T.LongType())),
+            T.StructField("bits", T.ArrayType(T.LongType())),
         ]
     )
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
-            digests, sizes, bands = [], [], []
+            digests, sizes, bands, bits = [], [], [], []
             for body in batch.column("text").to_pylist():
                 words = shingler.normal(body)
                 hashes = shingler.shingles(words)
                 digests.append(shingler.digest(words))
                 sizes.append(len(hashes))
-                bands.append(shingler.bands(hashes) if len(hashes) else np.empty(0, np.int64))
-            ends = np.concatenate(([0], np.cumsum([len(b) for b in bands]))).astype(np.int32)
-            flat = np.concatenate(bands) if bands else np.empty(0, np.int64)
+                found = shingler.candidates(hashes) if len(hashes) else (_NONE, _NONE)
+                bands.append(found[0])
+                bits.append(found[1])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("at"),
                     batch.column("key"),
                     pa.array(digests, pa.binary()),
                     pa.array(sizes, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
+                    _lists(bands),
+                    _lists(bits),
                 ],
                 names=[f.name for f in schema],
             )
@@ -168,11 +181,9 @@ def _sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.mapInArrow(sketch, schema)
 
 
-def _sets(docs: DataFrame, text: str, nodes: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, text: str, at, nodes: DataFrame) -> DataFrame:
     """Full shingle sets of the given nodes (places of rows)."""
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("at"), F.col(text).cast("binary").alias("text")
-    )
+    rows = docs.select(at.alias("at"), F.col(text).cast("binary").alias("text"))
     rows = rows.join(nodes, F.col("at") == F.col("node"), "left_semi")
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,11 +193,8 @@ def _sets(docs: DataFrame, text: str, nodes: DataFrame) -> DataFrame:
                 shingler.shingles(shingler.normal(body)).view(np.int64)
                 for body in batch.column("text").to_pylist()
             ]
-            ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-            flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("at"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                names=["node", "hashes"],
+                [batch.column("at"), _lists(sets)], names=["node", "hashes"]
             )
 
     return rows.mapInArrow(shingle, "node long, hashes array<long>")
@@ -211,13 +219,18 @@ def _ordered(x, y) -> list:
 
 
 def near_duplicates(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    percent: int = PERCENT,
+    row_id: str | None = None,
 ) -> DataFrame:
-    """One row per row of `docs`: at, key, n_shingles, component_id, kept.
+    """One row per row of `docs`: at, key, n_shingles, component_id, kept, root.
 
     component_id is the smallest key that links reach, the own one included; kept tells
-    whether it is the own key. `at` numbers the rows by their place in the input, which
-    must be read from files, as it is scanned twice. Null and wordless texts have no
+    whether it is the own key. `at` is the column `row_id`, unique numbers, or else the row's
+    place in the input, which must be read from files, as it is scanned twice. root is the
+    smallest `at` of a component, null for rows without shingles. Null and wordless texts have no
     shingles and link with nothing; rows of equal words are one class whatever their keys,
     and may share a key. Null keys are larger than any other: a class of null keys alone
     has a null component_id and is kept. An empty table gives no rows.
@@ -228,11 +241,15 @@ def near_duplicates(
     few comparisons a member instead of all its pairs.
     """
     small_batches(docs.sparkSession)
-    rows = stored(_sketches(docs, key, text), "sketches")
+    at = F.col(row_id) if row_id else F.monotonically_increasing_id()
+    rows = stored(_sketches(docs, key, text, at), "sketches")
     classes = rows.where("n_shingles > 0").groupBy("digest")
     classes = stored(
         classes.agg(
-            F.min("at").alias("node"), F.min("key").alias("key"), F.first("bands").alias("bands")
+            F.min("at").alias("node"),
+            F.min("key").alias("key"),
+            F.first("bands").alias("bands"),
+            F.first("bits").alias("bits"),
         ),
         "classes",
     )
@@ -240,7 +257,7 @@ def near_duplicates(
     shared = members.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
     shared = shared.where("lo < hi").select("bucket")
     members = stored(members.join(shared, "bucket", "left_semi"), "members")
-    sets = stored(_sets(docs, text, members.select("node").distinct()), "shingle-sets")
+    sets = stored(_sets(docs, text, at, members.select("node").distinct()), "shingle-sets")
 
     # Pivots: the least number of each bucket after flipping bits, invertible and cheap to sum up.
     masks = [0] + [int(m) for m in np.random.default_rng(7).integers(0, 2**62, PIVOTS - 1)]
@@ -265,22 +282,32 @@ def near_duplicates(
         F.count("*").alias("parts"), F.max_by("root", "n").alias("main")
     )
     mixed = mixed.where("parts > 1").select("bucket", "main")
-    labelled = stored(labelled.join(mixed, "bucket"), "open-buckets")
-    few = labelled.where("root <> main").select(
-        "bucket", F.col("node").alias("x"), F.col("root").alias("x_root")
+    sketch = classes.select("node", "bands", "bits")
+    labelled = labelled.join(mixed, "bucket").join(sketch, "node")
+    labelled = stored(labelled.withColumn("rest", F.col("root") != F.col("main")), "open-buckets")
+    few = labelled.where("rest").select(
+        "bucket", *[F.col(c).alias(f"x_{c}") for c in ("node", "root", "bands", "bits")]
     )
-    rest = labelled.join(few, "bucket").where("root <> x_root")
-    rest = rest.select(*_ordered("node", "x")).distinct().join(tried, ["a", "b"], "left_anti")
+    # Each pair comes up once: in the least of its buckets, and from one side.
+    half = COORDINATES // 64
+    differ = [F.get("bits", i).bitwiseXOR(F.get("x_bits", i)) for i in range(2 * half)]
+    apart = [F.bit_count(x.bitwiseOR(y)) for x, y in zip(differ[:half], differ[half:], strict=True)]
+    once = ~F.col("rest") | (F.col("node") < F.col("x_node"))
+    least = F.array_min(F.array_intersect("bands", "x_bands")) == F.col("x_bucket")
+    meet = (F.col("bucket") == F.col("x_bucket")) & (F.col("root") != F.col("x_root")) & once
+    meet = meet & (sum(apart[1:], apart[0]) <= MOST_APART) & least
+    rest = labelled.join(few.withColumnRenamed("bucket", "x_bucket"), meet)
+    rest = rest.select(*_ordered("node", "x_node")).join(tried, ["a", "b"], "left_anti")
     links = _confirmed(stored(rest, "pairs"), sets, percent)
     stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     roots = components(links.union(stars))
 
-    named = classes.join(roots, "node", "left").select("digest", "key", root)
+    named = classes.drop("bands", "bits").join(roots, "node", "left")
+    named = named.select("digest", "key", root)
     least = named.groupBy("root").agg(F.min("key").alias("component_id"))
-    named = named.select("digest", "root").join(least, "root").select("digest", "component_id")
-    linked = rows.drop("bands").join(
-        named.withColumn("_in", F.lit(True)), "digest", "left"
-    )
-    component = F.when(F.col("_in"), F.col("component_id")).otherwise(F.col("key"))
-    linked = linked.select("at", "key", "n_shingles", component.alias("component_id"))
-    return linked.withColumn("kept", F.col("key").eqNullSafe(F.col("component_id")))
+    named = named.join(least, "root").select("digest", "root", "component_id")
+    linked = rows.drop("bands", "bits").join(named, "digest", "left")
+    component = F.when(F.col("root").isNotNull(), F.col("component_id")).otherwise(F.col("key"))
+    linked = linked.select("at", "key", "n_shingles", component.alias("component_id"), "root")
+    kept = F.col("key").eqNullSafe(F.col("component_id"))
+    return linked.select("at", "key", "n_shingles", "component_id", kept.alias("kept"), "root")
