@@ -4,9 +4,9 @@ A source's target over its size says how often each of its documents is taken on
 the whole part surely, the fraction as an inclusion probability. The flight moves the
 probabilities of three documents at a time along the null space of the constraints (number
 of documents, number of words) until one of them is 0 or 1, so both totals stay as they
-are. It runs in blocks of bounded size; what each block leaves open, two documents at most,
-meets in fewer blocks, until a source has one. That flight ends with a dozen open documents,
-whose landing takes the outcome with the words nearest to the target.
+are. It runs in blocks of bounded size and leaves a dozen documents of each open. Those meet
+in fewer blocks, until a source has one; the landing of its last dozen takes the outcome with
+the words nearest to the target.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from retail_engine.operators.ranking import with_position
 WEIGHTS = (1, 2, 3)
 MOST = 3
 BLOCK = 4000
-#: Documents of a source that the last flight leaves to the landing, which tries all outcomes.
+#: Documents that each flight leaves open, few enough for the landing to try all outcomes.
 LANDING = 12
 _ALMOST = 1e-9
 
@@ -81,16 +81,17 @@ def landing(sizes: np.ndarray, chances: np.ndarray) -> np.ndarray:
     return out
 
 
-def _fly(seed: int, level: int, land: bool):
-    """The flight over one block, in the order of the hashes; `land` for the last of a source."""
+def _fly(seed: int, level: int):
+    """The flight over one block, in the order of the hashes; a source's only block also lands."""
 
     def fly(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = pa.Table.from_batches(list(batches)).combine_chunks()
         block = block.take(pa.array(np.argsort(block["hash"].to_numpy(), kind="stable")))
         place, number = (k.as_py() for k in key)
+        land = block["blocks"][0].as_py() == 1
         sizes, chances = block["size"].to_numpy().astype(float), block["chance"].to_numpy()
         rng = np.random.default_rng([seed, level, place, number])
-        chances = flight(sizes, chances, rng, LANDING if land else 0)
+        chances = flight(sizes, chances, rng, LANDING)
         chances = landing(sizes, chances) if land else chances
         block = block.select(["row_id", "place", "size", "chance", "hash"])
         block = block.set_column(3, "chance", pa.array(chances))
@@ -156,7 +157,7 @@ def mixed(rows: DataFrame, seed: int = 9, weights: tuple[int, ...] = WEIGHTS) ->
         stirred = F.xxhash64(F.lit(len(levels)), "hash")
         dealt = open_units.join(counts, "place").withColumn("block", F.pmod(stirred, "blocks"))
         flown = dealt.groupBy("place", "block").applyInArrow(
-            _fly(seed, len(levels), last), "row_id long, place long, size long, chance double, hash long"
+            _fly(seed, len(levels)), "row_id long, place long, size long, chance double, hash long"
         )
         levels.append(stored(flown, "flight"))
         open_units = levels[-1].where("chance > 0 and chance < 1")

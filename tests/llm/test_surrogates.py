@@ -1,0 +1,92 @@
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import functions as F
+
+from retail_engine.llm import surrogates
+from retail_engine.llm.queries import op10_surrogates
+from retail_engine.llm.surrogates import replaced
+
+FORMS = {
+    "email": r"[\w.]+@[\w-]+\.example\.com",
+    "phone": r"\+1 \(\d{3}\) \d{3}-\d{4}",
+    "ip": r"\b\d+\.\d+\.\d+\.\d+\b",
+    "card": r"\b\d{16}\b",
+    "secret": r"(?i)\b[0-9a-f]{40}\b",
+}
+
+
+def luhn(digits):
+    twice = [sum(divmod(2 * int(d), 10)) for d in digits[-2::-2]]
+    return (sum(map(int, digits[-1::-2])) + sum(twice)) % 10 == 0
+
+
+def test_the_given_documents_hold_no_entity_any_more(spark):
+    folder = "/root/testdata/sf0.01"
+    old = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    new = {r.doc_id: r for r in op10_surrogates(spark, folder).collect()}
+    assert set(new) == set(old)
+    for kind, form in FORMS.items():
+        loose = form.replace(r"\.example\.com", r"\.\w+\.com")
+        given, taken = {}, {}
+        for i, text in old.items():
+            if kind == "email":
+                before, after = re.findall(form, text), re.findall(r"[\w.]+@[\w-]+\.\w+\.com", new[i].text)
+            else:
+                before, after = re.findall(loose, text), re.findall(loose, new[i].text)
+            assert len(before) == len(after)
+            for a, b in zip(before, after, strict=True):
+                if kind == "card" and not luhn(a):
+                    assert a == b
+                    continue
+                assert a != b and (kind != "card" or luhn(b)) and (kind == "ip" or len(a) == len(b))
+                # One entity, one surrogate, and the other way round.
+                assert given.setdefault(a.lower(), b.lower()) == b.lower()
+                assert taken.setdefault(b.lower(), a.lower()) == a.lower()
+        assert given
+    assert all(r.text == old[i] for i, r in new.items() if r.n_mentions == 0)
+
+
+def test_spellings_names_and_scripts(documents):
+    text = (
+        "Dr. John Smith met Mrs Mary Jones. Mr Smith left. Write to A.b+c@X-y.org or a.b+c@x-y.org; "
+        "call (415) 555-1234 or 415-555-1234. Card 4111 1111 1111 1111 is 4111111111111111, "
+        "not 4111111111111112. Госпожа Анна Петрова. IBAN DE89 3702 0044 0532 0130 00."
+    )
+    row = replaced(documents([(1, text, "en", "a")]), "key").first()
+    new = row.record.text
+    assert row.record.kept == "k" and row.n_mentions == 10
+    assert not re.search("Smith|Jones|John|Mary|Петрова|Анна|4111 1111|DE89", new)
+    names = re.search(r"Dr\. (\w+) (\w+) met Mrs (\w+) (\w+)\. Mr (\w+) left", new)
+    assert names[2] == names[5] != names[4]
+    men, women = (surrogates.GIVEN[g, "latin"].split() for g in "mf")
+    assert names[1] in men and names[3] in women
+    assert re.search(r"Госпожа \w+ [а-яА-Я]+\.", new).group(0).split()[1] in surrogates.GIVEN["f", "cyrillic"].split()
+    upper, lower = re.search(r"to (\S+@\S+) or (\S+@\S+);", new).groups()
+    assert upper.lower() == lower and upper != lower and lower.endswith(".org")
+    a, b = re.search(r"call (\(\d{3}\) \d{3}-\d{4}) or (\d{3}-\d{3}-\d{4})", new).groups()
+    assert re.sub(r"\D", "", a) == re.sub(r"\D", "", b) != "4155551234"
+    a, b = re.search(r"Card (\d{4} \d{4} \d{4} \d{4}) is (\d{16}),", new).groups()
+    assert a.replace(" ", "") == b and luhn(b) and "not 4111111111111112" in new
+
+
+def test_key_decides_and_clashes_are_drawn_again(documents):
+    people = [(i, f"Mr {n} Surname{chr(65 + i % 26)}{chr(97 + i // 26)}x", "en", "a")
+              for i, n in enumerate(surrogates.GIVEN["m", "latin"].split() * 20)]
+    docs = documents(people)
+    first = {r.record.doc_id: r.record.text for r in replaced(docs, "one").collect()}
+    names = {}
+    for i, old, *_ in people:
+        assert names.setdefault(old.split()[1], first[i].split()[1]) == first[i].split()[1]
+    # As many given names as the list has, and no two alike.
+    assert len(set(names.values())) == len(names) == 24
+    assert first == {r.record.doc_id: r.record.text for r in replaced(docs, "one").collect()}
+    assert first != {r.record.doc_id: r.record.text for r in replaced(docs, "two").collect()}
+
+
+def test_odd_rows(odd, empty):
+    rows = replaced(odd, "key")
+    same = rows.select("record.*").exceptAll(odd).count() + odd.exceptAll(rows.select("record.*")).count()
+    assert same == 0 and rows.agg(F.sum("n_mentions")).first()[0] == 0
+    assert replaced(empty, "key").count() == 0
