@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,6 +17,8 @@ WORD_BREAK = r"[\x20\x09-\x0D]+"
 
 _BLOCK = 4096
 
+_working: list[list[str]] = []
+
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder name below the one that spark.checkpoint.dir gives.
@@ -22,7 +26,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     Only a local session in which it is unset (tests) gets a folder of its own; a cluster
     without the setting is an error, since its executors share no local folder.
     """
-    base = spark.conf.get(_CHECKPOINT_DIR, None)
+    base = spark.conf.get(_CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError(f"set {_CHECKPOINT_DIR} to a folder that all executors share")
@@ -34,18 +38,32 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """`df` written as a table to the shared folder, to read on from there."""
     path = shared_folder(df.sparkSession, name)
+    if _working:
+        _working[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def working_tables() -> Iterator[list[str]]:
+    """The folders of the tables stored within the block, for delete() once nothing reads them."""
+    _working.append([])
+    try:
+        yield _working[-1]
+    finally:
+        _working.pop()
+
+
+def delete(spark: SparkSession, folders: Iterable[str]) -> None:
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete stored tables that nothing reads any more."""
     for table in tables:
-        jvm = table.sparkSession._jvm
-        conf = table.sparkSession._jsc.hadoopConfiguration()
-        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+        delete(table.sparkSession, {f.rsplit("/", 1)[0] for f in table.inputFiles()})
 
 
 def packed(docs: DataFrame, name: str = "record"):

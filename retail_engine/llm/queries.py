@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from retail_engine.llm import licenses, minhash, mixing, neighbours, outliers, packing, quality, sharding, surrogates, warc
 from retail_engine.llm.common import numbered
+from retail_engine.llm.stages import words_in
 
 
 #: Key of the surrogates in the queries; a real corpus brings a secret of its own.
@@ -91,7 +92,7 @@ def op8_gzip_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_balanced_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words that a mix of the sources takes of each document."""
     docs = _table(spark, sf_dir, "documents")
-    size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    size = words_in("text")
     rows = numbered(docs.select(F.col("doc_id").alias("key"), "source", size.alias("size")))
     taken = (F.col("copies") * F.col("size")).alias("taken")
     names = ["size", "source_size", "target"]
@@ -119,6 +120,49 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_nn_descent": """
+        WITH RECURSIVE linked AS (
+            SELECT a.vec_id AS x, b.vec_id AS y
+            FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id
+            WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.93
+        ), reach AS (
+            SELECT vec_id AS x, vec_id AS y FROM embeddings
+            UNION
+            SELECT reach.x, linked.y FROM reach JOIN linked ON reach.y = linked.x
+        ), counts AS (SELECT x, count(*) AS n FROM linked GROUP BY x)
+        SELECT reach.x AS vec_id, coalesce(any_value(n), 0)::BIGINT AS n_links,
+            min(y) AS component_id, reach.x = min(y) AS kept
+        FROM reach LEFT JOIN counts ON counts.x = reach.x GROUP BY reach.x
+    """,
+    "op5_fast_similarity_sketch": """
+        WITH RECURSIVE split AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words
+            FROM documents
+        ), shingles AS (
+            SELECT DISTINCT doc_id, unnest(CASE
+                WHEN len(words) = 0 THEN []
+                WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+                ELSE list_transform(range(1, len(words) - 3),
+                    lambda i: array_to_string(words[i:i + 4], ' ')) END) AS s
+            FROM split
+        ), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        common AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k
+            FROM shingles a JOIN shingles b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY ALL
+        ), linked AS (
+            SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+            WHERE 100 * k >= 75 * (p.n + q.n - k)
+        ), reach AS (
+            SELECT doc_id AS x, doc_id AS y FROM documents
+            UNION
+            SELECT reach.x, linked.y FROM reach JOIN linked ON reach.y = linked.x
+        )
+        SELECT x AS doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles,
+            min(y) AS component_id, x = min(y) AS kept
+        FROM reach LEFT JOIN sizes ON sizes.doc_id = x GROUP BY x
+    """,
     # DuckDB gives SHA-1 in hex; base32 takes the 160 bits in 32 groups of five.
     "op8_gzip_normaliser": """
         WITH body AS (
