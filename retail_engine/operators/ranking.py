@@ -13,23 +13,21 @@ from retail_engine.session import checkpointed
 # monotonically_increasing_id() keeps the row index of a partition in its lower 33 bits.
 _INDEX_BITS = 33
 
-# Largest group one task may sort by itself.
-GROUP_LIMIT = 10_000_000
-# Rows looked at to tell whether there is a larger one.
-_SAMPLED_ROWS = 50_000_000
 
-
-def with_position(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
-    """Add `name`, the 1-based position of each row in `order`, which must be a unique key.
+def with_position(
+    df: DataFrame, order: Sequence[Column], name: str, keep: Sequence[str] | None = None
+) -> DataFrame:
+    """Add `name`, the 1-based position of each row in `order`, a key that only equal rows share.
 
     Rows are range-partitioned on the whole key, so equal leading values spread over tasks.
     The tagged rows are checkpointed because the range bounds come from a sample: counting
-    and numbering must see the same partitions, also after a lost executor.
+    and numbering must see the same partitions, also after a lost executor. Only the columns
+    in `keep`, by default all, are carried on from there.
     """
     tagged = checkpointed(
         df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
-        .withColumn("_slot", F.monotonically_increasing_id())
+        .select(*(keep or df.columns), F.monotonically_increasing_id().alias("_slot"))
     )
     part = F.shiftright("_slot", _INDEX_BITS)
     sizes = tagged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
@@ -46,48 +44,6 @@ def with_position(df: DataFrame, order: Sequence[Column], name: str) -> DataFram
     )
 
 
-def _groups_fit(df: DataFrame, group: Sequence[str], limit: int) -> bool:
-    """Whether no group has more than `limit` rows.
-
-    A table of no more rows needs no closer look. In a larger one a sample tells, in which a
-    group near the limit still has hundreds of rows.
-    """
-    rows = df.count()
-    if rows <= limit:
-        return True
-    fraction = min(1.0, _SAMPLED_ROWS / rows)
-    sizes = df.select(*group).sample(fraction).groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.max("n")).first()[0] <= limit * fraction
-
-
-def with_position_in_group(
-    df: DataFrame,
-    group: Sequence[str],
-    order: Sequence[str],
-    name: str,
-    group_limit: int = GROUP_LIMIT,
-) -> DataFrame:
-    """Add `name`, the 1-based position of each row in its group by ascending `order`.
-
-    A window is enough while the largest group fits one task. Beyond `group_limit` rows the
-    groups are cut across tasks: position in the whole table minus the start of the group.
-    Both ways give the same positions, so an estimate may choose between them.
-    """
-    if _groups_fit(df, group, group_limit):
-        window = Window.partitionBy(*group).orderBy(*order)
-        return df.withColumn(name, F.row_number().over(window).cast("bigint"))
-    placed = with_position(df, [F.asc(c) for c in (*group, *order)], "_place")
-    starts = placed.groupBy(*(F.col(c).alias(f"_of_{c}") for c in group)).agg(
-        (F.min("_place") - 1).alias("_before")
-    )
-    same_group = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in group]
-    return (
-        placed.join(starts, same_group)
-        .withColumn(name, F.col("_place") - F.col("_before"))
-        .select(*df.columns, name)
-    )
-
-
 def badge(rank: str) -> Column:
     """The first three ranks carry their number, all others `default`."""
     return F.when(F.col(rank) <= 3, F.col(rank).cast("string")).otherwise("default")
@@ -99,9 +55,13 @@ def ranked_by_revenue(report: DataFrame, tie_break: Sequence[str]) -> DataFrame:
     return with_position(report, order, "rank").withColumn("badge", badge("rank"))
 
 
-def next_ids(new: DataFrame, existing: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
-    """Number `new` rows in `order` on from the largest `key` in `existing` (0 when empty)."""
-    last = existing.agg(F.coalesce(F.max(key), F.lit(0)).cast("bigint")).first()[0]
+def largest_id(existing: DataFrame, key: str) -> int:
+    """The largest `key` of a table, 0 when it is empty."""
+    return existing.agg(F.coalesce(F.max(key), F.lit(0)).cast("bigint")).first()[0]
+
+
+def next_ids(new: DataFrame, last: int, key: str, order: Sequence[Column]) -> DataFrame:
+    """Number `new` rows in `order` on from the id `last`."""
     placed = with_position(new, order, "_place")
     columns = [c for c in new.columns if c != key]
     return placed.select((F.col("_place") + F.lit(last)).alias(key), *columns)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from retail_engine.operators.ranking import with_position_in_group
+from retail_engine.operators.ranking import with_position
 
 _SCHEMAS = {
     "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
@@ -21,11 +22,13 @@ _SCHEMAS = {
     "value DOUBLE, props STRING",
 }
 
-_LINE = ("l_orderkey", "l_linenumber")
-_REST_OF_LINE = (
-    "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
-    "l_returnflag", "l_linestatus", "l_shipdate",
+# All columns of a line, in the order that numbers the lines.
+_LINE_ORDER = (
+    "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+    "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
 )
+# Those that anything reads once the lines are numbered.
+_LINE_READ = ("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag")
 
 _NO_TIMES = (
     "CAST(NULL AS TIMESTAMP_NTZ) AS created_at",
@@ -100,12 +103,10 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The given lines with `order_item_id`, which needs a position among the rows of one
-    order line."""
+    """The given lines with `order_item_id`, their position in the order of all columns."""
     lines = given(spark, sf_dir, "lineitem")
-    return with_position_in_group(lines, _LINE, _REST_OF_LINE, "n").selectExpr(
-        "*", "l_orderkey * 10000 + l_linenumber * 100 + n AS order_item_id"
-    )
+    order = [F.asc_nulls_last(c) for c in _LINE_ORDER]
+    return with_position(lines, order, "order_item_id", keep=_LINE_READ)
 
 
 def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,12 @@
 from __future__ import annotations
 
+import inspect
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from retail_engine.operators import ranking
+from retail_engine.sources import driver_tables
 
 
 def test_positions_follow_the_order(spark):
@@ -25,30 +26,30 @@ def test_equal_leading_values_spread_over_tasks(spark):
     assert max(r["count"] for r in placed) < 20000
 
 
-@pytest.mark.parametrize("limit", [10_000, 0])
-def test_positions_in_groups(spark, limit):
-    """The window and the path for groups too large for one task agree."""
-    rng = random.Random(6)
-    rows = [(1 if rng.random() < 0.4 else rng.randrange(50), rng.randrange(3), i) for i in range(3000)]
-    df = spark.createDataFrame(rows, "g bigint, a bigint, b bigint")
-    found = ranking.with_position_in_group(df, ["g"], ["a", "b"], "n", group_limit=limit)
-    expected = set()
-    for group in {r[0] for r in rows}:
-        members = sorted(r for r in rows if r[0] == group)
-        expected |= {(*r, n) for n, r in enumerate(members, 1)}
-    assert {tuple(r) for r in found.collect()} == expected
+def test_rows_that_share_the_key_of_a_line_all_get_their_own_id(spark, tmp_path):
+    """150 rows on each of two line numbers of one order: 300 ids, in the order of all columns."""
+    lines = spark.range(300).selectExpr(
+        "1L AS l_orderkey", "2L AS l_partkey", "id AS l_suppkey",
+        "CAST(1 + id % 2 AS INT) AS l_linenumber", "1.0D AS l_quantity",
+        "2.0D AS l_extendedprice", "0.0D AS l_discount", "0.0D AS l_tax", "'N' AS l_returnflag",
+        "'O' AS l_linestatus", "TIMESTAMP_NTZ '2000-01-01 00:00:00' AS l_shipdate",
+    )
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = driver_tables.order_items(spark, str(tmp_path)).collect()
+    assert sorted(r.order_item_id for r in found) == list(range(1, 301))
 
 
-def test_positions_in_null_group(spark):
-    df = spark.createDataFrame([(None, 2), (None, 1), (3, 1)], "g bigint, a bigint")
-    found = ranking.with_position_in_group(df, ["g"], ["a"], "n", group_limit=0)
-    assert {tuple(r) for r in found.collect()} == {(None, 1, 1), (None, 2, 2), (3, 1, 1)}
+def test_numbering_needs_no_count_and_no_sample_of_its_own():
+    source = inspect.getsource(ranking)
+    assert ".count()" not in source and ".sample(" not in source
 
 
 def test_ids_go_on_from_the_last_one(spark):
     new = spark.createDataFrame([(30, "c"), (10, "a"), (20, "b")], "request_seq bigint, name string")
     old = spark.createDataFrame([(7,), (4,)], "customer_id bigint")
-    found = ranking.next_ids(new, old, "customer_id", [F.asc("request_seq")])
+    last = ranking.largest_id(old, "customer_id")
+    found = ranking.next_ids(new, last, "customer_id", [F.asc("request_seq")])
     assert {(r.customer_id, r.name) for r in found.collect()} == {(8, "a"), (9, "b"), (10, "c")}
-    first = ranking.next_ids(new, old.limit(0), "customer_id", [F.asc("request_seq")])
+    none = ranking.largest_id(old.limit(0), "customer_id")
+    first = ranking.next_ids(new, none, "customer_id", [F.asc("request_seq")])
     assert sorted(r.customer_id for r in first.collect()) == [1, 2, 3]
