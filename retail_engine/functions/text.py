@@ -21,8 +21,16 @@ _LEADING_NUMBER = rf"\A{SPACE}*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
 _WHOLE = rf"\A{SPACE}*\+?(\d+)(?:\.0*)?{SPACE}*\z"
 # Text that starts like a calendar date; a bare time of day is not one.
 _DATE_LIKE = rf"\A{SPACE}*\d{{4}}"
-# Other spellings of a date, tried in this order.
-_DATE_FORMATS = ("MMM d, yyyy", "MMMM d, yyyy", "M/d/yyyy", "yyyy/M/d")
+# Other spellings of a date, tried in this order, each also with a time of day.
+_DATES = (
+    "MMM d, yyyy", "MMMM d, yyyy", "MMM d yyyy", "MMMM d yyyy", "d MMM yyyy", "d MMMM yyyy",
+    "M/d/yyyy", "yyyy/M/d",
+)
+_DATE_FORMATS = tuple(
+    day + time for day in _DATES for time in ("[ H:mm[:ss]]", " h:mm[:ss] a")
+)
+# A day of the week says nothing that the date does not.
+_WEEKDAY = rf"\A{SPACE}*(?i:sun|mon|tue|wed|thu|fri|sat)[a-z]*,?{SPACE}+"
 
 
 def trimmed(text: str) -> Column:
@@ -40,10 +48,20 @@ def phone_or_null(text: str) -> Column:
     return F.when(F.col(text) != "", trimmed(text))
 
 
+def number_text(text: str) -> Column:
+    """The number a text starts with, as it is written, or NULL."""
+    return F.nullif(F.regexp_extract(F.col(text), _LEADING_NUMBER, 1), F.lit(""))
+
+
+def below_zero(number: str) -> Column:
+    """Whether a written number is negative, however small it is; -0 is not."""
+    return F.col(number).rlike(r"\A-[0.]*[1-9]")
+
+
 def leading_number(text: str) -> Column:
-    """The number a text starts with, exact, or NULL."""
-    digits = F.regexp_extract(F.col(text), _LEADING_NUMBER, 1)
-    return F.nullif(digits, F.lit("")).try_cast("decimal(38,10)")
+    """The number a text starts with, rounded to ten places; NULL when there is none or it is
+    too large."""
+    return number_text(text).try_cast("decimal(38,10)")
 
 
 def whole_quantity(text: str) -> Column:
@@ -55,5 +73,6 @@ def whole_quantity(text: str) -> Column:
 def parsed_time(text: str) -> Column:
     """The time a text names, or NULL."""
     iso = F.when(F.col(text).rlike(_DATE_LIKE), F.col(text).try_cast("timestamp"))
-    others = [F.try_to_timestamp(F.col(text), F.lit(f)) for f in _DATE_FORMATS]
+    date = F.regexp_replace(F.col(text), _WEEKDAY, "")
+    others = [F.try_to_timestamp(date, F.lit(f)) for f in _DATE_FORMATS]
     return F.coalesce(iso, *others)

@@ -1,27 +1,50 @@
 """Intake as jobs: requests in, rows of the operational tables and rejections out.
 
-Ids go on from the largest one in the table, in the order of the requests. A judged batch
-is checkpointed, since its ids, rows and rejections have to agree on what was accepted.
+Ids go on from the last one of the table, in the order of the requests. A judged batch is
+checkpointed, since its ids, rows and rejections have to agree on what was accepted.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
+from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from retail_engine.operators import intake, ranking
-from retail_engine.schemas import OPERATIONAL, conform
-from retail_engine.session import checkpointed
+from retail_engine.schemas import OPERATIONAL, PRIMARY_KEY, conform
+from retail_engine.session import checkpointed, remove, working_tables
+from retail_engine.sources import snapshots
+
+Tables = dict[str, DataFrame]
 
 
 @dataclass(frozen=True)
 class Outcome:
-    """New rows by operational table, and the rejected requests with their reasons."""
+    """New rows by operational table, and the rejected requests with their reasons.
+
+    `working` names the folders of the tables that both are read from, until discard().
+    """
 
-    rows: dict[str, DataFrame]
+    rows: Tables
     rejected: DataFrame
+    working: list[str] = field(default_factory=list)
+
+    def discard(self) -> None:
+        """Remove the working tables; the rows and rejections cannot be read any more."""
+        remove(self.rejected.sparkSession, self.working)
+
+
+def _outcome(take: Callable[..., Outcome]) -> Callable[..., Outcome]:
+    def taken(*args, **kwargs) -> Outcome:
+        with working_tables() as folders:
+            found = take(*args, **kwargs)
+        return Outcome(found.rows, found.rejected, folders)
+
+    taken.__doc__ = take.__doc__
+    return taken
 
 
 def _created(new: DataFrame, table: str, as_of: str) -> DataFrame:
@@ -30,40 +53,54 @@ def _created(new: DataFrame, table: str, as_of: str) -> DataFrame:
     return conform(new.withColumns({"created_at": stamp, "updated_at": stamp}), OPERATIONAL[table])
 
 
-def take_customers(requests: DataFrame, existing: DataFrame, as_of: str) -> Outcome:
+def _numbered(
+    new: DataFrame, table: str, tables: Tables, last: dict[str, int] | None, *order: str
+) -> DataFrame:
+    """`new` with ids after the last one, which is looked up in the table unless given."""
+    key = PRIMARY_KEY[table]
+    known = ranking.largest_id(tables[table], key) if last is None else last[table]
+    return ranking.next_ids(new, known, key, [F.asc(c) for c in order])
+
+
+@_outcome
+def take_customers(
+    requests: DataFrame, existing: DataFrame, as_of: str, last: dict[str, int] | None = None
+) -> Outcome:
+    """New customers; `last` has the last id given in each table, if that is known."""
     judged = checkpointed(intake.validate_customers(requests, existing))
     new = intake.clean_customers(intake.accepted(judged))
-    numbered = ranking.next_ids(new, existing, "customer_id", [F.asc("request_seq")])
-    return Outcome(
-        {"customers": _created(numbered, "customers", as_of)}, intake.rejected(judged)
-    )
+    new = _numbered(new, "customers", {"customers": existing}, last, "request_seq")
+    return Outcome({"customers": _created(new, "customers", as_of)}, intake.rejected(judged))
 
 
-def take_products(requests: DataFrame, existing: DataFrame, as_of: str) -> Outcome:
+@_outcome
+def take_products(
+    requests: DataFrame, existing: DataFrame, as_of: str, last: dict[str, int] | None = None
+) -> Outcome:
+    """New products; `last` as for customers."""
     judged = checkpointed(intake.validate_products(requests, existing))
     new = intake.clean_products(intake.accepted(judged))
-    numbered = ranking.next_ids(new, existing, "product_id", [F.asc("request_seq")])
-    return Outcome({"products": _created(numbered, "products", as_of)}, intake.rejected(judged))
+    new = _numbered(new, "products", {"products": existing}, last, "request_seq")
+    return Outcome({"products": _created(new, "products", as_of)}, intake.rejected(judged))
 
 
+@_outcome
 def take_orders(
     headers: DataFrame,
     lines: DataFrame,
-    tables: dict[str, DataFrame],
+    tables: Tables,
     as_of: str,
+    last: dict[str, int] | None = None,
 ) -> Outcome:
-    """Orders and their items, priced from the catalogue in `tables`."""
-    customers, products = tables["customers"], tables["products"]
-    judged = checkpointed(intake.validate_orders(headers, lines, customers, products))
-    new_orders = ranking.next_ids(
-        intake.accepted_orders(judged, as_of), tables["orders"], "order_id", [F.asc("request_seq")]
-    )
-    new_lines = intake.accepted_lines(judged, lines, products).join(
+    """Orders and their items, priced once from the catalogue in `tables`."""
+    priced = checkpointed(intake.priced_lines(lines, tables["products"]))
+    judged = checkpointed(intake.validate_orders(headers, priced, tables["customers"]))
+    new = intake.accepted_orders(judged, as_of)
+    new_orders = _numbered(new, "orders", tables, last, "request_seq")
+    new_lines = intake.accepted_lines(judged, priced).join(
         new_orders.select("request_seq", "order_id"), "request_seq"
     )
-    new_items = ranking.next_ids(
-        new_lines, tables["order_items"], "order_item_id", [F.asc("order_id"), F.asc("pos")]
-    )
+    new_items = _numbered(new_lines, "order_items", tables, last, "order_id", "pos")
     return Outcome(
         {
             "orders": _created(new_orders, "orders", as_of),
@@ -71,3 +108,21 @@ def take_orders(
         },
         intake.rejected(judged),
     )
+
+
+def run(
+    spark: SparkSession, root: str, kind: str, requests: DataFrame, batch_id: str, at: datetime
+) -> Row:
+    """Take in a batch of `kind` on top of the tables under `root` and commit it as a whole."""
+    tables, last = snapshots.current_tables(spark, root), snapshots.last_ids(spark, root)
+    as_of = f"{at:%Y-%m-%d %H:%M:%S}"
+    if kind == "orders":
+        headers, lines = intake.split_requests(requests)
+        outcome = take_orders(headers, lines, tables, as_of, last)
+    else:
+        take = {"customers": take_customers, "products": take_products}[kind]
+        outcome = take(requests, tables[kind], as_of, last)
+    try:
+        return snapshots.commit_batch(spark, root, batch_id, at, outcome.rows, outcome.rejected)
+    finally:
+        outcome.discard()

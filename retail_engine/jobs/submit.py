@@ -2,18 +2,21 @@
 
     submit.py run    --root ROOT --run-id ID (--tables FOLDER | --jdbc-url URL [--jdbc-option K=V])
     submit.py report --root ROOT --name NAME --out PATH
+    submit.py intake --root ROOT --batch-id ID --kind KIND --requests PATH [--as-of TIME]
 """
 
 from __future__ import annotations
 
 import argparse
 from collections.abc import Callable, Sequence
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
+from retail_engine.jobs import intake as intake_jobs
 from retail_engine.jobs import warehouse
 from retail_engine.operators import display, reports
-from retail_engine.schemas import OPERATIONAL
+from retail_engine.schemas import OPERATIONAL, REQUESTS
 from retail_engine.session import tune
 from retail_engine.sources import jdbc, snapshots
 
@@ -63,6 +66,12 @@ def _arguments(argv: Sequence[str] | None) -> argparse.Namespace:
     report.add_argument("--root", required=True)
     report.add_argument("--name", required=True, choices=sorted({**REPORTS, **LISTS}))
     report.add_argument("--out", required=True)
+    intake = commands.add_parser("intake", help="take in a batch of requests (JSON lines)")
+    intake.add_argument("--root", required=True)
+    intake.add_argument("--batch-id", required=True)
+    intake.add_argument("--kind", required=True, choices=sorted(REQUESTS))
+    intake.add_argument("--requests", required=True)
+    intake.add_argument("--as-of", type=datetime.fromisoformat, help="default: now, UTC")
     return parser.parse_args(argv)
 
 
@@ -77,6 +86,14 @@ def main(argv: Sequence[str] | None = None) -> None:
         display.write_json(rows, args.out)
         return
 
+    if args.command == "intake":
+        asked = spark.read.schema(REQUESTS[args.kind]).json(args.requests)
+        at = args.as_of or datetime.now(UTC)
+        row = intake_jobs.run(spark, args.root, args.kind, asked, args.batch_id, at)
+        for table, rows in row.row_counts.items():
+            print(f"{table}: {rows} rows")
+        return
+
     def read(table: str) -> DataFrame:
         if args.tables:
             return spark.read.schema(OPERATIONAL[table]).parquet(f"{args.tables}/{table}")

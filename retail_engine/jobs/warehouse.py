@@ -9,25 +9,18 @@ from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, Row, SparkSession
 
-from retail_engine.operators import star
-from retail_engine.schemas import OPERATIONAL
+from retail_engine.operators import runs, star
+from retail_engine.schemas import OPERATIONAL, RUNS, STEPS
 from retail_engine.sources import snapshots
 
 
 class RunFailed(Exception):
-    """A run ended early; `step` says where."""
+    """A run ended early; `step` names the step that failed, or all that did."""
 
-    def __init__(self, step: str, cause: Exception) -> None:
-        super().__init__(f"{step}: {cause}")
-        self.step = step
-
-
-@contextmanager
-def _step(name: str) -> Iterator[None]:
-    try:
-        yield
-    except Exception as error:
-        raise RunFailed(name, error) from error
+    def __init__(self, failures: list[tuple[str, Exception]]) -> None:
+        super().__init__("; ".join(f"{step}: {cause}" for step, cause in failures))
+        self.step = ", ".join(step for step, _ in failures)
+        self.message = "; ".join(str(cause) for _, cause in failures)
 
 
 def _now() -> datetime:
@@ -43,53 +36,64 @@ def run(
 ) -> dict[str, int]:
     """Run once and return the row count of each table.
 
-    `read(table)` gives an operational table. A failed step is recorded with its name and
-    raised; the version published before stays the one readers get.
+    `read(table)` gives an operational table. Failed steps are recorded with their names and
+    raised, and the counts of what went well beside them; the version published before stays
+    the one readers get.
     """
     started = now()
-    counts: dict[str, int] = {}
+    steps = [Row(step="start", at=started, message=None, table_name=None, row_count=None)]
 
-    def land(table: str) -> Row:
-        with _step(f"land {table}"):
+    def land(table: str) -> Row | Exception:
+        try:
             return snapshots.land(read(table), root, table, run_id, started.date(), now())
+        except Exception as error:  # noqa: BLE001  kept until all tables have ended
+            return error
+
+    def done(step: str, table: str | None = None, rows: int | None = None) -> None:
+        steps.append(Row(step=step, at=now(), message=None, table_name=table, row_count=rows))
 
     try:
         # Independent writes, submitted together so that small tables fill idle cores.
         with ThreadPoolExecutor(len(OPERATIONAL)) as pool:
-            landed = list(pool.map(land, OPERATIONAL))
-        counts |= {row.table_name: row.row_count for row in landed}
+            landed = dict(zip(OPERATIONAL, pool.map(land, OPERATIONAL), strict=True))
+        failures = []
+        for table, outcome in landed.items():
+            if isinstance(outcome, Exception):
+                failures.append((f"land {table}", outcome))
+            else:
+                done(f"land {table}", table, outcome.row_count)
+        if failures:
+            raise RunFailed(failures) from failures[0][1]
         with _step("record snapshots"):
-            snapshots.record(spark, root, landed)
+            snapshots.record(spark, root, list(landed.values()))
         with _step("build warehouse"):
             tables = snapshots.run_tables(spark, root, run_id)
             built = snapshots.write_version(star.build(tables), root, run_id)
-        counts |= built
+        for table, rows in built.items():
+            done("build warehouse", table, rows)
         with _step("publish"):
             snapshots.publish(spark, root, run_id, now(), built)
+        done("publish")
     except RunFailed as failure:
-        error = Row(step=failure.step, message=str(failure.__cause__))
-        _finish(spark, root, run_id, "failed", started, now(), error, counts)
+        failed = Row(
+            step=failure.step, at=now(), message=failure.message, table_name=None, row_count=None
+        )
+        steps.append(failed)
+        _finish(spark, root, run_id, steps)
         raise
-    _finish(spark, root, run_id, "success", started, now(), None, counts)
-    return counts
+    _finish(spark, root, run_id, steps)
+    return {s.table_name: s.row_count for s in steps if s.table_name}
 
 
-def _finish(
-    spark: SparkSession,
-    root: str,
-    run_id: str,
-    status: str,
-    started: datetime,
-    completed: datetime,
-    error: Row | None,
-    counts: dict[str, int],
-) -> None:
-    row = Row(
-        run_id=run_id,
-        status=status,
-        started_at=started,
-        completed_at=completed,
-        error=error,
-        row_counts=counts,
-    )
-    snapshots.add_run(spark, root, row)
+@contextmanager
+def _step(name: str) -> Iterator[None]:
+    try:
+        yield
+    except Exception as error:
+        raise RunFailed([(name, error)]) from error
+
+
+def _finish(spark: SparkSession, root: str, run_id: str, steps: list[Row]) -> None:
+    rows = [Row(run_id=run_id, step_no=i, **s.asDict()) for i, s in enumerate(steps)]
+    history = runs.run_history(spark.createDataFrame(rows, STEPS))
+    snapshots.add_run(spark, root, history.select(*RUNS.names).first())

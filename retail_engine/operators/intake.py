@@ -122,6 +122,16 @@ def _any(rules: list[Rule]) -> Column:
     return reduce(or_, (rule.broken for rule in rules))
 
 
+def _asked_for(stored: DataFrame, key: str, batch: DataFrame, asked: str) -> DataFrame:
+    """The rows of a stored table whose key the batch asks for.
+
+    What follows then costs as much as the batch: a small batch is the side that is sent to
+    all tasks, and the stored table is not shuffled.
+    """
+    keys = batch.select(F.col(asked).alias("_asked")).distinct()
+    return stored.join(keys, F.col(key) == F.col("_asked"), "left_semi")
+
+
 def _judged_with_owner(
     requests: DataFrame,
     own: list[Rule],
@@ -143,7 +153,11 @@ def _judged_with_owner(
     claim = F.when(~_any(rules), F.col("request_seq").cast("bigint"))
     claims = (
         marked.select(f"_{key}", claim.alias("_owner"))
-        .unionAll(existing.select(key, F.lit(_ALREADY_THERE)))
+        .unionAll(
+            _asked_for(existing.select(key), key, marked, f"_{key}").select(
+                key, F.lit(_ALREADY_THERE)
+            )
+        )
         .groupBy(f"_{key}")
         .agg(F.min("_owner").alias("_owner"))
     )
@@ -179,20 +193,20 @@ def clean_customers(customers: DataFrame) -> DataFrame:
 
 def validate_products(requests: DataFrame, existing: DataFrame) -> DataFrame:
     """`requests`: request_seq, name, sku, category, price (text)."""
-    number = F.col("_number")
+    written, number = F.col("_written"), F.col("_number")
     own = [
         Rule("name_required", _missing("name")),
         Rule("sku_required", _missing("sku")),
         Rule("category_required", _missing("category")),
         Rule("price_required", F.col("price").isNull()),
-        Rule("price_invalid", number.isNull() | (number < 0)),
+        Rule("price_invalid", written.isNull() | text.below_zero("_written")),
     ]
     limits = [
         Rule("too_long", _too_long(PRODUCT_LENGTHS)),
-        Rule("out_of_range", number.isNotNull() & number.try_cast(PRICE_TYPE).isNull()),
+        Rule("out_of_range", written.isNotNull() & number.try_cast(PRICE_TYPE).isNull()),
     ]
-    read = _with_trimmed(requests, PRODUCT_LENGTHS).withColumn(
-        "_number", text.leading_number("price")
+    read = _with_trimmed(requests, PRODUCT_LENGTHS).withColumns(
+        {"_written": text.number_text("price"), "_number": text.leading_number("price")}
     )
     result = _judged_with_owner(read, own, limits, existing, "sku", "sku_taken")
     return result.select(*requests.columns, *RULING)
@@ -243,6 +257,7 @@ def priced_lines(lines: DataFrame, products: DataFrame) -> DataFrame:
     A price sent by the client is never looked at.
     """
     catalogue = products.select("product_id", F.col("price").alias("unit_price"))
+    catalogue = _asked_for(catalogue, "product_id", lines, "product_id")
     return (
         lines.select("request_seq", "pos", "product_id", "quantity")
         .join(catalogue, "product_id", "left")
@@ -254,17 +269,15 @@ def priced_lines(lines: DataFrame, products: DataFrame) -> DataFrame:
     )
 
 
-def validate_orders(
-    headers: DataFrame, lines: DataFrame, customers: DataFrame, products: DataFrame
-) -> DataFrame:
-    """`headers`: request_seq, customer_id, order_date (text), status; `lines`: request_seq,
-    pos, product_id, quantity (text). One bad line rejects the whole order.
+def validate_orders(headers: DataFrame, priced: DataFrame, customers: DataFrame) -> DataFrame:
+    """`headers`: request_seq, customer_id, order_date (text), status; `priced`: the lines as
+    priced_lines gives them, best stored, as they are read twice. One bad line rejects the
+    whole order.
 
     Lines shrink to one row per order: the first position of each kind of fault, as plain
     minima that combine on the map side. `order_date` comes back parsed, `status` with its
     default, with `item_count` and `total_amount` beside them.
     """
-    priced = priced_lines(lines, products)
     pos, quantity, subtotal = F.col("pos"), F.col("quantity"), F.col("subtotal")
     fault = {
         "required": _no_product(),
@@ -293,14 +306,15 @@ def validate_orders(
         ).alias("_large"),
     )
     repeats = (
-        duplicate_lines(lines)
+        duplicate_lines(priced)
         .groupBy("request_seq")
         .agg(
             F.min("pos").alias("_repeated_pos"),
             F.min_by("product_id", "pos").alias("_repeated_id"),
         )
     )
-    known = customers.select(F.col("customer_id"), F.lit(True).alias("_known")).distinct()
+    known = _asked_for(customers.select("customer_id"), "customer_id", headers, "customer_id")
+    known = known.distinct().withColumn("_known", F.lit(True))
     facts = (
         headers.join(per_order, "request_seq", "left")
         .join(repeats, "request_seq", "left")
@@ -346,10 +360,10 @@ def accepted_orders(validated: DataFrame, as_of: str) -> DataFrame:
     )
 
 
-def accepted_lines(validated: DataFrame, lines: DataFrame, products: DataFrame) -> DataFrame:
+def accepted_lines(validated: DataFrame, priced: DataFrame) -> DataFrame:
     """Priced lines of accepted orders; no line of a rejected order gets through."""
     good = accepted(validated).select("request_seq")
-    return priced_lines(lines.join(good, "request_seq", "left_semi"), products)
+    return priced.join(good, "request_seq", "left_semi")
 
 
 def order_quote(lines: DataFrame, products: DataFrame) -> DataFrame:

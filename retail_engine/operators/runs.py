@@ -59,6 +59,46 @@ def latest_complete_run(
     )
 
 
+def run_history(steps: DataFrame) -> DataFrame:
+    """One row per run out of the outcomes of its steps, as the run history keeps them.
+
+    `steps`: run_id, step_no, step, at, message (NULL when the step went well), table_name and
+    row_count (NULL for steps that count nothing). A run failed when its last step did; rows
+    that a table counted before are kept. Counts shrink to one row per run and table, then to
+    one map per run.
+    """
+    counted = (
+        steps.filter("table_name IS NOT NULL")
+        .groupBy("run_id", "table_name")
+        .agg(F.sum("row_count").alias("row_count"))
+        .groupBy("run_id")
+        .agg(
+            F.map_from_entries(F.collect_list(F.struct("table_name", "row_count"))).alias(
+                "row_counts"
+            )
+        )
+    )
+    error = F.when(F.col("message").isNotNull(), F.struct("step", "message"))
+    none = F.create_map().cast("map<string,bigint>")
+    return (
+        steps.groupBy("run_id")
+        .agg(
+            F.min("at").alias("started_at"),
+            F.max("at").alias("completed_at"),
+            F.max_by(F.struct(error.alias("error")), "step_no").alias("_last"),
+        )
+        .join(counted, "run_id", "left")
+        .select(
+            "run_id",
+            F.when(F.col("_last.error").isNull(), "success").otherwise("failed").alias("status"),
+            "started_at",
+            "completed_at",
+            F.col("_last.error").alias("error"),
+            F.coalesce("row_counts", none).alias("row_counts"),
+        )
+    )
+
+
 def last_successful_run(history: DataFrame) -> DataFrame:
     """One row: when the last successful run completed (NULL when none did)."""
     return history.filter(F.col("status") == "success").agg(

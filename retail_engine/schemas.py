@@ -99,6 +99,16 @@ MANIFEST = struct(
     committed_at=_TIME,
     path=_TEXT,
     row_count=_COUNT,
+    largest_id=_ID,
+)
+
+# One row per committed intake batch: where its rows and rejections are, by table.
+BATCHES = struct(
+    batch_id=_TEXT,
+    committed_at=_TIME,
+    paths=MapType(_TEXT, _TEXT),
+    row_counts=MapType(_TEXT, _COUNT),
+    largest_ids=MapType(_TEXT, _ID),
 )
 
 # One row per published warehouse version.
@@ -116,6 +126,17 @@ RUNS = struct(
     row_counts=MapType(_TEXT, _COUNT),
 )
 
+# One row per step of a run, as it ended.
+STEPS = struct(
+    run_id=_TEXT,
+    step_no=_COUNT,
+    step=_TEXT,
+    at=_TIME,
+    message=_TEXT,
+    table_name=_TEXT,
+    row_count=_COUNT,
+)
+
 # A batch of order requests with their items nested, as a web client sends them.
 ORDER_REQUEST = struct(
     request_seq=_ID,
@@ -125,6 +146,15 @@ ORDER_REQUEST = struct(
     items=ArrayType(struct(product_id=_ID, quantity=_TEXT)),
 )
 
+# What a request of each kind holds; request_seq numbers the requests of a batch.
+REQUESTS = {
+    "customers": struct(
+        request_seq=_ID, first_name=_TEXT, last_name=_TEXT, email=_TEXT, phone=_TEXT, city=_TEXT
+    ),
+    "products": struct(request_seq=_ID, name=_TEXT, sku=_TEXT, category=_TEXT, price=_TEXT),
+    "orders": ORDER_REQUEST,
+}
+
 
 def conform(df: DataFrame, schema: StructType) -> DataFrame:
     """Select the columns of `schema` in its order, each cast to its type."""

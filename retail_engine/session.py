@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHARED = "spark.checkpoint.dir"
+
+_open: list[list[str]] = []
+
 # Runtime settings every job relies on. None of them fixes a partition count: AQE sizes
 # shuffles from the cluster's own spark.sql.shuffle.partitions.
 RUNTIME_SETTINGS = {
@@ -41,19 +49,46 @@ def local_session(cores: str = "*", app: str = "retail_engine") -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, as spark.checkpoint.dir names it.
+
+    Only a session on this machine alone, for tests and the bench, may go without one.
+    """
+    named = spark.conf.get(_SHARED, None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError(f"set {_SHARED} to a folder all executors share")
+    spark.conf.set(_SHARED, "file://" + tempfile.mkdtemp(prefix="retail-shared-"))
+    return spark.conf.get(_SHARED)
+
+
+@contextmanager
+def working_tables() -> Iterator[list[str]]:
+    """The folders of the tables checkpointed within the block, for remove() afterwards."""
+    _open.append([])
+    try:
+        yield _open[-1]
+    finally:
+        made = _open.pop()
+        if _open:
+            _open[-1].extend(made)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write `df` to the checkpoint folder and read on from there.
+    """Write `df` as a table to the shared folder and read on from there.
 
-    The folder is the one the cluster names in spark.checkpoint.dir, so the rows outlive
-    the executors that computed them. Only a local session without one gets its own.
+    So the rows outlive the executors that computed them, and Spark knows their size.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            shared = tempfile.mkdtemp(prefix="retail-checkpoint-")
-        context.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+    folder = f"{shared_folder(df.sparkSession)}/retail/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    if _open:
+        _open[-1].append(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def remove(spark: SparkSession, folders: Iterable[str]) -> None:
+    """Delete working tables that nothing reads any more."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

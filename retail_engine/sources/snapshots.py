@@ -5,6 +5,8 @@
     <root>/warehouse/<run id>/<table>/          one version of the star schema
     <root>/published/                           one row per published version
     <root>/runs/                                one row per finished run
+    <root>/intake/<batch id>/<table>/           accepted rows of a batch, and its rejections
+    <root>/batches/                             one row per committed batch
 
 Data is written first and named in the manifest afterwards, so a reader never meets a
 half-written table and a failed job leaves nothing that counts. The manifests take one
@@ -16,12 +18,21 @@ from __future__ import annotations
 from datetime import date, datetime
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from retail_engine.operators import runs
-from retail_engine.schemas import MANIFEST, OPERATIONAL, PUBLISHED, RUNS, WAREHOUSE, conform
+from retail_engine.schemas import (
+    BATCHES,
+    MANIFEST,
+    OPERATIONAL,
+    PRIMARY_KEY,
+    PUBLISHED,
+    RUNS,
+    WAREHOUSE,
+    conform,
+)
 
 
 class MissingSnapshots(Exception):
@@ -57,14 +68,20 @@ def add_run(spark: SparkSession, root: str, row: Row) -> None:
     _append(spark, f"{root}/runs", RUNS, [row])
 
 
-def write_counted(df: DataFrame, path: str, mode: str = "errorifexists") -> int:
+def write_counted(df: DataFrame, path: str) -> int:
     """Write `df` and return its number of rows, counted by the write itself.
 
     An empty table still gets a file, and with it a schema.
     """
+    return _write_seen(df, path, F.lit(0))[0]
+
+
+def _write_seen(df: DataFrame, path: str, key: Column) -> tuple[int, int]:
+    """Write `df`; its number of rows and its largest `key` (0 when it is empty)."""
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("row_count")).write.mode(mode).parquet(path)
-    return seen.get["row_count"]
+    facts = [F.count(F.lit(1)).alias("rows"), F.coalesce(F.max(key), F.lit(0)).alias("largest")]
+    df.observe(seen, *facts).write.mode("errorifexists").parquet(path)
+    return seen.get["rows"], seen.get["largest"]
 
 
 def land(
@@ -72,7 +89,9 @@ def land(
 ) -> Row:
     """Write one snapshot and return its manifest row, which is not yet recorded."""
     path = f"raw/{table}/{load_date:%Y-%m-%d}/{run_id}"
-    row_count = write_counted(conform(df, OPERATIONAL[table]), f"{root}/{path}")
+    row_count, largest = _write_seen(
+        conform(df, OPERATIONAL[table]), f"{root}/{path}", F.col(PRIMARY_KEY[table])
+    )
     return Row(
         table_name=table,
         run_id=run_id,
@@ -80,6 +99,7 @@ def land(
         committed_at=committed_at,
         path=path,
         row_count=row_count,
+        largest_id=largest,
     )
 
 
@@ -149,6 +169,54 @@ def current_star(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     }
 
 
-def append_accepted(accepted: DataFrame, path: str, schema: StructType) -> int:
-    """Append accepted rows, ids included, to an operational table."""
-    return write_counted(conform(accepted, schema), path, mode="append")
+def batches(spark: SparkSession, root: str) -> DataFrame:
+    return _read(spark, f"{root}/batches", BATCHES)
+
+
+def commit_batch(
+    spark: SparkSession,
+    root: str,
+    batch_id: str,
+    at: datetime,
+    rows: dict[str, DataFrame],
+    rejected: DataFrame,
+) -> Row:
+    """Write the rows that a batch adds to each table, and its rejections, then name them all
+    in one manifest row: readers see the whole batch or nothing of it."""
+    base, counts, largest = f"intake/{batch_id}", {}, {}
+    for table, new in rows.items():
+        counts[table], largest[table] = _write_seen(
+            conform(new, OPERATIONAL[table]), f"{root}/{base}/{table}", F.col(PRIMARY_KEY[table])
+        )
+    counts["rejected"] = write_counted(rejected, f"{root}/{base}/rejected")
+    row = Row(
+        batch_id=batch_id,
+        committed_at=at,
+        paths={name: f"{base}/{name}" for name in counts},
+        row_counts=counts,
+        largest_ids=largest,
+    )
+    _append(spark, f"{root}/batches", BATCHES, [row])
+    return row
+
+
+def taken(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """The rows that all committed batches added to a table."""
+    named = batches(spark, root).select(F.col("paths")[table].alias("path")).dropna().collect()
+    if not named:
+        return spark.createDataFrame([], OPERATIONAL[table])
+    return spark.read.schema(OPERATIONAL[table]).parquet(*(f"{root}/{r.path}" for r in named))
+
+
+def current_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The newest snapshot of each table with the rows that committed batches added."""
+    landed = latest_tables(spark, root)
+    return {name: t.unionByName(taken(spark, root, name)) for name, t in landed.items()}
+
+
+def last_ids(spark: SparkSession, root: str) -> dict[str, int]:
+    """The largest id each table was given so far, out of the manifests alone."""
+    landed = manifest(spark, root).select("table_name", "largest_id")
+    added = batches(spark, root).select(F.explode("largest_ids").alias("table_name", "largest_id"))
+    largest = landed.unionAll(added).groupBy("table_name").agg(F.max("largest_id").alias("n"))
+    return dict.fromkeys(OPERATIONAL, 0) | {r.table_name: r.n or 0 for r in largest.collect()}

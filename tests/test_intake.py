@@ -101,6 +101,11 @@ def test_product_rules(spark):
         (11, "n" * 256, "s11", "c", "1"),
         (12, "n", "old", "c", "1"),
         (13, "n", "s9", "c", "5"),
+        (14, "n", "s14", "c", "-0.00000000001"),
+        (15, "n", "s15", "c", "1e30"),
+        (16, "n", "s16", "c", "-1e30"),
+        (17, "n", "s17", "c", "-0.0"),
+        (18, "n", "s18", "c", "0.00000000001"),
     ]
     judged = intake.validate_products(
         spark.createDataFrame(rows, PRODUCT), spark.createDataFrame([("old",)], "sku string")
@@ -109,10 +114,14 @@ def test_product_rules(spark):
     assert found == {
         1: "name_required", 2: "sku_required", 3: "category_required", 4: "price_required",
         5: "price_invalid", 6: "price_invalid", 7: None, 8: None, 9: "out_of_range",
-        10: "sku_taken", 11: "too_long", 12: "sku_taken", 13: None,
+        10: "sku_taken", 11: "too_long", 12: "sku_taken", 13: None, 14: "price_invalid",
+        15: "out_of_range", 16: "price_invalid", 17: None, 18: None,
     }
     prices = {r.request_seq: r.price for r in intake.clean_products(intake.accepted(judged)).collect()}
-    assert prices == {7: Decimal("0.00"), 8: Decimal("1.01"), 13: Decimal("5.00")}
+    assert prices == {
+        7: Decimal("0.00"), 8: Decimal("1.01"), 13: Decimal("5.00"), 17: Decimal("0.00"),
+        18: Decimal("0.00"),
+    }
 
 
 def orders(spark, requests):
@@ -123,11 +132,12 @@ def orders(spark, requests):
         [(1, Decimal("10.00")), (2, Decimal("2.50")), (3, Decimal("0.00"))],
         "product_id bigint, price decimal(10,2)",
     )
-    return intake.validate_orders(headers, lines, known, catalogue), lines, catalogue
+    priced = intake.priced_lines(lines, catalogue)
+    return intake.validate_orders(headers, priced, known), priced
 
 
 def judged_orders(spark, requests):
-    judged, _, _ = orders(spark, requests)
+    judged, _ = orders(spark, requests)
     return {r.request_seq: r for r in judged.collect()}
 
 
@@ -175,20 +185,20 @@ def test_order_rules(spark):
 
 
 def test_one_bad_line_rejects_the_order(spark):
-    judged, lines, catalogue = orders(
+    judged, priced = orders(
         spark,
         [(1, 1, None, None, [(1, "1"), (2, "0")]), (2, 1, "2024-01-01", None, [(1, "2"), (2, "2")])],
     )
     good = intake.accepted_orders(judged, "2030-01-01 00:00:00").collect()
     assert [(r.request_seq, r.total_amount, r.item_count) for r in good] == [(2, Decimal("25.00"), 2)]
-    kept = intake.accepted_lines(judged, lines, catalogue).orderBy("pos").collect()
+    kept = intake.accepted_lines(judged, priced).orderBy("pos").collect()
     assert [(r.request_seq, r.product_id, r.subtotal) for r in kept] == [
         (2, 1, Decimal("20.00")), (2, 2, Decimal("5.00")),
     ]
 
 
 def test_undated_order_is_dated_as_of(spark):
-    judged, _, _ = orders(spark, [(1, 1, None, None, [(1, "1")])])
+    judged, _ = orders(spark, [(1, 1, None, None, [(1, "1")])])
     row = intake.accepted_orders(judged, "2030-01-01 00:00:00").first()
     assert row.order_date == datetime(2030, 1, 1)
 

@@ -84,3 +84,16 @@ def test_times(spark):
     assert values(spark, "string", given, text.parsed_time) == [
         day, datetime(2024, 2, 25, 10, 11, 12), day, day, None, None,
     ]
+
+
+def test_other_spellings_of_dates(spark):
+    given = [
+        "25 Feb 2024", "Sun Feb 25 2024", "2/25/2024 10:30", "Feb 25, 2024 10:30",
+        "Sunday, February 25, 2024", "25 February 2024 10:30:15", "2/25/2024 1:05 PM",
+        "2024/2/25 10:30", "Feb 30, 2024", "Sun", "25 Feb 2024 noon",
+    ]
+    day, time = datetime(2024, 2, 25), datetime(2024, 2, 25, 10, 30)
+    assert values(spark, "string", given, text.parsed_time) == [
+        day, day, time, time, day, datetime(2024, 2, 25, 10, 30, 15),
+        datetime(2024, 2, 25, 13, 5), time, None, None, None,
+    ]

@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 from datetime import UTC, date, datetime, timedelta
 from decimal import Decimal
+from pathlib import Path
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -10,8 +11,9 @@ from test_star_and_reports import table
 
 from retail_engine.jobs import intake as intake_jobs
 from retail_engine.jobs import submit, warehouse
-from retail_engine.operators import audit, display, reports, runs
-from retail_engine.schemas import MANIFEST, OPERATIONAL, WAREHOUSE
+from retail_engine import session
+from retail_engine.operators import audit, display, intake, reports, runs
+from retail_engine.schemas import MANIFEST, OPERATIONAL, REQUESTS, STEPS, WAREHOUSE
 from retail_engine.sources import jdbc, snapshots
 
 D = Decimal
@@ -21,7 +23,7 @@ NOON = datetime(2024, 2, 25, 12, tzinfo=UTC)
 
 def entries(spark, *rows):
     return spark.createDataFrame(
-        [(t, run, DAY, at, path, 1) for t, run, at, path in rows], MANIFEST
+        [(t, run, DAY, at, path, 1, 1) for t, run, at, path in rows], MANIFEST
     )
 
 
@@ -145,6 +147,37 @@ def test_failed_run_names_its_step_and_keeps_the_star(spark, tmp_path):
     assert runs.last_successful_run(history).first()[0] == good
 
 
+def test_all_failed_steps_are_named_and_other_counts_kept(spark, tmp_path):
+    def broken(name):
+        if name in ("products", "orders"):
+            raise ValueError(f"no {name}")
+        return shop(spark)[name]
+
+    with pytest.raises(warehouse.RunFailed):
+        warehouse.run(spark, broken, str(tmp_path), "r1", Clock())
+    row = snapshots.run_history(spark, str(tmp_path)).first()
+    assert row.error.asDict() == {
+        "step": "land products, land orders", "message": "no products; no orders",
+    }
+    assert row.row_counts == {"customers": 1, "order_items": 2}
+
+
+def test_run_history_out_of_steps(spark):
+    rows = [
+        ("r1", 1, "land", NOON, None, "orders", 5),
+        ("r1", 2, "land", NOON + timedelta(hours=1), "lost", None, None),
+        ("r1", 3, "land", NOON + timedelta(hours=2), None, "orders", 2),
+        ("r2", 1, "land", NOON, None, "orders", 1),
+        ("r2", 2, "publish", NOON, "full", None, None),
+        ("r3", 1, "start", NOON, "no", None, None),
+    ]
+    found = {r.run_id: r for r in runs.run_history(spark.createDataFrame(rows, STEPS)).collect()}
+    assert [found[r].status for r in ("r1", "r2", "r3")] == ["success", "failed", "failed"]
+    assert found["r1"].row_counts == {"orders": 7} and found["r3"].row_counts == {}
+    assert tuple(found["r2"].error) == ("publish", "full") and found["r1"].error is None
+    assert found["r1"].completed_at - found["r1"].started_at == timedelta(hours=2)
+
+
 def test_a_run_id_is_used_once(spark, tmp_path):
     root = str(tmp_path)
     warehouse.run(spark, shop(spark).__getitem__, root, "r1", Clock())
@@ -172,12 +205,84 @@ def test_empty_tables_run_through(spark, tmp_path):
     assert reports.revenue_summary(star["fact_sales"]).first().totalOrders == 0
 
 
-def test_accepted_rows_are_appended(spark, tmp_path):
-    path, schema = str(tmp_path / "customers"), OPERATIONAL["customers"]
-    rows = shop(spark)["customers"]
-    assert snapshots.append_accepted(rows, path, schema) == 1
-    assert snapshots.append_accepted(rows, path, schema) == 1
-    assert spark.read.schema(schema).parquet(path).count() == 2
+ORDER = [(1, 1, "2024-02-25", None, [(1, "2")]), (2, 1, None, "Shipped", [(1, "1")])]
+
+
+def take_order(spark, root, batch_id):
+    asked = spark.createDataFrame(ORDER, REQUESTS["orders"])
+    return intake_jobs.run(spark, root, "orders", asked, batch_id, NOON)
+
+
+def test_a_batch_is_committed_as_a_whole(spark, tmp_path):
+    root = str(tmp_path)
+    warehouse.run(spark, shop(spark).__getitem__, root, "r1", Clock())
+    before = snapshots.last_ids(spark, root)
+    row = take_order(spark, root, "b1")
+    assert row.row_counts == {"orders": 1, "order_items": 1, "rejected": 1}
+    (order,) = snapshots.taken(spark, root, "orders").collect()
+    (item,) = snapshots.taken(spark, root, "order_items").collect()
+    assert order.order_id == item.order_id == before["orders"] + 1
+    assert item.order_item_id == before["order_items"] + 1
+    assert snapshots.current_tables(spark, root)["orders"].count() == 3
+    rejected = spark.read.parquet(f"{root}/{row.paths['rejected']}").collect()
+    assert [(r.request_seq, r.reason) for r in rejected] == [(2, "status_invalid")]
+    # The next batch goes on from the ids that the manifest names.
+    take_order(spark, root, "b2")
+    ids = {r.order_id for r in snapshots.taken(spark, root, "orders").collect()}
+    assert ids == {before["orders"] + 1, before["orders"] + 2}
+
+
+def test_a_failure_between_two_writes_changes_nothing(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    warehouse.run(spark, shop(spark).__getitem__, root, "r1", Clock())
+    write, seen = snapshots._write_seen, []
+
+    def fail_second(df, path, key):
+        seen.append(path)
+        if len(seen) == 2:
+            raise OSError("disk full")
+        return write(df, path, key)
+
+    monkeypatch.setattr(snapshots, "_write_seen", fail_second)
+    with pytest.raises(OSError):
+        take_order(spark, root, "b1")
+    monkeypatch.undo()
+    assert len(seen) == 2 and snapshots.batches(spark, root).count() == 0
+    for name, rows in (("orders", 2), ("order_items", 2)):
+        assert snapshots.current_tables(spark, root)[name].count() == rows
+    assert take_order(spark, root, "b2").row_counts["orders"] == 1
+
+
+def test_nothing_of_a_batch_is_left_in_the_shared_folder(spark, tmp_path):
+    root, shared = str(tmp_path), Path(session.shared_folder(spark).removeprefix("file:"))
+    warehouse.run(spark, shop(spark).__getitem__, root, "r1", Clock())
+    folders = lambda: {p.name for p in (shared / "retail").glob("*")}
+    before = folders()
+    asked = spark.createDataFrame(ORDER, REQUESTS["orders"])
+    headers, lines = intake.split_requests(asked)
+    outcome = intake_jobs.take_orders(
+        headers, lines, snapshots.current_tables(spark, root), "2024-01-01 00:00:00"
+    )
+    assert len(folders() - before) == len(outcome.working) == 4
+    outcome.discard()
+    assert folders() == before
+    take_order(spark, root, "b1")
+    assert folders() == before
+
+
+def test_intake_from_the_command_line(spark, tmp_path):
+    root, asked = str(tmp_path / "lake"), tmp_path / "requests.json"
+    warehouse.run(spark, shop(spark).__getitem__, root, "r1", Clock())
+    asked.write_text(
+        '{"request_seq": 1, "first_name": "A", "last_name": "B", "email": "new@b.c", "city": "X"}\n'
+        '{"request_seq": 2, "first_name": "A", "last_name": "B", "email": "bad", "city": "X"}\n'
+    )
+    submit.main(
+        ["intake", "--root", root, "--batch-id", "b1", "--kind", "customers",
+         "--requests", str(asked), "--as-of", "2024-02-25T12:00:00"]
+    )
+    (row,) = snapshots.taken(spark, root, "customers").collect()
+    assert (row.email, row.created_at) == ("new@b.c", datetime(2024, 2, 25, 12))
 
 
 def test_json_reports(spark, tmp_path):
