@@ -33,6 +33,9 @@ HEADLINE = (
     "validate_customers",
     "validate_products",
     "validate_orders",
+    "accepted_order_lines",
+    "created_orders",
+    "created_order_items",
 )
 
 

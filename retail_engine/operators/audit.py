@@ -105,6 +105,22 @@ def schema_report(tables: dict[str, DataFrame]) -> DataFrame:
     )
 
 
+def type_report(tables: dict[str, DataFrame]) -> DataFrame:
+    """Per column of each table its type, and how many values it holds that are not NULL."""
+
+    def report(name: str, table: DataFrame) -> DataFrame:
+        types = [F.lit(part) for c, kind in table.dtypes for part in (c, kind)]
+        filled = _as_rows(table.agg(*(F.count(c).alias(c) for c in table.columns)), "column_name", "filled")
+        return filled.select(
+            F.lit(name).alias("table_name"),
+            "column_name",
+            F.create_map(*types)[F.col("column_name")].alias("column_type"),
+            "filled",
+        )
+
+    return _union(report(name, table) for name, table in tables.items())
+
+
 def status_audit(orders: DataFrame) -> DataFrame:
     """Orders per status, and whether the status is in the domain."""
     return orders.groupBy("status").agg(F.count(F.lit(1)).alias("orders")).withColumn(
@@ -149,18 +165,24 @@ def orphans(child: DataFrame, parent: DataFrame, column: str) -> DataFrame:
 
 
 def constraint_audit(tables: dict[str, DataFrame]) -> DataFrame:
-    """Violations per declared rule: one pass per table for NOT NULL and CHECK, one grouping
-    per unique column."""
+    """Violations per declared rule: one grouping by primary key per table, which carries the
+    counts of NOT NULL and CHECK along, and one for each other unique column."""
     parts = []
     for name, table in tables.items():
-        broken = (f"count_if(NOT ({rule})) AS `{rule}`" for rule in _RULES[name])
-        counted = table.selectExpr(*broken)
+        key, *others = _UNIQUE[name]
+        broken = [F.expr(f"count_if(NOT ({rule}))").alias(rule) for rule in _RULES[name]]
+        per_key = table.groupBy(key).agg(F.count("*").alias("_rows"), *broken)
+        again = F.sum(F.when(F.col(key).isNotNull(), F.col("_rows") - 1))
+        counted = per_key.agg(
+            *(F.coalesce(F.sum(f"`{r}`"), F.lit(0)).alias(r) for r in _RULES[name]),
+            F.coalesce(again, F.lit(0)).alias(f"{key} UNIQUE"),
+        )
         parts.append(
             _as_rows(counted, "rule", "violations").selectExpr(
                 f"'{name}' AS table_name", "rule", "violations"
             )
         )
-        for column in _UNIQUE[name]:
+        for column in others:
             rows_per_value = (
                 table.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
             )

@@ -42,7 +42,7 @@ def _with_plain_amounts(report: DataFrame) -> DataFrame:
         {
             c: F.col(c).cast("decimal(28,2)")
             for c, kind in report.dtypes
-            if kind == "double" and c == "totalRevenue"
+            if kind == "double"
         }
     )
 

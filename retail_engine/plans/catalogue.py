@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from retail_engine.jobs import intake as intake_jobs
 from retail_engine.operators import audit, changes, display, intake, reports, runs, star
+from retail_engine.schemas import OPERATIONAL, conform
 from retail_engine.session import checkpointed, tune
 from retail_engine.sources import driver_requests as requests
 from retail_engine.sources import driver_tables as tables
@@ -131,6 +132,21 @@ def report_json(spark, sf_dir):
     return display.as_json(_by_product(spark, sf_dir))
 
 
+@_query
+def city_report_json(spark, sf_dir):
+    return display.as_json(_by_city(spark, sf_dir))
+
+
+@_query
+def daily_report_json(spark, sf_dir):
+    return display.as_json(_by_day(spark, sf_dir))
+
+
+@_query
+def summary_json(spark, sf_dir):
+    return display.as_json(reports.revenue_summary(_fact(spark, sf_dir)))
+
+
 @_query
 def axis_labels(spark, sf_dir):
     return display.axis_labels(_by_day(spark, sf_dir))
@@ -191,15 +207,18 @@ def _request_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checkpointed(requests.order_request_lines(spark, sf_dir))
 
 
+def _priced_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intake.priced_lines(
+        requests.order_request_lines(spark, sf_dir), requests.known_products(spark, sf_dir)
+    )
+
+
 def _judged_orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    lines = _request_lines(spark, sf_dir)
+    priced = checkpointed(_priced_lines(spark, sf_dir))
     judged = intake.validate_orders(
-        requests.order_headers(spark, sf_dir),
-        lines,
-        requests.known_customers(spark, sf_dir),
-        requests.known_products(spark, sf_dir),
+        requests.order_headers(spark, sf_dir), priced, requests.known_customers(spark, sf_dir)
     )
-    return judged, lines
+    return judged, priced
 
 
 @_query
@@ -238,8 +257,8 @@ def accepted_orders(spark, sf_dir):
 
 @_query
 def accepted_order_lines(spark, sf_dir):
-    judged, lines = _judged_orders(spark, sf_dir)
-    return intake.accepted_lines(judged, lines, requests.known_products(spark, sf_dir))
+    judged, priced = _judged_orders(spark, sf_dir)
+    return intake.accepted_lines(judged, priced)
 
 
 def _created_orders(spark: SparkSession, sf_dir: str) -> intake_jobs.Outcome:
@@ -290,8 +309,7 @@ def duplicate_lines(spark, sf_dir):
 
 @_query
 def priced_order_lines(spark, sf_dir):
-    lines = requests.order_request_lines(spark, sf_dir)
-    return intake.priced_lines(lines, requests.known_products(spark, sf_dir))
+    return _priced_lines(spark, sf_dir)
 
 
 @_query
@@ -305,10 +323,11 @@ def order_quote(spark, sf_dir):
 
 @_query
 def upsert_products(spark, sf_dir):
-    """Brand#1 is not in the catalogue yet; sizes from 40 on come at a new price."""
+    """Brand#1 is not in the catalogue yet; it and sizes from 40 on come at a new price."""
     parts = tables.products(spark, sf_dir)
     old = parts.filter(F.col("p_brand") != "Brand#1").drop("p_brand", "p_size")
-    new = parts.filter(F.col("p_size") >= 40).withColumn(
+    sent = (F.col("p_brand") == "Brand#1") | (F.col("p_size") >= 40)
+    new = parts.filter(sent).withColumn(
         "price", (F.col("price") + 10).cast("decimal(10,2)")
     )
     return changes.upsert(old, new, "product_id", AS_OF)
@@ -360,6 +379,16 @@ def schema_report(spark, sf_dir):
     return audit.schema_report(star.build(tables.operational(spark, sf_dir)))
 
 
+@_query
+def landed_types(spark, sf_dir):
+    """Every operational table as it lands: types of its columns and totals of its values."""
+    landed = {
+        name: conform(table, OPERATIONAL[name])
+        for name, table in tables.operational(spark, sf_dir).items()
+    }
+    return audit.type_report(landed)
+
+
 @_query
 def status_audit(spark, sf_dir):
     return audit.status_audit(requests.order_headers(spark, sf_dir))
@@ -409,6 +438,10 @@ def count_drift(spark, sf_dir):
 # Snapshots and runs
 
 
+def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_history(requests.run_steps(spark, sf_dir))
+
+
 @_query
 def latest_snapshot(spark, sf_dir):
     return runs.latest_snapshot(requests.manifest(spark, sf_dir))
@@ -417,7 +450,7 @@ def latest_snapshot(spark, sf_dir):
 @_query
 def missing_snapshots(spark, sf_dir):
     return runs.missing_snapshots(
-        requests.manifest(spark, sf_dir), requests.run_history(spark, sf_dir)
+        requests.manifest(spark, sf_dir), requests.run_steps(spark, sf_dir)
     )
 
 
@@ -428,12 +461,20 @@ def latest_complete_run(spark, sf_dir):
 
 @_query
 def run_history(spark, sf_dir):
-    return requests.run_history(spark, sf_dir)
+    total = F.aggregate(F.map_values("row_counts"), F.lit(0).cast("bigint"), lambda a, n: a + n)
+    return _history(spark, sf_dir).select(
+        "run_id",
+        "status",
+        "started_at",
+        "completed_at",
+        F.col("error.step").alias("error_step"),
+        total.alias("landed_rows"),
+    )
 
 
 @_query
 def last_successful_run(spark, sf_dir):
-    return runs.last_successful_run(requests.run_history(spark, sf_dir))
+    return runs.last_successful_run(_history(spark, sf_dir))
 
 
 @_query

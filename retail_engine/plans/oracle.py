@@ -30,10 +30,9 @@ shop_orders AS (
 
 _ITEMS = """
 items AS (
-  SELECT l_orderkey * 10000 + l_linenumber * 100 + row_number() OVER (
-           PARTITION BY l_orderkey, l_linenumber
-           ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax,
-                    l_returnflag, l_linestatus, l_shipdate) AS order_item_id,
+  SELECT row_number() OVER (
+           ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,
+                    l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS order_item_id,
          l_orderkey AS order_id, l_partkey AS product_id, CAST(l_quantity AS BIGINT) AS quantity,
          l_extendedprice / l_quantity AS unit_price,
          CAST(l_extendedprice AS DECIMAL(18,2)) AS subtotal, l_quantity, l_returnflag
@@ -68,6 +67,13 @@ by_city AS (
   FROM fact f JOIN customers c ON f.customer_id = c.customer_id
   GROUP BY c.city)"""
 
+_BY_CITY_EXACT = """
+by_city AS (
+  SELECT c.city, COUNT(DISTINCT f.order_id) AS orders, SUM(f.quantity) AS units,
+         SUM(f.revenue) AS revenue
+  FROM fact f JOIN customers c ON f.customer_id = c.customer_id
+  GROUP BY c.city)"""
+
 _BY_DAY = """
 by_day AS (
   SELECT CAST(sale_date AS DATE) AS date, COUNT(DISTINCT order_id) AS "totalOrders",
@@ -179,7 +185,8 @@ asked AS (
          CASE WHEN p_size = 7 THEN repeat(p_name, 40) ELSE p_name END AS name, sku,
          CASE WHEN p_size = 6 THEN '' ELSE p_type END AS category,
          CASE p_size WHEN 1 THEN NULL WHEN 2 THEN '-' || shown WHEN 3 THEN 'abc'
-              WHEN 4 THEN shown || ' INR' WHEN 5 THEN '123456789' ELSE shown END AS price
+              WHEN 4 THEN shown || ' INR' WHEN 5 THEN '123456789' WHEN 8 THEN '-0.00000000001'
+              WHEN 9 THEN '1e30' ELSE shown END AS price
   FROM offers WHERE p_brand <> 'Brand#1'),
 flagged AS (
   SELECT *, category = '' AS no_category, price IS NULL AS no_price,
@@ -189,8 +196,8 @@ flagged AS (
          sku IN (SELECT sku FROM offers WHERE p_brand = 'Brand#1') AS in_store
   FROM asked),
 ruled AS (
-  SELECT *, amount IS NULL OR amount < 0 AS bad_price,
-         coalesce(abs(amount) >= 100000000, FALSE) AS large
+  SELECT *, amount IS NULL OR starts_with(price, '-') AS bad_price,
+         coalesce(abs(amount) >= 100000000, FALSE) OR coalesce(price = '1e30', FALSE) AS large
   FROM flagged),
 claimed AS (
   SELECT *, MIN(CASE WHEN NOT (no_category OR no_price OR bad_price OR long_name OR large)
@@ -477,6 +484,35 @@ SELECT date, strftime(date, '%d %b') AS date_label, strftime(date, '%d %B %Y') A
 FROM by_day"""
 
 
+# Columns of the landed tables with their types; NULL where the given tables hold nothing.
+_LANDED_COLUMNS = {
+    ("customers", "customers"): "customer_id bigint, first_name string, last_name string, "
+    "email string, phone string NULL, city string, created_at timestamp NULL, "
+    "updated_at timestamp NULL",
+    ("products", "products"): "product_id bigint, name string, sku string, category string, "
+    "price decimal(10,2), created_at timestamp NULL, updated_at timestamp NULL",
+    ("orders", "shop_orders"): "order_id bigint, customer_id bigint, order_date timestamp, "
+    "status string, total_amount decimal(18,2), created_at timestamp NULL, "
+    "updated_at timestamp NULL",
+    ("order_items", "items"): "order_item_id bigint, order_id bigint, product_id bigint, "
+    "quantity bigint, unit_price decimal(10,2), subtotal decimal(18,2)",
+}
+
+
+def _landed_types() -> str:
+    parts = []
+    for (table, source), columns in _LANDED_COLUMNS.items():
+        for column in columns.split(", "):
+            name, kind, *none = column.split(" ")
+            filled = "0" if none else f"COUNT({name})"
+            parts.append(
+                f"SELECT '{table}' AS table_name, '{name}' AS column_name, "
+                f"'{kind}' AS column_type, {filled} AS filled FROM {source}"
+                + (" LIMIT 1" if none else "")
+            )
+    return "\nUNION ALL ".join(f"({part})" for part in parts)
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "dim_customer": _with(_CUSTOMERS)
@@ -514,6 +550,19 @@ FROM (SELECT *, row_number() OVER (ORDER BY "totalRevenue" DESC, city) AS place
        || '","totalUnits":' || "totalUnits" || ',"totalRevenue":'
        || CAST(exact_revenue AS DECIMAL(28,2)) || '}' AS json
 FROM by_product""",
+        "city_report_json": _with(*_STAR, _CUSTOMERS, _BY_CITY_EXACT)
+        + """SELECT '{"city":"' || city || '","totalOrders":' || orders || ',"totalUnits":' || units
+       || ',"totalRevenue":' || CAST(revenue AS DECIMAL(28,2)) || '}' AS json FROM by_city""",
+        "daily_report_json": _with(*_STAR, _BY_DAY)
+        + """SELECT '{"date":"' || date || '","totalOrders":' || "totalOrders"
+       || ',"totalRevenue":' || CAST(exact_revenue AS DECIMAL(28,2)) || '}' AS json FROM by_day""",
+        "summary_json": _with(*_STAR)
+        + """SELECT '{"totalRevenue":' || CAST(SUM(revenue) AS DECIMAL(28,2))
+       || ',"totalUnitsSold":' || SUM(quantity) || ',"totalOrders":' || COUNT(DISTINCT order_id)
+       || ',"averageOrderValue":' || CAST(CAST(SUM(revenue) AS DOUBLE)
+          / NULLIF(COUNT(DISTINCT order_id), 0) AS DECIMAL(28,2)) || '}' AS json
+FROM fact""",
+        "landed_types": _with(_CUSTOMERS, _PRODUCTS, _ORDERS, _LINES) + _landed_types(),
         "axis_labels": _AXIS,
         "customers_list": _with(_CUSTOMERS)
         + "SELECT customer_id, first_name, last_name, email, phone, city, created_at "
@@ -597,10 +646,10 @@ FROM items i LEFT JOIN (SELECT * FROM products WHERE p_size < 50) p
 GROUP BY i.order_id""",
         "upsert_products": _with(_PRODUCTS)
         + f"""SELECT product_id, name, sku, category,
-       CASE WHEN p_size >= 40 THEN CAST(price + 10 AS DECIMAL(10,2)) ELSE price END AS price,
+       CASE WHEN sent THEN CAST(price + 10 AS DECIMAL(10,2)) ELSE price END AS price,
        CASE WHEN p_brand = 'Brand#1' THEN TIMESTAMP '{AS_OF}' END AS created_at,
-       CASE WHEN p_size >= 40 THEN TIMESTAMP '{AS_OF}' END AS updated_at
-FROM products WHERE p_brand <> 'Brand#1' OR p_size >= 40""",
+       CASE WHEN sent THEN TIMESTAMP '{AS_OF}' END AS updated_at
+FROM (SELECT *, p_brand = 'Brand#1' OR p_size >= 40 AS sent FROM products)""",
         "cascade_delete": _with(_ORDERS, _LINES)
         + """SELECT o.order_id, COUNT(i.order_id) AS items
 FROM shop_orders o LEFT JOIN items i ON o.order_id = i.order_id

@@ -59,6 +59,7 @@ def product_requests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
         "IF(p_size = 6, '', p_type) AS category",
         f"CASE p_size WHEN 1 THEN NULL WHEN 2 THEN concat('-', {_SHOWN_PRICE}) WHEN 3 THEN 'abc' "
         f"WHEN 4 THEN concat({_SHOWN_PRICE}, ' INR') WHEN 5 THEN '123456789' "
+        "WHEN 8 THEN '-0.00000000001' WHEN 9 THEN '1e30' "
         f"ELSE {_SHOWN_PRICE} END AS price",
     )
     existing = rows.filter("p_brand = 'Brand#1'").selectExpr(
@@ -74,6 +75,12 @@ def order_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
         "customer_id",
         "CASE WHEN o_orderpriority = '2-HIGH' AND status = 'Pending' THEN 'soon' "
         "WHEN o_orderpriority = '2-HIGH' AND status = 'Completed' THEN NULL "
+        "WHEN o_orderpriority = '1-URGENT' THEN CASE status "
+        "WHEN 'Pending' THEN date_format(order_date, 'd MMM yyyy HH:mm:ss') "
+        "WHEN 'Completed' THEN date_format(order_date, 'EEE MMM dd yyyy HH:mm:ss') "
+        "ELSE date_format(order_date, 'M/d/yyyy H:mm:ss') END "
+        "WHEN o_orderpriority = '3-MEDIUM' "
+        "THEN date_format(order_date, 'MMM d, yyyy HH:mm:ss') "
         "ELSE date_format(order_date, 'yyyy-MM-dd HH:mm:ss') END AS order_date",
         "CASE WHEN o_orderpriority = '5-LOW' AND status = 'Processing' THEN 'Shipped' "
         "WHEN o_orderpriority = '4-NOT SPECIFIED' THEN '' ELSE status END AS status",
@@ -118,29 +125,17 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A run failed when its last event is an error."""
-    per_run = (
-        given(spark, sf_dir, "events")
-        .groupBy(F.expr(_RUN_ID).alias("run_id"))
-        .agg(
-            F.expr(
-                "max(event_id) <=> max(event_id) FILTER (WHERE event_type = 'error')"
-            ).alias("_failed"),
-            F.min("ts").alias("started_at"),
-            F.max("ts").alias("completed_at"),
-            F.expr("coalesce(sum(floor(value)) FILTER (WHERE event_type <> 'error'), 0L)").alias(
-                "landed_rows"
-            ),
-        )
-    )
-    return per_run.selectExpr(
-        "run_id",
-        "IF(_failed, 'failed', 'success') AS status",
-        "started_at",
-        "completed_at",
-        "IF(_failed, 'land', NULL) AS error_step",
-        "landed_rows",
+def run_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event is a step of its hour's run: an error is one that failed, all others land a
+    table."""
+    return given(spark, sf_dir, "events").selectExpr(
+        f"{_RUN_ID} AS run_id",
+        "event_id AS step_no",
+        "'land' AS step",
+        "ts AS at",
+        "IF(event_type = 'error', 'no rows', NULL) AS message",
+        f"IF(event_type = 'error', NULL, {_TABLE}) AS table_name",
+        "floor(value) AS row_count",
     )
 
 

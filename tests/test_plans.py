@@ -7,7 +7,8 @@ import re
 import pytest
 
 import __spark_entry__ as contract
-from retail_engine.operators import reports
+from retail_engine.operators import intake, reports
+from retail_engine.plans import catalogue
 from retail_engine.schemas import WAREHOUSE
 
 SMALL = "/root/testdata/sf0.001"
@@ -17,7 +18,7 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(catalogue.queries()))
 def test_no_python_and_no_all_pairs(spark, name):
     text = plan(contract.queries()[name](spark, SMALL))
     for node in ("PythonEval", "PythonUDF", "InPandas", "CartesianProduct", "NestedLoopJoin"):
@@ -48,6 +49,35 @@ def test_sales_shrink_before_they_meet_products(spark, stored_star):
     assert "partial_sum(quantity" in text[join:]
 
 
+def test_sales_shrink_to_orders_before_they_meet_customers(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(contract.queries()["sales_by_city"](spark, SMALL))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joins = [i for i in range(len(text)) if text.startswith("SortMergeJoin [customer_id", i)]
+    assert joins and "keys=[order_id" in text[joins[0]:]
+
+
+def test_a_small_batch_leaves_the_stored_table_where_it_is(spark, tmp_path):
+    batch, store = str(tmp_path / "batch"), str(tmp_path / "store")
+    spark.range(5).selectExpr(
+        "id AS request_seq", "'A' AS first_name", "'B' AS last_name",
+        "concat(id, '@b.c') AS email", "'1' AS phone", "'X' AS city",
+    ).write.parquet(batch)
+    spark.range(300_000).selectExpr("concat(id, '@old.c') AS email").write.parquet(store)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")
+    try:
+        judged = intake.validate_customers(spark.read.parquet(batch), spark.read.parquet(store))
+        text = plan(judged)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    above = text[: text.index(store)].split("\n")[::-1]
+    # From the scan of the stored table upwards the first join comes before any exchange.
+    upward = [x for x in above if "Exchange" in x or "Join" in x]
+    assert "BroadcastHashJoin" in upward[0] and "LeftSemi" in upward[0]
+
+
 def test_order_level_step_reuses_the_partitioning_of_the_order_join(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
