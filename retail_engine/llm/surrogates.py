@@ -36,21 +36,30 @@ _TITLE = "|".join(t for ts in TITLES.values() for t in ts.split())
 _FIRST = "|".join(n for ns in GIVEN.values() for n in ns.split())
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 
-# What a mention looks like, by type; the first that fits a mention names its type.
+# What a mention looks like, by type; the first that fits a mention names its type. All begin
+# at a character that no letter, digit or underscore precedes, which is looked at once.
+_START = r"(?<![\p{L}\p{N}_])"
+_END = r"(?![\p{L}\p{N}_])"
+_KEYWORD = r"(?i:token|api_key|secret|password|passwd) {0,2}[=:] {0,2}[\"']?"
 PATTERNS = {
-    "email": r"(?<![\p{Alnum}_.+%-])[\p{Alnum}_.+%-]++@[\p{Alnum}-]++(?:\.[\p{Alnum}-]++)+",
-    "ip": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)",
-    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "phone": r"(?<![\w+])\+?\d{0,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)"
-    r"|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)"
-    r"|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])",
-    "card": r"(?<![\w-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w-])",
-    "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
-    "secret": r"(?<!\w)(?:AKIA[0-9A-Z]{16}|gh[pousr]_\w{36}|sk-[A-Za-z0-9_-]{20,}|[0-9a-fA-F]{32,128})(?!\w)"
-    r"|(?<=(?i:token|api_key|secret|password|passwd)[ ]{0,2}[=:][ ]{0,2}[\"']?)[^\s\"']{8,128}",
-    "person": rf"(?<!\p{{L}})(?:{_TITLE})\.? {_TOP}(?: {_TOP})?|(?<!\p{{L}})(?:{_FIRST}) {_TOP}",
+    "email": r"[A-Za-z0-9_.+%-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
+    "ip": rf"(?=\d)(?<!\.)(?:{_OCTET}\.){{3}}{_OCTET}(?!\.\d){_END}",
+    "ssn": rf"(?=\d)(?<!-)\d{{3}}-\d{{2}}-\d{{4}}(?!-){_END}",
+    "phone": r"(?=[\d+(])(?<!\+)(?:"
+    r"\+?\d{0,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}"
+    r"|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}"
+    rf"|(?<![.-])\d{{3}}[.-]\d{{3}}[.-]\d{{4}}(?!-)){_END}",
+    "card": rf"(?=\d)(?<!-)\d{{4}}(?:[ -]?\d{{4}}){{2}}[ -]?\d{{1,7}}(?!-){_END}",
+    "iban": rf"(?=[A-Z]{{2}}\d{{2}})[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?{_END}",
+    "secret": rf"{_KEYWORD}[^\s\"']{{8,128}}"
+    r"|(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,}|[0-9a-fA-F]{32,128})"
+    + _END,
+    "person": rf"(?=\p{{Lu}})(?:(?:{_TITLE})\.? {_TOP}(?: {_TOP})?|(?:{_FIRST}) {_TOP})",
 }
-PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+# A letter, digit or one of few marks begins every mention.
+PATTERN = (
+    _START + r"(?=[\p{L}\p{N}_.+%(-])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
+)
 
 _SYLLABLES = {
     "latin": "an ber cor dal en fel gar hol in jen kar lin mar nor os pel ran sel tor un ver wen yor zel",
@@ -81,23 +90,28 @@ def mentions_of(text: Column) -> Column:
 
 
 def _typed(mentions: DataFrame) -> DataFrame:
-    """mention -> nth part, type, part, canonical form; a name's words are parts of their own.
+    """mention -> nth part, type, part, canonical form, gap between parts.
+
+    A name's words are parts of their own, and so are a secret and the words that tell it.
 
     Sixteen digits whose check digit is wrong are no card and keep their form.
     """
     kind = F.lit(None).cast("string")
     for name in reversed(PATTERNS):
         kind = F.when(F.col("mention").rlike(f"^(?:{PATTERNS[name]})$"), F.lit(name)).otherwise(kind)
-    # A secret told by the words before it fits no pattern without them.
-    df = mentions.withColumn("kind", F.coalesce(kind, F.lit("secret")))
+    words = F.split("mention", " ")
+    value = F.regexp_replace("mention", f"^{_KEYWORD}", "")
+    told = (F.col("kind") == "secret") & (F.length(value) < F.length("mention"))
+    parts = F.when(F.col("kind") == "person", words)
+    parts = parts.when(told, F.array(F.expr("left(mention, length(mention) - length(value))"), value))
+    df = mentions.withColumn("kind", kind).withColumn("value", value)
     df = df.select(
         "mention",
         "kind",
-        F.posexplode(
-            F.when(F.col("kind") == "person", F.split("mention", " ")).otherwise(F.array("mention"))
-        ).alias("nth", "part"),
-        F.size(F.split("mention", " ")).alias("parts"),
-        F.split("mention", " ")[0].alias("first"),
+        F.posexplode(parts.otherwise(F.array("mention"))).alias("nth", "part"),
+        F.size(words).alias("parts"),
+        words[0].alias("first"),
+        (told & (F.col("value") != "")).alias("told"),
     )
     cyrillic = F.col("part").rlike(r"\p{IsCyrillic}")
     script = F.when(cyrillic, "cyrillic").otherwise("latin")
@@ -121,9 +135,15 @@ def _typed(mentions: DataFrame) -> DataFrame:
     valid = F.expr(f"({_sum_of_check('digits')}) % 10 = 0")
     df = df.withColumn("digits", F.when(F.col("kind") == "card", digits).otherwise("0"))
     card = F.when(valid & (F.length("digits") >= 13), "card").otherwise("keep")
-    kind = F.when(F.col("kind") == "person", word).when(F.col("kind") == "card", card).otherwise(F.col("kind"))
+    kind = (
+        F.when(F.col("kind") == "person", word)
+        .when(F.col("kind") == "card", card)
+        .when(F.col("told") & (F.col("nth") == 0), "keep")
+        .otherwise(F.col("kind"))
+    )
     form = F.when(kind.isin("phone", "card", "ssn", "iban"), F.expr(_alnum("part"))).otherwise(F.col("part"))
-    return df.select("mention", "nth", kind.alias("type"), "part", F.lower(form).alias("form"))
+    gap = F.when(F.col("kind") == "person", " ").otherwise("").alias("gap")
+    return df.select("mention", "nth", kind.alias("type"), "part", F.lower(form).alias("form"), gap)
 
 
 def _drawn(entities: DataFrame, secret: str) -> DataFrame:
@@ -235,7 +255,9 @@ def _replacements(mentions: DataFrame, secret: str) -> DataFrame:
     )
     words = F.sort_array(F.collect_list(F.struct("nth", text.alias("text"))))
     return found.groupBy("mention").agg(
-        F.concat_ws(" ", F.transform(words, lambda w: w["text"])).alias("replacement"),
+        F.call_function(
+            "array_join", F.transform(words, lambda w: w["text"]), F.first("gap")
+        ).alias("replacement"),
         F.max(F.col("type") != "keep").alias("personal"),
     )
 
