@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from retail_engine.llm import queries, stages
-from retail_engine.llm.common import delete, shared_folder, working_tables
+from retail_engine.llm.common import shared_folder, working_tables
+from retail_engine.session import remove
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -19,7 +20,7 @@ def _stage(work: Callable[[DataFrame], DataFrame]) -> Stage:
     """A stage that first deletes the working tables of the one before, whose result is written."""
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        delete(spark, _left)
+        remove(spark, _left)
         _left.clear()
         with working_tables() as folders:
             found = work(docs)
