@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_CHECKPOINT_DIR = "spark.checkpoint.dir"
+from retail_engine import session
 
 #: Words of a text: runs of anything but space and the control characters 0x09 to 0x0D.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
@@ -21,18 +22,8 @@ _working: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder name below the one that spark.checkpoint.dir gives.
-
-    Only a local session in which it is unset (tests) gets a folder of its own; a cluster
-    without the setting is an error, since its executors share no local folder.
-    """
-    base = spark.conf.get(_CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError(f"set {_CHECKPOINT_DIR} to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="llm-shared-")
-        spark.conf.set(_CHECKPOINT_DIR, base)
-    return f"{base.rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
+    """A new folder name below the one that all executors share."""
+    return f"{session.shared_folder(spark)}/llm/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -46,7 +37,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 @contextlib.contextmanager
 def working_tables() -> Iterator[list[str]]:
-    """The folders of the tables stored within the block, for delete() once nothing reads them."""
+    """The folders of the tables stored within the block, for session.remove() once nothing reads them."""
     _working.append([])
     try:
         yield _working[-1]
@@ -54,16 +45,10 @@ def working_tables() -> Iterator[list[str]]:
         _working.pop()
 
 
-def delete(spark: SparkSession, folders: Iterable[str]) -> None:
-    for folder in folders:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def forget(*tables: DataFrame) -> None:
     """Delete stored tables that nothing reads any more."""
     for table in tables:
-        delete(table.sparkSession, {f.rsplit("/", 1)[0] for f in table.inputFiles()})
+        session.remove(table.sparkSession, {f.rsplit("/", 1)[0] for f in table.inputFiles()})
 
 
 def packed(docs: DataFrame, name: str = "record"):
@@ -104,6 +89,13 @@ def words_of(text) -> F.Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_BREAK), lambda w: w != "")
 
 
+def lists(arrays: list[np.ndarray], kind: type) -> pa.ListArray:
+    """Arrays of one kind of number as an Arrow column of lists."""
+    ends = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
+    flat = np.concatenate([np.empty(0, kind), *arrays]).astype(kind, copy=False)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Hand rows to Python in batches that stay small when they hold long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

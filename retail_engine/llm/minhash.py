@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from retail_engine.llm.common import small_batches, stored
+from retail_engine.llm.common import lists, small_batches, stored
 from retail_engine.llm.graph import components
 
 WORDS = 5
@@ -131,11 +131,6 @@ class Shingler:
         return key.view(np.int64), bits
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
-    ends = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([_NONE, *arrays])))
-
-
 def _sketches(docs: DataFrame, key: str, text: str, at) -> DataFrame:
     """Per row: at (its place in the input), key, digest, n_shingles, bands, bits."""
     rows = docs.select(
@@ -172,8 +167,8 @@ def _sketches(docs: DataFrame, key: str, text: str, at) -> DataFrame:
                     batch.column("key"),
                     pa.array(digests, pa.binary()),
                     pa.array(sizes, pa.int64()),
-                    _lists(bands),
-                    _lists(bits),
+                    lists(bands, np.int64),
+                    lists(bits, np.int64),
                 ],
                 names=[f.name for f in schema],
             )
@@ -194,7 +189,7 @@ def _sets(docs: DataFrame, text: str, at, nodes: DataFrame) -> DataFrame:
                 for body in batch.column("text").to_pylist()
             ]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("at"), _lists(sets)], names=["node", "hashes"]
+                [batch.column("at"), lists(sets, np.int64)], names=["node", "hashes"]
             )
 
     return rows.mapInArrow(shingle, "node long, hashes array<long>")

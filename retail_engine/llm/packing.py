@@ -2,8 +2,8 @@
 
 Every document becomes token ids and an end id. Its full windows are sequences of their own;
 what is left, less than a window, meets the rests of other documents. Those are dealt over
-shards of bounded size, each with a BM25 inverted index whose document frequencies and mean
-length come from the whole corpus. A seed, an unused rest, fills its window with the unused
+shards of bounded size, each with a BM25 inverted index of tokens whose document frequencies
+and mean length come from the whole corpus. A seed, an unused rest, fills its window with the unused
 neighbours that the index ranks highest; when none fits, the best one is cut, and its
 remainder seeds the next window. So only the last window of a shard has room left.
 """
@@ -12,9 +12,8 @@ from __future__ import annotations
 
 import base64
 import math
-import re
+import struct
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,17 +22,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from retail_engine.llm.common import small_batches, stored
+from retail_engine.llm.common import lists, small_batches, stored
 
 WINDOW = 1024
 END = 0
 SHARD = 4096
-#: Terms are hashed to so many numbers, which bounds the table of document frequencies.
-TERM_BITS = 18
+#: Token ids are below this, which bounds the table of document frequencies.
+VOCABULARY = 1 << 17
 #: The index holds each document's heaviest terms.
 TERMS = 32
 _K1, _B = 1.2, 0.75
-_CACHED = 300_000
+_CACHED = 500_000
 #: How many of the best neighbours may be passed over for one that fits.
 _LOOK = 24
 
@@ -41,8 +40,9 @@ _LOOK = 24
 class Encoder(dict):
     """Byte-level BPE ids as little-endian 32-bit numbers; words met before are looked up.
 
-    The pre-tokeniser always parts a text before a space that a visible character follows,
-    so the words between such spaces can be encoded each on its own.
+    The pre-tokeniser parts a text before every single space and around every single line
+    feed, so the words between them can be encoded each on its own, and letters apart from
+    a full stop or comma that follows. Texts with any other white space go through it whole.
     """
 
     def __init__(self, ranks_path: str, pattern: str):
@@ -54,22 +54,38 @@ class Encoder(dict):
         self.encoding = tiktoken.Encoding(
             "ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}
         )
-        self.uneven = re.compile(r" (?:\s|$)")
+        self.piece = self.encoding._encode_single_piece
+        self.stops = {c: self.whole(c) for c in ".,"}
+        self.feed = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes()
+        return _binary(self.encoding.encode_ordinary(text))
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= _CACHED:
             self.clear()
-        found = self[word] = self.whole(" " + word)
+        if word.isalpha():
+            found = _binary(self.piece(" " + word))
+        elif word[-1:] in self.stops and word[:-1].isalpha():
+            found = self[word[:-1]] + self.stops[word[-1]]
+        else:
+            found = self.whole(" " + word)
+        self[word] = found
         return found
 
     def ids(self, text: str) -> bytes:
-        if self.uneven.search(text):
+        lines = text.split("\n")
+        words = [line.split(" ") for line in lines]
+        if [w for line in words for w in line] != text.split():
             return self.whole(text)
-        first, *words = text.split(" ")
-        return b"".join([self.whole(first), *[self[w] for w in words]])
+        known = self.__getitem__
+        return self.feed.join(
+            [self.whole(line[0]) + b"".join(map(known, line[1:])) for line in words]
+        )
+
+
+def _binary(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def _encoded(docs: DataFrame, key: str, text: str, ranks_path: str, pattern: str) -> DataFrame:
@@ -87,22 +103,20 @@ def _encoded(docs: DataFrame, key: str, text: str, ranks_path: str, pattern: str
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(ranks_path, pattern)
-        mask = (1 << TERM_BITS) - 1
         for batch in batches:
             ids, terms, counts = [], [], []
             for body in batch.column("text").to_pylist():
-                ids.append(encoder.ids(body or "") + end)
-                found = Counter()
-                for word, n in Counter((body or "").encode("utf-8").lower().split()).items():
-                    found[zlib.crc32(word) & mask] += n
-                terms.append(list(found))
-                counts.append(list(found.values()))
+                own = encoder.ids(body or "")
+                ids.append(own + end)
+                found = np.unique(np.frombuffer(own, "<u4"), return_counts=True)
+                terms.append(found[0])
+                counts.append(found[1])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("key"),
                     pa.array(ids, pa.binary()),
-                    pa.array(terms, pa.list_(pa.int32())),
-                    pa.array(counts, pa.list_(pa.int32())),
+                    lists(terms, np.int32),
+                    lists(counts, np.int32),
                 ],
                 names=[f.name for f in schema],
             )
@@ -114,7 +128,7 @@ def _frequencies(encoded: DataFrame) -> DataFrame:
     """Documents per term, summed up in each task before they are shuffled."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << TERM_BITS, np.int64)
+        total = np.zeros(VOCABULARY, np.int64)
         for batch in batches:
             terms = batch.column("terms").flatten().to_numpy(zero_copy_only=False)
             total += np.bincount(terms, minlength=len(total))
@@ -138,20 +152,20 @@ def _weighed(rests: DataFrame, idf: np.ndarray, mean: float) -> DataFrame:
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            all_terms = batch.column("terms").flatten().to_numpy(zero_copy_only=False)
-            all_counts = batch.column("counts").flatten().to_numpy(zero_copy_only=False)
+            t = batch.column("terms").flatten().to_numpy(zero_copy_only=False)
+            n = batch.column("counts").flatten().to_numpy(zero_copy_only=False).astype(float)
             sizes = batch.column("terms").value_lengths().to_numpy(zero_copy_only=False)
-            terms, weights, at = [], [], 0
+            long = np.repeat(batch.column("doc_tokens").to_numpy() / mean, sizes)
+            w = (idf[t] * n * (_K1 + 1) / (n + _K1 * (1 - _B + _B * long))).astype(np.float32)
+            tops, at = [], 0
             for size in sizes.tolist():
-                t, n = all_terms[at : at + size], all_counts[at : at + size].astype(float)
+                own = w[at : at + size]
+                top = np.argpartition(own, -TERMS)[-TERMS:] if size > TERMS else np.arange(size)
+                tops.append(at + top)
                 at += size
-                w = idf[t] * n * (_K1 + 1) / (n + _K1 * (1 - _B + _B * n.sum() / mean))
-                top = np.lexsort((t, -w))[:TERMS]
-                terms.append(t[top])
-                weights.append(w[top].astype(np.float32))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in names]
-                + [pa.array(terms, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float32()))],
+                + [lists([t[x] for x in tops], np.int32), lists([w[x] for x in tops], np.float32)],
                 names=[f.name for f in schema],
             )
 
@@ -240,17 +254,14 @@ def packed(
     """
     small_batches(docs.sparkSession)
     encoded = stored(_encoded(docs, key, text, ranks_path, pattern), "encoded")
-    totals = encoded.agg(
-        F.count("*"), F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x))
-    ).first()
-    number, words = totals[0], totals[1] or 0
-    # One row a hashed term: 2 ** TERM_BITS rows at most.
-    frequency = np.zeros(1 << TERM_BITS)
+    tokens = (F.octet_length("ids") / 4).cast("long")
+    number, total = encoded.agg(F.count("*"), F.sum(tokens)).first()
+    # One row a token id, so no more rows than the vocabulary has.
+    frequency = np.zeros(VOCABULARY)
     table = _frequencies(encoded).toArrow()
     frequency[table["term"].to_numpy()] = table["n"].to_numpy()
     idf = np.log1p((number - frequency + 0.5) / (frequency + 0.5))
 
-    tokens = (F.octet_length("ids") / 4).cast("long")
     rows = encoded.select("key", "ids", "terms", "counts", tokens.alias("doc_tokens"))
     full = (F.col("doc_tokens") / WINDOW).cast("long")
     piece = F.expr(f"substring(ids, cast(start * 4 + 1 as int), {WINDOW * 4})")
@@ -279,7 +290,7 @@ def packed(
         "terms",
         "counts",
     )
-    rests = _weighed(rests, idf, max(1.0, words / max(1, number)))
+    rests = _weighed(rests, idf, (total or 1) / max(1, number))
     out = T.StructType([wholes.schema[c] for c in wholes.columns])
 
     def pack(group: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

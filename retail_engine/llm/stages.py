@@ -16,6 +16,13 @@ def words_in(text: str) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(_WORD)), F.lit(0)).cast("long")
 
 
+def _spare(docs: DataFrame, name: str) -> str:
+    """`name`, or a longer one if the documents have such a column."""
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    return name
+
+
 def of_quality(docs: DataFrame) -> DataFrame:
     """The documents that the quality rules keep."""
     return unpacked(outliers.quality_rules(docs).where("kept"), docs.columns)
@@ -26,12 +33,13 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
 
     Of equal ids in a component the row that comes first stays.
     """
-    rows = numbered(docs, "_row_id")
-    found = minhash.near_duplicates(rows, row_id="_row_id")
-    single = found.where("root is null").select(F.col("at").alias("_row_id"))
-    first = found.where("root is not null and kept").groupBy("root").agg(F.min("at").alias("_row_id"))
-    kept = single.union(first.select("_row_id"))
-    return rows.join(kept, "_row_id", "left_semi").select(*[rows[f"`{c}`"] for c in docs.columns])
+    row_id = _spare(docs, "row_id")
+    rows = numbered(docs, row_id)
+    found = minhash.near_duplicates(rows, row_id=row_id)
+    single = found.where("root is null").select("at")
+    first = found.where("root is not null and kept").groupBy("root").agg(F.min("at").alias("at"))
+    kept = single.union(first.select("at")).withColumnRenamed("at", row_id)
+    return rows.join(kept, row_id, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def without_personal_data(docs: DataFrame, secret: str) -> DataFrame:
@@ -42,10 +50,16 @@ def without_personal_data(docs: DataFrame, secret: str) -> DataFrame:
 
 def at_target_weights(docs: DataFrame) -> DataFrame:
     """Every document as often as the mix of sources takes it."""
-    rows = numbered(docs, "_row_id")
+    row_id, copies, nth = (_spare(docs, n) for n in ("row_id", "copies", "nth"))
+    rows = numbered(docs, row_id)
     units = rows.select(
-        F.col("_row_id").alias("row_id"), F.col("doc_id").alias("key"), "source", words_in("text").alias("size")
+        F.col(row_id).alias("row_id"),
+        F.col("doc_id").alias("key"),
+        "source",
+        words_in("text").alias("size"),
     )
-    taken = mixing.mixed(units).where("copies > 0").select(F.col("row_id").alias("_row_id"), "copies")
-    again = rows.join(taken, "_row_id").withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    taken = mixing.mixed(units).where("copies > 0")
+    taken = taken.select(F.col("row_id").alias(row_id), F.col("copies").alias(copies))
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))
+    again = rows.join(taken, row_id).withColumn(nth, each)
     return again.select(*[F.col(f"`{c}`") for c in docs.columns])
