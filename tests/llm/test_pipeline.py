@@ -31,13 +31,9 @@ def test_stages_take_effect_one_after_the_other(spark, tmp_path):
             ids = now
         docs = out
     assert {r.doc_id for r in docs.collect()} == ids
-
-
-def test_run_gives_the_last_stage_over_the_kept_documents(spark):
-    first = corpus_pipeline.run(spark, SMALL).collect()
-    again = corpus_pipeline.run(spark, SMALL).collect()
-    digest = lambda rows: sum(zlib.crc32(str((r.doc_id, r.start, r.length, r.ids_crc32)).encode()) for r in rows)
-    assert first and len(first) == len(again) and digest(first) == digest(again)
+    # All of it once more gives the same pieces.
+    digest = lambda df: sum(zlib.crc32(str(tuple(r)[:4]).encode()) for r in df.collect())
+    assert digest(corpus_pipeline.run(spark, SMALL)) == digest(docs)
 
 
 def test_stages_keep_odd_rows_defined(odd, empty):
