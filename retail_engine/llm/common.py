@@ -37,7 +37,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 @contextlib.contextmanager
 def working_tables() -> Iterator[list[str]]:
-    """The folders of the tables stored within the block, for session.remove() once nothing reads them."""
+    """The folders of the tables stored within the block, for session.remove() later."""
     _working.append([])
     try:
         yield _working[-1]

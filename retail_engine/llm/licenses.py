@@ -125,7 +125,7 @@ def winnowed(hashes: np.ndarray) -> np.ndarray:
     return np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
 
 
-def aligned(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int, int, int, int]:
+def aligned(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, ...]:
     """Best alignment within the diagonals text - template = low..high.
 
     A match counts 1, a skipped word of either side costs a little. Returns matched words,
@@ -221,7 +221,8 @@ class Scanner:
             if all(last < t[6] or first > t[7] for t in taken):
                 name, variant = self.names[template]
                 share = matched / len(self.templates[template])
-                taken.append((name, variant, share, matched, spans[first][0], spans[last][1], first, last))
+                start, stop = spans[first][0], spans[last][1]
+                taken.append((name, variant, share, matched, start, stop, first, last))
         return sorted(taken, key=lambda t: t[6])
 
 
@@ -238,6 +239,8 @@ def notices(
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    schema = SCHEMA.format(key=rows.schema["key"].dataType.simpleString())
+    names = [column.split(" ")[0] for column in schema.split(", ")]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates)
@@ -253,7 +256,7 @@ def notices(
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key").take(pa.array(at, pa.int64()))]
                 + [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                ["key", "license", "variant", "coverage", "matched", "start", "stop", "first_word", "last_word"],
+                names,
             )
 
-    return rows.mapInArrow(scan, SCHEMA.format(key=rows.schema["key"].dataType.simpleString()))
+    return rows.mapInArrow(scan, schema)

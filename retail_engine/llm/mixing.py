@@ -111,7 +111,8 @@ def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOS
         F.count("*").alias("docs"), F.sum("size").alias("source_size")
     )
     placed = with_position(sources, [F.col("source").asc_nulls_last()], "place")
-    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), F.pmod(F.col("place") - 1, F.lit(len(weights))).cast("int") + 1)
+    turn = F.pmod(F.col("place") - 1, F.lit(len(weights))).cast("int")
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), turn + 1)
     placed = stored(placed.withColumn("weight", weight), "sources")
     cap = most * F.col("source_size")
     total = placed.agg(F.sum("source_size")).first()[0] or 0
@@ -142,9 +143,11 @@ def mixed(rows: DataFrame, seed: int = 9, weights: tuple[int, ...] = WEIGHTS) ->
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     ratio = F.when(F.abs(ratio - F.round(ratio)) < _ALMOST, F.round(ratio)).otherwise(ratio)
     hashed = seeded_hash(rows, "key", "row_id", seed, "hash")
-    units = hashed.join(goals.withColumnRenamed("source", "_source"), hashed["source"].eqNullSafe(F.col("_source")))
+    goals = goals.withColumnRenamed("source", "_source")
+    units = hashed.join(goals, hashed["source"].eqNullSafe(F.col("_source")))
     units = units.withColumn("ratio", ratio).withColumn("whole", F.floor("ratio"))
-    units = stored(units.withColumn("chance", F.col("ratio") - F.col("whole")).drop("_source", "ratio"), "units")
+    units = units.withColumn("chance", F.col("ratio") - F.col("whole"))
+    units = stored(units.drop("_source", "ratio"), "units")
 
     levels, open_units = [], units.select("row_id", "place", "size", "chance", "hash")
     last = False

@@ -78,7 +78,8 @@ def _classes(vectors: DataFrame, key: str, vector: str, label: str) -> tuple[Dat
     numbers = F.col("vector").cast("array<double>")
     norm = F.aggregate(numbers, F.lit(0.0), lambda a, x: a + x * x)
     sound = F.col("part").isNotNull() & F.col("vector").isNotNull()
-    sound = sound & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    sound = sound & ~F.exists("vector", odd)
     rows = vectors.select(
         F.monotonically_increasing_id().alias("at"),
         F.col(key).alias("key"),
@@ -93,7 +94,8 @@ def _classes(vectors: DataFrame, key: str, vector: str, label: str) -> tuple[Dat
     # Only vectors of one length can be compared, so the length is part of the part.
     part = F.xxhash64("part", F.size("vector"))
     members = stored(classes, "vector-classes")
-    classes = members.select("node", part.alias("part"), F.col("vector").cast("array<double>").alias("vector"), "size", "key")
+    doubles = F.col("vector").cast("array<double>").alias("vector")
+    classes = members.select("node", part.alias("part"), doubles, "size", "key")
     named = members.select("part", "vector", "node")
     at = rows.where("sound").join(named, ["part", "vector"]).select("at", "key", "node")
     rest = rows.where("not sound").select("at", "key", F.lit(None).cast("long").alias("node"))
@@ -192,10 +194,10 @@ def _audit(classes: DataFrame, links: DataFrame, audited: int) -> tuple[int, int
         return 0, 0
     nodes, parts = asked["node"].to_numpy(), asked["part"].to_numpy()
     sizes = asked["vector"].combine_chunks().value_lengths().to_numpy()
-    units = {
-        size: (np.flatnonzero(sizes == size), _unit(asked["vector"].combine_chunks().take(pa.array(np.flatnonzero(sizes == size)))))
-        for size in np.unique(sizes).tolist()
-    }
+    vectors, units = asked["vector"].combine_chunks(), {}
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        units[size] = at, _unit(vectors.take(pa.array(at)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(nodes), np.int64)
@@ -212,7 +214,8 @@ def _audit(classes: DataFrame, links: DataFrame, audited: int) -> tuple[int, int
 
     there = classes.select("node", "part", "vector").mapInArrow(count, "node long, n long")
     there = there.groupBy("node").agg(F.sum("n").alias("there"))
-    found = links.join(there, F.col("a") == F.col("node")).groupBy("node").agg(F.count("*").alias("found"))
+    found = links.join(there, F.col("a") == F.col("node"))
+    found = found.groupBy("node").agg(F.count("*").alias("found"))
     full = lambda c: F.least(F.col(c), F.lit(NEIGHBOURS))
     both = there.join(found, "node", "left").na.fill(0, ["found"])
     row = both.agg(F.sum(F.least(full("found"), full("there"))), F.sum(full("there"))).first()
@@ -222,7 +225,8 @@ def _audit(classes: DataFrame, links: DataFrame, audited: int) -> tuple[int, int
 def _enlarged(saturated: DataFrame, classes: DataFrame) -> DataFrame:
     """Per saturated vector (node, root) the rows it links with among those of its root."""
     rows = saturated.join(classes.select("node", "vector", "size"), "node")
-    counts = stored(rows.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "blocks")
+    counts = rows.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    counts = stored(counts, "blocks")
     rows = rows.join(counts, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
     rows = stored(rows, "saturated")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
@@ -294,6 +298,8 @@ def near_vectors(
     out = rows.join(named.withColumn("_in", F.lit(True)), "node", "left")
     component = F.when(F.col("_in"), F.col("component_id")).otherwise(F.col("key"))
     out = out.select(
-        "key", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id")
+        "key",
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        component.alias("component_id"),
     )
     return out.withColumn("kept", F.col("key").eqNullSafe(F.col("component_id")))

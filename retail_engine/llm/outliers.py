@@ -50,8 +50,8 @@ def _repeated(hashes: Column) -> Column:
     ranked = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
     def places(s: Column) -> Column:
-        twin = lambda x, j: (F.get(s, j - 1)["h"] == x["h"]) | (F.get(s, j + 1)["h"] == x["h"])
-        kept = F.filter(s, lambda x, j: F.coalesce(twin(x, j), F.lit(False)))
+        near = lambda x, j: F.coalesce(F.get(s, j)["h"] == x["h"], F.lit(False))
+        kept = F.filter(s, lambda x, j: near(x, j - 1) | near(x, j + 1))
         return F.sort_array(F.transform(kept, lambda x: x["i"]))
 
     # A one-element array gives the sorted windows a name, so that they are sorted once.
@@ -68,7 +68,9 @@ def _repeated(hashes: Column) -> Column:
     )
 
 
-def measured(docs: DataFrame, text: str = "text", carry: tuple[str, ...] | None = None) -> DataFrame:
+def measured(
+    docs: DataFrame, text: str = "text", carry: tuple[str, ...] | None = None
+) -> DataFrame:
     """`record` (the carried columns, all by default), `lang`/`source` keys and statistics.
 
     Words are runs of [^\\x20\\x09-\\x0D]; a null text has none, and zero statistics.
@@ -97,7 +99,8 @@ def measured(docs: DataFrame, text: str = "text", carry: tuple[str, ...] | None
         F.sequence(F.lit(0), F.col("n") - WINDOW),
         lambda i: F.xxhash64(*[F.get("_hashes", i + k) for k in range(WINDOW)]),
     )
-    df = df.withColumn("_windows", F.when(F.col("n") >= WINDOW, window).otherwise(F.array().cast("array<bigint>")))
+    none = F.array().cast("array<bigint>")
+    df = df.withColumn("_windows", F.when(F.col("n") >= WINDOW, window).otherwise(none))
     plain = F.size(F.array_distinct("_windows")) == F.size("_windows")
     df = df.withColumn("_repeats", F.when(plain, 0).otherwise(_repeated(F.col("_windows"))))
     df = df.withColumn("_dups", F.size("_lines") - F.size(F.array_distinct("_lines")))
@@ -129,8 +132,10 @@ def measured(docs: DataFrame, text: str = "text", carry: tuple[str, ...] | None
 
 def _levels() -> list[Column]:
     """Numbers of the row's group, its language and all rows; nulls are values of their own."""
-    known = lambda c: [F.col(c).isNull(), F.coalesce(F.col(c).cast("string"), F.lit(""))]
-    lang, source = known("_lang"), known("_source")
+    lang, source = (
+        [F.col(c).isNull(), F.coalesce(F.col(c).cast("string"), F.lit(""))]
+        for c in ("_lang", "_source")
+    )
     return [
         F.xxhash64(F.lit(2), *lang, *source).alias("_k2"),
         F.xxhash64(F.lit(1), *lang).alias("_k1"),
@@ -150,6 +155,10 @@ def _pairs() -> list[tuple[int, int]]:
     return [(i, j) for i in range(P) for j in range(i + 1)]
 
 
+def _floor(i: int, j: int) -> float:
+    return _FLOOR[i] if i == j else 0.0
+
+
 def _moments(rows: DataFrame, by: list[str]) -> DataFrame:
     """n, the mean m0.. and the covariance c00.. of VECTOR over each key's rows."""
     x = [F.col(v) for v in VECTOR]
@@ -164,7 +173,7 @@ def _moments(rows: DataFrame, by: list[str]) -> DataFrame:
         *by,
         *[m[i].alias(f"m{i}") for i in range(P)],
         *[
-            (F.col(f"s{i}_{j}") / n - m[i] * m[j] + (_FLOOR[i] if i == j else 0.0)).alias(f"c{i}_{j}")
+            (F.col(f"s{i}_{j}") / n - m[i] * m[j] + _floor(i, j)).alias(f"c{i}_{j}")
             for i, j in _pairs()
         ],
     )
@@ -232,22 +241,29 @@ def _starts(rows: DataFrame) -> DataFrame:
         *[F.median(f).alias(f"a{i}") for i, f in enumerate(far)],
     )
     mads = stored(mads, "mads")
-    diagonal = lambda i, j: F.pow(1.4826 * F.col(f"a{i}"), 2) + _FLOOR[i] if i == j else F.lit(0.0)
-    middle = [f"m{i}" for i in range(P)]
-    first = mads.select("_k", F.lit(0).alias("start"), *middle, *[diagonal(i, j).alias(f"c{i}_{j}") for i, j in _pairs()])
+    variance = [F.pow(1.4826 * F.col(f"a{i}"), 2) + _FLOOR[i] for i in range(P)]
+    middle, spread = [f"m{i}" for i in range(P)], [f"a{i}" for i in range(P)]
+    diagonal = [
+        (variance[i] if i == j else F.lit(0.0)).alias(f"c{i}_{j}") for i, j in _pairs()
+    ]
+    first = mads.select("_k", F.lit(0).alias("start"), *middle, *diagonal)
 
     near = rows.drop(*[f"d{i}" for i in range(P)]).join(mads, "_k")
-    z = [(F.col(v) - F.col(f"m{i}")) / F.sqrt(diagonal(i, i)) for i, v in enumerate(VECTOR)]
+    z = [(F.col(v) - F.col(f"m{i}")) / F.sqrt(variance[i]) for i, v in enumerate(VECTOR)]
     norm = reduce(lambda a, b: a + b, [x * x for x in z])
     # Signs are rounded so that their sums, too, do not depend on the order of addition.
     unit = [F.round(x / F.sqrt(F.greatest(norm, F.lit(1e-9))) * 1024) / 1024 for x in z]
-    signs = near.select("_k", *middle, *[f"a{i}" for i in range(P)], *[u.alias(f"u{i}") for i, u in enumerate(unit)])
+    units = [u.alias(f"u{i}") for i, u in enumerate(unit)]
+    signs = near.select("_k", *middle, *spread, *units)
     signs = signs.groupBy("_k").agg(
-        *[F.first(c).alias(c) for c in middle + [f"a{i}" for i in range(P)]],
+        *[F.first(c).alias(c) for c in middle + spread],
         *[(P * F.avg(F.col(f"u{i}") * F.col(f"u{j}"))).alias(f"g{i}_{j}") for i, j in _pairs()],
     )
-    scaled = lambda i, j: F.col(f"g{i}_{j}") * F.sqrt(diagonal(i, i)) * F.sqrt(diagonal(j, j)) + (_FLOOR[i] if i == j else 0.0)
-    second = signs.select("_k", F.lit(1).alias("start"), *middle, *[scaled(i, j).alias(f"c{i}_{j}") for i, j in _pairs()])
+    scaled = [
+        (F.col(f"g{i}_{j}") * F.sqrt(variance[i] * variance[j]) + _floor(i, j)).alias(f"c{i}_{j}")
+        for i, j in _pairs()
+    ]
+    second = signs.select("_k", F.lit(1).alias("start"), *middle, *scaled)
     third = _moments(rows, ["_k"]).withColumn("start", F.lit(2)).select(*first.columns)
     return first.union(second).union(third)
 
@@ -262,13 +278,15 @@ def _mcd(rows: DataFrame) -> DataFrame:
         cut = _cut(placed, keys, KEPT_SHARE)
         kept = placed.join(stored(cut, "cuts"), keys).where("bin <= cut")
         estimate = stored(_whitened(_moments(kept, keys), keys), "estimates")
-    best = F.min_by(F.struct(*[F.col(c) for c in estimate.columns if c not in keys]), F.struct("det", "start"))
+    values = F.struct(*[F.col(c) for c in estimate.columns if c not in keys])
+    best = F.min_by(values, F.struct("det", "start"))
     estimate = stored(estimate.groupBy("_k").agg(best.alias("e")).select("_k", "e.*"), "estimates")
     for last in (False, True):
         placed = rows.join(estimate, "_k").withColumn("bin", _bin(_distance()))
         placed = placed.select("_k", "bin", *VECTOR)
         middle = _cut(placed, ["_k"], 0.5)
-        scale = F.greatest(F.pow(F.lit(2.0), (F.col("cut") + 0.5) / _BINS) / _chi2(0.5), F.lit(0.05))
+        centre = F.pow(F.lit(2.0), (F.col("cut") + 0.5) / _BINS)
+        scale = F.greatest(centre / _chi2(0.5), F.lit(0.05))
         scales = stored(middle.select("_k", scale.alias("scale")), "scales")
         if last:
             return stored(estimate.join(scales, "_k"), "estimates")

@@ -184,7 +184,8 @@ class Index:
         self.weights = np.concatenate([np.empty(0, np.float32), *weights])[order]
         found, starts = np.unique(flat[order], return_index=True)
         ends = np.append(starts[1:], len(flat))
-        self.places = dict(zip(found.tolist(), zip(starts.tolist(), ends.tolist(), strict=True), strict=True))
+        spans = zip(starts.tolist(), ends.tolist(), strict=True)
+        self.places = dict(zip(found.tolist(), spans, strict=True))
 
     def neighbours(self, seed: int, free: np.ndarray) -> list[int]:
         """The best free documents for the seed's terms, best first."""
@@ -199,7 +200,7 @@ class Index:
         return best[np.lexsort((best, -scores[best]))].tolist()
 
 
-def fill(lengths: list[int], index: Index, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
+def fill(lengths: list[int], index: Index, window: int = WINDOW) -> list[tuple[int, ...]]:
     """Pieces (document, start, length, window number, offset) that use every token once."""
     free = np.ones(len(lengths), bool)
     start, pieces, number, seed, next_seed = [0] * len(lengths), [], 0, None, 0
@@ -222,7 +223,8 @@ def fill(lengths: list[int], index: Index, window: int = WINDOW) -> list[tuple[i
         put(seed, lengths[seed] - start[seed])
         near, spare = index.neighbours(seed, free), next_seed
         while offset < window:
-            doc = next((d for d in near if lengths[d] <= window - offset), near[0] if near else None)
+            fits = (d for d in near if lengths[d] <= window - offset)
+            doc = next(fits, near[0] if near else None)
             if doc is None:
                 while spare < len(lengths) and not free[spare]:
                     spare += 1
@@ -281,9 +283,11 @@ def packed(
 
     shards = max(1, math.ceil(number / SHARD))
     before = full * WINDOW
+    at = f"cast(doc_tokens div {WINDOW} * {WINDOW * 4} + 1 as int)"
+    rest = F.expr(f"substring(ids, {at}, {WINDOW * 4})")
     rests = rows.where(F.col("doc_tokens") > before).select(
         "key",
-        F.expr(f"substring(ids, cast(doc_tokens div {WINDOW} * {WINDOW * 4} + 1 as int), {WINDOW * 4})").alias("ids"),
+        rest.alias("ids"),
         before.alias("before"),
         "doc_tokens",
         F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).alias("shard"),

@@ -156,7 +156,10 @@ def fitted(
     share = F.pmod(F.xxhash64(F.lit(6), key), F.lit(1_000_000)) / 1_000_000
     drawn = stored(known.where(share < limit / max(1, number)), "labelled")
     rows = docs.join(drawn, key).select(
-        key, F.col(text).cast("binary").alias("text"), F.col(chars).cast("long").alias("chars"), "_quality"
+        key,
+        F.col(text).cast("binary").alias("text"),
+        F.col(chars).cast("long").alias("chars"),
+        "_quality",
     )
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,8 +207,8 @@ def scored(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = zip(batch.column("text").to_pylist(), batch.column("chars").to_pylist(), strict=True)
-            scores = [model.score(*features(text, chars)) for text, chars in pairs]
+            columns = (batch.column(c).to_pylist() for c in ("text", "chars"))
+            scores = [model.score(*features(*row)) for row in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key"), pa.array(scores, pa.float64())], ["key", "score"]
             )

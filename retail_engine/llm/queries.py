@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retail_engine.llm import licenses, minhash, mixing, neighbours, outliers, packing, quality, sharding, surrogates, warc
+from retail_engine.llm import (
+    licenses,
+    minhash,
+    mixing,
+    neighbours,
+    outliers,
+    packing,
+    quality,
+    sharding,
+    surrogates,
+    warc,
+)
 from retail_engine.llm.common import numbered
 from retail_engine.llm.stages import words_in
 
@@ -95,8 +106,8 @@ def op9_balanced_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = words_in("text")
     rows = numbered(docs.select(F.col("doc_id").alias("key"), "source", size.alias("size")))
     taken = (F.col("copies") * F.col("size")).alias("taken")
-    names = ["size", "source_size", "target"]
-    return mixing.mixed(rows).select(F.col("key").alias("doc_id"), *names, taken, "source", "copies")
+    names = ["size", "source_size", "target", taken, "source", "copies"]
+    return mixing.mixed(rows).select(F.col("key").alias("doc_id"), *names)
 
 
 def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,7 +46,8 @@ def shuffle_shards(
     ).first()
     buckets = max(1, -(-total["bytes"] // bucket_bytes))
 
-    rows = docs.select(record, F.col(key).alias("_key"), F.monotonically_increasing_id().alias("_at"))
+    at = F.monotonically_increasing_id().alias("_at")
+    rows = docs.select(record, F.col(key).alias("_key"), at)
     rows = seeded_hash(rows, "_key", "_at", seed, "_hash")
     rows = rows.withColumn("_bucket", F.pmod("_hash", F.lit(buckets)))
 

@@ -50,7 +50,7 @@ PATTERNS = {
     r"|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}"
     rf"|(?<![.-])\d{{3}}[.-]\d{{3}}[.-]\d{{4}}(?!-)){_END}",
     "card": rf"(?=\d)(?<!-)\d{{4}}(?:[ -]?\d{{4}}){{2}}[ -]?\d{{1,7}}(?!-){_END}",
-    "iban": rf"(?=[A-Z]{{2}}\d{{2}})[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?{_END}",
+    "iban": r"(?=[A-Z]{2}\d{2})[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?" + _END,
     "secret": rf"{_KEYWORD}[^\s\"']{{8,128}}"
     r"|(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,}|[0-9a-fA-F]{32,128})"
     + _END,
@@ -62,8 +62,10 @@ PATTERN = (
 )
 
 _SYLLABLES = {
-    "latin": "an ber cor dal en fel gar hol in jen kar lin mar nor os pel ran sel tor un ver wen yor zel",
-    "cyrillic": "ан бер вол гор дан ев жар зин кор лин мар нов ос пет ран сол тур ул фил хар цев чер шин юр",
+    "latin": "an ber cor dal en fel gar hol in jen kar lin mar nor os pel ran sel tor un ver wen "
+    "yor zel",
+    "cyrillic": "ан бер вол гор дан ев жар зин кор лин мар нов ос пет ран сол тур ул фил хар цев "
+    "чер шин юр",
 }
 
 
@@ -77,10 +79,10 @@ def _alnum(text: str) -> str:
 
 def _sum_of_check(digits: str) -> str:
     """Luhn sum of all digits, the last one counted once."""
+    digit = f"cast(substr({digits}, -i, 1) as bigint)"
     return (
         f"aggregate(sequence(1, greatest(length({digits}), 1)), 0L, (a, i) -> a + "
-        f"if(i % 2 = 1, cast(substr({digits}, -i, 1) as bigint), "
-        f"(2 * cast(substr({digits}, -i, 1) as int)) div 10 + (2 * cast(substr({digits}, -i, 1) as int)) % 10))"
+        f"if(i % 2 = 1, {digit}, (2 * {digit}) div 10 + (2 * {digit}) % 10))"
     )
 
 
@@ -98,12 +100,14 @@ def _typed(mentions: DataFrame) -> DataFrame:
     """
     kind = F.lit(None).cast("string")
     for name in reversed(PATTERNS):
-        kind = F.when(F.col("mention").rlike(f"^(?:{PATTERNS[name]})$"), F.lit(name)).otherwise(kind)
+        fits = F.col("mention").rlike(f"^(?:{PATTERNS[name]})$")
+        kind = F.when(fits, F.lit(name)).otherwise(kind)
     words = F.split("mention", " ")
     value = F.regexp_replace("mention", f"^{_KEYWORD}", "")
     told = (F.col("kind") == "secret") & (F.length(value) < F.length("mention"))
     parts = F.when(F.col("kind") == "person", words)
-    parts = parts.when(told, F.array(F.expr("left(mention, length(mention) - length(value))"), value))
+    words_before = F.expr("left(mention, length(mention) - length(value))")
+    parts = parts.when(told, F.array(words_before, F.col("value")))
     df = mentions.withColumn("kind", kind).withColumn("value", value)
     df = df.select(
         "mention",
@@ -141,7 +145,8 @@ def _typed(mentions: DataFrame) -> DataFrame:
         .when(F.col("told") & (F.col("nth") == 0), "keep")
         .otherwise(F.col("kind"))
     )
-    form = F.when(kind.isin("phone", "card", "ssn", "iban"), F.expr(_alnum("part"))).otherwise(F.col("part"))
+    spaced = kind.isin("phone", "card", "ssn", "iban")
+    form = F.when(spaced, F.expr(_alnum("part"))).otherwise(F.col("part"))
     gap = F.when(F.col("kind") == "person", " ").otherwise("").alias("gap")
     return df.select("mention", "nth", kind.alias("type"), "part", F.lower(form).alias("form"), gap)
 
@@ -163,12 +168,13 @@ def _drawn(entities: DataFrame, secret: str) -> DataFrame:
     # Country codes, card brands and top-level domains stay.
     df = df.withColumn(
         "head",
-        F.expr("case when type = 'phone' then greatest(length(stem) - 10, 0) when type = 'card' then 1 when type = 'iban' then 2 else 0 end"),
-    )
-    df = df.withColumn(
-        "tail",
-        F.expr(r"if(type = 'email', length(regexp_replace(regexp_extract(form, '\\.([^.]*)$', 1), '[^\\p{L}\\p{N}]', '')), 0)"),
+        F.expr(
+            "case type when 'phone' then greatest(length(stem) - 10, 0) when 'card' then 1 "
+            "when 'iban' then 2 else 0 end"
+        ),
     )
+    domain = _alnum(r"regexp_extract(form, '\\.([^.]*)$', 1)")
+    df = df.withColumn("tail", F.expr(f"if(type = 'email', length({domain}), 0)"))
     letter = (
         f"if(hexadecimal, substr('abcdef', {at} % 6 + 1, 1), "
         f"substr('abcdefghijklmnopqrstuvwxyz', {at} % 26 + 1, 1))"
@@ -245,8 +251,8 @@ def _replacements(mentions: DataFrame, secret: str) -> DataFrame:
     found = parts.join(surrogates(entities, secret), ["type", "form"], "left")
     own = F.expr(_spelled("part", _alnum("surrogate")))
     shout = (F.upper("part") == F.col("part")) & (F.length("part") > 1)
-    named = F.when(shout, F.upper("surrogate")).otherwise(F.initcap(F.regexp_replace("surrogate", "-", " ")))
-    named = F.when(F.col("surrogate").contains("-") & ~shout, F.regexp_replace(named, " ", "-")).otherwise(named)
+    capital = F.regexp_replace(F.initcap(F.regexp_replace("surrogate", "-", " ")), " ", "-")
+    named = F.when(shout, F.upper("surrogate")).otherwise(capital)
     text = (
         F.when(F.col("type") == "keep", F.col("part"))
         .when(F.col("type").rlike("^(given|surname)"), named)
@@ -292,6 +298,7 @@ def replaced(docs: DataFrame, secret: str, text: str = "text") -> DataFrame:
             lambda x, i: F.concat(x, F.coalesce(F.get("_new", i)["replacement"], F.lit(""))),
         ),
     )
-    fields = [whole.alias(c) if c == text else F.col(f"record.`{c}`").alias(c) for c in docs.columns]
+    same = {c: F.col(f"record.`{c}`") for c in docs.columns}
+    fields = [column.alias(c) for c, column in (same | {text: whole}).items()]
     changed = touched.join(new, "_at").select(F.struct(*fields).alias("record"), "n_mentions")
     return plain.union(changed)

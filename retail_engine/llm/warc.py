@@ -114,7 +114,9 @@ def _marked(pages: DataFrame, least_bytes: int) -> DataFrame:
     groups = groups.agg(F.count("*").alias("n"), F.min(order).alias("first")).where("n > 1")
     groups = stored(
         groups.select(
-            "digest", F.col("first.at").alias("first_at"), F.col("first.page_id").alias("first_page")
+            "digest",
+            F.col("first.at").alias("first_at"),
+            F.col("first.page_id").alias("first_page"),
         ),
         "repeated-payloads",
     )
