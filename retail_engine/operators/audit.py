@@ -110,7 +110,8 @@ def type_report(tables: dict[str, DataFrame]) -> DataFrame:
 
     def report(name: str, table: DataFrame) -> DataFrame:
         types = [F.lit(part) for c, kind in table.dtypes for part in (c, kind)]
-        filled = _as_rows(table.agg(*(F.count(c).alias(c) for c in table.columns)), "column_name", "filled")
+        counts = table.agg(*(F.count(c).alias(c) for c in table.columns))
+        filled = _as_rows(counts, "column_name", "filled")
         return filled.select(
             F.lit(name).alias("table_name"),
             "column_name",
