@@ -28,6 +28,7 @@ RANK = 8
 FITTED = 12_000
 _LEVELS = 8
 _EPOCHS = 12
+_LEAST_STEPS = 400
 _BATCH = 128
 
 _UPPER = np.array([65 <= b <= 90 for b in range(256)])
@@ -108,8 +109,9 @@ class Machine:
         rng, rate, step = np.random.default_rng(7), 0.02, 0
         weights = np.concatenate([self.weights[:, None], self.factors], axis=1)
         mean, square, bias = np.zeros_like(weights), np.zeros_like(weights), self.bias
-        for _ in range(_EPOCHS):
-            for batch in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // _BATCH)):
+        batches = max(1, len(rows) // _BATCH)
+        for _ in range(max(_EPOCHS, _LEAST_STEPS // batches)):
+            for batch in np.array_split(rng.permutation(len(rows)), batches):
                 x = np.zeros((len(batch), len(weights)))
                 for i, r in enumerate(batch):
                     x[i, rows[r][0]] = rows[r][1]
