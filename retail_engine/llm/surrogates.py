@@ -51,8 +51,8 @@ PATTERNS = {
     rf"|(?<![.-])\d{{3}}[.-]\d{{3}}[.-]\d{{4}}(?!-)){_END}",
     "card": rf"(?=\d)(?<!-)\d{{4}}(?:[ -]?\d{{4}}){{2}}[ -]?\d{{1,7}}(?!-){_END}",
     "iban": r"(?=[A-Z]{2}\d{2})[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?" + _END,
-    "secret": rf"{_KEYWORD}[^\s\"']{{8,128}}"
-    r"|(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,}|[0-9a-fA-F]{32,128})"
+    "secret": rf"{_KEYWORD}[^\s\"']{{8,}}+"
+    r"|(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,}|[0-9a-fA-F]{32,}+)"
     + _END,
     "person": rf"(?=\p{{Lu}})(?:(?:{_TITLE})\.? {_TOP}(?: {_TOP})?|(?:{_FIRST}) {_TOP})",
 }
@@ -152,19 +152,27 @@ def _typed(mentions: DataFrame) -> DataFrame:
 
 
 def _drawn(entities: DataFrame, secret: str) -> DataFrame:
-    """Add `surrogate`, what the key gives for (type, form) at this attempt, in lower case."""
+    """Add `surrogate`, what the key gives for (type, form) at this attempt, in lower case.
+
+    Characters and hashes are arrays, so that a long form costs its length and no square.
+    """
     seed = F.concat_ws("|", F.lit(secret), "type", "form", F.col("attempt").cast("string"))
+    # Every hash reads the seed, so that of a long form is hashed first.
+    seed = F.when(F.length("form") > 128, F.sha2(seed, 256)).otherwise(seed)
     df = entities.withColumn("seed", seed).withColumn("stem", F.expr(_alnum("form")))
+    df = df.withColumn("chars", F.split("stem", ""))
     df = df.withColumn(
-        "bytes",
+        "hashes",
         F.expr(
-            "concat_ws('', transform(sequence(0, length(stem) div 32 + 1), "
-            "b -> sha2(concat(seed, '|', b), 256)))"
+            "flatten(transform(array(seed), s -> transform(sequence(0, size(chars) div 32 + 1), "
+            "b -> sha2(concat(s, '|', b), 256))))"
         ),
     )
-    byte = "cast(conv(substr(bytes, 2 * {0} - 1, 2), 16, 10) as int)"
-    at = byte.format("i")
-    df = df.withColumn("hexadecimal", F.expr("type = 'secret' and form rlike '^[0-9a-f]+$'"))
+    byte = "substr(get(hashes, cast((i - 1) div 32 as int)), (i - 1) % 32 * 2 + 1, 2)"
+    at = f"cast(conv({byte}, 16, 10) as int)"
+    hexadecimal = F.expr("type = 'secret' and form rlike '^[0-9a-f]+$'")
+    alphabet = F.when(hexadecimal, "abcdef").otherwise("abcdefghijklmnopqrstuvwxyz")
+    df = df.withColumn("alphabet", alphabet)
     # Country codes, card brands and top-level domains stay.
     df = df.withColumn(
         "head",
@@ -175,16 +183,13 @@ def _drawn(entities: DataFrame, secret: str) -> DataFrame:
     )
     domain = _alnum(r"regexp_extract(form, '\\.([^.]*)$', 1)")
     df = df.withColumn("tail", F.expr(f"if(type = 'email', length({domain}), 0)"))
-    letter = (
-        f"if(hexadecimal, substr('abcdef', {at} % 6 + 1, 1), "
-        f"substr('abcdefghijklmnopqrstuvwxyz', {at} % 26 + 1, 1))"
-    )
+    letter = f"substr(alphabet, {at} % length(alphabet) + 1, 1)"
     lead = "if(i = head + 1, 2, 0)"  # no leading zero
     filled = (
-        "concat_ws('', transform(sequence(1, greatest(length(stem), 1)), i -> case "
-        "when i <= head or i > length(stem) - tail then substr(stem, i, 1) "
-        f"when substr(stem, i, 1) rlike '[0-9]' then cast({lead} + {at} % (10 - {lead}) as string) "
-        f"when substr(stem, i, 1) rlike '[a-z]' then {letter} else substr(stem, i, 1) end))"
+        "concat_ws('', zip_with(chars, sequence(1, size(chars)), (c, i) -> case "
+        "when i <= head or i > size(chars) - tail then c "
+        f"when c rlike '[0-9]' then cast({lead} + {at} % (10 - {lead}) as string) "
+        f"when c rlike '[a-z]' then {letter} else c end))"
     )
     df = df.withColumn("filled", F.expr(filled))
     body = "substr(filled, 1, length(filled) - 1)"
@@ -209,14 +214,16 @@ def _drawn(entities: DataFrame, secret: str) -> DataFrame:
 
 def _spelled(pattern: str, letters: str) -> str:
     """`pattern` with its letters and digits replaced, in order, by those of `letters`."""
-    one = f"substr({pattern}, i, 1)"
-    upto = _alnum(f"substr({pattern}, 1, i)")
-    new = f"substr({letters}, length({upto}), 1)"
-    return (
-        f"concat_ws('', transform(sequence(1, greatest(length({pattern}), 1)), i -> case "
-        rf"when not ({one} rlike '[\\p{{L}}\\p{{N}}]') then {one} "
-        rf"when {one} rlike '\\p{{Lu}}' then upper({new}) else {new} end))"
+    chars = f"transform(split({pattern}, ''), (c, i) -> named_struct('i', i, 'c', c))"
+    other = r"not (x.c rlike '[\\p{L}\\p{N}]')"
+    new = r"coalesce(if(x.c rlike '\\p{Lu}', upper(l), l), '')"
+    # Each keeps its place; letters beyond the pattern's are left out.
+    put = (
+        f"zip_with(filter({chars}, x -> not ({other})), split({letters}, ''), (x, l) -> "
+        f"named_struct('i', x.i, 'c', if(x.i is null, '', {new})))"
     )
+    placed = f"sort_array(concat(filter({chars}, x -> {other}), {put}))"
+    return f"concat_ws('', transform({placed}, x -> x.c))"
 
 
 def surrogates(entities: DataFrame, secret: str) -> DataFrame:

@@ -85,6 +85,23 @@ def test_key_decides_and_clashes_are_drawn_again(documents):
     assert first != {r.record.doc_id: r.record.text for r in replaced(docs, "two").collect()}
 
 
+def test_long_secrets_are_replaced_to_their_end(documents):
+    rows, told = [], {}
+    for n in (128, 129, 1_000, 100_000):
+        for kind, letters in (("plain", "kQ7-x.Z/"), ("hex", "09afBC")):
+            value = (letters * n)[:n]
+            told[len(rows)] = value
+            head = "token=" if kind == "plain" else "key is "
+            rows.append((len(rows), f"before {head}{value} after", "en", "a"))
+    for row in replaced(documents(rows), "key").collect():
+        old = told[row.record.doc_id]
+        new = re.fullmatch(r"before (?:token=|key is )(\S+) after", row.record.text)[1]
+        assert row.n_mentions == 1 and len(new) == len(old)
+        # No part stays, and marks keep their places.
+        assert all(old[i : i + 24] != new[i : i + 24] for i in range(0, len(old) - 23, 8))
+        assert re.sub(r"[^\W_]", "x", new) == re.sub(r"[^\W_]", "x", old)
+
+
 def test_odd_rows(odd, empty):
     rows = replaced(odd, "key")
     same = rows.select("record.*").exceptAll(odd).count() + odd.exceptAll(rows.select("record.*")).count()
