@@ -5,6 +5,7 @@ its fingerprint. An inverted index of all templates' fingerprints, whose size th
 bound, goes to every task. A text's own fingerprints name the templates that may be in it and
 where. Around those places the template is aligned with the text in a band of diagonals, and
 the share of its words that match in order is the coverage that is reported, with the span.
+What lies beside an alignment is aligned again, so a notice that is repeated is found each time.
 """
 
 from __future__ import annotations
@@ -125,12 +126,10 @@ def winnowed(hashes: np.ndarray) -> np.ndarray:
     return np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
 
 
-def aligned(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, ...]:
-    """Best alignment within the diagonals text - template = low..high.
-
-    A match counts 1, a skipped word of either side costs a little. Returns matched words,
-    first and last matched word of the text, first and last one of the template (-1: none).
-    """
+def _scored(
+    template: np.ndarray, text: np.ndarray, low: int, high: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and steps of all alignments within the diagonals text - template = low..high."""
     width = high - low + 1
     places = np.arange(width)
     score = np.zeros((len(template) + 1, width))
@@ -149,7 +148,11 @@ def aligned(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tupl
         step[i + 1] = np.select(
             [run > best, (best == across) & same, best == skip, best == across], [3, 1, 2, 4], 0
         )
-    i, j = np.unravel_index(int(score.argmax()), score.shape)
+    return score, step
+
+
+def _spots(step: np.ndarray, low: int, i: int, j: int) -> list[tuple[int, int]]:
+    """(template, text) places of the words that match on the way to a cell, last first."""
     spots: list[tuple[int, int]] = []
     while i > 0 and step[i, j]:
         kind = step[i, j]
@@ -161,12 +164,61 @@ def aligned(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tupl
             if kind == 1:
                 spots.append((i - 1, i - 1 + low + j))
             i -= 1
+    return spots
+
+
+def aligned(template: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, ...]:
+    """Best alignment within the diagonals text - template = low..high.
+
+    A match counts 1, a skipped word of either side costs a little. Returns matched words,
+    first and last matched word of the text, first and last one of the template (-1: none).
+    """
+    score, step = _scored(template, text, low, high)
+    spots = _spots(step, low, *np.unravel_index(int(score.argmax()), score.shape))
     if not spots:
         return 0, -1, -1, -1, -1
     (last_t, last), (first_t, first) = spots[0], spots[-1]
     return len(spots), int(first), int(last), int(first_t), int(last_t)
 
 
+def all_aligned(
+    template: np.ndarray, text: np.ndarray, low: int, high: int, places: np.ndarray, least: float
+) -> list[tuple[int, int, int]]:
+    """(matched, first, last) of alignments that share no word, best first, in the diagonals.
+
+    Each has `least` matches or more. What lies between those found is aligned again, as long
+    as it holds one of `places`, where grams of the template begin.
+    """
+    found, todo = [], [(max(0, low), min(len(text), high + len(template)))]
+    while todo:
+        a, b = todo.pop()
+        if b - a < least or np.searchsorted(places, a) == np.searchsorted(places, b - GRAM + 1):
+            continue
+        bottom, top = max(low, a - len(template)) - a, min(high, b) - a
+        score, step = _scored(template, text[a:b], bottom, top)
+        cells = np.flatnonzero(step == 1)
+        cells = cells[np.argsort(-score.ravel()[cells], kind="stable")]
+        rows, columns = np.unravel_index(cells, score.shape)
+        used, own = np.zeros(b - a, bool), []
+        for i, j in zip(rows.tolist(), columns.tolist(), strict=True):
+            if used[i - 1 + bottom + j]:
+                continue
+            spots = _spots(step, bottom, i, j)
+            first, last = spots[-1][1], spots[0][1]
+            if used[first : last + 1].any():
+                continue
+            if len(spots) < least:
+                break
+            used[first : last + 1] = True
+            own.append((len(spots), a + int(first), a + int(last)))
+        if own:
+            found += own
+            ends = sorted((first, last) for _, first, last in own)
+            starts = [a] + [last + 1 for _, last in ends]
+            todo += zip(starts, [first for first, _ in ends] + [b], strict=True)
+    return found
+
+
 class Scanner:
     def __init__(self, templates: dict[str, tuple[str, ...]] = TEMPLATES):
         self.words: dict[str, int] = {}
@@ -202,6 +254,8 @@ class Scanner:
         for template, spots in hits.items():
             ids_t = self.templates[template]
             spots.sort()
+            begins = np.unique([place for _, place in spots])
+            least = coverage * len(ids_t)
             groups: list[list[int]] = []
             for diagonal, _ in spots:
                 if groups and diagonal - groups[-1][1] <= BAND:
@@ -209,16 +263,18 @@ class Scanner:
                 else:
                     groups.append([diagonal, diagonal])
             for low, high in groups:
-                best = aligned(ids_t, ids, low - BAND, high + BAND)
-                if best[0] >= coverage * len(ids_t):
-                    found.append((template, best[0], best[1], best[2]))
+                band = low - BAND, high + BAND
+                for best in all_aligned(ids_t, ids, *band, begins, least):
+                    found.append((template, *best))
         if not found:
             return []
         spans = [m.span() for m in _WORD.finditer(lower)]
         # Of overlapping notices the one with more matched words is reported.
         taken: list[tuple] = []
+        used = np.zeros(len(ids), bool)
         for template, matched, first, last in sorted(found, key=lambda f: (-f[1], f[2], f[0])):
-            if all(last < t[6] or first > t[7] for t in taken):
+            if not used[first : last + 1].any():
+                used[first : last + 1] = True
                 name, variant = self.names[template]
                 share = matched / len(self.templates[template])
                 start, stop = spans[first][0], spans[last][1]

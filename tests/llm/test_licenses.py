@@ -62,5 +62,22 @@ def test_a_shared_run_shares_a_fingerprint():
         assert set(a[winnowed(a)].tolist()) & set(b[winnowed(b)].tolist())
 
 
+def test_every_repeat_of_a_notice_is_found():
+    scanner = Scanner()
+    for name, variants in TEMPLATES.items():
+        for variant, text in enumerate(variants):
+            for n in (2, 1000) if len(text.split()) <= 12 else (2, 50):
+                found = scanner.scan("\n".join([sentences(1, 20)] + [text] * n + [sentences(2, 20)]))
+                assert [f[:3] for f in found] == [(name, variant, 1.0)] * n
+                assert all(a[5] < b[4] for a, b in zip(found, found[1:], strict=False))
+
+
+def test_repeats_of_changed_notices_are_found():
+    scanner = Scanner()
+    text = "Licensed under the (well known) Apache License, Version 2.0. "
+    found = scanner.scan(sentences(1, 20) + "\n" + text * 100)
+    assert [(f[0], f[3]) for f in found] == [("Apache-2.0", 8)] * 100
+
+
 def test_odd_rows(odd, empty):
     assert notices(odd).count() == 0 and notices(empty).count() == 0
