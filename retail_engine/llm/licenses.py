@@ -61,11 +61,19 @@ TEMPLATES = {
         "This library is free software; you can redistribute it and/or modify it under the terms "
         "of the GNU Lesser General Public License as published by the Free Software Foundation; "
         "either version 2.1 of the License, or (at your option) any later version.",
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    ),
+    "LGPL-3.0": (
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms "
+        "of the GNU Lesser General Public License as published by the Free Software Foundation, "
+        "either version 3 of the License, or (at your option) any later version.",
     ),
     "AGPL-3.0": (
         "This program is free software: you can redistribute it and/or modify it under the terms "
         "of the GNU Affero General Public License as published by the Free Software Foundation, "
         "either version 3 of the License, or (at your option) any later version.",
+        "This work is licensed under the GNU Affero General Public License, version 3.",
     ),
     "BSD-3-Clause": (
         "Redistribution and use in source and binary forms, with or without modification, are "
@@ -73,10 +81,23 @@ TEMPLATES = {
         "Neither the name of the copyright holder nor the names of its contributors may be used "
         "to endorse or promote products derived from this software without specific prior "
         "written permission.",
+        "Licensed under the BSD 3-Clause License.",
     ),
+    "BSD-2-Clause": ("Licensed under the BSD 2-Clause License.",),
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If "
         "a copy of the MPL was not distributed with this file, You can obtain one at",
+        "Licensed under the Mozilla Public License, Version 2.0.",
+    ),
+    "EPL-2.0": (
+        "This program and the accompanying materials are made available under the terms of the "
+        "Eclipse Public License 2.0",
+        "Licensed under the Eclipse Public License, Version 2.0.",
+    ),
+    "BSL-1.0": ("Distributed under the Boost Software License, Version 1.0.",),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event "
+        "will the authors be held liable for any damages arising from the use of this software.",
     ),
     "ISC": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with "
@@ -94,8 +115,27 @@ TEMPLATES = {
     "CC0-1.0": (
         "To the extent possible under law, the author has waived all copyright and related or "
         "neighboring rights to this work.",
+        "Licensed under CC0 1.0 Universal.",
+        "Creative Commons Zero v1.0 Universal",
     ),
 }
+_CREATIVE = {
+    "BY": "Attribution",
+    "BY-SA": "Attribution-ShareAlike",
+    "BY-NC": "Attribution-NonCommercial",
+    "BY-ND": "Attribution-NoDerivatives",
+    "BY-NC-SA": "Attribution-NonCommercial-ShareAlike",
+    "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
+}
+_PORTS = {"4.0": "International", "3.0": "Unported", "2.5": "Generic", "2.0": "Generic"}
+for _version, _port in _PORTS.items():
+    for _code, _name in _CREATIVE.items():
+        TEMPLATES[f"CC-{_code}-{_version}"] = (
+            f"This work is licensed under a Creative Commons {_name} {_version} {_port} License.",
+            f"Licensed under CC {_code} {_version}.",
+            f"Creative Commons {_name} {_version} {_port}",
+            f"CC {_code} {_version}",
+        )
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -269,10 +309,12 @@ class Scanner:
         if not found:
             return []
         spans = [m.span() for m in _WORD.finditer(lower)]
-        # Of overlapping notices the one with more matched words is reported.
+        # Of overlapping notices the one with more matched words is reported, of equal ones the
+        # one that is covered best: CC BY-NC is also most of CC BY-NC-SA.
         taken: list[tuple] = []
         used = np.zeros(len(ids), bool)
-        for template, matched, first, last in sorted(found, key=lambda f: (-f[1], f[2], f[0])):
+        found.sort(key=lambda f: (-f[1], len(self.templates[f[0]]), f[2], f[0]))
+        for template, matched, first, last in found:
             if not used[first : last + 1].any():
                 used[first : last + 1] = True
                 name, variant = self.names[template]
