@@ -29,8 +29,6 @@ END = 0
 SHARD = 4096
 #: Token ids are below this, which bounds the table of document frequencies.
 VOCABULARY = 1 << 17
-#: The index holds each document's heaviest terms.
-TERMS = 32
 _K1, _B = 1.2, 0.75
 _CACHED = 500_000
 #: How many of the best neighbours may be passed over for one that fits.
@@ -140,7 +138,7 @@ def _frequencies(encoded: DataFrame) -> DataFrame:
 
 
 def _weighed(rests: DataFrame, idf: np.ndarray, mean: float) -> DataFrame:
-    """Replace terms and counts by the document's heaviest terms and their BM25 weights."""
+    """Replace the counts of the terms by their BM25 weights."""
     names = [c for c in rests.columns if c not in ("terms", "counts")]
     schema = T.StructType(
         [rests.schema[c] for c in names]
@@ -157,15 +155,10 @@ def _weighed(rests: DataFrame, idf: np.ndarray, mean: float) -> DataFrame:
             sizes = batch.column("terms").value_lengths().to_numpy(zero_copy_only=False)
             long = np.repeat(batch.column("doc_tokens").to_numpy() / mean, sizes)
             w = (idf[t] * n * (_K1 + 1) / (n + _K1 * (1 - _B + _B * long))).astype(np.float32)
-            tops, at = [], 0
-            for size in sizes.tolist():
-                own = w[at : at + size]
-                top = np.argpartition(own, -TERMS)[-TERMS:] if size > TERMS else np.arange(size)
-                tops.append(at + top)
-                at += size
+            cuts = np.cumsum(sizes)[:-1]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in names]
-                + [lists([t[x] for x in tops], np.int32), lists([w[x] for x in tops], np.float32)],
+                + [lists(np.split(t, cuts), np.int32), lists(np.split(w, cuts), np.float32)],
                 names=[f.name for f in schema],
             )
 

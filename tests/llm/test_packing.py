@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from retail_engine.llm.packing import WINDOW, Encoder, Index, fill, packed
+from retail_engine.llm.packing import WINDOW, Encoder, Index, _weighed, fill, packed
 from retail_engine.llm.queries import op7_retrieval_packing
 
 SMALL = "/root/testdata/sf0.001"
@@ -76,6 +76,14 @@ def test_neighbours_are_the_lexically_nearest():
     assert sum(p[2] for p in pieces) == 2050
 
 
+def test_all_terms_of_a_document_are_weighed(spark):
+    schema = "key long, doc_tokens long, terms array<int>, counts array<int>"
+    rows = spark.createDataFrame([(1, 300, list(range(100)), [3] * 100), (2, 1, [], [])], schema)
+    found = {r.key: r for r in _weighed(rows, np.linspace(1, 2, 200), 150.0).collect()}
+    assert found[1].terms == list(range(100)) and len(found[1].weights) == 100
+    assert min(found[1].weights) > 0 and found[2].terms == []
+
+
 def test_odd_rows(odd, empty):
     rows = packed(odd.where("doc_id <> 6"), RANKS, PATTERN).collect()
     texts = {r.doc_id: r.text or "" for r in odd.collect() if r.doc_id not in (None, 6)}
