@@ -180,17 +180,26 @@ class Index:
         spans = zip(starts.tolist(), ends.tolist(), strict=True)
         self.places = dict(zip(found.tolist(), spans, strict=True))
 
-    def neighbours(self, seed: int, free: np.ndarray) -> list[int]:
-        """The best free documents for the seed's terms, best first."""
+    def ranked(self, seed: int, free: np.ndarray) -> Iterator[list[int]]:
+        """All free documents that share a term with the seed, best first, in blocks."""
         spans = [self.places[t] for t in self.terms[seed].tolist()]
         if not spans:
-            return []
+            return
         docs = np.concatenate([self.docs[a:b] for a, b in spans])
         weights = np.concatenate([self.weights[a:b] for a, b in spans])
         scores = np.bincount(docs, weights, self.size) * free
         best = np.argpartition(scores, -min(_LOOK, self.size))[-min(_LOOK, self.size) :]
         best = best[scores[best] > 0]
-        return best[np.lexsort((best, -scores[best]))].tolist()
+        yield best[np.lexsort((best, -scores[best]))].tolist()
+        scores[best] = 0
+        rest = np.flatnonzero(scores > 0)
+        rest = rest[np.lexsort((rest, -scores[rest]))]
+        for at in range(0, len(rest), _LOOK):
+            yield rest[at : at + _LOOK].tolist()
+
+    def neighbours(self, seed: int, free: np.ndarray) -> list[int]:
+        """The best free documents for the seed's terms, best first."""
+        return next(self.ranked(seed, free), [])
 
 
 def fill(lengths: list[int], index: Index, window: int = WINDOW) -> list[tuple[int, ...]]:
@@ -214,8 +223,11 @@ def fill(lengths: list[int], index: Index, window: int = WINDOW) -> list[tuple[i
             offset += size
 
         put(seed, lengths[seed] - start[seed])
-        near, spare = index.neighbours(seed, free), next_seed
+        # The scores are those of the window's start; what the window takes leaves its block.
+        blocks, spare = index.ranked(seed, free.copy()), next_seed
+        near = next(blocks, [])
         while offset < window:
+            near = near or next(blocks, [])
             fits = (d for d in near if lengths[d] <= window - offset)
             doc = next(fits, near[0] if near else None)
             if doc is None:

@@ -84,6 +84,14 @@ def test_all_terms_of_a_document_are_weighed(spark):
     assert min(found[1].weights) > 0 and found[2].terms == []
 
 
+def test_neighbours_go_on_until_none_is_left():
+    # The first 100 share nothing with the seed, which meets all of the last 100 first.
+    terms = [np.array([t], np.int32) for t in [1] + [2] * 100 + [1] * 100]
+    weights = [np.full(1, 1 + i / 1000, np.float32) for i in range(201)]
+    pieces = fill([10] * 201, Index(terms, weights), window=1020)
+    assert [p[0] for p in pieces if p[3] == 0] == [0, *range(200, 100, -1), 1]
+
+
 def test_odd_rows(odd, empty):
     rows = packed(odd.where("doc_id <> 6"), RANKS, PATTERN).collect()
     texts = {r.doc_id: r.text or "" for r in odd.collect() if r.doc_id not in (None, 6)}
