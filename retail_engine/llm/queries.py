@@ -14,6 +14,7 @@ from retail_engine.llm import (
     neighbours,
     outliers,
     packing,
+    pieces,
     quality,
     sharding,
     surrogates,
@@ -117,6 +118,20 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("record.doc_id", "record.text", "n_mentions")
 
 
+def op13_prefix_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded with the public SentencePiece model, and decoded again."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        found = pieces.encoded(_table(spark, sf_dir, "documents"), file.read())
+    return found.select(
+        F.col("key").alias("doc_id"),
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_external_shuffle": op1_external_shuffle,
     "op2_covariance_outliers": op2_covariance_outliers,
@@ -128,6 +143,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_gzip_normaliser": op8_gzip_normaliser,
     "op9_balanced_mix": op9_balanced_mix,
     "op10_surrogates": op10_surrogates,
+    "op13_prefix_table": op13_prefix_table,
 }
 
 ORACLE_SQL: dict[str, str] = {
