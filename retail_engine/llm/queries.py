@@ -19,6 +19,7 @@ from retail_engine.llm import (
     sharding,
     surrogates,
     warc,
+    whitening,
 )
 from retail_engine.llm.common import numbered
 from retail_engine.llm.stages import words_in
@@ -118,6 +119,12 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("record.doc_id", "record.text", "n_mentions")
 
 
+def op11_exact_polynomial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors whitened on the first 32 components of their integer form."""
+    found = whitening.whitened(_table(spark, sf_dir, "embeddings"), number=32)
+    return found.withColumnRenamed("key", "vec_id")
+
+
 def op13_prefix_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded with the public SentencePiece model, and decoded again."""
     import public_tokenizers
@@ -143,6 +150,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_gzip_normaliser": op8_gzip_normaliser,
     "op9_balanced_mix": op9_balanced_mix,
     "op10_surrogates": op10_surrogates,
+    "op11_exact_polynomial": op11_exact_polynomial,
     "op13_prefix_table": op13_prefix_table,
 }
 
