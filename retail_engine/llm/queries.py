@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retail_engine.llm import (
+    hard_negatives,
     licenses,
     minhash,
     mixing,
@@ -125,6 +126,14 @@ def op11_exact_polynomial(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("key", "vec_id")
 
 
+def op12_residue_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector, some labels being wrong."""
+    wrong = F.col("vec_id") % 7 == 0
+    label = F.when(wrong, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), "embedding")
+    return hard_negatives.mined(rows, F.col("vec_id") % 50 == 0)
+
+
 def op13_prefix_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded with the public SentencePiece model, and decoded again."""
     import public_tokenizers
@@ -151,6 +160,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_balanced_mix": op9_balanced_mix,
     "op10_surrogates": op10_surrogates,
     "op11_exact_polynomial": op11_exact_polynomial,
+    "op12_residue_products": op12_residue_products,
     "op13_prefix_table": op13_prefix_table,
 }
 
@@ -220,4 +230,27 @@ ORACLE_SQL: dict[str, str] = {
             CASE WHEN page_id <> first_id THEN first_id END AS refers_to
         FROM body JOIN digests USING (hex) JOIN firsts USING (hex)
     """,
+    "op12_residue_products": """
+        WITH q AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding,
+                lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scores AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+                list_dot_product(a.v, b.v)::BIGINT AS score
+            FROM q a JOIN q b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+        ), positives AS (
+            SELECT * FROM scores WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+        )
+        SELECT p.anchor_id, p.other_id AS positive_id, n.other_id AS negative_id,
+            row_number() OVER (PARTITION BY p.anchor_id, p.other_id
+                ORDER BY n.score DESC, n.other_id)::INT AS rank,
+            p.score AS positive_score, n.score AS negative_score
+        FROM positives p JOIN scores n ON n.anchor_id = p.anchor_id AND NOT n.same
+            AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+        QUALIFY rank <= 3
+    """,
 }

@@ -1,0 +1,107 @@
+from __future__ import annotations
+
+import math
+import random
+
+import numpy as np
+import pytest
+from compare import differences, duck
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from retail_engine.llm import hard_negatives, queries
+from retail_engine.llm.hard_negatives import Rows, mined, primes_for
+
+SMALL = "/root/testdata/sf0.01"
+VECTORS = T.StructType(
+    [
+        T.StructField("vec_id", T.LongType()),
+        T.StructField("label", T.IntegerType()),
+        T.StructField("embedding", T.ArrayType(T.DoubleType())),
+        T.StructField("row_id", T.StringType()),
+        T.StructField("q", T.StringType()),
+        T.StructField("anchor", T.StringType()),
+    ]
+)
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(*r, "r", "q", "a") for r in rows], VECTORS)
+
+
+def plain(rows, positives=5, negatives=3, window=(50, 95)):
+    """All scores by Python's integers, one anchor after the other."""
+    width = max(len(v) for _, _, v in rows)
+    q = [[math.floor(256 * x) for x in v] + [0] * (width - len(v)) for _, _, v in rows]
+
+    def order(pair):
+        score, i = pair
+        return (-score, rows[i][0] is None, rows[i][0] or 0, i)
+
+    found = []
+    for a, (key, label, _) in enumerate(rows):
+        if key is None or key % 5:
+            continue
+        scores = [(sum(x * y for x, y in zip(q[a], b, strict=True)), i) for i, b in enumerate(q)]
+        same = sorted((s for s in scores if s[1] != a and rows[s[1]][1] == label), key=order)
+        other = sorted((s for s in scores if rows[s[1]][1] != label), key=order)
+        for score, p in same[:positives]:
+            fits = [s for s in other if window[0] * score <= 100 * s[0] <= window[1] * score]
+            for rank, (own, n) in enumerate(fits[:negatives], 1):
+                found.append((key, rows[p][0], rank, rows[n][0], score, own))
+    return found
+
+
+def got(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def test_products_by_residues_are_exact():
+    rng = np.random.default_rng(5)
+    for width, most in ((1, 3), (64, 400), (3000, 90), (7, 30_000_000)):
+        a, b = rng.integers(-most, most + 1, (2, 9, width))
+        want = a.astype(object) @ b.T.astype(object)
+        bound = int(max((a.astype(object) ** 2).sum(axis=1).max(), (b.astype(object) ** 2).sum(axis=1).max()))
+        primes = primes_for(bound)
+        scores = Rows(a, primes).scores(Rows(b, primes), 0, 9)
+        assert (scores == want).all()
+    assert math.prod(primes_for(1 << 53)) < 1 << 62
+
+
+def test_the_given_vectors_as_by_sql(spark):
+    found = queries.op12_residue_products(spark, SMALL)
+    sql = queries.ORACLE_SQL["op12_residue_products"]
+    assert differences(found, duck(SMALL), sql) is None
+
+
+@pytest.mark.parametrize("cells", [(2048, 4096), (3, 7)])
+def test_many_small_cells_give_the_same_rows(spark, monkeypatch, cells):
+    monkeypatch.setattr(hard_negatives, "BLOCK", cells[0])
+    monkeypatch.setattr(hard_negatives, "STRIPE", cells[1])
+    rng = random.Random(2)
+    # Few values, so that many scores tie; a third of the rows under one label.
+    rows = [
+        (i, rng.choice([0, 0, 1, 2, 3]), [rng.choice([0.0, 0.25, 0.5, -0.25]) for _ in range(4)])
+        for i in rng.sample(range(400), 150)
+    ]
+    assert got(mined(table(spark, rows), F.col("vec_id") % 5 == 0)) == sorted(plain(rows), key=str)
+
+
+def test_odd_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [
+        (5, 1, [1.0, 0.0]), (5, 1, [1.0, 0.0]), (6, 1, [0.9, 0.1]), (None, 1, [1.0, 0.5]),
+        (7, 2, [0.8]), (8, 2, [0.7, 0.7]), (9, 2, []), (None, 2, [0.8]), (10, 3, [-1.0, 0.0]),
+        (7, 2, [0.8, 0.0]),
+    ]
+    none = [
+        (15, None, [1.0, 0.0]), (20, 1, None), (25, 1, [nan, 0.0]), (30, 2, [None, 1.0]),
+        (35, 2, [inf, 1.0]), (40, 2, [1e30, 0.0]),
+    ]
+    assert got(mined(table(spark, rows + none), F.col("vec_id") % 5 == 0)) == sorted(plain(rows), key=str)
+
+
+@pytest.mark.parametrize("rows", [[], [(5, 1, [1.0])], [(5, None, [1.0])], [(5, 1, []), (6, 1, [])], [(3, 1, [1.0])]])
+def test_without_anchors_or_negatives_there_are_no_rows(spark, rows):
+    found = mined(table(spark, rows), F.col("vec_id") % 5 == 0)
+    assert found.collect() == [] and "rank" in found.columns
