@@ -34,7 +34,7 @@ _LARGEST_PRIME = 251
 def primes_for(most: int) -> list[int]:
     """Primes from 251 down whose product tells all integers from -most to most apart."""
     found, n = [], _LARGEST_PRIME
-    while math.prod(found) < 2 * most + 1:
+    while not found or math.prod(found) < 2 * most + 1:
         if all(n % k for k in range(2, math.isqrt(n) + 1)):
             found.append(n)
         n -= 1
