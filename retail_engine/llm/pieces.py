@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import itertools
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,7 +30,7 @@ from retail_engine.llm.common import lists, small_batches
 
 _SPACE = "▁"
 #: How many words, and pairs of pieces, are remembered before the table is begun anew.
-_CACHED = 500_000
+_WORDS, _PAIRS = 1_000_000, 500_000
 #: Longer runs without a space are not worth remembering.
 _LONGEST = 64
 
@@ -37,7 +38,7 @@ _LONGEST = 64
 class Encoder(dict):
     """Ids of a text as the library gives them.
 
-    The dictionary holds the ids of the words met before, as numbers parted by commas.
+    The dictionary holds the ids of the words met before, as little-endian 32-bit numbers.
     """
 
     def __init__(self, model: bytes):
@@ -53,20 +54,26 @@ class Encoder(dict):
         ]
         if any(library.is_unused(i) for i in usable):
             raise ValueError("models with unused pieces are not supported")
-        self.ids = {library.id_to_piece(i): i for i in usable}
+        self.ids = {library.id_to_piece(i): struct.pack("<I", i) for i in usable}
         self.score = {library.id_to_piece(i): library.get_score(i) for i in usable}
         self.letters = {c for piece in self.ids for c in piece}
         if not self.letters <= self.ids.keys():
             raise ValueError("every character of a piece must be a piece")
-        self.byte = [library.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        if not all(map(library.is_byte, self.byte)):
+        byte = [library.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+        if not all(map(library.is_byte, byte)):
             raise ValueError("the model has no pieces for bytes")
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.byte = [struct.pack("<I", i) for i in byte]
+        joined = {two for piece in self.ids for two in zip(piece, piece[1:], strict=False)}
+        reached = {b for a, b in joined if a.isalpha()}
+        self.stops = "".join(c for c in ".,;:!?" if c not in reached)
+        #: Whether two pieces are compatible: by the right one, then by the left one.
+        self.pairs: dict[str, dict[str, bool]] = {piece: {} for piece in self.ids}
+        self.tested = 0
         self.automaton = ahocorasick.Automaton()
         for piece in self.ids:
             # A piece that its own characters do not merge into never comes out.
             if self.merged(piece) == [piece]:
-                self.automaton.add_word(piece, piece)
+                self.automaton.add_word(piece, (len(piece), piece, self.pairs[piece].get))
         self.automaton.make_automaton()
         bars = "".join(c for c in "\n\r\t\v\f" if c not in self.letters)
         bars = f"[{re.escape(bars)}]" if bars else "(?!)"
@@ -93,54 +100,63 @@ class Encoder(dict):
 
     def compatible(self, left: str, right: str) -> bool:
         """Whether no merge joins the two when they stand side by side."""
-        if len(self.pairs) >= _CACHED:
-            self.pairs.clear()
-        found = self.pairs[left, right] = self.merged(left + right) == [left, right]
+        if self.tested >= _PAIRS:
+            for known in self.pairs.values():
+                known.clear()
+            self.tested = 0
+        found = self.pairs[right][left] = self.merged(left + right) == [left, right]
+        self.tested += 1
         return found
 
     def pieces(self, text: str) -> list[str]:
         """Pieces of a text of known characters, from the table of its prefixes' last pieces."""
-        last: list[str] = [""] * (len(text) + 1)
-        known, done = self.pairs, -1
-        for end, piece in self.automaton.iter(text):
+        last = [""] * (len(text) + 1)
+        done = -1
+        for end, (size, piece, known) in self.automaton.iter(text):
             if end == done:
                 continue
-            start = end + 1 - len(piece)
+            start = end + 1 - size
             if start:
-                before = last[start]
-                fits = known.get((before, piece))
-                if not (self.compatible(before, piece) if fits is None else fits):
+                fits = known(last[start])
+                if not (self.compatible(last[start], piece) if fits is None else fits):
                     continue
             last[end + 1] = piece
             done = end
         found, end = [], len(text)
         while end:
-            found.append(last[end])
-            end -= len(last[end])
-        return found[::-1]
-
-    def __missing__(self, word: str) -> str:
-        numbers: list[int] = []
-        for run, other in self.runs(word):
-            numbers += map(self.ids.__getitem__, self.pieces(run))
-            numbers += map(self.byte.__getitem__, other.encode())
-        found = ",".join(map(str, numbers))
+            piece = last[end]
+            found.append(piece)
+            end -= len(piece)
+        found.reverse()
+        return found
+
+    def __missing__(self, word: str) -> bytes:
+        body = word.rstrip(self.stops)
+        if body[-1:].isalpha() and body != word:
+            # No piece reaches from a letter to a stop.
+            found = self[body] + self[word[len(body) :]]
+        elif self.letters.issuperset(word):
+            found = self.packed(word)
+        else:
+            found = b"".join(
+                self.packed("".join(run)) if known else b"".join(map(self.bytes_of, run))
+                for known, run in itertools.groupby(word, self.letters.__contains__)
+            )
         if len(word) <= _LONGEST:
-            if len(self) >= _CACHED:
+            if len(self) >= _WORDS:
                 self.clear()
             self[word] = found
         return found
 
-    def runs(self, word: str) -> list[tuple[str, str]]:
-        """Runs of characters that have a piece, each with those after it that have none."""
-        if self.letters.issuperset(word):
-            return [(word, "")]
-        groups = [(k, "".join(g)) for k, g in itertools.groupby(word, self.letters.__contains__)]
-        return [(g, "") if k else ("", g) for k, g in groups]
+    def packed(self, text: str) -> bytes:
+        return b"".join(map(self.ids.__getitem__, self.pieces(text)))
+
+    def bytes_of(self, letter: str) -> bytes:
+        return b"".join(map(self.byte.__getitem__, letter.encode()))
 
-    def ids_of(self, text: str) -> list[int]:
-        words = map(self.__getitem__, self.words(self.library.normalize(text)))
-        return list(map(int, ",".join(words).split(","))) if text else []
+    def ids_of(self, text: str) -> np.ndarray:
+        words = self.words(self.library.normalize(text))
+        return np.frombuffer(b"".join(map(self.__getitem__, words)), "<i4")
 
 
 @lru_cache(maxsize=2)
@@ -171,11 +187,11 @@ def encoded(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "tex
         encoder = _encoder(model)
         for batch in batches:
             ids = [encoder.ids_of(body or "") for body in batch.column("text").to_pylist()]
-            decoded = [encoder.library.decode(own) if own else "" for own in ids]
+            decoded = [encoder.library.decode(own.tolist()) if len(own) else "" for own in ids]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("key"),
-                    lists([np.array(own, np.int32) for own in ids], np.int32),
+                    lists(ids, np.int32),
                     pa.array(decoded, pa.string()),
                 ],
                 names=[f.name for f in schema],
