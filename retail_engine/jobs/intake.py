@@ -16,9 +16,19 @@ from pyspark.sql import functions as F
 from retail_engine.operators import intake, ranking
 from retail_engine.schemas import OPERATIONAL, PRIMARY_KEY, conform
 from retail_engine.session import checkpointed, remove, working_tables
-from retail_engine.sources import snapshots
+from retail_engine.sources import commits, snapshots
 
 Tables = dict[str, DataFrame]
+#: The last id of each table, or a function that reserves so many ids of a table and returns
+#: the one before the first.
+LastIds = dict[str, int] | Callable[[str, int], int]
+
+#: What the acceptance of each kind of request depends on.
+READS = {
+    "customers": ("customers",),
+    "products": ("products",),
+    "orders": ("customers", "products"),
+}
 
 
 @dataclass(frozen=True)
@@ -54,17 +64,20 @@ def _created(new: DataFrame, table: str, as_of: str) -> DataFrame:
 
 
 def _numbered(
-    new: DataFrame, table: str, tables: Tables, last: dict[str, int] | None, *order: str
+    new: DataFrame, table: str, tables: Tables, last: LastIds | None, *order: str
 ) -> DataFrame:
     """`new` with ids after the last one, which is looked up in the table unless given."""
     key = PRIMARY_KEY[table]
-    known = ranking.largest_id(tables[table], key) if last is None else last[table]
+    if last is None:
+        known = ranking.largest_id(tables[table], key)
+    else:
+        known = last(table, new.count()) if callable(last) else last[table]
     return ranking.next_ids(new, known, key, [F.asc(c) for c in order])
 
 
 @_outcome
 def take_customers(
-    requests: DataFrame, existing: DataFrame, as_of: str, last: dict[str, int] | None = None
+    requests: DataFrame, existing: DataFrame, as_of: str, last: LastIds | None = None
 ) -> Outcome:
     """New customers; `last` has the last id given in each table, if that is known."""
     judged = checkpointed(intake.validate_customers(requests, existing))
@@ -75,7 +88,7 @@ def take_customers(
 
 @_outcome
 def take_products(
-    requests: DataFrame, existing: DataFrame, as_of: str, last: dict[str, int] | None = None
+    requests: DataFrame, existing: DataFrame, as_of: str, last: LastIds | None = None
 ) -> Outcome:
     """New products; `last` as for customers."""
     judged = checkpointed(intake.validate_products(requests, existing))
@@ -90,7 +103,7 @@ def take_orders(
     lines: DataFrame,
     tables: Tables,
     as_of: str,
-    last: dict[str, int] | None = None,
+    last: LastIds | None = None,
 ) -> Outcome:
     """Orders and their items, priced once from the catalogue in `tables`."""
     priced = checkpointed(intake.priced_lines(lines, tables["products"]))
@@ -111,18 +124,42 @@ def take_orders(
 
 
 def run(
-    spark: SparkSession, root: str, kind: str, requests: DataFrame, batch_id: str, at: datetime
+    spark: SparkSession,
+    root: str,
+    kind: str,
+    requests: DataFrame,
+    batch_id: str,
+    at: datetime,
+    attempts: int = 20,
 ) -> Row:
-    """Take in a batch of `kind` on top of the tables under `root` and commit it as a whole."""
-    tables, last = snapshots.current_tables(spark, root), snapshots.last_ids(spark, root)
+    """Take in a batch of `kind` on top of the tables under `root` and commit it as a whole.
+
+    Other batches may be taken in at the same time: ids are reserved, and when one of them
+    commits what this one's ruling depends on, this one is judged again on the new tables.
+    """
     as_of = f"{at:%Y-%m-%d %H:%M:%S}"
-    if kind == "orders":
-        headers, lines = intake.split_requests(requests)
-        outcome = take_orders(headers, lines, tables, as_of, last)
-    else:
-        take = {"customers": take_customers, "products": take_products}[kind]
-        outcome = take(requests, tables[kind], as_of, last)
-    try:
-        return snapshots.commit_batch(spark, root, batch_id, at, outcome.rows, outcome.rejected)
-    finally:
-        outcome.discard()
+    landed = snapshots.last_ids(spark, root)
+
+    def reserve(table: str, count: int) -> int:
+        return commits.reserve(spark, root, table, count, landed[table])
+
+    for attempt in range(attempts):
+        state = commits.read(spark, root)
+        tables = snapshots.current_tables(spark, root, state)
+
+        if kind == "orders":
+            headers, lines = intake.split_requests(requests)
+            outcome = take_orders(headers, lines, tables, as_of, reserve)
+        else:
+            take = {"customers": take_customers, "products": take_products}[kind]
+            outcome = take(requests, tables[kind], as_of, reserve)
+        try:
+            return snapshots.commit_batch(
+                spark, root, batch_id, at, outcome.rows, outcome.rejected, state, READS[kind]
+            )
+        except commits.Conflict:
+            if attempt + 1 == attempts:
+                raise
+        finally:
+            outcome.discard()
+    raise ValueError("attempts must be positive")

@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retail_engine.jobs import intake as intake_jobs
+from retail_engine.jobs import storage
 from retail_engine.operators import audit, changes, display, intake, reports, runs, star
 from retail_engine.schemas import OPERATIONAL, conform
-from retail_engine.session import checkpointed, tune
+from retail_engine.session import checkpointed, shared_folder, tune
+from retail_engine.sources import commits, snapshots
 from retail_engine.sources import driver_requests as requests
 from retail_engine.sources import driver_tables as tables
+from retail_engine.sources.commits import Commit
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 # Stand-in for the current time, so that reruns agree.
 AS_OF = "2001-09-01 00:00:00"
+_AT = datetime.fromisoformat(AS_OF)
 # Orders placed from this day on are in the later of the two compared snapshots only.
 SNAPSHOT_DAY = "2001-07-01"
 
@@ -333,6 +339,60 @@ def upsert_products(spark, sf_dir):
     return changes.upsert(old, new, "product_id", AS_OF)
 
 
+def _store(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/retail/store-{uuid.uuid4().hex}"
+
+
+@_query
+def merged_products(spark, sf_dir):
+    """The upsert above on files by key, of which only those with a sent key are rewritten."""
+    parts, root = tables.products(spark, sf_dir), _store(spark)
+    key_columns = OPERATIONAL["products"].names
+    catalogue = conform(parts.filter("p_brand <> 'Brand#1'"), OPERATIONAL["products"])
+    files = storage.write_clustered(spark, root, "products", catalogue, 100)
+    state = commits.read(spark, root)
+    first = Commit(kind="adopt", at=_AT, files=files, adopted=("products",))
+    commits.commit(spark, root, state, first)
+    sent = parts.filter("p_brand = 'Brand#1' OR p_size >= 40").withColumn(
+        "price", (F.col("price") + 10).cast("decimal(10,2)")
+    )
+    storage.upsert_rows(spark, root, "products", sent.select(*key_columns), _AT)
+    found = snapshots.taken(spark, root, "products")
+    return _no_zone(found, "created_at", "updated_at")
+
+
+def _committed_orders(spark: SparkSession, sf_dir: str) -> str:
+    """A store into which the given orders came in 40 batches, by date; then compacted."""
+    root, path = _store(spark), "intake/orders"
+    orders = conform(tables.orders(spark, sf_dir), OPERATIONAL["orders"])
+    orders.repartitionByRange(40, "order_date").write.parquet(f"{root}/{path}")
+    state = commits.read(spark, root)
+    for file in storage.described(spark, root, "orders", path):
+        batch = Commit(kind="batch", at=_AT, files=(file,), batch_id=file.path)
+        state = commits.commit(spark, root, state, batch)
+    storage.compact(spark, root, "orders", _AT)
+    return root
+
+
+@_query
+def committed_orders(spark, sf_dir):
+    """All orders out of many committed batches, packed into few files."""
+    found = snapshots.taken(spark, _committed_orders(spark, sf_dir), "orders")
+    return _no_zone(found, "order_date").drop("created_at", "updated_at")
+
+
+@_query
+def undeleted_orders(spark, sf_dir):
+    """What stays of the committed orders when pending ones are deleted in place."""
+    root = _committed_orders(spark, sf_dir)
+    state = commits.read(spark, root)
+    commits.commit(spark, root, state, Commit(kind="adopt", at=_AT, adopted=("orders",)))
+    gone = tables.orders(spark, sf_dir).filter("status = 'Pending'").select("order_id")
+    storage.delete_rows(spark, root, "orders", gone, _AT)
+    found = snapshots.taken(spark, root, "orders")
+    return _no_zone(found, "order_date").drop("created_at", "updated_at")
+
+
 @_query
 def cascade_delete(spark, sf_dir):
     """What stays when pending orders go: each order, and its number of items."""

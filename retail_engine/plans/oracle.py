@@ -513,6 +513,13 @@ def _landed_types() -> str:
     return "\nUNION ALL ".join(f"({part})" for part in parts)
 
 
+_UPSERTED = _with(_PRODUCTS) + f"""SELECT product_id, name, sku, category,
+       CASE WHEN sent THEN CAST(price + 10 AS DECIMAL(10,2)) ELSE price END AS price,
+       CASE WHEN p_brand = 'Brand#1' THEN TIMESTAMP '{AS_OF}' END AS created_at,
+       CASE WHEN sent THEN TIMESTAMP '{AS_OF}' END AS updated_at
+FROM (SELECT *, p_brand = 'Brand#1' OR p_size >= 40 AS sent FROM products)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "dim_customer": _with(_CUSTOMERS)
@@ -644,12 +651,13 @@ WHERE request_seq IN (SELECT request_seq FROM validated WHERE reason IS NULL)"""
 FROM items i LEFT JOIN (SELECT * FROM products WHERE p_size < 50) p
      ON i.product_id = p.product_id
 GROUP BY i.order_id""",
-        "upsert_products": _with(_PRODUCTS)
-        + f"""SELECT product_id, name, sku, category,
-       CASE WHEN sent THEN CAST(price + 10 AS DECIMAL(10,2)) ELSE price END AS price,
-       CASE WHEN p_brand = 'Brand#1' THEN TIMESTAMP '{AS_OF}' END AS created_at,
-       CASE WHEN sent THEN TIMESTAMP '{AS_OF}' END AS updated_at
-FROM (SELECT *, p_brand = 'Brand#1' OR p_size >= 40 AS sent FROM products)""",
+        "upsert_products": _UPSERTED,
+        "merged_products": _UPSERTED,
+        "committed_orders": _with(_ORDERS)
+        + "SELECT order_id, customer_id, order_date, status, total_amount FROM shop_orders",
+        "undeleted_orders": _with(_ORDERS)
+        + """SELECT order_id, customer_id, order_date, status, total_amount FROM shop_orders
+WHERE status <> 'Pending'""",
         "cascade_delete": _with(_ORDERS, _LINES)
         + """SELECT o.order_id, COUNT(i.order_id) AS items
 FROM shop_orders o LEFT JOIN items i ON o.order_id = i.order_id

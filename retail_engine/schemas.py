@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     ArrayType,
+    BooleanType,
     DataType,
     DateType,
     DecimalType,
@@ -111,6 +112,11 @@ BATCHES = struct(
     largest_ids=MapType(_TEXT, _ID),
 )
 
+# One row per live file of the commit log; `adopted` rows name a table without a file.
+FILES = struct(
+    table=_TEXT, path=_TEXT, bytes=_COUNT, rows=_COUNT, low=_ID, high=_ID, adopted=BooleanType()
+)
+
 # One row per published warehouse version.
 PUBLISHED = struct(
     run_id=_TEXT, published_at=_TIME, path=_TEXT, row_counts=MapType(_TEXT, _COUNT)

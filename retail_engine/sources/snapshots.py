@@ -5,16 +5,18 @@
     <root>/warehouse/<run id>/<table>/          one version of the star schema
     <root>/published/                           one row per published version
     <root>/runs/                                one row per finished run
-    <root>/intake/<batch id>/<table>/           accepted rows of a batch, and its rejections
-    <root>/batches/                             one row per committed batch
+    <root>/intake/<batch id>/<try>/<table>/     accepted rows of a batch, and its rejections
 
 Data is written first and named in the manifest afterwards, so a reader never meets a
 half-written table and a failed job leaves nothing that counts. The manifests take one
-writer at a time; run ids must be new.
+writer at a time; run ids must be new. Batches go into the log of commits beside them
+(`commits.py`), which takes several writers.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Sequence
 from datetime import date, datetime
 
 from pyspark.errors import AnalysisException
@@ -22,9 +24,9 @@ from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from retail_engine import session
 from retail_engine.operators import runs
 from retail_engine.schemas import (
-    BATCHES,
     MANIFEST,
     OPERATIONAL,
     PRIMARY_KEY,
@@ -33,6 +35,8 @@ from retail_engine.schemas import (
     WAREHOUSE,
     conform,
 )
+from retail_engine.sources import commits
+from retail_engine.sources.commits import Commit, Conflict, File, State
 
 
 class MissingSnapshots(Exception):
@@ -76,12 +80,16 @@ def write_counted(df: DataFrame, path: str) -> int:
     return _write_seen(df, path, F.lit(0))[0]
 
 
-def _write_seen(df: DataFrame, path: str, key: Column) -> tuple[int, int]:
-    """Write `df`; its number of rows and its largest `key` (0 when it is empty)."""
-    seen = Observation()
-    facts = [F.count(F.lit(1)).alias("rows"), F.coalesce(F.max(key), F.lit(0)).alias("largest")]
+def _write_seen(df: DataFrame, path: str, key: Column) -> tuple[int, int, int]:
+    """Write `df`; its number of rows, its smallest and largest `key` (0 when it is empty)."""
+    seen, none = Observation(), F.lit(0)
+    facts = [
+        F.count(F.lit(1)).alias("rows"),
+        F.coalesce(F.min(key), none).alias("smallest"),
+        F.coalesce(F.max(key), none).alias("largest"),
+    ]
     df.observe(seen, *facts).write.mode("errorifexists").parquet(path)
-    return seen.get["rows"], seen.get["largest"]
+    return seen.get["rows"], seen.get["smallest"], seen.get["largest"]
 
 
 def land(
@@ -89,7 +97,7 @@ def land(
 ) -> Row:
     """Write one snapshot and return its manifest row, which is not yet recorded."""
     path = f"raw/{table}/{load_date:%Y-%m-%d}/{run_id}"
-    row_count, largest = _write_seen(
+    row_count, _, largest = _write_seen(
         conform(df, OPERATIONAL[table]), f"{root}/{path}", F.col(PRIMARY_KEY[table])
     )
     return Row(
@@ -170,7 +178,18 @@ def current_star(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 
 
 def batches(spark: SparkSession, root: str) -> DataFrame:
-    return _read(spark, f"{root}/batches", BATCHES)
+    return commits.batches(spark, root)
+
+
+def data_files(
+    spark: SparkSession, root: str, table: str, path: str, low: int, high: int
+) -> list[File]:
+    """The data files of a written folder, whose keys lie from `low` to `high`."""
+    return [
+        File(table, f"{path}/{name}", size, None, low, high)
+        for name, size in commits.listed(spark, f"{root}/{path}").items()
+        if name.endswith(".parquet")
+    ]
 
 
 def commit_batch(
@@ -180,38 +199,77 @@ def commit_batch(
     at: datetime,
     rows: dict[str, DataFrame],
     rejected: DataFrame,
+    state: State | None = None,
+    reads: Sequence[str] = (),
 ) -> Row:
     """Write the rows that a batch adds to each table, and its rejections, then name them all
-    in one manifest row: readers see the whole batch or nothing of it."""
-    base, counts, largest = f"intake/{batch_id}", {}, {}
+    in one commit: readers see the whole batch or nothing of it.
+
+    The batch was judged on `state` and depends on the rows of the tables in `reads`; when
+    another commit has changed one of these, what was written goes again and Conflict is raised.
+    """
+    state = state or commits.read(spark, root)
+    if batches(spark, root).where(F.col("batch_id") == batch_id).count():
+        raise ValueError(f"batch {batch_id} is already committed")
+    # Another attempt at the same batch has a folder of its own.
+    base, counts, largest, files = f"intake/{batch_id}/{uuid.uuid4().hex}", {}, {}, []
     for table, new in rows.items():
-        counts[table], largest[table] = _write_seen(
-            conform(new, OPERATIONAL[table]), f"{root}/{base}/{table}", F.col(PRIMARY_KEY[table])
-        )
+        path, key = f"{base}/{table}", F.col(PRIMARY_KEY[table])
+        conformed = conform(new, OPERATIONAL[table])
+        counts[table], low, largest[table] = _write_seen(conformed, f"{root}/{path}", key)
+        if counts[table]:
+            files += data_files(spark, root, table, path, low, largest[table])
     counts["rejected"] = write_counted(rejected, f"{root}/{base}/rejected")
-    row = Row(
+    change = Commit(
+        kind="batch",
+        at=at,
+        files=tuple(files),
+        reads=tuple(reads),
         batch_id=batch_id,
-        committed_at=at,
         paths={name: f"{base}/{name}" for name in counts},
         row_counts=counts,
         largest_ids=largest,
     )
-    _append(spark, f"{root}/batches", BATCHES, [row])
-    return row
+    try:
+        commits.commit(spark, root, state, change)
+    except Conflict:
+        session.remove(spark, [f"{root}/{base}"])
+        raise
+    return Row(
+        batch_id=batch_id,
+        committed_at=at,
+        paths=change.paths,
+        row_counts=counts,
+        largest_ids=largest,
+    )
 
 
-def taken(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """The rows that all committed batches added to a table."""
-    named = batches(spark, root).select(F.col("paths")[table].alias("path")).dropna().collect()
-    if not named:
+def read_files(spark: SparkSession, root: str, table: str, files: Sequence[File]) -> DataFrame:
+    """The rows of some data files of a table."""
+    if not files:
         return spark.createDataFrame([], OPERATIONAL[table])
-    return spark.read.schema(OPERATIONAL[table]).parquet(*(f"{root}/{r.path}" for r in named))
+    return spark.read.schema(OPERATIONAL[table]).parquet(*(f"{root}/{f.path}" for f in files))
 
 
-def current_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """The newest snapshot of each table with the rows that committed batches added."""
-    landed = latest_tables(spark, root)
-    return {name: t.unionByName(taken(spark, root, name)) for name, t in landed.items()}
+def taken(spark: SparkSession, root: str, table: str, state: State | None = None) -> DataFrame:
+    """The rows of a table that the commits hold, by default as of now."""
+    state = state or commits.read(spark, root)
+    return read_files(spark, root, table, state.of(table))
+
+
+def current_tables(
+    spark: SparkSession, root: str, state: State | None = None
+) -> dict[str, DataFrame]:
+    """The newest snapshot of each table with the rows of the commits; of an adopted table
+    these alone."""
+    state = state or commits.read(spark, root)
+    landed = {} if state.adopted >= set(OPERATIONAL) else latest_tables(spark, root)
+    return {
+        name: taken(spark, root, name, state)
+        if name in state.adopted
+        else landed[name].unionByName(taken(spark, root, name, state))
+        for name in OPERATIONAL
+    }
 
 
 def last_ids(spark: SparkSession, root: str) -> dict[str, int]:

@@ -67,11 +67,14 @@ def test_a_small_batch_leaves_the_stored_table_where_it_is(spark, tmp_path):
     ).write.parquet(batch)
     spark.range(300_000).selectExpr("concat(id, '@old.c') AS email").write.parquet(store)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")
+    # Else a plan cuts long paths short.
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
     try:
         judged = intake.validate_customers(spark.read.parquet(batch), spark.read.parquet(store))
         text = plan(judged)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
     above = text[: text.index(store)].split("\n")[::-1]
     # From the scan of the stored table upwards the first join comes before any exchange.
     upward = [x for x in above if "Exchange" in x or "Join" in x]
