@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retail_engine.jobs import intake as intake_jobs
-from retail_engine.jobs import storage
-from retail_engine.operators import audit, changes, display, intake, reports, runs, star
+from retail_engine.jobs import standing, storage
+from retail_engine.operators import audit, changes, display, increments, intake, reports, runs, star
 from retail_engine.schemas import OPERATIONAL, conform
 from retail_engine.session import checkpointed, shared_folder, tune
 from retail_engine.sources import commits, snapshots
@@ -158,6 +158,39 @@ def axis_labels(spark, sf_dir):
     return display.axis_labels(_by_day(spark, sf_dir))
 
 
+def _standing(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """States of all sales, which come in three batches: most orders have lines in each."""
+    root, fact = _store(spark), checkpointed(_fact(spark, sf_dir))
+    buyers = star.dim_customer(tables.customers(spark, sf_dir))
+    for n in range(3):
+        sales = fact.filter(F.pmod("product_id", F.lit(3)) == n)
+        standing.add_sales(spark, root, f"batch {n}", sales, buyers, _AT)
+    return standing.states(spark, root)
+
+
+@_query
+def standing_summary(spark, sf_dir):
+    return increments.revenue_summary(_standing(spark, sf_dir))
+
+
+@_query
+def standing_by_product(spark, sf_dir):
+    products = star.dim_product(tables.products(spark, sf_dir))
+    found = increments.sales_by_product(_standing(spark, sf_dir), products)
+    return reports.by_revenue(found, reports.PRODUCT_TIE_BREAK)
+
+
+@_query
+def standing_by_city(spark, sf_dir):
+    found = increments.sales_by_city(_standing(spark, sf_dir))
+    return reports.by_revenue(found, reports.CITY_TIE_BREAK)
+
+
+@_query
+def standing_by_day(spark, sf_dir):
+    return reports.by_day(increments.daily_sales(_standing(spark, sf_dir)))
+
+
 # Lists
 
 

@@ -513,14 +513,22 @@ def _landed_types() -> str:
     return "\nUNION ALL ".join(f"({part})" for part in parts)
 
 
-_UPSERTED = _with(_PRODUCTS) + f"""SELECT product_id, name, sku, category,
-       CASE WHEN sent THEN CAST(price + 10 AS DECIMAL(10,2)) ELSE price END AS price,
-       CASE WHEN p_brand = 'Brand#1' THEN TIMESTAMP '{AS_OF}' END AS created_at,
-       CASE WHEN sent THEN TIMESTAMP '{AS_OF}' END AS updated_at
-FROM (SELECT *, p_brand = 'Brand#1' OR p_size >= 40 AS sent FROM products)"""
+#: Queries that reach the rows of another one in another way.
+_SAME = {
+    "standing_summary": "revenue_summary",
+    "standing_by_product": "sales_by_product",
+    "standing_by_city": "sales_by_city",
+    "standing_by_day": "daily_sales",
+    "merged_products": "upsert_products",
+}
 
 
 def oracle_sql() -> dict[str, str]:
+    own = _own_sql()
+    return own | {name: own[other] for name, other in _SAME.items()}
+
+
+def _own_sql() -> dict[str, str]:
     return {
         "dim_customer": _with(_CUSTOMERS)
         + "SELECT customer_id, first_name || ' ' || last_name AS name, city, created_at "
@@ -651,8 +659,12 @@ WHERE request_seq IN (SELECT request_seq FROM validated WHERE reason IS NULL)"""
 FROM items i LEFT JOIN (SELECT * FROM products WHERE p_size < 50) p
      ON i.product_id = p.product_id
 GROUP BY i.order_id""",
-        "upsert_products": _UPSERTED,
-        "merged_products": _UPSERTED,
+        "upsert_products": _with(_PRODUCTS)
+        + f"""SELECT product_id, name, sku, category,
+       CASE WHEN sent THEN CAST(price + 10 AS DECIMAL(10,2)) ELSE price END AS price,
+       CASE WHEN p_brand = 'Brand#1' THEN TIMESTAMP '{AS_OF}' END AS created_at,
+       CASE WHEN sent THEN TIMESTAMP '{AS_OF}' END AS updated_at
+FROM (SELECT *, p_brand = 'Brand#1' OR p_size >= 40 AS sent FROM products)""",
         "committed_orders": _with(_ORDERS)
         + "SELECT order_id, customer_id, order_date, status, total_amount FROM shop_orders",
         "undeleted_orders": _with(_ORDERS)

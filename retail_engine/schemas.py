@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     ArrayType,
+    BinaryType,
     BooleanType,
     DataType,
     DateType,
@@ -117,6 +118,14 @@ FILES = struct(
     table=_TEXT, path=_TEXT, bytes=_COUNT, rows=_COUNT, low=_ID, high=_ID, adopted=BooleanType()
 )
 
+# Sums of sales that merge; `orders` is a bitmap of the order ids of a bucket.
+_SUMS = {"units": _COUNT, "revenue": DecimalType(38, 2)}
+REPORT_STATES = {
+    "day_states": struct(day=DateType(), bucket=_COUNT, **_SUMS, orders=BinaryType()),
+    "city_states": struct(city=_TEXT, bucket=_COUNT, **_SUMS, orders=BinaryType()),
+    "product_states": struct(product_id=_ID, **_SUMS),
+}
+
 # One row per published warehouse version.
 PUBLISHED = struct(
     run_id=_TEXT, published_at=_TIME, path=_TEXT, row_counts=MapType(_TEXT, _COUNT)
