@@ -14,7 +14,7 @@ from retail_engine.jobs import standing, storage
 from retail_engine.operators import audit, changes, display, increments, intake, reports, runs, star
 from retail_engine.schemas import OPERATIONAL, conform
 from retail_engine.session import checkpointed, shared_folder, tune
-from retail_engine.sources import commits, snapshots
+from retail_engine.sources import commits, run_logs, snapshots
 from retail_engine.sources import driver_requests as requests
 from retail_engine.sources import driver_tables as tables
 from retail_engine.sources.commits import Commit
@@ -573,3 +573,12 @@ def last_successful_run(spark, sf_dir):
 @_query
 def log_counts(spark, sf_dir):
     return runs.log_counts(requests.run_log(spark, sf_dir), "event_id")
+
+
+@_query
+def logged_counts(spark, sf_dir):
+    """The same counts out of log files: one folder per run, lines in their order."""
+    path = f"{_store(spark)}/logs"
+    log = requests.run_log(spark, sf_dir).sort("run_id", "event_id")
+    log.select("run_id", F.col("line").alias("value")).write.partitionBy("run_id").text(path)
+    return runs.log_counts(run_logs.read_logs(spark, path), "at")

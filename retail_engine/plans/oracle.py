@@ -520,6 +520,7 @@ _SAME = {
     "standing_by_city": "sales_by_city",
     "standing_by_day": "daily_sales",
     "merged_products": "upsert_products",
+    "logged_counts": "log_counts",
 }
 
 
