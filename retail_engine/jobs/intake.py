@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from retail_engine.operators import intake, ranking
-from retail_engine.schemas import OPERATIONAL, PRIMARY_KEY, conform
+from retail_engine.schemas import KEY_INDEX, OPERATIONAL, PRIMARY_KEY, conform
 from retail_engine.session import checkpointed, remove, working_tables
 from retail_engine.sources import commits, snapshots
 
@@ -152,7 +152,11 @@ def run(
             outcome = take_orders(headers, lines, tables, as_of, reserve)
         else:
             take = {"customers": take_customers, "products": take_products}[kind]
-            outcome = take(requests, tables[kind], as_of, reserve)
+            index = next(i for i, (of, _) in KEY_INDEX.items() if of == kind)
+            existing = tables[kind]
+            if index in state.adopted:
+                existing = snapshots.keys_near(spark, root, index, state, requests)
+            outcome = take(requests, existing, as_of, reserve)
         try:
             return snapshots.commit_batch(
                 spark, root, batch_id, at, outcome.rows, outcome.rejected, state, READS[kind]

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from retail_engine import session
 from retail_engine.operators import changes
-from retail_engine.schemas import OPERATIONAL, PRIMARY_KEY, conform
+from retail_engine.schemas import KEY_BUCKETS, KEY_INDEX, LAID_OUT_BY, STORED, conform
 from retail_engine.sources import commits, snapshots
 from retail_engine.sources.commits import Commit, Conflict, File, State
 
@@ -31,17 +31,17 @@ def write_clustered(
     spark: SparkSession, root: str, table: str, rows: DataFrame, files: int
 ) -> tuple[File, ...]:
     """Write rows by key into about so many files."""
-    key, path = PRIMARY_KEY[table], f"data/{table}/{uuid.uuid4().hex}"
-    spread = conform(rows, OPERATIONAL[table]).repartitionByRange(max(1, files), key)
+    key, path = LAID_OUT_BY[table], f"data/{table}/{uuid.uuid4().hex}"
+    spread = conform(rows, STORED[table]).repartitionByRange(max(1, files), key)
     spread.sortWithinPartitions(key).write.parquet(f"{root}/{path}")
     return described(spark, root, table, path)
 
 
 def described(spark: SparkSession, root: str, table: str, path: str) -> tuple[File, ...]:
     """The files of a written folder with their rows and key ranges; files without rows go."""
-    key = PRIMARY_KEY[table]
+    key = LAID_OUT_BY[table]
     name = F.element_at(F.split("_metadata.file_path", "/"), -1).alias("name")
-    written = spark.read.schema(OPERATIONAL[table]).parquet(f"{root}/{path}")
+    written = spark.read.schema(STORED[table]).parquet(f"{root}/{path}")
     ranges = (
         written.select(key, name, F.col("_metadata.file_size").alias("bytes"))
         .groupBy("name", "bytes")
@@ -88,6 +88,10 @@ def compact(
             return None
         rows = snapshots.read_files(spark, root, table, small)
         files = -(-sum(f.bytes for f in small) // target)
+        if table in KEY_INDEX:
+            files = KEY_BUCKETS
+            if len(small) <= 2 * KEY_BUCKETS:
+                return None
         return Commit(
             kind="compact",
             at=at,
@@ -106,7 +110,8 @@ def adopt(
     spark: SparkSession, root: str, table: str, at: datetime, files: int | None = None, attempts: int = 20
 ) -> Commit | None:
     """Take the newest snapshot of a table, and what the commits have added, over into files by
-    key, so that rows can be changed in place. Snapshots landed later do not change it."""
+    key, so that rows can be changed in place. Snapshots landed later do not change it. Keys
+    that are to be unique get an index in hash buckets, which intake looks at from then on."""
 
     def work(state: State) -> Commit | None:
         if table in state.adopted:
@@ -119,13 +124,18 @@ def adopt(
             for folder in {f.rsplit("/", 1)[0] for f in landed}
             for length in commits.listed(spark, folder).values()
         )
+        new = write_clustered(spark, root, table, rows, files or -(-size // TARGET))
+        indexes = [name for name, (of, _) in KEY_INDEX.items() if of == table]
+        for name in indexes:
+            keys = snapshots.key_rows(rows, name)
+            new += write_clustered(spark, root, name, keys, KEY_BUCKETS)
         return Commit(
             kind="adopt",
             at=at,
-            files=write_clustered(spark, root, table, rows, files or -(-size // TARGET)),
+            files=new,
             gone=tuple(f.path for f in own),
             same_rows=True,
-            adopted=(table,),
+            adopted=(table, *indexes),
         )
 
     return _exchanged(spark, root, attempts, work)
@@ -136,7 +146,7 @@ def touched(
 ) -> list[File]:
     """The files that hold one of the keys. The index rules most out; the rest are asked for
     their key column alone."""
-    key = PRIMARY_KEY[table]
+    key = LAID_OUT_BY[table]
     keys = keys.select(F.col(key).alias("_key")).distinct()
     few = sorted(r[0] for r in keys.limit(_KEYS_LOOKED_UP + 1).collect() if r[0] is not None)
     if len(few) > _KEYS_LOOKED_UP:
@@ -174,11 +184,20 @@ def _rewritten(
         new = write_clustered(spark, root, table, rows, len(hit))
         if not new and not hit:
             return None
+        gone = list(hit)
+        if new:
+            rows = snapshots.read_files(spark, root, table, new)
+        old = snapshots.read_files(spark, root, table, hit)
+        for name, (of, _) in KEY_INDEX.items():
+            if of == table and name in state.adopted:
+                added, replaced = _reindexed(spark, root, name, state, old, rows)
+                new += added
+                gone += replaced
         return Commit(
             kind=kind,
             at=at,
             files=new,
-            gone=tuple(f.path for f in hit),
+            gone=tuple(f.path for f in gone),
             # A key that comes in meanwhile would be there twice, or left.
             reads=(table,),
         )
@@ -186,6 +205,22 @@ def _rewritten(
     return _exchanged(spark, root, attempts, work)
 
 
+def _reindexed(
+    spark: SparkSession, root: str, index: str, state: State, old: DataFrame, new: DataFrame
+) -> tuple[tuple[File, ...], list[File]]:
+    """New files of a key index, and those they replace, when rows `old` become `new`."""
+    before, after = (snapshots.key_rows(rows, index) for rows in (old, new))
+    lost, won = before.exceptAll(after), after.exceptAll(before)
+    # At most as many numbers as there are buckets.
+    buckets = {r.bucket for r in lost.select("bucket").distinct().collect()}
+    hit = [f for f in state.of(index) if any(f.low <= b <= f.high for b in buckets)]
+    if not hit and won.isEmpty():
+        return (), []
+    kept = snapshots.read_files(spark, root, index, hit).join(lost, ["bucket", "key"], "left_anti")
+    rows = kept.select("bucket", "key").unionByName(won)
+    return write_clustered(spark, root, index, rows, max(1, len(hit))), hit
+
+
 def upsert_rows(
     spark: SparkSession, root: str, table: str, new: DataFrame, at: datetime, attempts: int = 20
 ) -> Commit | None:
@@ -193,7 +228,7 @@ def upsert_rows(
 
     Rows with a new key are written beside them. `new` is read more than once.
     """
-    key, as_of = PRIMARY_KEY[table], f"{at:%Y-%m-%d %H:%M:%S}"
+    key, as_of = LAID_OUT_BY[table], f"{at:%Y-%m-%d %H:%M:%S}"
 
     def merged(old: DataFrame) -> DataFrame:
         return changes.upsert(old, new, key, as_of)
@@ -205,7 +240,7 @@ def delete_rows(
     spark: SparkSession, root: str, table: str, keys: DataFrame, at: datetime, attempts: int = 20
 ) -> Commit | None:
     """Delete rows by key, rewriting only the files with one of them."""
-    key = PRIMARY_KEY[table]
+    key = LAID_OUT_BY[table]
 
     def merged(old: DataFrame) -> DataFrame:
         return old.join(keys.select(key), key, "left_anti")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from retail_engine.jobs import intake as intake_jobs
 from retail_engine.jobs import standing, storage
 from retail_engine.operators import audit, changes, display, increments, intake, reports, runs, star
-from retail_engine.schemas import OPERATIONAL, conform
+from retail_engine.schemas import KEY_BUCKETS, OPERATIONAL, conform
 from retail_engine.session import checkpointed, shared_folder, tune
 from retail_engine.sources import commits, run_logs, snapshots
 from retail_engine.sources import driver_requests as requests
@@ -276,6 +276,20 @@ def validate_products(spark, sf_dir):
     return _joined_reasons(intake.validate_products(asked, existing))
 
 
+@_query
+def validate_products_indexed(spark, sf_dir):
+    """The same ruling with the catalogue's SKUs in hash buckets, of which the batch reads its
+    own."""
+    asked, existing = requests.product_requests(spark, sf_dir)
+    root, index = _store(spark), "product_skus"
+    keys = snapshots.key_rows(existing, index)
+    files = storage.write_clustered(spark, root, index, keys, KEY_BUCKETS)
+    first = Commit(kind="adopt", at=_AT, files=files, adopted=(index,))
+    state = commits.commit(spark, root, commits.read(spark, root), first)
+    near = snapshots.keys_near(spark, root, index, state, asked)
+    return _joined_reasons(intake.validate_products(asked, near))
+
+
 @_query
 def clean_products(spark, sf_dir):
     asked, existing = requests.product_requests(spark, sf_dir)

@@ -521,6 +521,7 @@ _SAME = {
     "standing_by_day": "daily_sales",
     "merged_products": "upsert_products",
     "logged_counts": "log_counts",
+    "validate_products_indexed": "validate_products",
 }
 
 

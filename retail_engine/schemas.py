@@ -79,6 +79,14 @@ PRIMARY_KEY = {
     "order_items": "order_item_id",
 }
 
+# Keys that are taken, in hash buckets: which column of which table each index holds.
+KEY_INDEX = {"customer_emails": ("customers", "email"), "product_skus": ("products", "sku")}
+KEY_BUCKETS = 256
+
+# What the commit log stores, and the column that a table's files are laid out by.
+STORED = OPERATIONAL | {name: struct(bucket=_COUNT, key=_TEXT) for name in KEY_INDEX}
+LAID_OUT_BY = PRIMARY_KEY | dict.fromkeys(KEY_INDEX, "bucket")
+
 WAREHOUSE = {
     "dim_customer": struct(customer_id=_ID, name=_TEXT, city=_TEXT, created_at=_TIME),
     "dim_product": struct(product_id=_ID, name=_TEXT, category=_TEXT, price=_PRICE),

@@ -15,6 +15,7 @@ writer at a time; run ids must be new. Batches go into the log of commits beside
 
 from __future__ import annotations
 
+import bisect
 import uuid
 from collections.abc import Sequence
 from datetime import date, datetime
@@ -25,13 +26,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from retail_engine import session
+from retail_engine.functions import text
 from retail_engine.operators import runs
 from retail_engine.schemas import (
+    KEY_BUCKETS,
+    KEY_INDEX,
     MANIFEST,
     OPERATIONAL,
     PRIMARY_KEY,
     PUBLISHED,
     RUNS,
+    STORED,
     WAREHOUSE,
     conform,
 )
@@ -219,6 +224,11 @@ def commit_batch(
         counts[table], low, largest[table] = _write_seen(conformed, f"{root}/{path}", key)
         if counts[table]:
             files += data_files(spark, root, table, path, low, largest[table])
+        for index in (i for i, (of, _) in KEY_INDEX.items() if of == table and i in state.adopted):
+            keys = conform(key_rows(new, index), STORED[index])
+            path = f"{base}/{index}"
+            number, low, high = _write_seen(keys, f"{root}/{path}", F.col("bucket"))
+            files += data_files(spark, root, index, path, low, high) if number else []
     counts["rejected"] = write_counted(rejected, f"{root}/{base}/rejected")
     change = Commit(
         kind="batch",
@@ -247,8 +257,35 @@ def commit_batch(
 def read_files(spark: SparkSession, root: str, table: str, files: Sequence[File]) -> DataFrame:
     """The rows of some data files of a table."""
     if not files:
-        return spark.createDataFrame([], OPERATIONAL[table])
-    return spark.read.schema(OPERATIONAL[table]).parquet(*(f"{root}/{f.path}" for f in files))
+        return spark.createDataFrame([], STORED[table])
+    return spark.read.schema(STORED[table]).parquet(*(f"{root}/{f.path}" for f in files))
+
+
+def _bucket(key: Column | str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS))
+
+
+def key_rows(rows: DataFrame, index: str) -> DataFrame:
+    """The rows of a key index for rows of its table."""
+    key = F.col(KEY_INDEX[index][1])
+    return rows.filter(key.isNotNull()).select(_bucket(key).alias("bucket"), key.alias("key"))
+
+
+def keys_near(
+    spark: SparkSession, root: str, index: str, state: State, asked: DataFrame
+) -> DataFrame:
+    """The taken keys of all buckets into which the trimmed keys of a batch fall, under the
+    name of their column. Files of other buckets are not opened."""
+    column = KEY_INDEX[index][1]
+    near = asked.select(_bucket(text.trimmed(column)).alias("bucket")).distinct()
+    # At most as many numbers as there are buckets.
+    buckets = sorted(r.bucket for r in near.collect())
+    files = [
+        f for f in state.of(index)
+        if bisect.bisect_left(buckets, f.low) < bisect.bisect_right(buckets, f.high)
+    ]
+    rows = read_files(spark, root, index, files).filter(F.col("bucket").isin(buckets))
+    return rows.select(F.col("key").alias(column))
 
 
 def taken(spark: SparkSession, root: str, table: str, state: State | None = None) -> DataFrame:

@@ -258,3 +258,44 @@ def test_a_snapshot_is_taken_over_with_what_was_added(spark, tmp_path):
     intake_jobs.run(spark, root, "orders", asked, "b2", AT)
     left = snapshots.current_tables(spark, root)["orders"].select(F.collect_set("order_id")).first()[0]
     assert sorted(left) == [2, 3, 4]
+
+
+def offers(spark, skus):
+    rows = [(i, f"n{s}", s, "c", "2.50") for i, s in enumerate(skus)]
+    return spark.createDataFrame(rows, REQUESTS["products"])
+
+
+def skus_read(spark, root, state, asked):
+    return {
+        f.rsplit("/", 1)[1]
+        for f in snapshots.keys_near(spark, root, "product_skus", state, asked).inputFiles()
+    }
+
+
+def test_a_batch_reads_the_buckets_of_its_keys(spark, tmp_path):
+    root = str(tmp_path)
+    tables = shop(spark) | {"products": products(spark, range(1, 5001))}
+    warehouse.run(spark, tables.__getitem__, root, "r1", Clock())
+    storage.adopt(spark, root, "products", AT)
+    state = commits.read(spark, root)
+    index = state.of("product_skus")
+    assert len(index) > 150 and sum(f.rows for f in index) == 5000
+    asked = offers(spark, ["S17", " S4000 ", "S5001", "new", "S5001"])
+    assert 1 <= len(skus_read(spark, root, state, asked)) <= 4
+    take = lambda batch, asked: intake_jobs.run(spark, root, "products", asked, batch, AT)
+    row = take("b1", asked)
+    rejected = spark.read.parquet(f"{root}/{row.paths['rejected']}").collect()
+    assert sorted((r.request_seq, r.reason) for r in rejected) == [
+        (0, "sku_taken"), (1, "sku_taken"), (4, "sku_taken"),
+    ]
+    # Keys of the batch are in the index; those of changed and deleted rows follow.
+    assert take("b2", offers(spark, ["new", "S5001"])).row_counts["products"] == 0
+    moved = products(spark, [17]).withColumn("sku", F.lit("moved"))
+    storage.upsert_rows(spark, root, "products", moved, AT)
+    storage.delete_rows(spark, root, "products", products(spark, [4000]), AT)
+    row = take("b3", offers(spark, ["S17", "S4000", "moved", "S18"]))
+    rejected = spark.read.parquet(f"{root}/{row.paths['rejected']}").collect()
+    assert sorted(r.request_seq for r in rejected) == [2, 3]
+    keys = snapshots.taken(spark, root, "product_skus").select("key").collect()
+    current = snapshots.current_tables(spark, root)["products"].select("sku").collect()
+    assert sorted(keys) == sorted(current)
