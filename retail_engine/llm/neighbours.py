@@ -1,11 +1,13 @@
 """Near-duplicate vectors by NN-descent.
 
 Vectors are compared within their label only. Equal vectors are one class from the start. A
-first neighbour graph comes from sign codes of random projections; then the neighbours of
-neighbours of each vector are compared and its list keeps the nearest, round after round. An
-audit compares a bounded set of vectors with all others and asks for more rounds while too
-many links are missing. A list that is full of linked vectors is saturated: it is enlarged to
-all saturated vectors that it reaches, compared block by block.
+first neighbour graph comes from sign codes of random projections, as many that two vectors
+at the limit hardly ever miss each other in all of them; then the neighbours of neighbours of
+each vector are compared and its list keeps the nearest, round after round. A list that is
+full of linked vectors is saturated: it is enlarged to all saturated vectors that it reaches,
+compared block by block. An audit compares sampled vectors with all others, counts all their
+links, and asks for another round while too many are missing; after the last one, all vectors
+of a label are compared in blocks.
 
 All cosines are of doubles. Edges below `FLOOR` lead nowhere near a link and are not kept.
 """
@@ -28,15 +30,18 @@ LIMIT = 0.93
 FLOOR = 0.5
 #: Length of the neighbour lists.
 NEIGHBOURS = 10
-#: Random projections that give the first graph, and vectors compared at once in a bucket.
+#: Chance that two vectors at the limit share none of a round's codes, and vectors a bucket.
+MISSED = 0.001
 TABLES = 10
 BUCKET = 48
 CHUNK = 96
 BLOCK = 512
 DESCENTS = 2
 MOST_ROUNDS = 5
-#: The audit's vectors, and the share of their links that must have been found.
-AUDITED = 256
+#: The audit asks for the links of so many vectors, each time more until it has met enough
+#: links, and for the share of them that must have been found.
+AUDITED = (256, 2048, 16_384)
+ENOUGH = 300
 RECALL = 0.98
 
 _GROUPS = 64  # lists of neighbours that one call compares
@@ -102,14 +107,22 @@ def _classes(vectors: DataFrame, key: str, vector: str, label: str) -> tuple[Dat
     return at.union(rest), stored(classes, "classes")
 
 
+def tables_for(bits: int) -> int:
+    """How many codes of so many bits leave two vectors at the limit apart in all of them with
+    the chance MISSED. A bit is equal with a chance that the angle gives."""
+    together = (1 - math.acos(LIMIT) / math.pi) ** bits
+    return max(TABLES, math.ceil(math.log(MISSED) / math.log1p(-together))) if bits else 1
+
+
 def _first_edges(classes: DataFrame, seed: int) -> DataFrame:
     """Edges between vectors that share a sign code, compared in chunks of bounded size."""
     parts = classes.groupBy("part").agg(F.count("*").alias("n"))
-    bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / BUCKET))).cast("int")
+    bits = F.least(F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / BUCKET))), F.lit(40))
+    bits = bits.cast("int")
     rows = classes.join(stored(parts.select("part", bits.alias("bits")), "parts"), "part")
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
+        planes: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             nodes = batch.column("node").to_numpy()
             part, bits = batch.column("part").to_numpy(), batch.column("bits").to_numpy()
@@ -118,14 +131,16 @@ def _first_edges(classes: DataFrame, seed: int) -> DataFrame:
             for size in np.unique(sizes).tolist():
                 at = np.flatnonzero(sizes == size)
                 unit = _unit(batch.column("vector").take(pa.array(at)))
-                if size not in planes:
-                    rng = np.random.default_rng([seed, size])
-                    planes[size] = rng.normal(size=(size, TABLES * 40))
-                signs = (unit @ planes[size] > 0).reshape(len(at), TABLES, 40)
-                wanted = np.arange(40)[None, :] < np.minimum(bits[at], 40)[:, None]
-                codes = ((signs & wanted[:, None, :]) * (1 << np.arange(40))).sum(axis=2)
-                for t in range(TABLES):
-                    found.append((nodes[at], part[at], np.full(len(at), t), codes[:, t]))
+                for wanted in np.unique(bits[at]).tolist():
+                    own = np.flatnonzero(bits[at] == wanted)
+                    for t in range(tables_for(wanted)):
+                        if (size, t) not in planes:
+                            rng = np.random.default_rng([seed, size, t])
+                            planes[size, t] = rng.normal(size=(size, 40))
+                        signs = unit[own] @ planes[size, t][:, :wanted] > 0
+                        codes = (signs * (1 << np.arange(wanted))).sum(axis=1)
+                        these = at[own]
+                        found.append((nodes[these], part[these], np.full(len(own), t), codes))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate([f[i] for f in found])) for i in range(4)],
                 ["node", "part", "tbl", "code"],
@@ -181,16 +196,12 @@ def _descent(lists: DataFrame, classes: DataFrame) -> DataFrame:
     return joined.groupBy("block").applyInArrow(compare, "a long, b long, cos double")
 
 
-def _audit(classes: DataFrame, links: DataFrame, audited: int) -> tuple[int, int]:
-    """(found, there) links of a bounded set of vectors that were compared with all others.
-
-    Of a saturated vector no more links are asked for than a full list has.
-    """
-    number = classes.count()
+def _audit(classes: DataFrame, counted: DataFrame, audited: int) -> tuple[int, int]:
+    """(found, there) links of a bounded set of vectors that were compared with all others."""
     # The first so many by a hash; that many rows are all that leaves the tasks.
     asked = classes.orderBy(F.xxhash64(F.lit(11), "node"), "node").limit(audited)
-    asked = asked.select("node", "part", "vector").toArrow() if number else None
-    if asked is None:
+    asked = asked.select("node", "part", "vector").toArrow()
+    if not len(asked):
         return 0, 0
     nodes, parts = asked["node"].to_numpy(), asked["part"].to_numpy()
     sizes = asked["vector"].combine_chunks().value_lengths().to_numpy()
@@ -209,19 +220,51 @@ def _audit(classes: DataFrame, links: DataFrame, audited: int) -> tuple[int, int
                     cos = unit @ _unit(batch.column("vector").take(pa.array(own))).T >= LIMIT
                     cos &= parts[at][:, None] == batch.column("part").to_numpy()[own][None]
                     cos &= nodes[at][:, None] != batch.column("node").to_numpy()[own][None]
-                    total[at] += cos.sum(axis=1)
+                    total[at] += cos @ batch.column("size").to_numpy()[own]
         yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(total)], ["node", "n"])
 
-    there = classes.select("node", "part", "vector").mapInArrow(count, "node long, n long")
-    there = there.groupBy("node").agg(F.sum("n").alias("there"))
-    found = links.join(there, F.col("a") == F.col("node"))
-    found = found.groupBy("node").agg(F.count("*").alias("found"))
-    full = lambda c: F.least(F.col(c), F.lit(NEIGHBOURS))
-    both = there.join(found, "node", "left").na.fill(0, ["found"])
-    row = both.agg(F.sum(F.least(full("found"), full("there"))), F.sum(full("there"))).first()
+    rows = classes.select("node", "part", "vector", "size")
+    there = rows.mapInArrow(count, "node long, n long")
+    there = there.groupBy("node").agg(F.sum("n").alias("n"))
+    both = there.join(counted.select("node", "linked"), "node")
+    row = both.agg(F.sum(F.least("linked", "n")), F.sum("n")).first()
     return row[0] or 0, row[1] or 0
 
 
+def _complete(classes: DataFrame, counted: DataFrame) -> bool:
+    """Whether enough of the links are there. The audit widens until it has met some hundreds;
+    where even the widest meets fewer, the chance that the codes leave has to do."""
+    number = classes.count()
+    for audited in AUDITED:
+        found, there = _audit(classes, counted, audited)
+        if there >= ENOUGH or audited >= number:
+            break
+    return found >= RECALL * there
+
+
+def _all_links(classes: DataFrame) -> DataFrame:
+    """Every link, by comparing all vectors of a label in blocks."""
+    counts = classes.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    rows = classes.join(stored(counts, "blocks"), "part")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    dealt = rows.select("part", "node", "vector", "own", other)
+    dealt = dealt.select(
+        "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+        "node", "vector",
+    )
+
+    def compare(table: pa.Table) -> pa.Table:
+        nodes, unit = table["node"].to_numpy(), _unit(table["vector"].combine_chunks())
+        cos = unit @ unit.T
+        keep = (cos >= LIMIT) & (nodes[:, None] != nodes[None])
+        i, j = np.nonzero(keep)
+        return _pairs([(nodes[i], nodes[j], cos[i, j])])
+
+    found = dealt.groupBy("part", "i", "j").applyInArrow(compare, "a long, b long, cos double")
+    return stored(found.groupBy("a", "b").agg(F.max("cos").alias("cos")), "all-links")
+
+
 def _enlarged(saturated: DataFrame, classes: DataFrame) -> DataFrame:
     """Per saturated vector (node, root) the rows it links with among those of its root."""
     rows = saturated.join(classes.select("node", "vector", "size"), "node")
@@ -251,6 +294,31 @@ def _enlarged(saturated: DataFrame, classes: DataFrame) -> DataFrame:
     return counts.groupBy("node").agg(F.sum("n").alias("n"))
 
 
+def _counted(links: DataFrame, classes: DataFrame) -> DataFrame:
+    """Every class (node, size) with its component_id and `linked`, the rows of others that it
+    links with."""
+    roots = components(links.select("a", "b"))
+    full = links.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= NEIGHBOURS)
+    full = full.select(F.col("a").alias("node")).join(roots, "node", "left")
+    full = stored(full.select("node", F.coalesce("root", "node").alias("root")), "full-lists")
+    enlarged = _enlarged(full, classes)
+    sizes = classes.select(F.col("node").alias("b"), "size")
+    is_full = full.select(F.col("node").alias("b"), F.lit(True).alias("b_full"))
+    listed = links.select("a", "b").join(sizes, "b").join(is_full, "b", "left")
+    is_full = full.select(F.col("node").alias("a"), F.lit(True).alias("a_full"))
+    listed = listed.join(is_full, "a", "left").where("a_full is null or b_full is null")
+    listed = listed.groupBy(F.col("a").alias("node")).agg(F.sum("size").alias("m"))
+    named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = named.groupBy("root").agg(F.min("key").alias("component_id"))
+    named = named.select("node", "size", "root").join(least, "root")
+    named = named.join(listed, "node", "left").join(enlarged, "node", "left")
+    linked = F.coalesce("m", F.lit(0)) + F.coalesce("n", F.lit(0))
+    return stored(
+        named.select("node", "size", linked.cast("long").alias("linked"), "component_id"),
+        "counted",
+    )
+
+
 def near_vectors(
     vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label"
 ) -> DataFrame:
@@ -272,29 +340,13 @@ def near_vectors(
             edges = links.union(lists).union(_descent(lists, classes))
             links, lists = _trimmed(edges)
         edges = links.union(lists)
-        found, there = _audit(classes, links, AUDITED)
-        if found >= RECALL * there:
+        named = _counted(links, classes)
+        if _complete(classes, named):
             break
     else:
-        raise RuntimeError(f"{found} of {there} audited links found after {MOST_ROUNDS} rounds")
-
-    roots = components(links.select("a", "b"))
-    full = links.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= NEIGHBOURS)
-    full = full.select(F.col("a").alias("node")).join(roots, "node", "left")
-    full = stored(full.select("node", F.coalesce("root", "node").alias("root")), "full-lists")
-    enlarged = _enlarged(full, classes)
-    sizes = classes.select(F.col("node").alias("b"), "size")
-    is_full = full.select(F.col("node").alias("b"), F.lit(True).alias("b_full"))
-    listed = links.select("a", "b").join(sizes, "b").join(is_full, "b", "left")
-    is_full = full.select(F.col("node").alias("a"), F.lit(True).alias("a_full"))
-    listed = listed.join(is_full, "a", "left").where("a_full is null or b_full is null")
-    listed = listed.groupBy(F.col("a").alias("node")).agg(F.sum("size").alias("m"))
-    named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("key").alias("component_id"))
-    named = named.select("node", "size", "root").join(least, "root")
-    named = named.join(listed, "node", "left").join(enlarged, "node", "left")
-    total = F.col("size") - 1 + F.coalesce("m", F.lit(0)) + F.coalesce("n", F.lit(0))
-    named = named.select("node", total.cast("long").alias("n_links"), "component_id")
+        named = _counted(_all_links(classes), classes)
+    total = (F.col("size") - 1 + F.col("linked")).cast("long").alias("n_links")
+    named = named.select("node", total, "component_id")
     out = rows.join(named.withColumn("_in", F.lit(True)), "node", "left")
     component = F.when(F.col("_in"), F.col("component_id")).otherwise(F.col("key"))
     out = out.select(

@@ -3,7 +3,8 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from retail_engine.llm.neighbours import near_vectors
+from retail_engine.llm import neighbours
+from retail_engine.llm.neighbours import near_vectors, tables_for
 
 
 @pytest.fixture
@@ -75,3 +76,35 @@ def test_odd_rows(vectors):
 
 def test_empty_table(vectors):
     assert near_vectors(vectors([])).count() == 0
+
+
+def planted(number, pairs, seed):
+    """Unit vectors of one label, nearly at right angles, with pairs at cosine 0.935."""
+    rng = np.random.default_rng(seed)
+    unit = lambda v: v / np.linalg.norm(v, axis=1)[:, None]
+    v = unit(rng.normal(size=(number, 128)))
+    other = rng.normal(size=(pairs, 128))
+    other -= (other * v[:pairs]).sum(axis=1)[:, None] * v[:pairs]
+    v[pairs : 2 * pairs] = 0.935 * v[:pairs] + np.sqrt(1 - 0.935**2) * unit(other)
+    return v
+
+
+def test_sparse_links_at_the_limit_are_found(vectors):
+    number, pairs = 12_000, 1000
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(planted(number, pairs, 3))]
+    found = {r.key: r.n_links for r in near_vectors(vectors(rows)).collect()}
+    assert sum(found[i] for i in range(pairs)) >= 0.995 * pairs
+    assert sum(found.values()) <= 2 * pairs
+
+
+def test_codes_grow_in_number_with_their_length():
+    assert [tables_for(b) for b in (0, 1, 7, 11, 15)] == [1, 10, 14, 25, 44]
+
+
+def test_without_enough_links_all_vectors_are_compared(vectors, monkeypatch):
+    # A graph that finds nothing, and blocks smaller than the label.
+    monkeypatch.setattr(neighbours, "_nearest", lambda nodes, unit: (nodes[:0], nodes[:0], unit[:0, 0]))
+    monkeypatch.setattr(neighbours, "MOST_ROUNDS", 1)
+    monkeypatch.setattr(neighbours, "BLOCK", 64)
+    rows = [(i, v.tolist(), i % 2) for i, v in enumerate(np.repeat(planted(150, 30, 4), 2, axis=0))]
+    assert found(vectors(rows)) == brute(rows)
