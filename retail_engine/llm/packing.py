@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import math
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -41,9 +42,10 @@ class Encoder(dict):
     The pre-tokeniser parts a text before every single space and around every single line
     feed, so the words between them can be encoded each on its own, and letters apart from
     a full stop or comma that follows. Texts with any other white space go through it whole.
+    Where the text spells a token of `special`, that token's id stands for it.
     """
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, special: dict[str, int] | None = None):
         super().__init__()
         import tiktoken
 
@@ -55,6 +57,10 @@ class Encoder(dict):
         self.piece = self.encoding._encode_single_piece
         self.stops = {c: self.whole(c) for c in ".,"}
         self.feed = self.whole("\n")
+        self.special = {token: _binary([i]) for token, i in (special or {}).items()}
+        # Of tokens that begin alike the longest counts.
+        longest = sorted(self.special, key=len, reverse=True)
+        self.parts = re.compile(f"({'|'.join(map(re.escape, longest))})") if longest else None
 
     def whole(self, text: str) -> bytes:
         return _binary(self.encoding.encode_ordinary(text))
@@ -72,6 +78,15 @@ class Encoder(dict):
         return found
 
     def ids(self, text: str) -> bytes:
+        if self.parts is None or not any(token in text for token in self.special):
+            return self.plain(text)
+        return b"".join(
+            self.special[part] if part in self.special else self.plain(part)
+            for part in self.parts.split(text)
+            if part
+        )
+
+    def plain(self, text: str) -> bytes:
         lines = text.split("\n")
         words = [line.split(" ") for line in lines]
         if [w for line in words for w in line] != text.split():
@@ -86,7 +101,14 @@ def _binary(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-def _encoded(docs: DataFrame, key: str, text: str, ranks_path: str, pattern: str) -> DataFrame:
+def _encoded(
+    docs: DataFrame,
+    key: str,
+    text: str,
+    ranks_path: str,
+    pattern: str,
+    special: dict[str, int] | None,
+) -> DataFrame:
     """key, ids (binary, with the end id), terms and their counts."""
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     schema = T.StructType(
@@ -100,7 +122,7 @@ def _encoded(docs: DataFrame, key: str, text: str, ranks_path: str, pattern: str
     end = np.array([END], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(ranks_path, pattern)
+        encoder = Encoder(ranks_path, pattern, special)
         for batch in batches:
             ids, terms, counts = [], [], []
             for body in batch.column("text").to_pylist():
@@ -252,15 +274,18 @@ def packed(
     key: str = "doc_id",
     text: str = "text",
     with_ids: bool = True,
+    special: dict[str, int] | None = None,
 ) -> DataFrame:
     """Pieces of all documents: key, start, length, ids_crc32, doc_tokens, sequence_id, offset,
     and ids (little-endian 32-bit numbers) if asked for.
 
+    `special` has the ids of strings that are one token wherever a text spells them.
+
     A null or empty text is the end id alone. Rows that share a key or are equal are packed
     each; other columns are not read. An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    encoded = stored(_encoded(docs, key, text, ranks_path, pattern), "encoded")
+    encoded = stored(_encoded(docs, key, text, ranks_path, pattern, special), "encoded")
     tokens = (F.octet_length("ids") / 4).cast("long")
     number, total = encoded.agg(F.count("*"), F.sum(tokens)).first()
     # One row a token id, so no more rows than the vocabulary has.

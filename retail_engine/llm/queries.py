@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -89,7 +90,11 @@ def packed_documents(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    found = packing.packed(docs, ranks, public_tokenizers.PATTERN, with_ids=False)
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        special = {t["content"]: t["id"] for t in json.load(file)["added_tokens"] if t["special"]}
+    found = packing.packed(
+        docs, ranks, public_tokenizers.PATTERN, with_ids=False, special=special
+    )
     return found.withColumnRenamed("key", "doc_id")
 
 

@@ -57,6 +57,18 @@ def test_ids_equal_those_of_the_tokenizer():
         assert np.frombuffer(encoder.ids(text), "<u4").tolist() == want
 
 
+def test_special_tokens_are_one_id_wherever_they_stand():
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder = Encoder(RANKS, PATTERN, {"<|endoftext|>": 50256})
+    texts = [
+        "a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|> x\n<|endoftext|>\ny",
+        "it's <|endoftext| > a<|endoftext|>b", " <|endoftext|>\t\n z", "plain words",
+    ]
+    for text in texts:
+        want = tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(encoder.ids(text), "<u4").tolist() == want
+
+
 def test_all_documents_are_packed_with_little_padding(spark):
     pieces = op7_retrieval_packing(spark, SMALL).withColumnRenamed("doc_id", "key").collect()
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
