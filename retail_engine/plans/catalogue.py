@@ -14,7 +14,7 @@ from retail_engine.jobs import standing, storage
 from retail_engine.operators import audit, changes, display, increments, intake, reports, runs, star
 from retail_engine.schemas import KEY_BUCKETS, OPERATIONAL, conform
 from retail_engine.session import checkpointed, shared_folder, tune
-from retail_engine.sources import commits, run_logs, snapshots
+from retail_engine.sources import buckets, commits, run_logs, snapshots
 from retail_engine.sources import driver_requests as requests
 from retail_engine.sources import driver_tables as tables
 from retail_engine.sources.commits import Commit
@@ -71,6 +71,28 @@ def fact_sales(spark, sf_dir):
     return star.fact_sales(tables.order_items(spark, sf_dir), tables.orders(spark, sf_dir))
 
 
+def _bucketed(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Orders and items written in buckets of the order, and read back."""
+    root, found = _store(spark), {}
+    given = {"orders": tables.orders(spark, sf_dir), "order_items": tables.order_items(spark, sf_dir)}
+    for name, rows in given.items():
+        buckets.write(rows, f"{root}/{name}", "order_id")
+        found[name] = buckets.read(spark, f"{root}/{name}", rows.schema, "order_id")
+    return found
+
+
+@_query
+def fact_sales_bucketed(spark, sf_dir):
+    stored = _bucketed(spark, sf_dir)
+    return star.fact_sales(stored["order_items"], stored["orders"])
+
+
+@_query
+def order_totals_bucketed(spark, sf_dir):
+    stored = _bucketed(spark, sf_dir)
+    return reports.order_totals(stored["orders"], stored["order_items"])
+
+
 # Reports
 
 

@@ -521,6 +521,8 @@ _SAME = {
     "standing_by_day": "daily_sales",
     "merged_products": "upsert_products",
     "logged_counts": "log_counts",
+    "fact_sales_bucketed": "fact_sales",
+    "order_totals_bucketed": "order_totals",
     "validate_products_indexed": "validate_products",
 }
 
