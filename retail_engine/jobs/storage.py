@@ -10,6 +10,7 @@ import bisect
 import uuid
 from collections.abc import Callable, Sequence
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -246,3 +247,44 @@ def delete_rows(
         return old.join(keys.select(key), key, "left_anti")
 
     return _rewritten(spark, root, table, at, keys, merged, "delete", attempts)
+
+
+#: The parts of a path that name a whole snapshot, version, batch or rewrite.
+_UNIT = r"^/((?:raw/[^/]+/[^/]+/[^/]+)|(?:warehouse/[^/]+)|(?:intake/[^/]+/[^/]+)|(?:data/[^/]+/[^/]+))/"
+
+
+def sweep(spark: SparkSession, root: str, before: datetime) -> list[str]:
+    """Delete what nothing names and nobody can be reading: folders that failed runs and tries
+    left, last written before a time, and files that a commit has replaced before it.
+
+    Returns the paths below `root` that went. A run that is not finished must be younger.
+    """
+    unit = lambda c: F.regexp_extract(F.concat(F.lit("/"), c, F.lit("/")), _UNIT, 1)
+    below = commits.qualified(spark, root)
+    state = commits.read(spark, root)
+    log = commits.history(spark, root)
+    named = [
+        snapshots.manifest(spark, root).select("path"),
+        snapshots.published(spark, root).select("path"),
+        log.select(F.explode("files.path").alias("path")),
+        log.select(F.explode(F.map_values("paths")).alias("path")),
+    ]
+    units = reduce(DataFrame.unionAll, named).select(unit(F.col("path")).alias("unit")).distinct()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    written = (
+        files.option("pathGlobFilter", "*.parquet")
+        .load(root)
+        .filter(F.col("path").startswith(f"{below}/"))
+        .select(
+            unit(F.substr("path", F.lit(len(below) + 2))).alias("unit"), "modificationTime"
+        )
+        .groupBy("unit")
+        .agg(F.max("modificationTime").alias("at"))
+        .filter((F.col("unit") != "") & (F.col("at") < F.lit(before)))
+    )
+    left = [r.unit for r in written.join(units, "unit", "left_anti").collect()]
+    replaced = log.filter(F.col("at") < F.lit(before)).select(F.explode("gone").alias("path"))
+    gone = [r.path for r in replaced.distinct().collect() if r.path not in state.files]
+    present = [p for p in gone if commits.exists(spark, f"{root}/{p}")]
+    session.remove(spark, [f"{root}/{p}" for p in [*left, *present]])
+    return sorted([*left, *present])

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
-from datetime import UTC, datetime
+from datetime import UTC, date, datetime
 
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
+from retail_engine import session
 from retail_engine.operators import runs, star
 from retail_engine.schemas import OPERATIONAL, RUNS, STEPS
-from retail_engine.sources import snapshots
+from retail_engine.sources import commits, snapshots
 
 
 class RunFailed(Exception):
@@ -39,13 +42,22 @@ def run(
     `read(table)` gives an operational table. Failed steps are recorded with their names and
     raised, and the counts of what went well beside them; the version published before stays
     the one readers get.
+
+    A run that failed, or died, goes on when it is called again with its id: tables that it has
+    landed are not landed again. Only one call at a time may use an id, and none after success.
     """
     started = now()
+    ledger = Ledger(spark, root, run_id)
     steps = [Row(step="start", at=started, message=None, table_name=None, row_count=None)]
 
     def land(table: str) -> Row | Exception:
         try:
-            return snapshots.land(read(table), root, table, run_id, started.date(), now())
+            if (earlier := ledger.landed(table)) is not None:
+                return earlier
+            ledger.clear(f"raw/{table}/{started.date():%Y-%m-%d}/{run_id}")
+            row = snapshots.land(read(table), root, table, run_id, started.date(), now())
+            ledger.add(f"land {table}", row.asDict())
+            return row
         except Exception as error:  # noqa: BLE001  kept until all tables have ended
             return error
 
@@ -65,14 +77,20 @@ def run(
         if failures:
             raise RunFailed(failures) from failures[0][1]
         with _step("record snapshots"):
-            snapshots.record(spark, root, list(landed.values()))
+            if not (ledger.resumed and ledger.recorded()):
+                snapshots.record(spark, root, list(landed.values()))
         with _step("build warehouse"):
-            tables = snapshots.run_tables(spark, root, run_id)
-            built = snapshots.write_version(star.build(tables), root, run_id)
+            built = ledger.done("build warehouse")
+            if built is None:
+                ledger.clear(f"warehouse/{run_id}")
+                tables = snapshots.run_tables(spark, root, run_id)
+                built = snapshots.write_version(star.build(tables), root, run_id)
+                ledger.add("build warehouse", built)
         for table, rows in built.items():
             done("build warehouse", table, rows)
         with _step("publish"):
-            snapshots.publish(spark, root, run_id, now(), built)
+            if not (ledger.resumed and ledger.published()):
+                snapshots.publish(spark, root, run_id, now(), built)
         done("publish")
     except RunFailed as failure:
         failed = Row(
@@ -85,6 +103,54 @@ def run(
     return {s.table_name: s.row_count for s in steps if s.table_name}
 
 
+class Ledger:
+    """The finished steps of a run, one file each below <root>/ledger/<run id>/.
+
+    A step is entered when what it has written is whole. A run that ended well is not resumed:
+    its steps do not count for another call.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, run_id: str) -> None:
+        self.spark, self.root, self.run_id = spark, root, run_id
+        self.folder = f"{root}/ledger/{run_id}"
+        self.steps = set(commits.listed(spark, self.folder))
+        ended = snapshots.run_history(spark, root).filter(F.col("run_id") == run_id)
+        #: Whether an earlier call has begun this run and did not end it well.
+        self.resumed = "begun.json" in self.steps and ended.filter("status = 'success'").isEmpty()
+        if not self.steps:
+            commits.put_if_absent(spark, f"{self.folder}/begun.json", "{}")
+
+    def add(self, step: str, values: dict) -> None:
+        text = json.dumps(values, default=lambda v: v.isoformat())
+        commits.put_if_absent(self.spark, f"{self.folder}/{step}.json", text)
+
+    def done(self, step: str) -> dict | None:
+        if not self.resumed or f"{step}.json" not in self.steps:
+            return None
+        return json.loads(commits.text_of(self.spark, f"{self.folder}/{step}.json"))
+
+    def landed(self, table: str) -> Row | None:
+        values = self.done(f"land {table}")
+        if values is None:
+            return None
+        at = datetime.fromisoformat(values["committed_at"])
+        day = date.fromisoformat(values["load_date"])
+        return Row(**values | {"committed_at": at, "load_date": day})
+
+    def clear(self, path: str) -> None:
+        """Remove what an earlier try has left of a step that it did not finish."""
+        if self.resumed:
+            session.remove(self.spark, [f"{self.root}/{path}"])
+
+    def recorded(self) -> bool:
+        rows = snapshots.manifest(self.spark, self.root)
+        return not rows.filter(F.col("run_id") == self.run_id).isEmpty()
+
+    def published(self) -> bool:
+        rows = snapshots.published(self.spark, self.root)
+        return not rows.filter(F.col("run_id") == self.run_id).isEmpty()
+
+
 @contextmanager
 def _step(name: str) -> Iterator[None]:
     try:

@@ -126,6 +126,14 @@ FILES = struct(
     table=_TEXT, path=_TEXT, bytes=_COUNT, rows=_COUNT, low=_ID, high=_ID, adopted=BooleanType()
 )
 
+# One row per commit of the log, as far as clean-up looks at it.
+COMMITS = struct(
+    at=_TIME,
+    files=ArrayType(struct(path=_TEXT)),
+    gone=ArrayType(_TEXT),
+    paths=MapType(_TEXT, _TEXT),
+)
+
 # Sums of sales that merge; `orders` is a bitmap of the order ids of a bucket.
 _SUMS = {"units": _COUNT, "revenue": DecimalType(38, 2)}
 REPORT_STATES = {

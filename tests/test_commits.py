@@ -53,7 +53,7 @@ def test_one_of_many_writers_gets_a_number(spark, tmp_path):
     path = f"{tmp_path}/log/000001.json"
     won = at_once(*[lambda i=i: commits.put_if_absent(spark, path, f"{i}" * 5000) for i in range(16)])
     assert sorted(won) == [False] * 15 + [True]
-    assert commits._text(spark, path) == f"{won.index(True)}" * 5000
+    assert commits.text_of(spark, path) == f"{won.index(True)}" * 5000
     assert commits.listed(spark, f"{tmp_path}/log").keys() == {"000001.json"}
 
 
@@ -62,7 +62,7 @@ def test_other_file_systems_keep_the_first(spark, tmp_path, staged):
     name, fs = commits._path(spark, f"{tmp_path}/log/1.json")
     assert commits._put_by_file_system(spark, name, fs, "first", staged)
     assert not commits._put_by_file_system(spark, name, fs, "second", staged)
-    assert commits._text(spark, f"{tmp_path}/log/1.json") == "first"
+    assert commits.text_of(spark, f"{tmp_path}/log/1.json") == "first"
 
 
 def test_reserved_ids_never_overlap(spark, tmp_path):
@@ -164,8 +164,8 @@ def test_many_batches_are_packed_into_few_files(spark, tmp_path, monkeypatch):
     assert before.number == len(before.of("products")) > 900
     old = snapshots.taken(spark, root, "products", before)
     storage.compact(spark, root, "products", AT)
-    text = commits._text
-    monkeypatch.setattr(commits, "_text", lambda s, path: opened.append(path) or text(s, path))
+    text = commits.text_of
+    monkeypatch.setattr(commits, "text_of", lambda s, path: opened.append(path) or text(s, path))
     after = commits.read(spark, root)
     assert opened == [] and len(after.of("products")) == 1
     assert len(commits.listed(spark, f"{root}/checkpoints")) <= commits._CHECKPOINTS_KEPT
