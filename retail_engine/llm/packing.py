@@ -32,6 +32,8 @@ SHARD = 4096
 VOCABULARY = 1 << 17
 _K1, _B = 1.2, 0.75
 _CACHED = 500_000
+#: A term in more than this part of a shard's documents is a column of its matrix.
+_COMMON = 16
 #: How many of the best neighbours may be passed over for one that fits.
 _LOOK = 24
 
@@ -88,9 +90,9 @@ class Encoder(dict):
 
     def plain(self, text: str) -> bytes:
         lines = text.split("\n")
-        words = [line.split(" ") for line in lines]
-        if [w for line in words for w in line] != text.split():
+        if " ".join(text.split()) != text.replace("\n", " "):
             return self.whole(text)
+        words = [line.split(" ") for line in lines]
         known = self.__getitem__
         return self.feed.join(
             [self.whole(line[0]) + b"".join(map(known, line[1:])) for line in words]
@@ -188,28 +190,49 @@ def _weighed(rests: DataFrame, idf: np.ndarray, mean: float) -> DataFrame:
 
 
 class Index:
-    """Postings of one shard: for each term its documents and their weights."""
+    """Postings of one shard: for each term its documents and their weights.
+
+    Terms in more than 1/16 of the documents hold most postings and are kept as columns of a
+    matrix instead: one product scores all seeds by them. It has SHARD squared numbers.
+    """
 
     def __init__(self, terms: list[np.ndarray], weights: list[np.ndarray]):
-        self.size, self.terms = len(terms), terms
+        self.size = len(terms)
         flat = np.concatenate([np.empty(0, np.int32), *terms])
+        worth = np.concatenate([np.empty(0, np.float32), *weights])
         docs = np.repeat(np.arange(self.size), [len(t) for t in terms])
-        order = np.argsort(flat, kind="stable")
-        self.docs = docs[order]
-        self.weights = np.concatenate([np.empty(0, np.float32), *weights])[order]
-        found, starts = np.unique(flat[order], return_index=True)
-        ends = np.append(starts[1:], len(flat))
-        spans = zip(starts.tolist(), ends.tolist(), strict=True)
-        self.places = dict(zip(found.tolist(), spans, strict=True))
+        found, term, uses = np.unique(flat, return_inverse=True, return_counts=True)
+        common = uses * _COMMON > self.size
+
+        column = np.cumsum(common) - 1
+        dense = common[term]
+        weighed = np.zeros((self.size, int(common.sum())), np.float32)
+        weighed[docs[dense], column[term[dense]]] = worth[dense]
+        self.by_common = (weighed != 0).astype(np.float32) @ weighed.T
+
+        docs, worth, term = docs[~dense], worth[~dense], term[~dense]
+        order = np.argsort(term, kind="stable")
+        self.docs, self.weights = docs[order], worth[order]
+        ends = np.cumsum(np.where(common, 0, uses))
+        starts = np.append(0, ends[:-1])
+        cuts = np.cumsum(np.bincount(docs, minlength=self.size))[:-1]
+        self.spans = [
+            list(zip(starts[t].tolist(), ends[t].tolist(), strict=True))
+            for t in np.split(term, cuts)
+        ]
+
+    def scores(self, seed: int) -> np.ndarray:
+        """What every document's weights of the seed's terms add up to."""
+        scores = self.by_common[seed].astype(float)
+        if spans := self.spans[seed]:
+            docs = np.concatenate([self.docs[a:b] for a, b in spans])
+            weights = np.concatenate([self.weights[a:b] for a, b in spans])
+            scores += np.bincount(docs, weights, self.size)
+        return scores
 
     def ranked(self, seed: int, free: np.ndarray) -> Iterator[list[int]]:
         """All free documents that share a term with the seed, best first, in blocks."""
-        spans = [self.places[t] for t in self.terms[seed].tolist()]
-        if not spans:
-            return
-        docs = np.concatenate([self.docs[a:b] for a, b in spans])
-        weights = np.concatenate([self.weights[a:b] for a, b in spans])
-        scores = np.bincount(docs, weights, self.size) * free
+        scores = self.scores(seed) * free
         best = np.argpartition(scores, -min(_LOOK, self.size))[-min(_LOOK, self.size) :]
         best = best[scores[best] > 0]
         yield best[np.lexsort((best, -scores[best]))].tolist()
