@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +32,7 @@ SHARD = 4096
 #: Token ids are below this, which bounds the table of document frequencies.
 VOCABULARY = 1 << 17
 _K1, _B = 1.2, 0.75
-_CACHED = 500_000
+_CACHED = 1_000_000
 #: A term in more than this part of a shard's documents is a column of its matrix.
 _COMMON = 16
 #: How many of the best neighbours may be passed over for one that fits.
@@ -43,7 +44,9 @@ class Encoder(dict):
 
     The pre-tokeniser parts a text before every single space and around every single line
     feed, so the words between them can be encoded each on its own, and letters apart from
-    a full stop or comma that follows. Texts with any other white space go through it whole.
+    a full stop or comma that follows. A word that begins a line is kept with the line feed
+    before it. Texts with any other white space have words that are none, and go through it
+    whole.
     Where the text spells a token of `special`, that token's id stands for it.
     """
 
@@ -70,7 +73,12 @@ class Encoder(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= _CACHED:
             self.clear()
-        if word.isalpha():
+        body = word.removeprefix("\n")
+        if body.split() != [body]:
+            raise KeyError(word)
+        if len(body) < len(word):
+            found = self.feed + self.whole(body)
+        elif word.isalpha():
             found = _binary(self.piece(" " + word))
         elif word[-1:] in self.stops and word[:-1].isalpha():
             found = self[word[:-1]] + self.stops[word[-1]]
@@ -89,14 +97,12 @@ class Encoder(dict):
         )
 
     def plain(self, text: str) -> bytes:
-        lines = text.split("\n")
-        if " ".join(text.split()) != text.replace("\n", " "):
+        first, *words = text.replace("\n", " \n").split(" ")
+        try:
+            lead = self["\n" + first][len(self.feed) :]
+            return lead + b"".join(map(self.__getitem__, words))
+        except KeyError:
             return self.whole(text)
-        words = [line.split(" ") for line in lines]
-        known = self.__getitem__
-        return self.feed.join(
-            [self.whole(line[0]) + b"".join(map(known, line[1:])) for line in words]
-        )
 
 
 def _binary(ids: list[int]) -> bytes:
@@ -111,12 +117,13 @@ def _encoded(
     pattern: str,
     special: dict[str, int] | None,
 ) -> DataFrame:
-    """key, ids (binary, with the end id), terms and their counts."""
+    """key, ids (binary, with the end id), how many, terms and their counts."""
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     schema = T.StructType(
         [
             T.StructField("key", rows.schema["key"].dataType),
             T.StructField("ids", T.BinaryType()),
+            T.StructField("doc_tokens", T.LongType()),
             T.StructField("terms", T.ArrayType(T.IntegerType())),
             T.StructField("counts", T.ArrayType(T.IntegerType())),
         ]
@@ -130,13 +137,15 @@ def _encoded(
             for body in batch.column("text").to_pylist():
                 own = encoder.ids(body or "")
                 ids.append(own + end)
-                found = np.unique(np.frombuffer(own, "<u4"), return_counts=True)
-                terms.append(found[0])
-                counts.append(found[1])
+                found = np.sort(np.frombuffer(own, "<u4"))
+                ends = np.flatnonzero(np.append(found[1:] != found[:-1], found[-1:] >= 0))
+                terms.append(found[ends])
+                counts.append(np.diff(ends, prepend=-1))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("key"),
                     pa.array(ids, pa.binary()),
+                    pa.array([len(x) // 4 for x in ids], pa.int64()),
                     lists(terms, np.int32),
                     lists(counts, np.int32),
                 ],
@@ -179,10 +188,10 @@ def _weighed(rests: DataFrame, idf: np.ndarray, mean: float) -> DataFrame:
             sizes = batch.column("terms").value_lengths().to_numpy(zero_copy_only=False)
             long = np.repeat(batch.column("doc_tokens").to_numpy() / mean, sizes)
             w = (idf[t] * n * (_K1 + 1) / (n + _K1 * (1 - _B + _B * long))).astype(np.float32)
-            cuts = np.cumsum(sizes)[:-1]
+            ends = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in names]
-                + [lists(np.split(t, cuts), np.int32), lists(np.split(w, cuts), np.float32)],
+                + [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (t, w)],
                 names=[f.name for f in schema],
             )
 
@@ -309,19 +318,17 @@ def packed(
     """
     small_batches(docs.sparkSession)
     encoded = stored(_encoded(docs, key, text, ranks_path, pattern, special), "encoded")
-    tokens = (F.octet_length("ids") / 4).cast("long")
-    number, total = encoded.agg(F.count("*"), F.sum(tokens)).first()
+    number, total = encoded.agg(F.count("*"), F.sum("doc_tokens")).first()
     # One row a token id, so no more rows than the vocabulary has.
     frequency = np.zeros(VOCABULARY)
     table = _frequencies(encoded).toArrow()
     frequency[table["term"].to_numpy()] = table["n"].to_numpy()
     idf = np.log1p((number - frequency + 0.5) / (frequency + 0.5))
 
-    rows = encoded.select("key", "ids", "terms", "counts", tokens.alias("doc_tokens"))
     full = (F.col("doc_tokens") / WINDOW).cast("long")
     piece = F.expr(f"substring(ids, cast(start * 4 + 1 as int), {WINDOW * 4})")
     nth = F.explode(F.sequence(F.lit(0).cast("long"), full - 1)).alias("nth")
-    wholes = rows.where(full > 0).select("key", "ids", "doc_tokens", nth)
+    wholes = encoded.where(full > 0).select("key", "ids", "doc_tokens", nth)
     wholes = wholes.withColumn("start", F.col("nth") * WINDOW).withColumn("ids", piece)
     wholes = wholes.select(
         "key",
@@ -338,7 +345,7 @@ def packed(
     before = full * WINDOW
     at = f"cast(doc_tokens div {WINDOW} * {WINDOW * 4} + 1 as int)"
     rest = F.expr(f"substring(ids, {at}, {WINDOW * 4})")
-    rests = rows.where(F.col("doc_tokens") > before).select(
+    rests = encoded.where(F.col("doc_tokens") > before).select(
         "key",
         rest.alias("ids"),
         before.alias("before"),
@@ -353,8 +360,10 @@ def packed(
     def pack(group: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(list(batches)).combine_chunks()
         ids = rows["ids"].to_pylist()
-        terms = [np.array(t, np.int32) for t in rows["terms"].to_pylist()]
-        weights = [np.array(w, np.float32) for w in rows["weights"].to_pylist()]
+        cuts = np.cumsum(pc.list_value_length(rows["terms"]).to_numpy())[:-1]
+        terms, weights = (
+            np.split(pc.list_flatten(rows[c]).to_numpy(), cuts) for c in ("terms", "weights")
+        )
         before = rows["before"].to_numpy()
         pieces = np.array(fill([len(x) // 4 for x in ids], Index(terms, weights)), np.int64)
         doc, start, length, window, offset = pieces.T
