@@ -111,3 +111,34 @@ def test_odd_rows(odd, empty):
     assert packed(odd, RANKS, PATTERN).where("key is null and start = 0").count() == 2
     assert packed(odd, RANKS, PATTERN).where("key = 6 and start = 0").count() == 2
     assert packed(empty, RANKS, PATTERN).count() == 0
+
+
+def test_scores_are_those_of_plain_bm25():
+    rng = np.random.default_rng(5)
+    # Terms below 20 are in most documents, those from 1,000 on in few or one.
+    drawn = [
+        np.unique(np.concatenate([rng.integers(0, 20, 12), rng.integers(1000, 3000, rng.integers(9))]))
+        for _ in range(300)
+    ]
+    drawn[7] = np.empty(0, np.int64)
+    drawn[8] = drawn[9]
+    terms = [t.astype(np.int32) for t in drawn]
+    weights = [rng.uniform(0.1, 3, len(t)).astype(np.float32) for t in terms]
+    worth = [dict(zip(t.tolist(), w.tolist(), strict=True)) for t, w in zip(terms, weights, strict=True)]
+    index = Index(terms, weights)
+    for seed in range(300):
+        plain = [sum(own.get(t, 0) for t in terms[seed].tolist()) for own in worth]
+        assert np.allclose(index.scores(seed), plain, rtol=1e-5)
+        blocks = [d for block in index.ranked(seed, np.ones(300, bool)) for d in block]
+        assert sorted(blocks) == [d for d in range(300) if plain[d] > 0]
+        assert all(plain[a] >= plain[b] - 1e-4 for a, b in zip(blocks, blocks[1:]))
+
+
+def test_words_new_and_known_give_the_ids_of_the_whole_text():
+    texts = [
+        "a.\nb c", "a.\nb c", "\nb", "b\n", "b\n\nc", "a\rb c", "c\x0bd", "a. ", "x y", "q \n q",
+        "'s 't don't", "x ...\n...y", "7 7,7\n7",
+    ]
+    encoder = Encoder(RANKS, PATTERN)
+    for text, want in zip(texts * 2, reference_ids(texts) * 2, strict=True):
+        assert np.frombuffer(encoder.ids(text), "<u4").tolist() == want
