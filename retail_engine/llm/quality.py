@@ -157,12 +157,12 @@ def fitted(
     number = known.count()
     share = F.pmod(F.xxhash64(F.lit(6), key), F.lit(1_000_000)) / 1_000_000
     drawn = stored(known.where(share < limit / max(1, number)), "labelled")
-    rows = docs.join(drawn, key).select(
-        key,
+    read = docs.select(
+        F.col(key).alias("key"),
         F.col(text).cast("binary").alias("text"),
         F.col(chars).cast("long").alias("chars"),
-        "_quality",
     )
+    rows = read.join(drawn.withColumnRenamed(key, "key"), "key")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,7 +170,7 @@ def fitted(
                 pickle.dumps((features(r["text"], r["chars"]), r["_quality"]))
                 for r in batch.to_pylist()
             ]
-            keys = batch.column(key).cast(pa.string())
+            keys = batch.column("key").cast(pa.string())
             yield pa.RecordBatch.from_arrays([keys, pa.array(out, pa.binary())], ["key", "row"])
 
     def learn(table: pa.Table) -> pa.Table:

@@ -54,3 +54,13 @@ def test_odd_rows(spark, odd, empty):
     assert {r.score for r in scored(odd, nothing).collect()} == {0.5}
     places, values = features(None, None)
     assert len(places) == len(values) > 0
+
+
+def test_columns_of_the_names_used_inside_do_not_matter(spark, odd):
+    from pyspark.sql import functions as F
+
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 8)], "doc_id long, quality int")
+    names = {c: F.lit("x") for c in ("_quality", "key", "chars", "row", "one", "score")}
+    plain = scored(odd, fitted(odd, labels)).collect()
+    clash = odd.withColumns(names)
+    assert sorted(map(str, scored(clash, fitted(clash, labels)).collect())) == sorted(map(str, plain))
