@@ -138,6 +138,8 @@ for _version, _port in _PORTS.items():
         )
 
 _WORD = re.compile(r"[^\W_]+")
+#: What may not follow a tag's identifier: the rest of another one, such as MIT-0.
+_GOES_ON = re.compile(r"[-.](?!(?:only|or-later)\b)\w")
 
 SCHEMA = (
     "key {key}, license string, variant int, coverage double, matched long, "
@@ -262,10 +264,13 @@ def all_aligned(
 class Scanner:
     def __init__(self, templates: dict[str, tuple[str, ...]] = TEMPLATES):
         self.words: dict[str, int] = {}
-        self.templates, self.names = [], []
+        self.templates, self.names, self.tags = [], [], set()
         self.index: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for name, variants in templates.items():
-            for variant, text in enumerate(variants):
+            # An SPDX tag names the identifier itself; it is the last variant.
+            tag = f"SPDX-License-Identifier: {name}"
+            self.tags.add(len(self.templates) + len(variants))
+            for variant, text in enumerate((*variants, tag)):
                 words = _WORD.findall(text.lower())
                 ids = np.array([self.words.setdefault(w, len(self.words) + 1) for w in words])
                 hashes = grams(ids)
@@ -295,7 +300,7 @@ class Scanner:
             ids_t = self.templates[template]
             spots.sort()
             begins = np.unique([place for _, place in spots])
-            least = coverage * len(ids_t)
+            least = len(ids_t) if template in self.tags else coverage * len(ids_t)
             groups: list[list[int]] = []
             for diagonal, _ in spots:
                 if groups and diagonal - groups[-1][1] <= BAND:
@@ -309,6 +314,11 @@ class Scanner:
         if not found:
             return []
         spans = [m.span() for m in _WORD.finditer(lower)]
+        if len(lower) != len(text):
+            # Letters that become several in lower case: back to the places in the text.
+            origin = [i for i, c in enumerate(text) for _ in c.lower()]
+            spans = [(origin[a], origin[b - 1] + 1) for a, b in spans]
+        found = [f for f in found if f[0] not in self.tags or self.is_tag(text, spans, f)]
         # Of overlapping notices the one with more matched words is reported, of equal ones the
         # one that is covered best: CC BY-NC is also most of CC BY-NC-SA.
         taken: list[tuple] = []
@@ -324,12 +334,23 @@ class Scanner:
         return sorted(taken, key=lambda t: t[6])
 
 
+    def is_tag(self, text: str, spans: list[tuple[int, int]], hit: tuple) -> bool:
+        """Whether a tag stands there word for word, and its identifier ends there."""
+        template, _, first, last = hit
+        whole = last - first + 1 == len(self.templates[template])
+        return whole and not _GOES_ON.match(text, spans[last][1])
+
+
 def notices(
     docs: DataFrame, key: str = "doc_id", text: str = "text",
     templates: dict[str, tuple[str, ...]] = TEMPLATES, coverage: float = COVERAGE,
 ) -> DataFrame:
     """One row per notice in a text: key, license, variant, coverage, matched words, start and
-    stop (characters of the lowered text), first_word and last_word.
+    stop (characters of the text), first_word and last_word.
+
+    An SPDX tag (`SPDX-License-Identifier: MIT`) of a license in `templates` is a notice, too,
+    as the variant after its own; of an expression of several the first is reported. It has to
+    stand word for word.
 
     Null and empty texts, and texts without a notice, have no rows; equal rows are reported
     each. Other columns are not read. An empty table gives no rows. Whole texts are scanned,

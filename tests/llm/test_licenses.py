@@ -110,3 +110,21 @@ def test_creative_commons_forms_are_told_apart():
 
 def test_odd_rows(odd, empty):
     assert notices(odd).count() == 0 and notices(empty).count() == 0
+
+
+def test_spdx_tags_name_their_license():
+    scanner = Scanner()
+    for name, variants in TEMPLATES.items():
+        for end in ("", "\n", " */", "-or-later", "-only\n"):
+            text = f"// SPDX-License-Identifier: {name}{end}"
+            (own,) = scanner.scan(text)
+            assert own[:3] == (name, len(variants), 1.0)
+            assert text[own[4] : own[5]] == f"SPDX-License-Identifier: {name}"
+    for other in ("Artistic-2.0", "MIT-0", "BSD-3-Clause-Clear", "GPL-1.0", "", "see below. MIT it is"):
+        assert scanner.scan(f"# SPDX-License-Identifier: {other}\n") == []
+
+
+def test_spans_are_those_of_the_given_text():
+    text = "İİİİ Licensed under the MIT License. İ SPDX-License-Identifier: Zlib"
+    found = [text[n[4] : n[5]] for n in Scanner().scan(text)]
+    assert found == ["Licensed under the MIT License", "SPDX-License-Identifier: Zlib"]
