@@ -1,8 +1,9 @@
 """Reports out of states that merge, so that new sales cost what they are, not the whole fact.
 
-A state has exact sums, and the orders it has seen as bitmaps, one for each 32,768 order ids:
-an order that two batches share counts once when the bitmaps meet. Sums of a merged state are
-those of the rows, to the last digit.
+A state has exact sums, and the orders it has seen as bitmaps, one long for each 64 order ids:
+an order that two batches share counts once when the bitmaps meet. A row is then of one small
+size, however few of a bitmap's orders fall on its day or city, and there are never more rows
+than orders of a day. Sums of a merged state are those of the rows, to the last digit.
 """
 
 from __future__ import annotations
@@ -16,6 +17,9 @@ from retail_engine.schemas import REPORT_STATES, conform
 
 Tables = dict[str, DataFrame]
 
+#: A bitmap holds as many orders as a long has bits: two to this power.
+_ID_BITS = 6
+
 #: What each state is kept by, bitmaps aside.
 KEYS = {"day_states": "day", "city_states": "city", "product_states": "product_id"}
 
@@ -29,8 +33,9 @@ def states(fact: DataFrame, dim_customer: DataFrame) -> Tables:
         "product_states": fact,
     }
     sums = [F.sum("quantity").alias("units"), F.sum("revenue").alias("revenue")]
-    bucket = F.bitmap_bucket_number("order_id").alias("bucket")
-    orders = F.bitmap_construct_agg(F.bitmap_bit_position("order_id")).alias("orders")
+    bucket = F.shiftright("order_id", _ID_BITS).alias("bucket")
+    place = F.col("order_id").bitwiseAND(F.lit((1 << _ID_BITS) - 1)).cast("int")
+    orders = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), place)).alias("orders")
     found = {
         name: rows[name].groupBy(KEYS[name], bucket).agg(*sums, orders)
         for name in ("day_states", "city_states")
@@ -47,7 +52,7 @@ def merged(parts: list[DataFrame] | DataFrame, name: str) -> DataFrame:
     if name == "product_states":
         found = parts.groupBy("product_id").agg(*sums)
     else:
-        orders = F.bitmap_or_agg("orders").alias("orders")
+        orders = F.bit_or("orders").alias("orders")
         found = parts.groupBy(KEYS[name], "bucket").agg(*sums, orders)
     return conform(found, REPORT_STATES[name])
 
@@ -55,9 +60,10 @@ def merged(parts: list[DataFrame] | DataFrame, name: str) -> DataFrame:
 def _orders(state: DataFrame, *keys: str) -> DataFrame:
     """Distinct orders, units and revenue by `keys`; bitmaps of a bucket meet first."""
     sums = [F.sum("units").alias("units"), F.sum("revenue").alias("revenue")]
-    buckets = state.groupBy(*keys, "bucket").agg(*sums, F.bitmap_or_agg("orders").alias("orders"))
+    buckets = state.groupBy(*keys, "bucket").agg(*sums, F.bit_or("orders").alias("orders"))
+    orders = F.coalesce(F.bit_count("orders"), F.lit(0))
     return buckets.groupBy(*keys).agg(
-        F.sum(F.bitmap_count("orders")).cast("bigint").alias("totalOrders"), *[
+        F.sum(orders).cast("bigint").alias("totalOrders"), *[
             F.sum(c).alias(c) for c in ("units", "revenue")
         ]
     )

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     ArrayType,
-    BinaryType,
     BooleanType,
     DataType,
     DateType,
@@ -134,11 +133,11 @@ COMMITS = struct(
     paths=MapType(_TEXT, _TEXT),
 )
 
-# Sums of sales that merge; `orders` is a bitmap of the order ids of a bucket.
+# Sums of sales that merge; `orders` is a bitmap of the 64 order ids of a bucket.
 _SUMS = {"units": _COUNT, "revenue": DecimalType(38, 2)}
 REPORT_STATES = {
-    "day_states": struct(day=DateType(), bucket=_COUNT, **_SUMS, orders=BinaryType()),
-    "city_states": struct(city=_TEXT, bucket=_COUNT, **_SUMS, orders=BinaryType()),
+    "day_states": struct(day=DateType(), bucket=_COUNT, **_SUMS, orders=LongType()),
+    "city_states": struct(city=_TEXT, bucket=_COUNT, **_SUMS, orders=LongType()),
     "product_states": struct(product_id=_ID, **_SUMS),
 }
 

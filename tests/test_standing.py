@@ -122,3 +122,27 @@ def test_states_of_a_day_without_a_date(spark, dims):
     state = increments.states(sales(spark, 0, 12), dims[0])["day_states"]
     assert {r.day for r in state.where(F.col("day").isNull()).collect()} == {None}
     assert date(1970, 1, 1) in {r.day for r in state.collect()}
+
+
+def test_states_are_no_wider_for_orders_far_apart(spark, dims):
+    """A day or city with one order in many bitmaps has small rows, summed where they hash."""
+    made = increments.states(sales(spark, 0, 300), dims[0])
+    for name in ("day_states", "city_states"):
+        assert made[name].schema["orders"].dataType.typeName() == "long"
+        plan = made[name]._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_any_order_id_counts_once(spark, dims):
+    ids = [0, 1, 62, 63, 64, 127, 128, -1, -64, -65, 2**40, 2**63 - 1, -(2**63), None]
+    fact = spark.createDataFrame(
+        [(n, i, 1, 1, 1, Decimal("1.00"), AT) for n, i in enumerate(ids * 3)],
+        WAREHOUSE["fact_sales"],
+    )
+    halves = [fact.where(f"sale_id % 2 = {n}") for n in range(2)]
+    both = [increments.states(half, dims[0])["day_states"] for half in halves]
+    merged = increments.merged(both, "day_states")
+    found = increments.daily_sales({"day_states": merged}).first()
+    assert (found.totalOrders, found.totalRevenue) == (13, 42.0)
+    none = increments.states(fact.where("order_id IS NULL"), dims[0])
+    assert increments.daily_sales(none).first().totalOrders == 0
