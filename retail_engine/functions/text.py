@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,6 +31,14 @@ _DATES = (
 _DATE_FORMATS = tuple(
     day + time for day in _DATES for time in ("[ H:mm[:ss]]", " h:mm[:ss] a")
 )
+# What tells formats apart, and the same of a text: it starts with a number, has a comma, has a
+# slash, ends with a digit.
+_MARKS = (
+    (lambda f: not f.startswith("MMM"), lambda date: date.rlike(r"\A[+-]?[0-9]")),
+    (lambda f: "," in f, lambda date: date.contains(",")),
+    (lambda f: "/" in f, lambda date: date.contains("/")),
+    (lambda f: not f.endswith("a"), lambda date: date.rlike(r"[0-9]\z")),
+)
 # A day of the week says nothing that the date does not.
 _WEEKDAY = rf"\A{SPACE}*(?i:sun|mon|tue|wed|thu|fri|sat)[a-z]*,?{SPACE}+"
 
@@ -66,13 +76,29 @@ def leading_number(text: str) -> Column:
 
 def whole_quantity(text: str) -> Column:
     """A whole number, or NULL for anything else (also 1e2 and 3abc)."""
-    digits = F.regexp_extract(F.col(text), _WHOLE, 1)
-    return F.nullif(digits, F.lit("")).try_cast("bigint")
+    return F.regexp_extract(F.col(text), _WHOLE, 1).try_cast("bigint")
+
+
+def _tried(date: Column, formats: Sequence[str], marks: Sequence = _MARKS) -> Column:
+    """The time by the first of the formats that fits; those that lack a mark of the text, or
+    have one it lacks, cannot."""
+    if not formats:
+        return F.lit(None).cast("timestamp")
+    if not marks:
+        return F.coalesce(*(F.try_to_timestamp(date, F.lit(f)) for f in formats))
+    (of_format, of_text), *rest = marks
+    having = [f for f in formats if of_format(f)]
+    lacking = [f for f in formats if not of_format(f)]
+    return F.when(of_text(date), _tried(date, having, rest)).otherwise(_tried(date, lacking, rest))
 
 
 def parsed_time(text: str) -> Column:
-    """The time a text names, or NULL."""
+    """The time a text names, or NULL.
+
+    A format that does not fit costs an exception, so only those are tried whose marks the text
+    has. The text without its weekday is bound once, as an array of one, and shared by them all.
+    """
     iso = F.when(F.col(text).rlike(_DATE_LIKE), F.col(text).try_cast("timestamp"))
     date = F.regexp_replace(F.col(text), _WEEKDAY, "")
-    others = [F.try_to_timestamp(date, F.lit(f)) for f in _DATE_FORMATS]
-    return F.coalesce(iso, *others)
+    other = F.transform(F.array(date), lambda d: _tried(d, _DATE_FORMATS))
+    return F.coalesce(iso, F.element_at(other, 1))

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retail_engine.functions import text
+from retail_engine.session import checkpointed
 
 # Order statuses, the default one, and column limits of the operational tables.
 STATUSES = ("Pending", "Processing", "Completed", "Cancelled", "Refunded")
@@ -239,9 +240,10 @@ def duplicate_lines(lines: DataFrame) -> DataFrame:
     """Lines whose product came up earlier in the same order.
 
     Only repeated (order, product) pairs meet the lines again, and they carry the first
-    position: no window has to hold all lines of a pair in one task.
+    position: no window has to hold all lines of a pair in one task. The pairs are stored, so
+    that Spark knows their size and leaves the lines where they are when the pairs are few.
     """
-    repeated = (
+    repeated = checkpointed(
         lines.filter(~_no_product())
         .groupBy("request_seq", "product_id")
         .agg(F.min("pos").alias("first_pos"), F.count(F.lit(1)).alias("_lines"))

@@ -31,9 +31,12 @@ def with_position(
     )
     part = F.shiftright("_slot", _INDEX_BITS)
     sizes = tagged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
-    # One row per partition from here on, whatever the data size.
-    starts = sizes.select(
-        "_part", (F.sum("_rows").over(Window.orderBy("_part")) - F.col("_rows")).alias("_start")
+    # One row per partition from here on, whatever the data size; stored, as every step that
+    # reads the positions would count the rows again.
+    starts = checkpointed(
+        sizes.select(
+            "_part", (F.sum("_rows").over(Window.orderBy("_part")) - F.col("_rows")).alias("_start")
+        )
     )
     index = F.col("_slot").bitwiseAND(F.lit((1 << _INDEX_BITS) - 1))
     return (

@@ -3,6 +3,7 @@ from __future__ import annotations
 from datetime import date, datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from retail_engine.functions import labels, text
 
@@ -97,3 +98,30 @@ def test_other_spellings_of_dates(spark):
         day, day, time, time, day, datetime(2024, 2, 25, 10, 30, 15),
         datetime(2024, 2, 25, 13, 5), time, None, None, None,
     ]
+
+
+def test_formats_that_cannot_fit_are_not_tried():
+    """Each kind of text is left with the formats of its own marks, two of the sixteen."""
+    left = {}
+    for f in text._DATE_FORMATS:
+        left.setdefault(tuple(of(f) for of, _ in text._MARKS), []).append(f)
+    assert [len(of) for of in left.values()] == [2] * 8
+
+
+def test_marks_leave_out_no_format_that_fits(spark):
+    given = [
+        day + time
+        for day in (
+            "Feb 5, 2024", "FEBRUARY 5, 2024", "may 05 2024", "\u017fep 5 2024", "5 feb 2024",
+            "+5 Feb 2024", "0002/3/2024", "2/30/2024", "2024/2/3", "-2/3/2024",
+            " 5 Feb 2024", "Feb 5,2024", "Feb/5/2024", "soon", "soon, 5/", "",
+        )
+        for time in ("", " 9:05", " 9:05:07", " 9:05 pm", " 13:05 PM", " 9:05:07 AM", " noon", "\n")
+    ]
+
+    def tried_all(column):
+        return F.coalesce(*(F.try_to_timestamp(column, F.lit(f)) for f in text._DATE_FORMATS))
+
+    want = values(spark, "string", given, tried_all)
+    assert values(spark, "string", given, text.parsed_time) == want
+    assert sum(v is not None for v in want) > 25

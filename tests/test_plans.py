@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
-from retail_engine.operators import intake, reports
+from retail_engine.operators import intake, ranking, reports
 from retail_engine.plans import catalogue
 from retail_engine.schemas import WAREHOUSE
 
@@ -94,3 +95,21 @@ def test_order_level_step_reuses_the_partitioning_of_the_order_join(spark):
 
 def test_top_products_sorts_no_more_than_it_shows(spark):
     assert "TakeOrderedAndProject" in plan(contract.queries()["top_products"](spark, SMALL))
+
+
+def test_few_repeated_products_leave_the_lines_in_place(spark, tmp_path):
+    """The pairs are summed up beforehand, so the lines meet a table of known, small size."""
+    rows = spark.range(2000).selectExpr(
+        "id div 4 AS request_seq", "id AS pos", "IF(id = 7, 6, id) AS product_id"
+    )
+    rows.write.parquet(str(tmp_path / "lines"))
+    lines = spark.read.parquet(str(tmp_path / "lines"))
+    found = intake.duplicate_lines(lines)
+    assert "Aggregate" not in plan(found) and "BroadcastHashJoin" in plan(found)
+    assert [(r.pos, r.first_pos) for r in found.collect()] == [(7, 6)]
+
+
+def test_rows_are_counted_once_for_all_readers_of_positions(spark):
+    placed = ranking.with_position(spark.range(100), [F.desc("id")], "place")
+    assert "Aggregate" not in plan(placed) and "Window" not in plan(placed)
+    assert placed.where("place + id <> 100").count() == 0
