@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from retail_engine import session
@@ -35,6 +35,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def observed(df: DataFrame, name: str, *facts: Column) -> tuple[DataFrame, tuple]:
+    """`df` stored, with its number of rows and other aggregates, which the write itself takes."""
+    seen = Observation()
+    named = [x.alias(f"fact{i}") for i, x in enumerate(facts)]
+    table = stored(df.observe(seen, F.count("*").alias("rows"), *named), name)
+    found = seen.get
+    return table, (found.get("rows", 0), *[found.get(f"fact{i}") for i in range(len(facts))])
+
+
 @contextlib.contextmanager
 def working_tables() -> Iterator[list[str]]:
     """The folders of the tables stored within the block, for session.remove() later."""

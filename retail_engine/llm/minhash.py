@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from retail_engine.llm.common import lists, small_batches, stored
+from retail_engine.llm.common import lists, observed, small_batches, stored
 from retail_engine.llm.graph import components
 
 WORDS = 5
@@ -293,9 +293,12 @@ def near_duplicates(
     meet = meet & (sum(apart[1:], apart[0]) <= MOST_APART) & least
     rest = labelled.join(few.withColumnRenamed("bucket", "x_bucket"), meet)
     rest = rest.select(*_ordered("node", "x_node")).join(tried, ["a", "b"], "left_anti")
-    links = _confirmed(stored(rest, "pairs"), sets, percent)
-    stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    roots = components(links.union(stars))
+    rest, (number,) = observed(rest, "pairs")
+    if number:
+        links, (number,) = observed(_confirmed(rest, sets, percent), "links")
+    if number:
+        stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = components(links.union(stars))
 
     named = classes.drop("bands", "bits").join(roots, "node", "left")
     named = named.select("digest", "key", root)
