@@ -11,10 +11,12 @@ remainder seeds the next window. So only the last window of a shard has room lef
 from __future__ import annotations
 
 import base64
+import functools
 import math
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from retail_engine.llm.common import lists, small_batches, stored
+from retail_engine.llm.common import small_batches, stored
 
 WINDOW = 1024
 END = 0
@@ -59,7 +61,7 @@ class Encoder(dict):
         self.encoding = tiktoken.Encoding(
             "ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}
         )
-        self.piece = self.encoding._encode_single_piece
+        self.piece = self.encoding._core_bpe.encode_single_piece
         self.stops = {c: self.whole(c) for c in ".,"}
         self.feed = self.whole("\n")
         self.special = {token: _binary([i]) for token, i in (special or {}).items()}
@@ -70,20 +72,27 @@ class Encoder(dict):
     def whole(self, text: str) -> bytes:
         return _binary(self.encoding.encode_ordinary(text))
 
+    def alone(self, piece: bytes) -> bytes:
+        return array("I", self.piece(piece)).tobytes()
+
     def __missing__(self, word: str) -> bytes:
         if len(self) >= _CACHED:
             self.clear()
-        body = word.removeprefix("\n")
-        if body.split() != [body]:
-            raise KeyError(word)
-        if len(body) < len(word):
-            found = self.feed + self.whole(body)
-        elif word.isalpha():
-            found = _binary(self.piece(" " + word))
-        elif word[-1:] in self.stops and word[:-1].isalpha():
-            found = self[word[:-1]] + self.stops[word[-1]]
+        stop = self.stops.get(word[-1:])
+        letters = word if stop is None else word[:-1]
+        if letters.isalpha():
+            # Letters are one piece with the space before them.
+            found = self.alone(b" " + letters.encode())
+        elif letters[:1] == "\n" and letters[1:].isalpha():
+            found = self.feed + self.alone(letters[1:].encode())
         else:
-            found = self.whole(" " + word)
+            body = word.removeprefix("\n")
+            if body.split() != [body]:
+                raise KeyError(word)
+            stop = None
+            found = self.whole(" " + word) if body == word else self.feed + self.whole(body)
+        if stop is not None:
+            found += stop
         self[word] = found
         return found
 
@@ -105,10 +114,30 @@ class Encoder(dict):
             return self.whole(text)
 
 
+@functools.cache
+def _encoder(ranks_path: str, pattern: str, special: tuple[tuple[str, int], ...]) -> Encoder:
+    """The encoder of a Python worker, whose tasks share the words met before."""
+    return Encoder(ranks_path, pattern, dict(special))
+
+
 def _binary(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+def _counted(ids: list[bytes], sizes: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """The distinct ids of every text, ascending, and how often each: ends, terms, counts.
+
+    One sort does for all texts, whose numbers stand above their ids.
+    """
+    row = np.repeat(np.arange(len(ids)) * VOCABULARY, sizes)
+    found = np.sort(row + np.frombuffer(b"".join(ids), "<u4"))
+    last = np.flatnonzero(np.append(found[1:] != found[:-1], found[-1:] >= 0))
+    counts, found = np.diff(last, prepend=-1), found[last]
+    ends = np.searchsorted(found, np.arange(len(ids) + 1) * VOCABULARY)
+    terms = found % VOCABULARY
+    return tuple(pa.array(x.astype(np.int32)) for x in (ends, terms, counts))
+
+
 def _encoded(
     docs: DataFrame,
     key: str,
@@ -129,25 +158,21 @@ def _encoded(
         ]
     )
     end = np.array([END], "<u4").tobytes()
+    tokens = tuple((special or {}).items())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(ranks_path, pattern, special)
+        encoder = _encoder(ranks_path, pattern, tokens)
         for batch in batches:
-            ids, terms, counts = [], [], []
-            for body in batch.column("text").to_pylist():
-                own = encoder.ids(body or "")
-                ids.append(own + end)
-                found = np.sort(np.frombuffer(own, "<u4"))
-                ends = np.flatnonzero(np.append(found[1:] != found[:-1], found[-1:] >= 0))
-                terms.append(found[ends])
-                counts.append(np.diff(ends, prepend=-1))
+            found = [encoder.ids(body or "") for body in batch.column("text").to_pylist()]
+            sizes = np.array([len(x) // 4 for x in found], np.int64)
+            ends, terms, counts = _counted(found, sizes)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("key"),
-                    pa.array(ids, pa.binary()),
-                    pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    lists(terms, np.int32),
-                    lists(counts, np.int32),
+                    pa.array([x + end for x in found], pa.binary()),
+                    pa.array(sizes + 1),
+                    pa.ListArray.from_arrays(ends, terms),
+                    pa.ListArray.from_arrays(ends, counts),
                 ],
                 names=[f.name for f in schema],
             )

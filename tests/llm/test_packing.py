@@ -7,7 +7,16 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from retail_engine.llm.packing import WINDOW, Encoder, Index, _weighed, fill, packed
+from retail_engine.llm.packing import (
+    WINDOW,
+    Encoder,
+    Index,
+    _counted,
+    _encoder,
+    _weighed,
+    fill,
+    packed,
+)
 from retail_engine.llm.queries import op7_retrieval_packing
 
 SMALL = "/root/testdata/sf0.001"
@@ -142,3 +151,20 @@ def test_words_new_and_known_give_the_ids_of_the_whole_text():
     encoder = Encoder(RANKS, PATTERN)
     for text, want in zip(texts * 2, reference_ids(texts) * 2, strict=True):
         assert np.frombuffer(encoder.ids(text), "<u4").tolist() == want
+
+
+def test_tasks_of_a_worker_share_the_words_met_before():
+    encoder = _encoder(RANKS, PATTERN, ())
+    encoder.ids("a wordmetonlyhere")
+    assert "wordmetonlyhere" in _encoder(RANKS, PATTERN, ())
+    assert _encoder(RANKS, PATTERN, (("<|endoftext|>", 50256),)) is not encoder
+
+
+def test_terms_of_a_batch_are_counted_by_text():
+    texts = [[5, 3, 5], [], [131071, 0], [], [3, 3]]
+    bodies = [np.array(t, "<u4").tobytes() for t in texts]
+    ends, terms, counts = (x.to_pylist() for x in _counted(bodies, np.array([len(t) for t in texts])))
+    assert ends == [0, 2, 2, 4, 4, 5]
+    assert terms == [3, 5, 0, 131071, 3] and counts == [1, 2, 1, 1, 2]
+    assert [x.to_pylist() for x in _counted([b"", b""], np.array([0, 0]))] == [[0, 0, 0], [], []]
+    assert [x.to_pylist() for x in _counted([], np.array([], np.int64))] == [[0], [], []]
