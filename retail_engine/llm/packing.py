@@ -12,11 +12,11 @@ from __future__ import annotations
 
 import base64
 import functools
+import itertools
 import math
 import re
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +35,9 @@ SHARD = 4096
 VOCABULARY = 1 << 17
 _K1, _B = 1.2, 0.75
 _CACHED = 1_000_000
+#: Bytes of text whose words are parted and looked up at a time.
+_PORTION = 4 << 20
+_WORD = re.compile(r"\n?\S+").fullmatch
 #: A term in more than this part of a shard's documents is a column of its matrix.
 _COMMON = 16
 #: How many of the best neighbours may be passed over for one that fits.
@@ -42,13 +45,12 @@ _LOOK = 24
 
 
 class Encoder(dict):
-    """Byte-level BPE ids as little-endian 32-bit numbers; words met before are looked up.
+    """Byte-level BPE ids as little-endian 32-bit numbers; numbers of the words met before.
 
     The pre-tokeniser parts a text before every single space and around every single line
-    feed, so the words between them can be encoded each on its own, and letters apart from
-    a full stop or comma that follows. A word that begins a line is kept with the line feed
-    before it. Texts with any other white space have words that are none, and go through it
-    whole.
+    feed, so the words between them can be encoded each on its own, or many new ones as one
+    text. A word that begins a line is kept with the line feed before it. Texts with any
+    other white space have words that are none, and go through it whole.
     Where the text spells a token of `special`, that token's id stands for it.
     """
 
@@ -61,57 +63,90 @@ class Encoder(dict):
         self.encoding = tiktoken.Encoding(
             "ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}
         )
-        self.piece = self.encoding._core_bpe.encode_single_piece
-        self.stops = {c: self.whole(c) for c in ".,"}
-        self.feed = self.whole("\n")
+        self.leads = np.zeros(max(ranks.values()) + 1, bool)
+        self.leads[[i for token, i in ranks.items() if token[:1] == b" " or token == b"\n"]] = True
+        #: The ids of all words met, and where those of each end, by their numbers.
+        self.flat, self.ends = np.empty(0, "<u4"), np.zeros(1, np.int64)
         self.special = {token: _binary([i]) for token, i in (special or {}).items()}
         # Of tokens that begin alike the longest counts.
         longest = sorted(self.special, key=len, reverse=True)
         self.parts = re.compile(f"({'|'.join(map(re.escape, longest))})") if longest else None
 
     def whole(self, text: str) -> bytes:
-        return _binary(self.encoding.encode_ordinary(text))
+        return self.encoding.encode_to_numpy(text).astype("<u4", copy=False).tobytes()
 
-    def alone(self, piece: bytes) -> bytes:
-        return array("I", self.piece(piece)).tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= _CACHED:
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """The numbers of distinct `words`, new ones encoded all as one text; -1 for none."""
+        found = np.fromiter(map(self.get, words, itertools.repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(found < 0)
+        if len(self) + len(new) > _CACHED:
             self.clear()
-        stop = self.stops.get(word[-1:])
-        letters = word if stop is None else word[:-1]
-        if letters.isalpha():
-            # Letters are one piece with the space before them.
-            found = self.alone(b" " + letters.encode())
-        elif letters[:1] == "\n" and letters[1:].isalpha():
-            found = self.feed + self.alone(letters[1:].encode())
-        else:
-            body = word.removeprefix("\n")
-            if body.split() != [body]:
-                raise KeyError(word)
-            stop = None
-            found = self.whole(" " + word) if body == word else self.feed + self.whole(body)
-        if stop is not None:
-            found += stop
-        self[word] = found
+            self.flat, self.ends = self.flat[:0], self.ends[:1]
+            new = np.arange(len(words))
+            found[:] = -1
+        fresh = [words[i] for i in new.tolist()]
+        new = new[[w.isalnum() or _WORD(w) is not None for w in fresh]]
+        if not len(new):
+            return found
+        fresh = [words[i] for i in new.tolist()]
+        # A space begins a word, and a line feed one that begins a line; no other id has them.
+        text = (" " + " ".join(fresh)).replace(" \n", "\n")
+        ids = self.encoding.encode_to_numpy(text).astype("<u4", copy=False)
+        ends = np.append(np.flatnonzero(self.leads[ids])[1:], len(ids)) + len(self.flat)
+        found[new] = np.arange(len(self), len(self) + len(new))
+        self.update(zip(fresh, found[new].tolist(), strict=True))
+        self.flat = np.concatenate([self.flat, ids])
+        self.ends = np.concatenate([self.ends, ends])
         return found
 
     def ids(self, text: str) -> bytes:
-        if self.parts is None or not any(token in text for token in self.special):
-            return self.plain(text)
-        return b"".join(
-            self.special[part] if part in self.special else self.plain(part)
-            for part in self.parts.split(text)
-            if part
-        )
+        return self.encoded(pa.array([text], pa.string()))[0]
+
+    def encoded(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each of the texts."""
+        spelt = [pc.match_substring(texts, token).to_numpy(False) for token in self.special]
+        spelt = np.logical_or.reduce([np.zeros(len(texts), bool), *spelt])
+        # Portions of bounded size, or one text.
+        portion = np.cumsum(pc.binary_length(texts).to_numpy(False), dtype=np.int64) // _PORTION
+        cuts = np.flatnonzero(np.diff(portion, prepend=-1, append=-1)).tolist()
+        plain = pc.if_else(pa.array(spelt), "", texts) if spelt.any() else texts
+        found = [x for a, b in itertools.pairwise(cuts) for x in self.plain(plain[a:b])]
+        for i in np.flatnonzero(spelt).tolist():
+            parts = [part for part in self.parts.split(texts[i].as_py()) if part]
+            others = pa.array([p for p in parts if p not in self.special], texts.type)
+            others = iter(self.encoded(others))
+            found[i] = b"".join(self.special.get(p) or next(others) for p in parts)
+        return found
 
-    def plain(self, text: str) -> bytes:
-        first, *words = text.replace("\n", " \n").split(" ")
-        try:
-            lead = self["\n" + first][len(self.feed) :]
-            return lead + b"".join(map(self.__getitem__, words))
-        except KeyError:
-            return self.whole(text)
+    def plain(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each of the texts, whose distinct words are looked up once."""
+        blank, feed = (pa.scalar(x, pa.large_string()) for x in ("", "\n"))
+        lines = pc.binary_join_element_wise(blank, texts.cast(pa.large_string()), feed)
+        rows = pc.split_pattern(pc.replace_substring(lines, "\n", " \n"), " ")
+        words = rows.flatten().dictionary_encode()
+        number = self.numbers(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        none, starts = number < 0, self.ends[number]
+        sizes = np.where(none, 0, self.ends[number + 1] - starts)
+
+        # Before each text stand an empty word and a line feed, which are not its own.
+        word = words.indices.to_numpy()
+        ends = rows.offsets.to_numpy().astype(np.int64)
+        first, size, start, none = ends[:-1], sizes[word], starts[word], none[word]
+        none[first], size[first] = False, 0
+        size[first + 1] -= 1
+        start[first + 1] += 1
+        odd = np.add.reduceat(none, first, dtype=np.int64) > 0
+        size[np.repeat(odd, np.diff(ends))] = 0
+        after = np.cumsum(size)
+        at = np.arange(after[-1]) + np.repeat(start - after + size, size)
+        flat = self.flat[at].tobytes()
+        cuts = [0, *(after[ends[1:] - 1] * 4).tolist()]
+        return [
+            self.whole(texts[i].as_py()) if whole else flat[a:b]
+            for i, ((a, b), whole) in enumerate(
+                zip(itertools.pairwise(cuts), odd.tolist(), strict=True)
+            )
+        ]
 
 
 @functools.cache
@@ -138,6 +173,22 @@ def _counted(ids: list[bytes], sizes: np.ndarray) -> tuple[pa.Array, pa.Array, p
     return tuple(pa.array(x.astype(np.int32)) for x in (ends, terms, counts))
 
 
+def _bytes(numbers: pa.Array, ends: pa.Array) -> pa.Array:
+    """32-bit numbers, parted at `ends`, as binary values: lists cost Spark work by element."""
+    flat = numbers.to_numpy().tobytes()
+    rows = [flat[4 * a : 4 * b] for a, b in itertools.pairwise(ends.to_pylist())]
+    return pa.array(rows, pa.binary())
+
+
+def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The integers of all rows, from lists or binary values, and how many each row has."""
+    if pa.types.is_list(column.type):
+        sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+        return column.flatten().to_numpy(zero_copy_only=False), sizes
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), "<i4"), np.array([len(x) // 4 for x in rows], np.int32)
+
+
 def _encoded(
     docs: DataFrame,
     key: str,
@@ -146,15 +197,15 @@ def _encoded(
     pattern: str,
     special: dict[str, int] | None,
 ) -> DataFrame:
-    """key, ids (binary, with the end id), how many, terms and their counts."""
+    """key, ids (binary, with the end id), how many, terms and their counts (binary, too)."""
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     schema = T.StructType(
         [
             T.StructField("key", rows.schema["key"].dataType),
             T.StructField("ids", T.BinaryType()),
             T.StructField("doc_tokens", T.LongType()),
-            T.StructField("terms", T.ArrayType(T.IntegerType())),
-            T.StructField("counts", T.ArrayType(T.IntegerType())),
+            T.StructField("terms", T.BinaryType()),
+            T.StructField("counts", T.BinaryType()),
         ]
     )
     end = np.array([END], "<u4").tobytes()
@@ -163,7 +214,7 @@ def _encoded(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(ranks_path, pattern, tokens)
         for batch in batches:
-            found = [encoder.ids(body or "") for body in batch.column("text").to_pylist()]
+            found = encoder.encoded(pc.fill_null(batch.column("text"), ""))
             sizes = np.array([len(x) // 4 for x in found], np.int64)
             ends, terms, counts = _counted(found, sizes)
             yield pa.RecordBatch.from_arrays(
@@ -171,8 +222,8 @@ def _encoded(
                     batch.column("key"),
                     pa.array([x + end for x in found], pa.binary()),
                     pa.array(sizes + 1),
-                    pa.ListArray.from_arrays(ends, terms),
-                    pa.ListArray.from_arrays(ends, counts),
+                    _bytes(terms, ends),
+                    _bytes(counts, ends),
                 ],
                 names=[f.name for f in schema],
             )
@@ -186,7 +237,7 @@ def _frequencies(encoded: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(VOCABULARY, np.int64)
         for batch in batches:
-            terms = batch.column("terms").flatten().to_numpy(zero_copy_only=False)
+            terms, _ = _numbers(batch.column("terms"))
             total += np.bincount(terms, minlength=len(total))
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["term", "n"])
@@ -196,27 +247,26 @@ def _frequencies(encoded: DataFrame) -> DataFrame:
 
 
 def _weighed(rests: DataFrame, idf: np.ndarray, mean: float) -> DataFrame:
-    """Replace the counts of the terms by their BM25 weights."""
+    """Replace the counts of the terms by their BM25 weights, in lists or binary as they are."""
     names = [c for c in rests.columns if c not in ("terms", "counts")]
+    kind, lists = rests.schema["terms"].dataType, T.ArrayType(T.FloatType())
+    binary = isinstance(kind, T.BinaryType)
     schema = T.StructType(
         [rests.schema[c] for c in names]
-        + [
-            T.StructField("terms", T.ArrayType(T.IntegerType())),
-            T.StructField("weights", T.ArrayType(T.FloatType())),
-        ]
+        + [T.StructField("terms", kind), T.StructField("weights", kind if binary else lists)]
     )
+    build = _bytes if binary else lambda numbers, ends: pa.ListArray.from_arrays(ends, numbers)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t = batch.column("terms").flatten().to_numpy(zero_copy_only=False)
-            n = batch.column("counts").flatten().to_numpy(zero_copy_only=False).astype(float)
-            sizes = batch.column("terms").value_lengths().to_numpy(zero_copy_only=False)
+            t, sizes = _numbers(batch.column("terms"))
+            n = _numbers(batch.column("counts"))[0].astype(float)
             long = np.repeat(batch.column("doc_tokens").to_numpy() / mean, sizes)
             w = (idf[t] * n * (_K1 + 1) / (n + _K1 * (1 - _B + _B * long))).astype(np.float32)
             ends = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in names]
-                + [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (t, w)],
+                + [build(pa.array(x), ends) for x in (t, w)],
                 names=[f.name for f in schema],
             )
 
@@ -385,9 +435,9 @@ def packed(
     def pack(group: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(list(batches)).combine_chunks()
         ids = rows["ids"].to_pylist()
-        cuts = np.cumsum(pc.list_value_length(rows["terms"]).to_numpy())[:-1]
         terms, weights = (
-            np.split(pc.list_flatten(rows[c]).to_numpy(), cuts) for c in ("terms", "weights")
+            [np.frombuffer(x, kind) for x in rows[c].to_pylist()]
+            for c, kind in (("terms", "<i4"), ("weights", "<f4"))
         )
         before = rows["before"].to_numpy()
         pieces = np.array(fill([len(x) // 4 for x in ids], Index(terms, weights)), np.int64)

@@ -5,13 +5,17 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pytest
 from tokenizers import Tokenizer
 
+from retail_engine.llm import packing
 from retail_engine.llm.packing import (
     WINDOW,
     Encoder,
     Index,
     _counted,
+    _encoded,
     _encoder,
     _weighed,
     fill,
@@ -168,3 +172,46 @@ def test_terms_of_a_batch_are_counted_by_text():
     assert terms == [3, 5, 0, 131071, 3] and counts == [1, 2, 1, 1, 2]
     assert [x.to_pylist() for x in _counted([b"", b""], np.array([0, 0]))] == [[0, 0, 0], [], []]
     assert [x.to_pylist() for x in _counted([], np.array([], np.int64))] == [[0], [], []]
+
+
+BATCH = [
+    "one two three", "", "one\ntwo", "two  one", " one", "two\tone", "a <|endoftext|>b one", "\n\n",
+    "don't, two.\nthree", "x\u00a0y two", "one\n", "<|endoftext|>", "日本 ﷺ one", "three 7,7 x\x1cy",
+]
+
+
+@pytest.mark.parametrize("bytes_at_a_time, cached", [(1, 1), (20, 4), (1 << 20, 1_000_000)])
+def test_words_of_a_batch_are_encoded_together(monkeypatch, bytes_at_a_time, cached):
+    monkeypatch.setattr(packing, "_PORTION", bytes_at_a_time)
+    monkeypatch.setattr(packing, "_CACHED", cached)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = [e.ids for e in tokenizer.encode_batch(BATCH, add_special_tokens=False)]
+    encoder = Encoder(RANKS, PATTERN, {"<|endoftext|>": 50256})
+    for texts in (BATCH, BATCH, []):
+        found = encoder.encoded(pa.array(texts, pa.string()))
+        assert [np.frombuffer(x, "<u4").tolist() for x in found] == want[: len(texts)]
+
+
+def test_a_new_word_is_encoded_once_with_all_others_of_the_batch(monkeypatch):
+    encoder, calls = Encoder(RANKS, PATTERN), []
+    core = encoder.encoding
+    monkeypatch.setattr(core, "encode_to_numpy", lambda t, f=core.encode_to_numpy: calls.append(t) or f(t))
+    texts = pa.array(["a b c", "c b\nd", "a a a"])
+    encoder.encoded(texts)
+    encoder.encoded(texts)
+    # "a" and "c" begin a text as well as follow a space.
+    assert [sorted(t.split()) for t in calls] == [["a", "a", "b", "c", "c", "d"]]
+
+
+def test_terms_are_stored_and_weighed_as_binary(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (2, None)], "doc_id long, text string")
+    rows = _encoded(docs, "doc_id", "text", RANKS, PATTERN, None)
+    assert {rows.schema[c].dataType.typeName() for c in ("ids", "terms", "counts")} == {"binary"}
+    idf = np.full(1 << 17, 2.0)
+    found = {r.key: r for r in _weighed(rows, idf, 4.0).collect()}
+    ids = np.array(reference_ids(["a b a"])[0])
+    terms, counts = np.unique(ids, return_counts=True)
+    assert np.frombuffer(found[1].terms, "<i4").tolist() == terms.tolist()
+    weights = 2 * counts * 2.2 / (counts + 1.2)
+    assert np.allclose(np.frombuffer(found[1].weights, "<f4"), weights)
+    assert found[2].terms == found[2].weights == b"" and found[2].doc_tokens == 1
