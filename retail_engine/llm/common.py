@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import sys
 import uuid
 from collections.abc import Iterator
 
@@ -110,6 +112,32 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def give_back() -> None:
+    """Hand memory that this Python worker has freed back to the system.
+
+    Spark uses a worker again for other tasks, beside an executor that needs the memory.
+    """
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def begin(operator: str) -> None:
+    """A task of the module `operator` begins: what others have cached in this worker goes."""
+    found = [
+        cached
+        for name, module in list(sys.modules.items())
+        if name.startswith("retail_engine.llm.") and name != operator
+        for cached in vars(module).values()
+        if hasattr(cached, "cache_clear") and cached.__module__ == name
+    ]
+    found = [cached for cached in found if cached.cache_info().currsize]
+    for cached in found:
+        cached.cache_clear()
+    if found:
+        give_back()
+
+
 def seeded_hash(rows: DataFrame, key: str, at: str, seed: int, name: str) -> DataFrame:
     """Add a hash of seed and key; rows that share a key, or have none, hash `at` as well.
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from retail_engine.llm.common import lists, observed, small_batches, stored
+from retail_engine.llm.common import begin, lists, observed, small_batches, stored
 from retail_engine.llm.graph import components
 
 WORDS = 5
@@ -150,6 +150,7 @@ def _sketches(docs: DataFrame, key: str, text: str, at) -> DataFrame:
     )
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin(__name__)
         shingler = Shingler()
         for batch in batches:
             digests, sizes, bands, bits = [], [], [], []
@@ -182,6 +183,7 @@ def _sets(docs: DataFrame, text: str, at, nodes: DataFrame) -> DataFrame:
     rows = rows.join(nodes, F.col("at") == F.col("node"), "left_semi")
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin(__name__)
         shingler = Shingler()
         for batch in batches:
             sets = [

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from retail_engine.llm.common import small_batches, stored
+from retail_engine.llm.common import begin, give_back, small_batches, stored
 
 WINDOW = 1024
 END = 0
@@ -212,6 +212,7 @@ def _encoded(
     tokens = tuple((special or {}).items())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin(__name__)
         encoder = _encoder(ranks_path, pattern, tokens)
         for batch in batches:
             found = encoder.encoded(pc.fill_null(batch.column("text"), ""))
@@ -227,6 +228,7 @@ def _encoded(
                 ],
                 names=[f.name for f in schema],
             )
+        give_back()
 
     return rows.mapInArrow(encode, schema)
 
@@ -297,18 +299,17 @@ class Index:
         docs, worth, term = docs[~dense], worth[~dense], term[~dense]
         order = np.argsort(term, kind="stable")
         self.docs, self.weights = docs[order], worth[order]
-        ends = np.cumsum(np.where(common, 0, uses))
-        starts = np.append(0, ends[:-1])
+        self.ends = np.cumsum(np.where(common, 0, uses))
+        self.starts = np.append(0, self.ends[:-1])
         cuts = np.cumsum(np.bincount(docs, minlength=self.size))[:-1]
-        self.spans = [
-            list(zip(starts[t].tolist(), ends[t].tolist(), strict=True))
-            for t in np.split(term, cuts)
-        ]
+        self.terms = np.split(term, cuts)
 
     def scores(self, seed: int) -> np.ndarray:
         """What every document's weights of the seed's terms add up to."""
         scores = self.by_common[seed].astype(float)
-        if spans := self.spans[seed]:
+        terms = self.terms[seed]
+        if len(terms):
+            spans = list(zip(self.starts[terms].tolist(), self.ends[terms].tolist(), strict=True))
             docs = np.concatenate([self.docs[a:b] for a, b in spans])
             weights = np.concatenate([self.weights[a:b] for a, b in spans])
             scores += np.bincount(docs, weights, self.size)
@@ -432,7 +433,7 @@ def packed(
     rests = _weighed(rests, idf, (total or 1) / max(1, number))
     out = T.StructType([wholes.schema[c] for c in wholes.columns])
 
-    def pack(group: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shard(group: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(list(batches)).combine_chunks()
         ids = rows["ids"].to_pylist()
         terms, weights = (
@@ -456,4 +457,8 @@ def packed(
             columns["ids"] = pa.array(bodies, pa.binary())
         yield from pa.table(columns).combine_chunks().to_batches()
 
+    def pack(group: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from shard(group, batches)
+        give_back()
+
     return wholes.union(rests.groupBy("shard").applyInArrow(pack, out))
